@@ -1,0 +1,79 @@
+"""LLM coding as tables: prompts (T9), request table (J2), reply parsing.
+
+The model call itself is outside Spark (an external batch service); these
+operators produce the request table and read the reply table back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..functions.text import col_of, pystrip
+
+
+def build_prompts(codebook: DataFrame, role: str = fv.CODEBOOK_ROLE) -> DataFrame:
+    """One prompt per code: role + definition block + instruction +
+    clarification + examples, the alias/name put into one template literal."""
+    definition_block = F.concat(F.lit('\nDefinition of "'), F.col("name"), F.lit('": '),
+                                F.col("definition"), F.lit("\n"))
+    instruction = F.replace(F.replace(F.lit(fv.INSTRUCTION_TEMPLATE), F.lit("{name}"), F.col("name")),
+                            F.lit("{alias}"), F.col("alias"))
+    prompt = F.concat(F.lit(role), definition_block, instruction,
+                      F.coalesce("clarification", F.lit("")), F.coalesce("examples", F.lit("")))
+    return codebook.select("alias", prompt.alias("prompt"))
+
+
+def request_table(df: DataFrame, codebook: DataFrame, key: str, text: str = "text",
+                  role: str = fv.CODEBOOK_ROLE, max_codes: int = 1000) -> DataFrame:
+    """One request per (row, code). The code table is tiny (one row per
+    code); it is broadcast, so the rows are never shuffled."""
+    prompts = build_prompts(codebook, role)
+    return df.select(key, text).crossJoin(F.broadcast(prompts)).select(
+        key, "alias", F.col("prompt").alias("system_prompt"), F.col(text).alias("user_text"))
+
+
+def parse_reply_cols(reply, alias) -> dict[str, Column]:
+    """T10 expressions: decision is 1 if ``{alias}_1`` occurs anywhere, the
+    rationale (positive replies only) lies between the first and second
+    ``{alias}_rationale:`` cut at ``{alias}_explanation:``; the explanation
+    is what follows the first explanation marker up to a second one. All
+    three stay NULL for an ``'error'`` or missing reply."""
+    r, a = col_of(reply), col_of(alias)
+    failed = r.isNull() | (r == F.lit(fv.ERROR_REPLY))
+    dec_m = F.concat(a, F.lit("_1"))
+    rat_m = F.concat(a, F.lit("_rationale:"))
+    exp_m = F.concat(a, F.lit("_explanation:"))
+    decision = F.when(F.contains(r, dec_m), F.lit(1)).otherwise(F.lit(0))
+    rationale = F.when((decision == 1) & F.contains(r, rat_m),
+                       pystrip(F.split_part(F.split_part(r, rat_m, F.lit(2)), exp_m, F.lit(1))))
+    explanation = F.when(F.contains(r, exp_m), pystrip(F.split_part(r, exp_m, F.lit(2))))
+    null_s = F.lit(None).cast("string")
+    return {
+        "decision": F.when(failed, F.lit(None).cast("int")).otherwise(decision),
+        "rationale": F.when(failed, null_s).otherwise(rationale),
+        "explanation": F.when(failed, null_s).otherwise(explanation),
+    }
+
+
+def parse_responses(df: DataFrame, reply: str = "reply", alias: str = "alias") -> DataFrame:
+    """T10 on a long reply table (one row per row x code). If the output
+    columns already exist (a re-run), a failed reply keeps the old values."""
+    cols = parse_reply_cols(reply, alias)
+    out = {}
+    for name, expr in cols.items():
+        out[name] = F.coalesce(expr, F.col(name)) if name in df.columns else expr
+    return df.withColumns(out)
+
+
+def replies_wide(parsed: DataFrame, key: str, codes: Sequence[str]) -> DataFrame:
+    """Long parsed replies -> ``{code}_gpt``, ``{code}_rtnl_gpt``,
+    ``{code}_expl_gpt`` per row (one shuffle on the row key, which a
+    following join on the same key reuses)."""
+    p = parsed.groupBy(key).pivot("alias", list(codes)).agg(
+        F.first("decision").alias("gpt"), F.first("rationale").alias("rtnl_gpt"),
+        F.first("explanation").alias("expl_gpt"))
+    return p.withColumns({f"{c}_gpt": F.col(f"{c}_gpt").cast("double") for c in codes})

@@ -82,3 +82,197 @@ ORACLE["reliability_trend"] = ofx.with_fixtures(
     f"WITH cc AS (SELECT *, {_CYCLE} AS cycle FROM c), long AS ({_long_pairs('cc', 'cycle, ')})"
     + _kappa_sql("long", ["cycle"]) + ")",
     fx_annot=ofx.fx_annot(), c=COERCED_ANNOT)
+
+
+# --------------------------------------------------------------------------
+# sources, projections, filters
+# --------------------------------------------------------------------------
+
+def lit(s: str) -> str:
+    """A SQL string literal (quotes doubled; newlines kept as they are)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+ORACLE["read_responses"] = "SELECT doc_id AS row_id, lang, source, n_chars FROM documents"
+
+_DOC_TYPES = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+              ("n_chars", "bigint")]
+ORACLE["profile"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, count(*) AS n_rows "
+    f"FROM documents" for i, (c, t) in enumerate(_DOC_TYPES))
+
+ORACLE["drop_columns"] = ofx.with_fixtures(
+    'SELECT row_id, "EmailPairID", "WithinPatientID", "FirstInPair", "MHP ID", "Unique ID", "Cleaned Message" '
+    "FROM fx_sheet", fx_sheet=ofx.FX_SHEET)
+
+ORACLE["suffix_columns"] = ofx.with_fixtures(
+    "SELECT doc_id, " + ", ".join(f"{t}_r2" for t in TAGS) + ", rtnl AS rtnl_r2 FROM fx_annot",
+    fx_annot=ofx.fx_annot())
+
+ORACLE["blank_tags"] = ofx.with_fixtures(
+    "SELECT doc_id, text, " + ", ".join(f"' ' AS {c}" for c in fv.CYCLE_TAG_COLUMNS) + " FROM fx_annot",
+    fx_annot=ofx.fx_annot())
+
+ORACLE["drop_sentinel"] = ofx.with_fixtures(
+    """SELECT row_id, "Unique ID" FROM fx_sheet WHERE "Unique ID" IS DISTINCT FROM '___'""", fx_sheet=ofx.FX_SHEET)
+
+
+def _round_id(c: str) -> str:
+    return f'CAST(round_even(coalesce("{c}", 0), 0) AS BIGINT)'
+
+
+ORACLE["normalize_ids"] = ofx.with_fixtures(
+    f'SELECT row_id, {_round_id("EmailPairID")} AS "EmailPairID", {_round_id("WithinPatientID")} AS "WithinPatientID", '
+    f'{_round_id("MHP ID")} AS "MHP ID" FROM fx_sheet', fx_sheet=ofx.FX_SHEET)
+
+ORACLE["condense_responses"] = ofx.with_fixtures(
+    f'SELECT row_id, {_round_id("EmailPairID")} AS "EmailPairID", {_round_id("WithinPatientID")} AS "WithinPatientID", '
+    f'"FirstInPair", {_round_id("MHP ID")} AS "MHP ID", "Unique ID", 1 AS pilot, "Cleaned Message" AS text '
+    """FROM fx_sheet WHERE "Unique ID" IS NULL OR "Unique ID" <> '___'""", fx_sheet=ofx.FX_SHEET)
+
+ORACLE["theme_subset"] = ofx.with_fixtures(
+    f"SELECT doc_id, {', '.join(fv.THEMES)} FROM fx_train WHERE "
+    + " OR ".join(f"{t} = 1" for t in fv.THEMES), fx_train=ofx.fx_train())
+
+ORACLE["head_by"] = ofx.with_fixtures(
+    "SELECT doc_id, afrm, trgt FROM fx_train ORDER BY doc_id LIMIT 899", fx_train=ofx.fx_train())
+
+ORACLE["composite_indicator"] = ofx.with_fixtures(
+    f"SELECT doc_id, {', '.join(fv.TARGETS)}, trgt FROM fx_train", fx_train=ofx.fx_train())
+
+# Python str.strip(): Unicode whitespace and the separators \x1c-\x1f
+PY_WS = r"[\t\n\x0B\f\r\x1c-\x1f \x85\p{Z}]"
+
+
+def pystrip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
+PARSED = f"""SELECT doc_id, alias,
+  CASE WHEN reply IS NULL OR reply = 'error' THEN NULL
+       WHEN contains(reply, alias || '_1') THEN 1 ELSE 0 END AS decision,
+  CASE WHEN reply IS NULL OR reply = 'error' THEN NULL
+       WHEN contains(reply, alias || '_1') AND contains(reply, alias || '_rationale:')
+       THEN {pystrip_sql("split_part(split_part(reply, alias || '_rationale:', 2), alias || '_explanation:', 1)")}
+       END AS rationale,
+  CASE WHEN reply IS NULL OR reply = 'error' THEN NULL
+       WHEN contains(reply, alias || '_explanation:')
+       THEN {pystrip_sql("split_part(reply, alias || '_explanation:', 2)")} END AS explanation
+FROM fx_reply"""
+
+ORACLE["parse_responses"] = ofx.with_fixtures("SELECT * FROM parsed", fx_reply=ofx.fx_reply(), parsed=PARSED)
+
+_TRI = ofx.with_fixtures(
+    "SELECT h.*, " + ", ".join(
+        f"CAST(p_{c}.decision AS DOUBLE) AS {c}_gpt, p_{c}.rationale AS {c}_rtnl_gpt, "
+        f"p_{c}.explanation AS {c}_expl_gpt, "
+        f"CASE WHEN h.{c} = 1 AND p_{c}.decision = 1 THEN 1 ELSE 0 END AS {c}_triangulate"
+        for c in fv.LLM_CODES)
+    + " FROM fx_train h " + " ".join(
+        f"LEFT JOIN parsed p_{c} ON p_{c}.doc_id = h.doc_id AND p_{c}.alias = '{c}'" for c in fv.LLM_CODES),
+    fx_annot=ofx.fx_annot(), fx_train=ofx.fx_train(), fx_reply=ofx.fx_reply(), parsed=PARSED)
+
+ORACLE["triangulate"] = (f"SELECT doc_id, "
+                         + ", ".join(f"{c}, {c}_gpt, {c}_triangulate" for c in fv.LLM_CODES)
+                         + f" FROM ({_TRI})")
+
+_REST = [t for t in TAGS if t not in fv.LLM_CODES]
+ORACLE["finalize_triangulated"] = (f"SELECT doc_id, {', '.join(_REST)}, "
+                                   + ", ".join(f"{c}_triangulate AS {c}" for c in fv.LLM_CODES)
+                                   + f" FROM ({_TRI})")
+
+
+def _fill(c: str) -> str:
+    return f"CASE WHEN {c} = ' ' THEN '.' ELSE coalesce({c}, '.') END"
+
+
+ORACLE["fill_placeholders"] = ofx.with_fixtures(
+    f"SELECT doc_id, {_fill('afrm_r1')} AS note, {_fill('rtnl')} AS rtnl FROM fx_annot", fx_annot=ofx.fx_annot())
+
+
+# --------------------------------------------------------------------------
+# text
+# --------------------------------------------------------------------------
+
+def nested_replace(x: str, terms, token: str) -> str:
+    out = x
+    for t in terms:
+        out = f"replace({out}, {lit(t)}, {lit(token)})"
+    return out
+
+
+_TERMS = list(fv.MANUAL_MARKERS) + list(fv.CLIENT_NAMES)
+_TAIL = "SELECT doc_id, text, substr(text, greatest(length(text) - 79, 1), 80) AS rtnl FROM fx_text"
+ORACLE["redact_terms"] = ofx.with_fixtures(
+    f"SELECT doc_id, {nested_replace('text', _TERMS, ' ')} AS text, {nested_replace('rtnl', _TERMS, ' ')} AS rtnl "
+    f"FROM tail", fx_text=ofx.FX_TEXT, tail=_TAIL)
+
+ORACLE["strip_numerals"] = r"SELECT doc_id, regexp_replace(text, '[\p{Nd}\r\n]+', ' ', 'g') AS text FROM documents"
+
+ORACLE["strip_tokens"] = ofx.with_fixtures(
+    f"SELECT doc_id, {nested_replace('text', fv.SALIENCE_TOKENS, ' ')} AS text FROM fx_text", fx_text=ofx.FX_TEXT)
+
+# recogniser, written for RE2: left boundary consumed, entity in group 2
+_NAMES = sorted(fv.CLIENT_NAMES, key=lambda t: (-len(t), t))
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_PHONE = r"[0-9]{3}-[0-9]{4}"
+_PAT = "(^|[^A-Za-z0-9])(" + "|".join(_NAMES + [_EMAIL, _PHONE]) + ")"
+_M = f"""SELECT doc_id, text, regexp_extract_all(text, '{_PAT}', 0) AS w, regexp_extract_all(text, '{_PAT}', 2) AS e,
+           regexp_split_to_array(text, '{_PAT}') AS p FROM fx_text"""
+_NAME_SET = "(" + ", ".join(lit(n) for n in fv.CLIENT_NAMES) + ")"
+_LABEL = (f"CASE WHEN regexp_full_match(ent, '{_EMAIL}') THEN 'EMAIL' WHEN regexp_full_match(ent, '{_PHONE}') "
+          f"THEN 'PHONE' WHEN ent IN {_NAME_SET} THEN 'PERSON' END")
+_SPANS = f"""SELECT doc_id, k, ent, CAST(start AS INTEGER) AS start, CAST(start + length(ent) AS INTEGER) AS "end",
+       {_LABEL} AS label
+FROM (SELECT doc_id, k, e[k] AS ent, text,
+             sum(length(p[k]) + length(w[k])) OVER (PARTITION BY doc_id ORDER BY k) - length(e[k]) AS start
+      FROM (SELECT doc_id, text, w, e, p, unnest(range(1, len(w) + 1)) AS k FROM m))
+WHERE NOT regexp_matches(substr(text, CAST(start + length(ent) + 1 AS BIGINT), 1), '[A-Za-z0-9]')"""
+ORACLE["detect_entities"] = ofx.with_fixtures(
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS span_no,
+              start, "end", label, ent AS span_text FROM spans""", fx_text=ofx.FX_TEXT, m=_M, spans=_SPANS)
+
+_KEEP = "(" + ", ".join(lit(x) for x in fv.PII_LABELS) + ")"
+
+
+def _kept_k(k: str) -> str:
+    # match k is an entity to redact: its label is kept and the character after
+    # it (first of the next piece) is not a letter or digit
+    ent = f"e[{k}]"
+    lab = _LABEL.replace("ent", ent)
+    return f"(({lab}) IN {_KEEP} AND NOT regexp_matches(left(p[{k} + 1], 1), '[A-Za-z0-9]'))"
+
+
+ORACLE["redact_spans"] = ofx.with_fixtures(
+    "SELECT doc_id, CASE WHEN len(w) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(w) + 1), "
+    f"lambda k: p[k] || CASE WHEN {_kept_k('k')} THEN left(w[k], length(w[k]) - length(e[k])) || ' ' ELSE w[k] END), '')"
+    " || p[len(w) + 1] END AS text FROM m", fx_text=ofx.FX_TEXT, m=_M)
+
+ORACLE["redact_entities"] = ofx.with_fixtures(
+    "SELECT doc_id, list_reduce(list_filter(list_transform(range(1, len(w) + 1), "
+    f"lambda k: CASE WHEN {_kept_k('k')} THEN e[k] END), lambda x: x IS NOT NULL), "
+    "lambda acc, x: replace(acc, x, '<|PII|>'), text) AS text FROM m", fx_text=ofx.FX_TEXT, m=_M)
+
+
+# --------------------------------------------------------------------------
+# LLM tables
+# --------------------------------------------------------------------------
+
+def _codebook_values(aliases=None) -> str:
+    rows = [r for r in fv.CODEBOOK if aliases is None or r[0] in aliases]
+    return "(VALUES " + ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows) + \
+        ") AS cb(alias, name, definition, clarification, examples)"
+
+
+_PROMPT = (f"{lit(fv.CODEBOOK_ROLE)} || chr(10) || 'Definition of \"' || name || '\": ' || definition || chr(10) || "
+           f"replace(replace({lit(fv.INSTRUCTION_TEMPLATE)}, '{{name}}', name), '{{alias}}', alias) || "
+           "clarification || examples")
+
+ORACLE["request_table"] = (f"SELECT item_id, alias, {_PROMPT} AS system_prompt, text AS user_text "
+                           f"FROM benchmark CROSS JOIN {_codebook_values()}")
+ORACLE["build_prompts"] = (f"SELECT alias, {_PROMPT} AS system_prompt, count(*) AS n_requests "
+                           f"FROM benchmark CROSS JOIN {_codebook_values(fv.LLM_CODES)} GROUP BY ALL")
+ORACLE["codebook"] = ofx.with_fixtures(
+    f"SELECT cb.*, coalesce(r.n, 0) AS n_replies FROM {_codebook_values()} LEFT JOIN "
+    "(SELECT alias, count(*) AS n FROM fx_reply GROUP BY alias) r ON r.alias = cb.alias",
+    fx_reply=ofx.fx_reply())

@@ -103,3 +103,167 @@ def q_value_counts(spark, base):
 def q_reliability_trend(spark, base):
     d = coerced_annot(spark, base).withColumn("cycle", cycle_of(F.col("id")))
     return agr.reliability_trend(d, fv.ALL_TAGS, "r1", "r2", "cycle")
+
+
+# --------------------------------------------------------------------------
+# sources, projections, filters
+# --------------------------------------------------------------------------
+from ..operators import entities as ent  # noqa: E402
+from ..operators import llm  # noqa: E402
+from ..operators import text as txt  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+from ..sources.codebook import codebook  # noqa: E402
+
+
+@q("read_responses")
+def q_read_responses(spark, base):
+    return sio.read_table(spark, sio.table_path(base, "documents"), row_id="doc_id").select(
+        "row_id", "lang", "source", "n_chars")
+
+
+@q("profile")
+def q_profile(spark, base):
+    return sio.profile(load(spark, base, "documents"))
+
+
+@q("drop_columns")
+def q_drop_columns(spark, base):
+    return cols.drop_columns(fx.fx_sheet(spark, base), fv.RAW_SHEET_DROP + ["not_there"])
+
+
+@q("suffix_columns")
+def q_suffix_columns(spark, base):
+    return cols.suffix_columns(rater_sheet(spark, base, "r2"), "_r2", keep=["doc_id"])
+
+
+@q("blank_tags")
+def q_blank_tags(spark, base):
+    d = fx.fx_annot(spark, base).select("doc_id", "text")
+    return cols.assign_blank(d, fv.CYCLE_TAG_COLUMNS, " ")
+
+
+@q("drop_sentinel")
+def q_drop_sentinel(spark, base):
+    return cols.drop_sentinel(fx.fx_sheet(spark, base), "Unique ID").select("row_id", "`Unique ID`")
+
+
+@q("normalize_ids")
+def q_normalize_ids(spark, base):
+    return cols.normalize_ids(fx.fx_sheet(spark, base), ["EmailPairID", "WithinPatientID", "MHP ID"]).select(
+        "row_id", "EmailPairID", "WithinPatientID", "`MHP ID`")
+
+
+@q("condense_responses")
+def q_condense_responses(spark, base):
+    return cols.condense_responses(fx.fx_sheet(spark, base), pilot=1)
+
+
+@q("theme_subset")
+def q_theme_subset(spark, base):
+    return cols.any_positive(fx.fx_train(spark, base), fv.THEMES).select("doc_id", *fv.THEMES)
+
+
+@q("head_by")
+def q_head_by(spark, base):
+    return cols.head_by(fx.fx_train(spark, base).select("doc_id", "afrm", "trgt"), 899, ["doc_id"])
+
+
+@q("composite_indicator")
+def q_composite_indicator(spark, base):
+    return fx.fx_train(spark, base).select("doc_id", *fv.TARGETS, "trgt")
+
+
+def triangulated(spark, base) -> DataFrame:
+    human = fx.fx_train(spark, base).select("doc_id", "text", "rtnl", *fv.ALL_TAGS)
+    parsed = llm.parse_responses(fx.fx_reply(spark, base))
+    wide = llm.replies_wide(parsed, "doc_id", fv.LLM_CODES)
+    return cols.triangulate(human.join(wide, "doc_id", "left"), fv.LLM_CODES)
+
+
+@q("triangulate")
+def q_triangulate(spark, base):
+    return triangulated(spark, base).select(
+        "doc_id", *[x for c in fv.LLM_CODES for x in (c, f"{c}_gpt", f"{c}_triangulate")])
+
+
+@q("finalize_triangulated")
+def q_finalize_triangulated(spark, base):
+    return cols.finalize_triangulated(triangulated(spark, base)).drop("text", "rtnl")
+
+
+@q("fill_placeholders")
+def q_fill_placeholders(spark, base):
+    d = fx.fx_annot(spark, base).select("doc_id", F.col("afrm_r1").alias("note"), "rtnl")
+    return cols.fill_placeholders(d, ["note", "rtnl"])
+
+
+# --------------------------------------------------------------------------
+# text
+# --------------------------------------------------------------------------
+
+def text_with_tail(spark, base) -> DataFrame:
+    t = fx.fx_text(spark, base)
+    return t.withColumn("rtnl", F.substring(F.col("text"), F.greatest(F.length("text") - 79, F.lit(1)),
+                                            F.lit(80)))
+
+
+@q("redact_terms")
+def q_redact_terms(spark, base):
+    return txt.redact_terms(text_with_tail(spark, base), ["text", "rtnl"])
+
+
+@q("strip_numerals")
+def q_strip_numerals(spark, base):
+    return txt.strip_numerals(load(spark, base, "documents").select("doc_id", "text"), "text")
+
+
+@q("strip_tokens")
+def q_strip_tokens(spark, base):
+    return txt.strip_tokens(fx.fx_text(spark, base), "text")
+
+
+@q("detect_entities")
+def q_detect_entities(spark, base):
+    return ent.spans_long(ent.detect_entities(fx.fx_text(spark, base)), "doc_id")
+
+
+@q("redact_spans")
+def q_redact_spans(spark, base):
+    d = ent.detect_entities(fx.fx_text(spark, base))
+    return txt.redact_spans(d, "text", "spans").select("doc_id", "text")
+
+
+@q("redact_entities")
+def q_redact_entities(spark, base):
+    d = ent.detect_entities(fx.fx_text(spark, base))
+    return txt.redact_entities(d, "text", "spans").select("doc_id", "text")
+
+
+# --------------------------------------------------------------------------
+# LLM request / reply tables
+# --------------------------------------------------------------------------
+
+@q("request_table")
+def q_request_table(spark, base):
+    return llm.request_table(load(spark, base, "benchmark"), codebook(spark), "item_id")
+
+
+@q("build_prompts")
+def q_build_prompts(spark, base):
+    # prompts as used: the distinct system prompts of the request table
+    req = llm.request_table(load(spark, base, "benchmark"), codebook(spark, aliases=fv.LLM_CODES), "item_id")
+    return req.groupBy("alias", "system_prompt").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@q("codebook")
+def q_codebook(spark, base):
+    # codebook rows joined to the number of replies seen per code
+    replies = fx.fx_reply(spark, base).groupBy("alias").agg(F.count(F.lit(1)).alias("n_replies"))
+    return codebook(spark).join(replies, "alias", "left").withColumn(
+        "n_replies", F.coalesce("n_replies", F.lit(0)).cast("long"))
+
+
+@q("parse_responses")
+def q_parse_responses(spark, base):
+    return llm.parse_responses(fx.fx_reply(spark, base)).select("doc_id", "alias", "decision", "rationale",
+                                                               "explanation")
