@@ -97,11 +97,11 @@ def previous_value(df: DataFrame, order: Sequence[str], value: str, out: str,
     b = b.withColumn("_tz_rn", F.row_number().over(wb)).withColumn("_tz_lag", F.lag(value).over(wb))
     # last row of each bucket, then the last row of the nearest earlier bucket
     last = b.groupBy(BUCKET).agg(F.max_by(F.col(value), F.struct(*order)).alias("_tz_last"))
-    last = last.withColumn("_tz_prev", F.lag("_tz_last").over(Window.orderBy(BUCKET))).drop("_tz_last")
+    last = last.withColumn("_tz_bprev", F.lag("_tz_last").over(Window.orderBy(BUCKET))).drop("_tz_last")
     joined = _join_small(b, last, [BUCKET], bounded=True)
     return joined.withColumn(
-        out, F.when(F.col("_tz_rn") == 1, F.col("_tz_prev")).otherwise(F.col("_tz_lag"))
-    ).drop(BUCKET, "_tz_rn", "_tz_lag", "_tz_prev")
+        out, F.when(F.col("_tz_rn") == 1, F.col("_tz_bprev")).otherwise(F.col("_tz_lag"))
+    ).drop(BUCKET, "_tz_rn", "_tz_lag", "_tz_bprev")
 
 
 def last_preceding(df: DataFrame, order: Sequence[str], value: Column, out: str,

@@ -276,3 +276,104 @@ ORACLE["codebook"] = ofx.with_fixtures(
     f"SELECT cb.*, coalesce(r.n, 0) AS n_replies FROM {_codebook_values()} LEFT JOIN "
     "(SELECT alias, count(*) AS n FROM fx_reply GROUP BY alias) r ON r.alias = cb.alias",
     fx_reply=ofx.fx_reply())
+
+
+# --------------------------------------------------------------------------
+# sampling, splits, augmentation
+# --------------------------------------------------------------------------
+
+def _h(seed, key: str) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+
+
+_FXT = dict(fx_annot=ofx.fx_annot(), fx_train=ofx.fx_train())
+
+ORACLE["sample_n"] = ofx.with_fixtures(
+    f"SELECT doc_id, position, trgt FROM (SELECT doc_id, trgt, row_number() OVER (ORDER BY {_h(56, 'doc_id')}, doc_id) - 1 "
+    "AS position FROM fx_train) WHERE position < 50", **_FXT)
+
+ORACLE["shuffle"] = (f"SELECT doc_id, row_number() OVER (ORDER BY {_h(56, 'doc_id')}, doc_id) - 1 AS position "
+                     "FROM documents")
+
+_CONDENSED = ORACLE["condense_responses"]
+ORACLE["reindex"] = (f"SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS index FROM ({_CONDENSED})")
+
+ORACLE["seeded_rank"] = ofx.with_fixtures(
+    f"SELECT doc_id, trgt, row_number() OVER (PARTITION BY trgt ORDER BY {_h(7, 'doc_id')}, doc_id) AS rank "
+    "FROM fx_train", **_FXT)
+
+ORACLE["sample_strata"] = ofx.with_fixtures(
+    f"SELECT doc_id, agnt, row_number() OVER (ORDER BY {_h(42, 'doc_id')}, doc_id) - 1 AS position FROM ("
+    f"SELECT doc_id, agnt, row_number() OVER (PARTITION BY agnt ORDER BY {_h(42, 'doc_id')}, doc_id) AS r FROM fx_train)"
+    " WHERE r <= CASE agnt WHEN 1 THEN 5 WHEN 0 THEN 95 ELSE 0 END", **_FXT)
+
+_HOLD = (f"SELECT doc_id, CASE WHEN (SELECT count(*) FROM fx_train) > 200 AND row_number() OVER "
+         f"(ORDER BY {_h(56, 'doc_id')}, doc_id) <= 200 THEN 'calibrate' ELSE 'train' END AS split FROM fx_train")
+ORACLE["holdout"] = ofx.with_fixtures(_HOLD, **_FXT)
+ORACLE["holdout_rest"] = ofx.with_fixtures(f"SELECT doc_id FROM ({_HOLD}) WHERE split = 'train'", **_FXT)
+
+
+def _split_sql(src: str, key: str, extra: str = "") -> str:
+    """Stratified 80:20 split of ``src`` by trgt, written from the quota rule."""
+    return f"""(WITH cls AS (SELECT trgt, count(*) AS n_c FROM {src} GROUP BY trgt),
+  tot AS (SELECT sum(n_c) AS n, CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_test FROM cls),
+  q0 AS (SELECT trgt, (n_test * n_c) // n AS base, (n_test * n_c) % n AS rem, n_test FROM cls, tot),
+  q AS (SELECT trgt, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, trgt)
+                                  <= n_test - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY trgt ORDER BY {_h(56, key)}, {key}) AS rk FROM {src})
+  SELECT r.* EXCLUDE (rk), CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split
+  FROM r JOIN q USING (trgt))"""
+
+
+ORACLE["stratified_split"] = ofx.with_fixtures(
+    f"SELECT doc_id, trgt, split FROM {_split_sql('(SELECT doc_id, trgt FROM fx_train)', 'doc_id')}", **_FXT)
+
+ORACLE["stratified_folds"] = ofx.with_fixtures(
+    f"""SELECT doc_id, trgt, CAST((off + rk - 1) % 5 AS INTEGER) AS fold FROM (
+      SELECT doc_id, trgt, row_number() OVER (PARTITION BY trgt ORDER BY {_h(56, 'doc_id')}, doc_id) AS rk,
+             (SELECT count(*) FROM fx_train f2 WHERE f2.trgt < f.trgt) AS off FROM fx_train f)""", **_FXT)
+
+
+def _aug(clear: bool) -> str:
+    return ("SELECT doc_id, text, rtnl, trgt, 0 AS seq, CAST(NULL AS BIGINT) AS parent_id, 0 AS agmt FROM fx_train "
+            "UNION ALL SELECT doc_id, rtnl AS text, " + ("' '" if clear else "rtnl") +
+            " AS rtnl, trgt, 1 AS seq, doc_id AS parent_id, 1 AS agmt FROM fx_train WHERE trgt > 0")
+
+
+ORACLE["augment"] = ofx.with_fixtures(
+    "SELECT doc_id, seq, parent_id, agmt, text, rtnl, row_number() OVER (ORDER BY doc_id, seq) - 1 AS position "
+    "FROM aug", **_FXT, aug=_aug(True))
+
+_FLAG = ("SELECT doc_id, seq, CAST(coalesce(text = lag(rtnl) OVER (ORDER BY doc_id, seq), false) AS INTEGER) "
+         "AS agmt_flag FROM aug")
+ORACLE["flag_augmented"] = ofx.with_fixtures(_FLAG, **_FXT, aug=_aug(False))
+ORACLE["parent_of"] = ofx.with_fixtures(
+    "SELECT doc_id, seq, agmt_flag, CASE WHEN agmt_flag = 1 THEN last_value(CASE WHEN agmt_flag = 0 THEN doc_id END "
+    "IGNORE NULLS) OVER (ORDER BY doc_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent_key "
+    "FROM flagged", **_FXT, aug=_aug(False), flagged=_FLAG)
+
+_ORIG_SPLIT = _split_sql("(SELECT * FROM aug WHERE agmt = 0)", "doc_id")
+ORACLE["semi_augmented"] = ofx.with_fixtures(
+    f"SELECT doc_id, seq, parent_id FROM aug WHERE agmt = 1 AND parent_id IN "
+    f"(SELECT doc_id FROM {_ORIG_SPLIT} WHERE split = 'train')", **_FXT, aug=_aug(True))
+_ASSEMBLED = (f"SELECT doc_id, seq, split FROM {_ORIG_SPLIT} UNION ALL SELECT doc_id, seq, 'train' AS split "
+              f"FROM aug WHERE agmt = 1 AND parent_id IN (SELECT doc_id FROM {_ORIG_SPLIT} WHERE split = 'train')")
+ORACLE["assemble_train"] = ofx.with_fixtures(_ASSEMBLED, **_FXT, aug=_aug(True))
+ORACLE["split_report"] = ofx.with_fixtures(
+    "SELECT split, count(*) AS n_rows FROM assembled GROUP BY split", **_FXT, aug=_aug(True), assembled=_ASSEMBLED)
+
+ORACLE["concat_rows"] = ("SELECT doc_id, lang, source, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS BIGINT) AS turn, "
+                         "CAST(NULL AS VARCHAR) AS role FROM documents UNION ALL SELECT NULL, NULL, NULL, conv_id, "
+                         "turn, role FROM conversations")
+ORACLE["replicate"] = ("SELECT doc_id, quality, CAST(r.range AS INTEGER) AS rep FROM labels CROSS JOIN "
+                       "range(0, CAST(ceil(1600 / (SELECT count(*) FROM labels)) AS BIGINT)) r")
+
+ORACLE["sample_by_cycle"] = (
+    f'SELECT row_id, "MHP ID", "Unique ID", pilot, text, index, '
+    + ", ".join(f"' ' AS {c}" for c in fv.CYCLE_TAG_COLUMNS) + ", 1 AS cycle FROM ("
+    f"SELECT *, row_number() OVER (ORDER BY {_h(56, 'row_id')}, row_id) - 1 AS index FROM ({_CONDENSED})) "
+    "WHERE index < 80")
+
+ORACLE["masked_copy"] = ofx.with_fixtures(
+    "SELECT doc_id, text, " + ", ".join(f"' ' AS {c}" for c in fv.CYCLE_TAG_COLUMNS) + " FROM ("
+    f"SELECT doc_id, text FROM fx_train ORDER BY {_h(42, 'doc_id')}, doc_id LIMIT 100)", **_FXT)

@@ -267,3 +267,130 @@ def q_codebook(spark, base):
 def q_parse_responses(spark, base):
     return llm.parse_responses(fx.fx_reply(spark, base)).select("doc_id", "alias", "decision", "rationale",
                                                                "explanation")
+
+
+# --------------------------------------------------------------------------
+# sampling, splits, augmentation
+# --------------------------------------------------------------------------
+from ..operators import rows as rws  # noqa: E402
+from ..operators import sampling as smp  # noqa: E402
+
+
+def train_frame(spark, base) -> DataFrame:
+    return fx.fx_train(spark, base)
+
+
+@q("sample_n")
+def q_sample_n(spark, base):
+    return smp.sample_n(train_frame(spark, base), 50, 56, "doc_id").select("doc_id", "position", "trgt")
+
+
+@q("shuffle")
+def q_shuffle(spark, base):
+    return smp.shuffle(load(spark, base, "documents").select("doc_id"), 56, "doc_id")
+
+
+@q("reindex")
+def q_reindex(spark, base):
+    return smp.reindex(cols.condense_responses(fx.fx_sheet(spark, base)).select("row_id"), ["row_id"])
+
+
+@q("seeded_rank")
+def q_seeded_rank(spark, base):
+    from ..operators.ranks import seeded_rank
+    return seeded_rank(train_frame(spark, base).select("doc_id", "trgt"), "doc_id", 7, by=["trgt"])
+
+
+@q("sample_strata")
+def q_sample_strata(spark, base):
+    d = train_frame(spark, base).select("doc_id", "agnt")
+    return smp.sample_strata(d, "agnt", {1: 5, 0: 95}, 42, "doc_id")
+
+
+@q("holdout")
+def q_holdout(spark, base):
+    return smp.holdout(train_frame(spark, base).select("doc_id"), 200, 56, "doc_id")
+
+
+@q("holdout_rest")
+def q_holdout_rest(spark, base):
+    h = smp.holdout(train_frame(spark, base).select("doc_id"), 200, 56, "doc_id")
+    return h.where(F.col("split") == "train").select("doc_id")
+
+
+@q("stratified_split")
+def q_stratified_split(spark, base):
+    return smp.stratified_split(train_frame(spark, base).select("doc_id", "trgt"), 0.2, "trgt", 56, "doc_id")
+
+
+@q("stratified_folds")
+def q_stratified_folds(spark, base):
+    return smp.stratified_folds(train_frame(spark, base).select("doc_id", "trgt"), 5, "trgt", 56, "doc_id")
+
+
+def augmented(spark, base, clear_rtnl=True) -> DataFrame:
+    d = train_frame(spark, base).select("doc_id", "text", "rtnl", "trgt")
+    return rws.augment(d, "doc_id", clear_rtnl=clear_rtnl)
+
+
+@q("augment")
+def q_augment(spark, base):
+    a = augmented(spark, base)
+    return smp.reindex(a, ["doc_id", "seq"], "position").select(
+        "doc_id", "seq", "parent_id", "agmt", "text", "rtnl", "position")
+
+
+@q("flag_augmented")
+def q_flag_augmented(spark, base):
+    a = augmented(spark, base, clear_rtnl=False).drop("agmt")
+    return rws.flag_augmented(a, ["doc_id", "seq"], out="agmt_flag").select("doc_id", "seq", "agmt_flag")
+
+
+@q("parent_of")
+def q_parent_of(spark, base):
+    a = augmented(spark, base, clear_rtnl=False).drop("agmt")
+    flagged = rws.flag_augmented(a, ["doc_id", "seq"], out="agmt_flag")
+    return rws.parent_of(flagged, ["doc_id", "seq"], "agmt_flag", "doc_id").select(
+        "doc_id", "seq", "agmt_flag", "parent_key")
+
+
+@q("semi_augmented")
+def q_semi_augmented(spark, base):
+    a = augmented(spark, base)
+    split = smp.stratified_split(a.where(F.col("agmt") == 0), 0.2, "trgt", 56, "doc_id")
+    train = split.where(F.col("split") == "train")
+    return rws.semi(a.where(F.col("agmt") == 1), train, "parent_id", "doc_id").select("doc_id", "seq", "parent_id")
+
+
+@q("assemble_train")
+def q_assemble_train(spark, base):
+    return rws.assemble_train(augmented(spark, base), 0.2, "trgt", 56, "doc_id").select("doc_id", "seq", "split")
+
+
+@q("split_report")
+def q_split_report(spark, base):
+    return rws.split_report(rws.assemble_train(augmented(spark, base), 0.2, "trgt", 56, "doc_id"))
+
+
+@q("concat_rows")
+def q_concat_rows(spark, base):
+    return rws.concat_rows(load(spark, base, "documents").select("doc_id", "lang", "source"),
+                           load(spark, base, "conversations").select("conv_id", "turn", "role"))
+
+
+@q("replicate")
+def q_replicate(spark, base):
+    return rws.replicate(load(spark, base, "labels").select("doc_id", "quality"), 1600)
+
+
+@q("sample_by_cycle")
+def q_sample_by_cycle(spark, base):
+    d = cols.condense_responses(fx.fx_sheet(spark, base), pilot=1)
+    return smp.sample_by_cycle(d, 80, 1, 56, "row_id")
+
+
+@q("masked_copy")
+def q_masked_copy(spark, base):
+    packet = smp.sample_n(train_frame(spark, base).select("doc_id", "text", *fv.ALL_TAGS, "rtnl"), 100, 42,
+                          "doc_id", position=None)
+    return smp.masked_copy(packet, fv.CYCLE_TAG_COLUMNS)
