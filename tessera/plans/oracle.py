@@ -377,3 +377,126 @@ ORACLE["sample_by_cycle"] = (
 ORACLE["masked_copy"] = ofx.with_fixtures(
     "SELECT doc_id, text, " + ", ".join(f"' ' AS {c}" for c in fv.CYCLE_TAG_COLUMNS) + " FROM ("
     f"SELECT doc_id, text FROM fx_train ORDER BY {_h(42, 'doc_id')}, doc_id LIMIT 100)", **_FXT)
+
+
+# --------------------------------------------------------------------------
+# metrics, weights, grids, encoding
+# --------------------------------------------------------------------------
+
+_SC = dict(fx_scores=ofx.FX_SCORES)
+ORACLE["decide"] = ofx.with_fixtures(
+    "SELECT doc_id, target, round(1 / (1 + exp(-logit)), 6) AS p, CAST(1 / (1 + exp(-logit)) > 0.5 AS INTEGER) "
+    "AS decision FROM fx_scores", **_SC)
+
+_PREV = fv.TARGETS + fv.THEMES
+ORACLE["prevalence"] = ofx.with_fixtures(" UNION ALL ".join(
+    f"SELECT '{t}' AS tag, CAST(sum({t}) AS BIGINT) AS n_pos, count(*) AS n_total, "
+    f"round(100.0 * sum({t}) / count(*), 6) AS pct FROM fx_train" for t in _PREV), **_FXT)
+
+
+def _pw(src: str, targets, by: str = "") -> str:
+    sel = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    return " UNION ALL ".join(
+        f"SELECT {sel}'{t}' AS target, CAST(sum({t}) AS BIGINT) AS n_pos, count(*) - sum({t}) AS n_neg, "
+        f"round(CASE WHEN sum({t}) > 0 THEN (count(*) - sum({t})) / sum({t}) ELSE 1.0 END, 6) AS pos_weight "
+        f"FROM {src}{grp}" for t in targets)
+
+
+ORACLE["pos_weights"] = ofx.with_fixtures(_pw("fx_train", fv.TARGETS), **_FXT)
+
+_TRAIN_FOLDS = (f"SELECT f.*, CAST((off + rk - 1) % 5 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER "
+                f"(PARTITION BY trgt ORDER BY {_h(56, 'doc_id')}, doc_id) AS rk, (SELECT count(*) FROM fx_train f2 "
+                f"WHERE f2.trgt < f1.trgt) AS off FROM fx_train f1) f")
+ORACLE["pos_weights_by_fold"] = ofx.with_fixtures(
+    "SELECT k.fold, x.target, CAST(x.n_pos AS BIGINT) AS n_pos, CAST(x.n_neg AS BIGINT) AS n_neg, x.pos_weight FROM "
+    "(SELECT DISTINCT fold FROM folded) k, LATERAL (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, sum({t}) AS n_pos, count(*) - sum({t}) AS n_neg, round(CASE WHEN sum({t}) > 0 "
+        f"THEN (count(*) - sum({t})) / sum({t}) ELSE 1.0 END, 6) AS pos_weight FROM folded WHERE fold <> k.fold"
+        for t in fv.TARGETS) + ") x", **_FXT, folded=_TRAIN_FOLDS)
+
+# metrics written from their textbook definitions
+_CONF = ("SELECT {g}, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp, "
+         "count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp, "
+         "count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, "
+         "count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn FROM {src} GROUP BY {g}")
+
+
+def _f1(g: str, src: str) -> str:
+    return (f"SELECT {g}, 'f1_macro' AS metric, round(((CASE WHEN tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) "
+            f"ELSE 0 END) + (CASE WHEN tn + fp + fn > 0 THEN 2.0 * tn / (2 * tn + fp + fn) ELSE 0 END)) / "
+            f"nullif((CASE WHEN tp + fp + fn > 0 THEN 1 ELSE 0 END) + (CASE WHEN tn + fp + fn > 0 THEN 1 ELSE 0 END), 0)"
+            f", 6) AS value FROM ({_CONF.format(g=g, src=src)})")
+
+
+def _mcc(g: str, src: str) -> str:
+    den = "sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn))"
+    return (f"SELECT {g}, 'mcc' AS metric, round(CASE WHEN {den} = 0 THEN 0.0 ELSE "
+            f"(CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / {den} END, 6) AS value "
+            f"FROM ({_CONF.format(g=g, src=src)})")
+
+
+def _ap(g: str, src: str) -> str:
+    # thresholds = distinct scores; precision at each; step sum over recall
+    return f"""SELECT {g}, 'auprc' AS metric, round(CASE WHEN sum(pos) > 0 THEN
+        sum(pos * (CAST(tp AS DOUBLE) / n)) / sum(pos) END, 6) AS value FROM (
+      SELECT {g}, y_prob, pos, sum(pos) OVER (PARTITION BY {g} ORDER BY y_prob DESC) AS tp,
+             sum(cnt) OVER (PARTITION BY {g} ORDER BY y_prob DESC) AS n
+      FROM (SELECT {g}, y_prob, sum(y_true) AS pos, count(*) AS cnt FROM {src} GROUP BY {g}, y_prob))
+    GROUP BY {g}"""
+
+
+ORACLE["f1_macro"] = ofx.with_fixtures(_f1("target", "fx_scores"), **_SC)
+ORACLE["mcc"] = ofx.with_fixtures(_mcc("target", "fx_scores"), **_SC)
+ORACLE["average_precision"] = ofx.with_fixtures(_ap("target", "fx_scores"), **_SC)
+
+_FLAT = "(SELECT * EXCLUDE (target), 'aggregate' AS target FROM fx_scores)"
+ORACLE["pooled_metrics"] = ofx.with_fixtures(
+    f"{_f1('target', _FLAT)} UNION ALL SELECT * FROM ({_ap('target', _FLAT)}) WHERE value IS NOT NULL", **_SC)
+
+_LAB_FOLDS = (f"SELECT doc_id, CAST((off + rk - 1) % 5 AS INTEGER) AS fold FROM (SELECT doc_id, row_number() OVER "
+              f"(PARTITION BY quality ORDER BY {_h(56, 'doc_id')}, doc_id) AS rk, (SELECT count(*) FROM labels l2 "
+              f"WHERE l2.quality < l1.quality) AS off FROM labels l1)")
+_SCF = dict(fx_scores=ofx.FX_SCORES, lf=_LAB_FOLDS, sf="SELECT s.*, lf.fold FROM fx_scores s JOIN lf USING (doc_id)")
+_SFLAT = "(SELECT * EXCLUDE (target), 'aggregate' AS target FROM sf)"
+_FOLD_METRICS = (f"{_f1('fold, target', 'sf')} UNION ALL {_mcc('fold, target', 'sf')} UNION ALL "
+                 f"{_ap('fold, target', 'sf')} UNION ALL {_f1('fold, target', _SFLAT)} UNION ALL "
+                 f"SELECT * FROM ({_ap('fold, target', _SFLAT)}) WHERE value IS NOT NULL")
+ORACLE["fold_metrics"] = ofx.with_fixtures(_FOLD_METRICS, **_SCF)
+ORACLE["cv_summary"] = ofx.with_fixtures(
+    "SELECT target, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds "
+    "FROM fm WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY target, metric", **_SCF, fm=_FOLD_METRICS)
+
+ORACLE["weighted_bce"] = ofx.with_fixtures(
+    "SELECT round(avg(w * y_true * (greatest(-logit, 0) + ln(1 + exp(-abs(logit)))) + (1 - y_true) * "
+    "(greatest(logit, 0) + ln(1 + exp(-abs(logit))))), 6) AS bce, count(*) AS n_cells FROM fx_scores s "
+    "JOIN (" + _pw("labels", ["quality", "toxic"]) + ") w0 USING (target), LATERAL (SELECT w0.pos_weight AS w)",
+    **_SC)
+
+_GRID_SQL = ("SELECT lr AS learning_rate, bs AS batch_size, CAST(i * 2 + j AS INTEGER) AS config_id "
+             "FROM (VALUES (1e-5, 0), (2e-5, 1), (3e-5, 2)) a(lr, i), (VALUES (16, 0), (32, 1)) b(bs, j)")
+ORACLE["param_grid"] = ofx.with_fixtures(
+    "SELECT g.*, f.fold, (SELECT count(*) FROM fx_train) - f.n_val AS n_train, f.n_val FROM g, "
+    "(SELECT fold, count(*) AS n_val FROM folded GROUP BY fold) f", **_FXT, folded=_TRAIN_FOLDS, g=_GRID_SQL)
+
+_THR = f"""SELECT CAST(round((t - 0.3) * 10) AS INTEGER) AS config_id, t AS threshold,
+    round(avg(value), 6) AS mean_f1, round(stddev_pop(value), 6) AS std_f1 FROM (
+  SELECT t, fold, value FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.7)) th(t), LATERAL (
+    {_f1('fold', "(SELECT fold, y_true, CAST(y_prob > th.t AS INTEGER) AS y_pred FROM sf)")}))
+  GROUP BY t"""
+ORACLE["threshold_search"] = ofx.with_fixtures(_THR, **_SCF)
+ORACLE["best_config"] = ofx.with_fixtures(f"SELECT * FROM ({_THR}) ORDER BY mean_f1 DESC NULLS LAST, threshold LIMIT 1",
+                                          **_SCF)
+
+ORACLE["encode_batch"] = r"""
+WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS toks
+             FROM documents),
+cnt AS (SELECT t, count(*) AS c FROM (SELECT unnest(toks) AS t FROM tok) GROUP BY t),
+vocab AS (SELECT t, row_number() OVER (ORDER BY c DESC, t) + 1 AS id FROM cnt QUALIFY id <= 30001),
+pos AS (SELECT doc_id, unnest(toks[1:512]) AS t, generate_subscripts(toks[1:512], 1) AS i FROM tok),
+enc AS (SELECT doc_id, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM pos LEFT JOIN vocab v USING (t) GROUP BY doc_id)
+SELECT tok.doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
+  array_to_string(list_concat(coalesce(ids, []), list_transform(range(512 - len(coalesce(ids, []))), lambda x: 0)), ',') AS input_ids,
+  array_to_string(list_concat(list_transform(range(len(coalesce(ids, []))), lambda x: 1),
+                              list_transform(range(512 - len(coalesce(ids, []))), lambda x: 0)), ',') AS attention_mask
+FROM tok LEFT JOIN enc USING (doc_id)"""

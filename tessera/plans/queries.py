@@ -394,3 +394,107 @@ def q_masked_copy(spark, base):
     packet = smp.sample_n(train_frame(spark, base).select("doc_id", "text", *fv.ALL_TAGS, "rtnl"), 100, 42,
                           "doc_id", position=None)
     return smp.masked_copy(packet, fv.CYCLE_TAG_COLUMNS)
+
+
+# --------------------------------------------------------------------------
+# metrics, weights, grids, encoding
+# --------------------------------------------------------------------------
+from ..operators import encode as enc  # noqa: E402
+from ..operators import grid as grd  # noqa: E402
+from ..operators import metrics as met  # noqa: E402
+
+LABEL_TARGETS = ["quality", "toxic"]
+GRID = {"learning_rate": [1e-5, 2e-5, 3e-5], "batch_size": [16, 32]}
+THRESHOLDS = {"threshold": [0.3, 0.4, 0.5, 0.6, 0.7]}
+
+
+def label_folds(spark, base) -> DataFrame:
+    lab_ = load(spark, base, "labels").select("doc_id", "quality")
+    return smp.stratified_folds(lab_, 5, "quality", 56, "doc_id").select("doc_id", "fold")
+
+
+def scores_with_folds(spark, base) -> DataFrame:
+    return fx.fx_scores(spark, base).join(label_folds(spark, base), "doc_id")
+
+
+@q("decide")
+def q_decide(spark, base):
+    d = met.decide(fx.fx_scores(spark, base).select("doc_id", "target", "logit"), "logit", 0.5, "p", "decision")
+    return d.select("doc_id", "target", F.round("p", 6).alias("p"), "decision")
+
+
+@q("prevalence")
+def q_prevalence(spark, base):
+    return met.prevalence(fx.fx_train(spark, base), fv.TARGETS + fv.THEMES)
+
+
+@q("pos_weights")
+def q_pos_weights(spark, base):
+    return met.pos_weights(fx.fx_train(spark, base), fv.TARGETS)
+
+
+@q("pos_weights_by_fold")
+def q_pos_weights_by_fold(spark, base):
+    d = smp.stratified_folds(fx.fx_train(spark, base), 5, "trgt", 56, "doc_id")
+    return met.pos_weights_by_fold(d, fv.TARGETS, "fold")
+
+
+@q("f1_macro")
+def q_f1_macro(spark, base):
+    return met.f1_macro(fx.fx_scores(spark, base))
+
+
+@q("mcc")
+def q_mcc(spark, base):
+    return met.mcc(fx.fx_scores(spark, base))
+
+
+@q("average_precision")
+def q_average_precision(spark, base):
+    return met.average_precision(fx.fx_scores(spark, base))
+
+
+@q("pooled_metrics")
+def q_pooled_metrics(spark, base):
+    return met.pooled_metrics(fx.fx_scores(spark, base))
+
+
+@q("fold_metrics")
+def q_fold_metrics(spark, base):
+    return met.evaluate_long(scores_with_folds(spark, base), by=["fold"])
+
+
+@q("cv_summary")
+def q_cv_summary(spark, base):
+    return met.cv_summary(met.evaluate_long(scores_with_folds(spark, base), by=["fold"]))
+
+
+@q("weighted_bce")
+def q_weighted_bce(spark, base):
+    w = met.pos_weights(load(spark, base, "labels"), LABEL_TARGETS)
+    return met.weighted_bce(fx.fx_scores(spark, base), w)
+
+
+@q("param_grid")
+def q_param_grid(spark, base):
+    folds = smp.stratified_folds(fx.fx_train(spark, base).select("doc_id", "trgt"), 5, "trgt", 56, "doc_id")
+    return grd.with_folds(grd.param_grid(spark, GRID), folds)
+
+
+@q("threshold_search")
+def q_threshold_search(spark, base):
+    return grd.threshold_search(scores_with_folds(spark, base), grd.param_grid(spark, THRESHOLDS))
+
+
+@q("best_config")
+def q_best_config(spark, base):
+    res = grd.threshold_search(scores_with_folds(spark, base), grd.param_grid(spark, THRESHOLDS))
+    return grd.best_config(res, "mean_f1", ["threshold"])
+
+
+@q("encode_batch")
+def q_encode_batch(spark, base):
+    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512,
+                         vocab_size=30_000)
+    return e.select("doc_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"))
