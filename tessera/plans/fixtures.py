@@ -8,69 +8,37 @@ has an exact SQL oracle. Row counts grow with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..sources.io import load
+from . import oracle_fixtures as ofx
 
 R1, R2 = "r1", "r2"
 
 
-def _h(prefix: str, key: Column, n: int) -> Column:
-    return F.substring(F.md5(F.concat(F.lit(prefix), key)), 1, n)
-
-
-def _cell(who: str, tag: str) -> Column:
-    h = _h(f"{who}:{tag}:", F.col("id"), 2)
-    return (F.when(h < "30", "1").when(h < "a0", "0").when(h < "c8", " ")
-            .when(h < "d8", "").when(h < "e0", "1.0").when(h < "e4", "x"))
-
-
-def first_line(text: Column) -> Column:
-    return F.split_part(text, F.lit("\n"), F.lit(1))
-
+# The fixture definitions are SQL that Spark and DuckDB both accept (see
+# FIXTURES.md); Spark parses each column once on the JVM side, which keeps
+# plan construction to one call per column.
 
 def fx_annot(spark: SparkSession, base: str, tags=None) -> DataFrame:
     """One row per document with two raters' raw tag cells and a rationale."""
     tags = tags or fv.ALL_TAGS
-    d = load(spark, base, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("id"))
-    cols = {}
+    d = load(spark, base, "documents").selectExpr("doc_id", "text", "CAST(doc_id AS STRING) AS id")
+    exprs = []
     for t in tags:
-        r1 = _cell(R1, t)
-        agree = _h(f"agree:{t}:", F.col("id"), 1) < "d"
-        cols[f"{t}_{R1}"] = r1
-        cols[f"{t}_{R2}"] = F.when(agree, r1).otherwise(_cell(R2, t))
-    cols["rtnl"] = F.when(_h("rtnl:", F.col("id"), 1) == "f", F.lit(None).cast("string")).otherwise(
-        first_line(F.col("text")))
-    return d.withColumns(cols)
-
-
-def splice(text: Column, key: Column) -> Column:
-    h = _h("splice:", key, 1)
-    return F.concat(text, F.when(h == "0", " Daniela wrote to Daniel at [CITY].")
-                    .when(h == "1", " <|PII|> Amyloid Scottish [PHONE NUMBER] 555-0100")
-                    .when(h == "2", " <PII> <|AFRM|><|REFL|> see [URL]").otherwise(""))
+        exprs.append(f"{ofx.cell_sql(R1, t)} AS {t}_{R1}")
+        exprs.append(f"CASE WHEN substr(md5(concat('agree:{t}:', id)),1,1) < 'd' THEN {ofx.cell_sql(R1, t)} "
+                     f"ELSE {ofx.cell_sql(R2, t)} END AS {t}_{R2}")
+    exprs.append("CASE WHEN substr(md5(concat('rtnl:', id)),1,1) = 'f' THEN CAST(NULL AS STRING) "
+                 "ELSE split_part(text, chr(10), 1) END AS rtnl")
+    return d.selectExpr("doc_id", "text", "id", *exprs)
 
 
 def fx_text(spark: SparkSession, base: str) -> DataFrame:
     """Documents with redaction terms and markers spliced into some texts."""
-    d = load(spark, base, "documents")
-    return d.select("doc_id", splice(F.col("text"), F.col("doc_id").cast("string")).alias("text"))
-
-
-def reply_expr(alias: Column, text: Column, key: Column) -> Column:
-    h = F.substring(F.md5(F.concat(F.lit("reply:"), alias, F.lit(":"), key)), 1, 2)
-    nl = F.lit("\n")
-    return (F.when(h < "10", F.lit("error"))
-            .when(h < "18", F.lit(None).cast("string"))
-            .when(h < "60", F.concat(F.lit(" "), alias, F.lit("_1"), nl, nl, alias, F.lit("_rationale: "),
-                                     first_line(text), F.lit("<|SPL|>end"), nl, nl, alias,
-                                     F.lit("_explanation: Clear. Direct. ")))
-            .when(h < "70", F.concat(F.lit(" "), alias, F.lit("_1")))
-            .when(h < "80", F.concat(F.lit(" 0"), nl, alias, F.lit("_explanation: Does not merit "), alias,
-                                     F.lit("_1. None.")))
-            .otherwise(F.concat(F.lit(" 0"), nl, alias, F.lit("_explanation:"), F.lit("\t"), F.lit("No cue."), nl)))
+    return load(spark, base, "documents").selectExpr("doc_id", f"{ofx.SPLICE_SQL} AS text")
 
 
 def fx_reply(spark: SparkSession, base: str, aliases=None) -> DataFrame:
@@ -78,8 +46,7 @@ def fx_reply(spark: SparkSession, base: str, aliases=None) -> DataFrame:
     aliases = aliases or fv.LLM_CODES
     d = load(spark, base, "documents").select("doc_id", "text")
     d = d.select("doc_id", "text", F.explode(F.array(*[F.lit(a) for a in aliases])).alias("alias"))
-    return d.select("doc_id", "alias", reply_expr(F.col("alias"), F.col("text"),
-                                                  F.col("doc_id").cast("string")).alias("reply"), "text")
+    return d.selectExpr("doc_id", "alias", f"{ofx.REPLY_SQL} AS reply", "text")
 
 
 def fx_scores(spark: SparkSession, base: str) -> DataFrame:

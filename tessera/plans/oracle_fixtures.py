@@ -7,7 +7,7 @@ from __future__ import annotations
 from .. import fixed_values as fv
 
 
-def _cell(who: str, tag: str) -> str:
+def cell_sql(who: str, tag: str) -> str:
     h = f"substr(md5(concat('{who}:{tag}:', id)),1,2)"
     return (f"CASE WHEN {h} < '30' THEN '1' WHEN {h} < 'a0' THEN '0' WHEN {h} < 'c8' THEN ' ' "
             f"WHEN {h} < 'd8' THEN '' WHEN {h} < 'e0' THEN '1.0' WHEN {h} < 'e4' THEN 'x' ELSE NULL END")
@@ -17,34 +17,37 @@ def fx_annot(tags=None) -> str:
     tags = tags or fv.ALL_TAGS
     cols = []
     for t in tags:
-        cols.append(f"{_cell('r1', t)} AS {t}_r1")
-        cols.append(f"CASE WHEN substr(md5(concat('agree:{t}:', id)),1,1) < 'd' THEN {_cell('r1', t)} "
-                    f"ELSE {_cell('r2', t)} END AS {t}_r2")
+        cols.append(f"{cell_sql('r1', t)} AS {t}_r1")
+        cols.append(f"CASE WHEN substr(md5(concat('agree:{t}:', id)),1,1) < 'd' THEN {cell_sql('r1', t)} "
+                    f"ELSE {cell_sql('r2', t)} END AS {t}_r2")
     cols.append("CASE WHEN substr(md5(concat('rtnl:', id)),1,1) = 'f' THEN NULL "
                 "ELSE split_part(text, chr(10), 1) END AS rtnl")
     return ("SELECT doc_id, text, id, " + ", ".join(cols) +
             " FROM (SELECT doc_id, text, CAST(doc_id AS VARCHAR) AS id FROM documents)")
 
 
-FX_TEXT = """SELECT doc_id, concat(text, CASE substr(md5(concat('splice:', CAST(doc_id AS VARCHAR))),1,1)
+SPLICE_SQL = """concat(text, CASE substr(md5(concat('splice:', CAST(doc_id AS STRING))),1,1)
   WHEN '0' THEN ' Daniela wrote to Daniel at [CITY].'
   WHEN '1' THEN ' <|PII|> Amyloid Scottish [PHONE NUMBER] 555-0100'
   WHEN '2' THEN ' <PII> <|AFRM|><|REFL|> see [URL]'
-  ELSE '' END) AS text FROM documents"""
+  ELSE '' END)"""
+FX_TEXT = f"SELECT doc_id, {SPLICE_SQL} AS text FROM documents"
+
+
+_RH = "substr(md5(concat('reply:', alias, ':', CAST(doc_id AS STRING))),1,2)"
+REPLY_SQL = f"""CASE
+      WHEN {_RH} < '10' THEN 'error'
+      WHEN {_RH} < '18' THEN NULL
+      WHEN {_RH} < '60' THEN concat(' ', alias, '_1', chr(10), chr(10), alias, '_rationale: ', split_part(text, chr(10), 1), '<|SPL|>end', chr(10), chr(10), alias, '_explanation: Clear. Direct. ')
+      WHEN {_RH} < '70' THEN concat(' ', alias, '_1')
+      WHEN {_RH} < '80' THEN concat(' 0', chr(10), alias, '_explanation: Does not merit ', alias, '_1. None.')
+      ELSE concat(' 0', chr(10), alias, '_explanation:', chr(9), 'No cue.', chr(10)) END"""
 
 
 def fx_reply(aliases=None) -> str:
     aliases = aliases or fv.LLM_CODES
     vals = ", ".join(f"('{a}')" for a in aliases)
-    h = "substr(md5(concat('reply:', alias, ':', CAST(doc_id AS VARCHAR))),1,2)"
-    return f"""SELECT doc_id, alias, CASE
-      WHEN {h} < '10' THEN 'error'
-      WHEN {h} < '18' THEN NULL
-      WHEN {h} < '60' THEN concat(' ', alias, '_1', chr(10), chr(10), alias, '_rationale: ', split_part(text, chr(10), 1), '<|SPL|>end', chr(10), chr(10), alias, '_explanation: Clear. Direct. ')
-      WHEN {h} < '70' THEN concat(' ', alias, '_1')
-      WHEN {h} < '80' THEN concat(' 0', chr(10), alias, '_explanation: Does not merit ', alias, '_1. None.')
-      ELSE concat(' 0', chr(10), alias, '_explanation:', chr(9), 'No cue.', chr(10)) END AS reply, text
-    FROM documents CROSS JOIN (VALUES {vals}) AS a(alias)"""
+    return f"SELECT doc_id, alias, {REPLY_SQL} AS reply, text FROM documents CROSS JOIN (VALUES {vals}) AS a(alias)"
 
 
 FX_SCORES = """SELECT doc_id, target, y_true, y_prob, CAST(y_prob > 0.5 AS INTEGER) AS y_pred,

@@ -498,3 +498,53 @@ def q_encode_batch(spark, base):
                          vocab_size=30_000)
     return e.select("doc_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
                     F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
+# --------------------------------------------------------------------------
+# Spark ML (rows-only checks)
+# --------------------------------------------------------------------------
+ML_GRID = {"maxIter": [5, 10, 20], "regParam": [0.0, 0.01]}
+
+
+def labelled_features(spark, base):
+    from ..operators import ml
+    docs = load(spark, base, "documents").select("doc_id", "text")
+    d = load(spark, base, "labels").join(docs, "doc_id")
+    d = cols.composite_indicator(d, LABEL_TARGETS, "trgt")
+    return ml.featurize(d, "text")[1]
+
+
+def _train_test(spark, base):
+    feats = labelled_features(spark, base)
+    split = smp.stratified_split(feats, 0.2, "trgt", 56, "doc_id").checkpoint(eager=True)
+    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+
+
+@q("fit_multilabel")
+def q_fit_multilabel(spark, base):
+    from ..operators import ml
+    train, _ = _train_test(spark, base)
+    models = ml.fit_multilabel(train, LABEL_TARGETS)
+    rows = [(t, float(w), float(m.intercept), int(m.summary.totalIterations)) for t, (m, w) in models.items()]
+    return spark.createDataFrame(rows, "target string, pos_weight double, intercept double, iterations int")
+
+
+@q("evaluate")
+def q_evaluate(spark, base):
+    from ..operators import ml
+    train, test = _train_test(spark, base)
+    return ml.evaluate(ml.fit_multilabel(train, LABEL_TARGETS), test, "doc_id", LABEL_TARGETS)
+
+
+@q("cross_validate")
+def q_cross_validate(spark, base):
+    from ..operators import ml
+    train, _ = _train_test(spark, base)
+    return ml.cross_validate(train, "doc_id", LABEL_TARGETS, k=5)[1]
+
+
+@q("grid_search")
+def q_grid_search(spark, base):
+    from ..operators import ml
+    train, _ = _train_test(spark, base)
+    return ml.grid_search(train, "doc_id", LABEL_TARGETS, ML_GRID, k=5)
