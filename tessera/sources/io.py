@@ -34,6 +34,18 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
     return df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions than
+    the cluster has cores (e.g. a small file with one row group); a no-op on
+    large inputs, whose scans already split by row group. Filters and column
+    pruning still reach the scan through the repartition."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(base, name))
 
