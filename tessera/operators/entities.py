@@ -11,11 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..functions.text import col_of, literal_guard_pattern
 
 SPAN_TYPE = "array<struct<start:int,end:int,label:string,text:string>>"
+SPAN_DATATYPE = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
+                                      StructField("label", StringType()), StructField("text", StringType())]))
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"[0-9]{3}-[0-9]{4}"
 ALNUM = "[A-Za-z0-9]"
@@ -94,8 +97,7 @@ def detect_entities(df: DataFrame, text: str = "text", out: str = "spans",
     the only Python step of the library."""
     if fn is None:
         return df.withColumn(out, builtin_spans(text, gazetteer))
-    from pyspark.sql.types import StructType
-    schema = StructType.fromJson(df.schema.jsonValue()).add(out, SPAN_TYPE)
+    schema = StructType(df.schema.fields + [StructField(out, SPAN_DATATYPE)])
 
     def run(batches):
         for pdf in batches:
