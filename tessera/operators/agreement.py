@@ -40,15 +40,24 @@ def confusion_cells(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: S
 def kappa_from_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted Cohen's kappa from confusion cells, in integers until the last
     division: (n*sum(n_ii) - sum(n_i. n_.i)) / (n^2 - sum(n_i. n_.i)); NULL when
-    the denominator is 0 (both raters constant and equal)."""
+    the denominator is 0 (both raters constant and equal).
+
+    The cells of one tag (at most classes^2 rows) are gathered into one array
+    and reduced with higher-order functions, so the row data is read once
+    and no branch of the plan is recomputed."""
     keys = [*by, "tag"]
-    tot = cells.groupBy(*keys).agg(
-        F.sum("cnt").cast("long").alias("n"),
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("cnt")).otherwise(0)).cast("long").alias("agree"))
-    ra = cells.groupBy(*keys, F.col("a").alias("k")).agg(F.sum("cnt").alias("na"))
-    rb = cells.groupBy(*keys, F.col("b").alias("k")).agg(F.sum("cnt").alias("nb"))
-    pe = ra.join(rb, [*keys, "k"]).groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).cast("long").alias("pe"))
-    res = tot.join(pe, keys, "left").withColumn("pe", F.coalesce("pe", F.lit(0)))
+    g = cells.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "cnt")).alias("_c"))
+    zero = F.lit(0).cast("long")
+
+    def total(arr):
+        return F.aggregate(arr, zero, lambda acc, c: acc + c["cnt"])
+
+    n = total(F.col("_c"))
+    agree = total(F.filter("_c", lambda c: c["a"] == c["b"]))
+    classes = F.array_distinct(F.concat(F.transform("_c", lambda c: c["a"]), F.transform("_c", lambda c: c["b"])))
+    pe = F.aggregate(classes, zero, lambda acc, k: acc + total(F.filter("_c", lambda c: c["a"] == k))
+                     * total(F.filter("_c", lambda c: c["b"] == k)))
+    res = g.select(*keys, n.alias("n"), agree.alias("agree"), pe.alias("pe"))
     num = F.col("n") * F.col("agree") - F.col("pe")
     den = F.col("n") * F.col("n") - F.col("pe")
     return res.select(*keys, "n", F.round(F.try_divide(num.cast("double"), den.cast("double")), 6).alias("kappa"))

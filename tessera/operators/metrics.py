@@ -82,16 +82,16 @@ def mcc(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return c.select(*by, "target", F.lit("mcc").alias("metric"), F.round(_mcc_expr(), 6).alias("value"))
 
 
-def average_precision(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Step-sum average precision, tied scores form one threshold;
-    NULL for a group without positives.
-
-    Per distinct score: positives and rows; running sums down the scores (a
-    bucketed prefix sum, no single-partition window); then
-    AP = sum(pos_k * TP_k / N_k) / P over thresholds."""
-    keys = [*by, "target"]
-    s = long.where(F.col("y_prob").isNotNull() & ~F.isnan("y_prob")).groupBy(*keys, "y_prob").agg(
+def score_counts(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and rows per distinct score: the one shuffle AP needs."""
+    return long.where(F.col("y_prob").isNotNull() & ~F.isnan("y_prob")).groupBy(*by, "target", "y_prob").agg(
         F.sum(F.col("y_true")).cast("long").alias("pos"), F.count(F.lit(1)).alias("cnt"))
+
+
+def ap_from_counts(s: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AP = sum(pos_k * TP_k / N_k) / P over thresholds, running sums down the
+    scores computed as a bucketed prefix sum (no single-partition window)."""
+    keys = list(keys)
     bucket = -F.floor(F.col("y_prob") * F.lit(float(SCORE_BUCKETS)))
     s = running_sums(s, [F.col("y_prob").desc()], bucket, {"tp_cum": F.col("pos"), "n_cum": F.col("cnt")}, keys)
     ap = s.groupBy(*keys).agg(
@@ -101,12 +101,35 @@ def average_precision(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                      F.round(F.when(F.col("_p") > 0, F.col("_acc") / F.col("_p")), 6).alias("value"))
 
 
+def average_precision(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Step-sum average precision, tied scores form one threshold;
+    NULL for a group without positives."""
+    return ap_from_counts(score_counts(long, by), [*by, "target"])
+
+
 def evaluate_long(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per-target f1_macro, mcc and auprc plus pooled ('aggregate') f1_macro
-    and auprc (G8: no pooled MCC; pooled AUPRC left out without positives)."""
-    per = f1_macro(long, by).unionByName(mcc(long, by)).unionByName(average_precision(long, by))
-    pooled = pooled_metrics(long, by)
-    return per.unionByName(pooled)
+    and auprc (G8: no pooled MCC; pooled AUPRC left out without positives).
+
+    Two aggregations of the rows feed everything: the confusion counts (the
+    pooled ones are their sum over targets, as flattening the label matrix
+    adds the confusion matrices) and the per-score counts (pooled: summed
+    over targets per score)."""
+    by = list(by)
+    keys = [*by, "target"]
+    conf = confusion(long, by)
+    per = conf.select(*keys, F.inline(F.array(
+        F.struct(F.lit("f1_macro").alias("metric"), F.round(_f1_macro_expr(), 6).alias("value")),
+        F.struct(F.lit("mcc").alias("metric"), F.round(_mcc_expr(), 6).alias("value")))))
+    pooled_conf = conf.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    pooled_f1 = pooled_conf.select(*by, F.lit(AGGREGATE).alias("target"), F.lit("f1_macro").alias("metric"),
+                                   F.round(_f1_macro_expr(), 6).alias("value"))
+    counts = score_counts(long, by)
+    per_ap = ap_from_counts(counts, keys)
+    pooled_counts = counts.groupBy(*by, "y_prob").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt")) \
+        .withColumn("target", F.lit(AGGREGATE))
+    pooled_ap = ap_from_counts(pooled_counts, keys).where(F.col("value").isNotNull())
+    return per.unionByName(pooled_f1).unionByName(per_ap).unionByName(pooled_ap)
 
 
 def pooled_metrics(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -33,6 +33,16 @@ def hex_bucket(h, chars: int = HEX_CHARS) -> Column:
     return F.substring(col_of(h), 1, chars)
 
 
+def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
+    """Attach the bucket as a non-nullable column. Otherwise the optimizer
+    infers ``isnotnull(bucket)`` for the join side only, the two shuffles of
+    the input differ, and the input is read twice instead of reusing one
+    exchange."""
+    b = df.withColumn(BUCKET, bucket)
+    fill = F.lit("") if b.schema[BUCKET].dataType.simpleString() == "string" else F.lit(0)
+    return b.withColumn(BUCKET, F.coalesce(F.col(BUCKET), fill.cast(b.schema[BUCKET].dataType)))
+
+
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
     # ``bounded``: the small side has at most n_buckets rows (no stratum key),
     # so broadcasting it is safe at any input size. With strata the size grows
@@ -45,13 +55,15 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
     """``row_number() over (partition by by order by order)`` (1-based).
 
     ``bucket`` must be non-decreasing along ``order`` within each stratum.
+    The per-bucket counts are read off the windowed rows (max row number), so
+    the input is shuffled once and the count branch reuses that exchange.
     """
     by = list(by)
-    b = df.withColumn(BUCKET, bucket)
-    counts = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_tz_n"))
+    b = _with_bucket(df, bucket)
+    ranked = b.withColumn("_tz_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*order)))
+    counts = ranked.groupBy(*by, BUCKET).agg(F.max("_tz_rn").alias("_tz_n"))
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"))
-    ranked = b.withColumn("_tz_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*order)))
     joined = _join_small(ranked, offsets, [*by, BUCKET], bounded=not by)
     return joined.withColumn(out, (F.col("_tz_off") + F.col("_tz_rn")).cast("long")).drop(
         BUCKET, "_tz_rn", "_tz_off")
@@ -73,9 +85,9 @@ def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFra
     one-row aggregate joined by broadcast (no driver round trip)."""
     stats = df.agg(F.min(order_col).alias("_tz_lo"), F.max(order_col).alias("_tz_hi"))
     width = (F.col("_tz_hi").cast("double") - F.col("_tz_lo").cast("double") + 1.0) / F.lit(float(n_buckets))
-    return (df.crossJoin(F.broadcast(stats))
-            .withColumn(BUCKET, F.floor((F.col(order_col).cast("double") - F.col("_tz_lo")) / width).cast("long"))
-            .drop("_tz_lo", "_tz_hi"))
+    b = df.crossJoin(F.broadcast(stats))
+    b = _with_bucket(b, F.floor((F.col(order_col).cast("double") - F.col("_tz_lo")) / width).cast("long"))
+    return b.drop("_tz_lo", "_tz_hi")
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
@@ -84,7 +96,8 @@ def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
     The first order column must be numeric; later ones break ties."""
     order = list(order)
     b = _with_range_bucket(df, order[0], n_buckets)
-    res = exact_row_number(b, [F.col(c) for c in order], F.col(BUCKET), (), out)
+    res = exact_row_number(b.withColumnRenamed(BUCKET, "_tz_rb"), [F.col(c) for c in order], F.col("_tz_rb"), (),
+                           out).drop("_tz_rb")
     return res.withColumn(out, F.col(out) - 1)
 
 
@@ -129,18 +142,19 @@ def running_sums(df: DataFrame, order: Sequence[Column], bucket: Column, sums: d
                  by: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums (``sum(x) over (partition by by order by order rows
     unbounded preceding)``) for each expression in ``sums``; output names are
-    the dict keys. ``bucket`` must be non-decreasing along ``order``."""
+    the dict keys. ``bucket`` must be non-decreasing along ``order``. Bucket
+    totals come from the windowed rows (one shuffle of the input)."""
     by = list(by)
-    b = df.withColumn(BUCKET, bucket)
+    b = _with_bucket(df, bucket)
     for name, expr in sums.items():
         b = b.withColumn(f"_tz_x_{name}", expr)
+    inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for n in sums:
+        b = b.withColumn(f"_tz_r_{n}", F.sum(f"_tz_x_{n}").over(inside))
     totals = b.groupBy(*by, BUCKET).agg(*[F.sum(f"_tz_x_{n}").alias(f"_tz_t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, BUCKET, *[
         F.coalesce(F.sum(f"_tz_t_{n}").over(before), F.lit(0)).alias(f"_tz_o_{n}") for n in sums])
-    inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for n in sums:
-        b = b.withColumn(f"_tz_r_{n}", F.sum(f"_tz_x_{n}").over(inside))
     joined = _join_small(b, offsets, [*by, BUCKET], bounded=not by)
     for n in sums:
         joined = joined.withColumn(n, F.col(f"_tz_o_{n}") + F.col(f"_tz_r_{n}"))
