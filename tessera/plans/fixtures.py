@@ -22,18 +22,30 @@ R1, R2 = "r1", "r2"
 # FIXTURES.md); Spark parses each column once on the JVM side, which keeps
 # plan construction to one call per column.
 
+def _cell_of(h: str) -> str:
+    return (f"CASE WHEN {h} < '30' THEN '1' WHEN {h} < 'a0' THEN '0' WHEN {h} < 'c8' THEN ' ' "
+            f"WHEN {h} < 'd8' THEN '' WHEN {h} < 'e0' THEN '1.0' WHEN {h} < 'e4' THEN 'x' END")
+
+
 def fx_annot(spark: SparkSession, base: str, tags=None) -> DataFrame:
-    """One row per document with two raters' raw tag cells and a rationale."""
+    """One row per document with two raters' raw tag cells and a rationale.
+    Same definition as FIXTURES.md; each md5 is computed once (a first
+    projection of hash prefixes), which keeps the plan small."""
     tags = tags or fv.ALL_TAGS
     d = load(spark, base, "documents").selectExpr("doc_id", "text", "CAST(doc_id AS STRING) AS id")
+    hashes = []
+    for t in tags:
+        hashes += [f"substr(md5(concat('{R1}:{t}:', id)),1,2) AS _h1_{t}",
+                   f"substr(md5(concat('{R2}:{t}:', id)),1,2) AS _h2_{t}",
+                   f"substr(md5(concat('agree:{t}:', id)),1,1) AS _ha_{t}"]
+    hashes.append("substr(md5(concat('rtnl:', id)),1,1) AS _hr")
+    h = d.selectExpr("doc_id", "text", "id", *hashes)
     exprs = []
     for t in tags:
-        exprs.append(f"{ofx.cell_sql(R1, t)} AS {t}_{R1}")
-        exprs.append(f"CASE WHEN substr(md5(concat('agree:{t}:', id)),1,1) < 'd' THEN {ofx.cell_sql(R1, t)} "
-                     f"ELSE {ofx.cell_sql(R2, t)} END AS {t}_{R2}")
-    exprs.append("CASE WHEN substr(md5(concat('rtnl:', id)),1,1) = 'f' THEN CAST(NULL AS STRING) "
-                 "ELSE split_part(text, chr(10), 1) END AS rtnl")
-    return d.selectExpr("doc_id", "text", "id", *exprs)
+        exprs.append(f"{_cell_of(f'_h1_{t}')} AS {t}_{R1}")
+        exprs.append(f"CASE WHEN _ha_{t} < 'd' THEN {_cell_of(f'_h1_{t}')} ELSE {_cell_of(f'_h2_{t}')} END AS {t}_{R2}")
+    exprs.append("CASE WHEN _hr = 'f' THEN CAST(NULL AS STRING) ELSE split_part(text, chr(10), 1) END AS rtnl")
+    return h.selectExpr("doc_id", "text", "id", *exprs)
 
 
 def fx_text(spark: SparkSession, base: str) -> DataFrame:
