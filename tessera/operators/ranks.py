@@ -51,12 +51,15 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool
 
 
 def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
-                     by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+                     by: Sequence[str] = (), out: str = "rank", carry: DataFrame | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)`` (1-based).
 
     ``bucket`` must be non-decreasing along ``order`` within each stratum.
     The per-bucket counts are read off the windowed rows (max row number), so
     the input is shuffled once and the count branch reuses that exchange.
+    ``carry`` (a small table keyed by the strata, e.g. per-class quotas) is
+    joined to the per-bucket offsets, never to the rows directly: the row join
+    stays keyed by (stratum, bucket), so a hot stratum cannot skew it.
     """
     by = list(by)
     b = _with_bucket(df, bucket)
@@ -64,19 +67,22 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
     counts = ranked.groupBy(*by, BUCKET).agg(F.max("_tz_rn").alias("_tz_n"))
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"))
+    if carry is not None:
+        offsets = offsets.join(carry, by)
     joined = _join_small(ranked, offsets, [*by, BUCKET], bounded=not by)
     return joined.withColumn(out, (F.col("_tz_off") + F.col("_tz_rn")).cast("long")).drop(
         BUCKET, "_tz_rn", "_tz_off")
 
 
-def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank",
+                carry: DataFrame | None = None) -> DataFrame:
     """Rank rows inside each stratum by the seeded hash of ``key`` (ties by key).
 
     ``key`` must be unique within a stratum for the rank to be reproducible.
     """
     h = seeded_hash(key, seed)
     tmp = df.withColumn("_tz_h", h)
-    res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), by, out)
+    res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), by, out, carry)
     return res.drop("_tz_h")
 
 

@@ -110,9 +110,8 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, by: str = "trgt", se
     """Seeded stratified train/test split with exact per-class quotas."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
     quotas = class_quotas(counts, by, test_size)
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank")
-    # one row per class: AQE's runtime size check broadcasts it
-    return ranked.join(quotas, by).withColumn(
+    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank", carry=quotas)
+    return ranked.withColumn(
         out, F.when(F.col("_tz_rank") <= F.col("quota"), "test").otherwise("train")).drop("_tz_rank", "quota")
 
 
@@ -122,10 +121,11 @@ def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key:
     fold gets floor or ceil of each class's share, classes dealt round-robin."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
     offsets = counts.select(by, F.coalesce(F.sum("n_c").over(
-        Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_tz_off"))
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank")
-    return ranked.join(offsets, by).withColumn(
-        out, F.pmod(F.col("_tz_off") + F.col("_tz_rank") - 1, F.lit(k)).cast("int")).drop("_tz_rank", "_tz_off")
+        Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_tz_class_off"))
+    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank", carry=offsets)
+    return ranked.withColumn(
+        out, F.pmod(F.col("_tz_class_off") + F.col("_tz_rank") - 1, F.lit(k)).cast("int")).drop(
+        "_tz_rank", "_tz_class_off")
 
 
 def by_family(assign, df: DataFrame, family: str, is_original, *args, **kw) -> DataFrame:
