@@ -500,3 +500,24 @@ SELECT tok.doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
   array_to_string(list_concat(list_transform(range(len(coalesce(ids, []))), lambda x: 1),
                               list_transform(range(512 - len(coalesce(ids, []))), lambda x: 0)), ',') AS attention_mask
 FROM tok LEFT JOIN enc USING (doc_id)"""
+
+
+# --------------------------------------------------------------------------
+# end-to-end flow
+# --------------------------------------------------------------------------
+_E3_BASE = (f"SELECT doc_id, regexp_replace({nested_replace('text', _TERMS, ' ')}, '[\\p{{Nd}}\\r\\n]+', ' ', 'g') "
+            f"AS text, {nested_replace('rtnl', _TERMS, ' ')} AS rtnl, trgt FROM fx_train")
+_E3_AUG = ("SELECT doc_id, text, rtnl, trgt, 0 AS seq FROM e3_base UNION ALL "
+           "SELECT doc_id, rtnl AS text, ' ' AS rtnl, trgt, 1 AS seq FROM e3_base WHERE trgt > 0")
+_E3_TOK = f"SELECT doc_id, {nested_replace('text', fv.SALIENCE_TOKENS, ' ')} AS text, trgt, seq FROM e3_aug"
+_E3_LAB = f"""SELECT t.*, CASE WHEN (SELECT count(*) FROM e3_tok) > 200 AND f.cum <= 200 THEN 'calibrate'
+                 ELSE 'rest' END AS h
+  FROM e3_tok t JOIN (SELECT doc_id, sum(size) OVER (ORDER BY {_h(56, 'doc_id')}, doc_id
+                                                    ROWS UNBOUNDED PRECEDING) AS cum
+                      FROM (SELECT doc_id, count(*) AS size FROM e3_tok GROUP BY doc_id)) f USING (doc_id)"""
+_E3_SPLIT = _split_sql("(SELECT doc_id, trgt FROM e3_lab WHERE h = 'rest' AND seq = 0)", "doc_id")
+ORACLE["training_set"] = ofx.with_fixtures(
+    "SELECT doc_id, seq, 'calibrate' AS split, text FROM e3_lab WHERE h = 'calibrate' UNION ALL "
+    f"SELECT l.doc_id, l.seq, s.split, l.text FROM e3_lab l JOIN {_E3_SPLIT} s USING (doc_id) "
+    "WHERE l.h = 'rest' AND (l.seq = 0 OR s.split = 'train')",
+    **_FXT, e3_base=_E3_BASE, e3_aug=_E3_AUG, e3_tok=_E3_TOK, e3_lab=_E3_LAB)

@@ -548,3 +548,14 @@ def q_grid_search(spark, base):
     from ..operators import ml
     train, _ = _train_test(spark, base)
     return ml.grid_search(train, "doc_id", LABEL_TARGETS, ML_GRID, k=5)
+
+
+# --------------------------------------------------------------------------
+# end-to-end flow
+# --------------------------------------------------------------------------
+
+@q("training_set")
+def q_training_set(spark, base):
+    from .workflows import training_set
+    d = fx.fx_train(spark, base).select("doc_id", "text", "rtnl", *fv.ALL_TAGS)
+    return training_set(d, "doc_id").select("doc_id", "seq", "split", "text")

@@ -75,3 +75,23 @@ def test_ml_round_trip(spark):
     assert {r.metric for r in m} == {"f1_macro", "mcc", "auprc"}
     _, summary = ml.cross_validate(feats, "doc_id", ["quality", "toxic"], k=2, params={"maxIter": 3})
     assert summary.count() > 0
+
+
+def test_workflows(spark, scratch):
+    from tessera import fixed_values as fv
+    from tessera.plans import fixtures as fx
+    from tessera.plans import workflows as wf
+    base = "/root/testdata/sf0.001"
+    a = fx.fx_annot(spark, base)
+    r1 = a.select("doc_id", *[F.col(f"{t}_r1").alias(t) for t in fv.ALL_TAGS])
+    r2 = a.select("doc_id", *[F.col(f"{t}_r2").alias(t) for t in fv.ALL_TAGS])
+    rep = wf.agreement_report(r1, r2, "doc_id")
+    assert rep["kappa"].count() == 9 and rep["disagreements"].count() == a.count()
+    human = fx.fx_train(spark, base).select("doc_id", *fv.ALL_TAGS)
+    replies = fx.fx_reply(spark, base).select("doc_id", "alias", "reply")
+    tri = wf.triangulated_labels(human, replies, "doc_id")
+    assert set(tri.columns) == {"doc_id", *fv.ALL_TAGS}
+    pool = fx.fx_train(spark, base).withColumnRenamed("doc_id", "row_id")
+    packet, masked = wf.annotation_packets(pool, 20, 0, 56, out_dir=os.path.join(scratch, "cycles"))
+    assert packet.count() == 20 and masked.count() == 20
+    assert spark.read.parquet(os.path.join(scratch, "cycles", "r1")).where("cycle = 0").count() == 20
