@@ -88,6 +88,7 @@ def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int =
     """M3: stratified k-fold CV: per fold, weights from the training part, a
     fresh model per target, validation metrics; then mean/std over folds.
     Returns (fold metrics, summary). Folds are fitted concurrently."""
+    ensure_checkpoint_dir(feats.sparkSession)
     folded = feats if "fold" in feats.columns else \
         stratified_folds(feats, k, strat, seed, key).checkpoint(eager=True)
 
@@ -113,6 +114,7 @@ def grid_search(feats: DataFrame, key: str, targets: Sequence[str], grid: Mappin
     import itertools
     names = list(grid)
     spark = feats.sparkSession
+    ensure_checkpoint_dir(spark)
     folded = stratified_folds(feats, k, strat, seed, key).checkpoint(eager=True)  # shared by all configs
 
     def one_config(item):

@@ -418,3 +418,36 @@ def test_pushdown_reaches_scan(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def _single_partition_inputs(plan: str) -> list[str]:
+    """For every ``Exchange SinglePartition``, the first operator below it
+    that aggregates, windows, shuffles or scans."""
+    lines = plan.splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-"))
+        for nxt in lines[i + 1:]:
+            if len(nxt) - len(nxt.lstrip(" :+-")) <= depth:
+                break
+            for op in ("HashAggregate", "TakeOrderedAndProject", "Window", "Exchange hashpartitioning",
+                       "FileScan", "Scan "):
+                if op in nxt:
+                    found.append(op)
+                    break
+            else:
+                continue
+            break
+    return found
+
+
+@pytest.mark.parametrize("name", ["shuffle", "seeded_rank", "stratified_split", "stratified_folds", "reindex",
+                                  "average_precision", "holdout", "sample_strata", "augment"])
+def test_no_single_partition_over_rows(spark, name):
+    import __spark_entry__ as E
+    plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = _single_partition_inputs(plan)
+    # a single-partition exchange only ever sits on an aggregated summary
+    assert all(op == "HashAggregate" for op in below), below
