@@ -398,7 +398,7 @@ def _pw(src: str, targets, by: str = "") -> str:
     sel = f"{by}, " if by else ""
     grp = f" GROUP BY {by}" if by else ""
     return " UNION ALL ".join(
-        f"SELECT {sel}'{t}' AS target, CAST(sum({t}) AS BIGINT) AS n_pos, count(*) - sum({t}) AS n_neg, "
+        f"SELECT {sel}'{t}' AS target, CAST(sum({t}) AS BIGINT) AS n_pos, CAST(count(*) - sum({t}) AS BIGINT) AS n_neg, "
         f"round(CASE WHEN sum({t}) > 0 THEN (count(*) - sum({t})) / sum({t}) ELSE 1.0 END, 6) AS pos_weight "
         f"FROM {src}{grp}" for t in targets)
 
@@ -473,13 +473,13 @@ ORACLE["weighted_bce"] = ofx.with_fixtures(
     "JOIN (" + _pw("labels", ["quality", "toxic"]) + ") w0 USING (target), LATERAL (SELECT w0.pos_weight AS w)",
     **_SC)
 
-_GRID_SQL = ("SELECT lr AS learning_rate, bs AS batch_size, CAST(i * 2 + j AS INTEGER) AS config_id "
+_GRID_SQL = ("SELECT lr AS learning_rate, CAST(bs AS BIGINT) AS batch_size, CAST(i * 2 + j AS INTEGER) AS config_id "
              "FROM (VALUES (1e-5, 0), (2e-5, 1), (3e-5, 2)) a(lr, i), (VALUES (16, 0), (32, 1)) b(bs, j)")
 ORACLE["param_grid"] = ofx.with_fixtures(
     "SELECT g.*, f.fold, (SELECT count(*) FROM fx_train) - f.n_val AS n_train, f.n_val FROM g, "
     "(SELECT fold, count(*) AS n_val FROM folded GROUP BY fold) f", **_FXT, folded=_TRAIN_FOLDS, g=_GRID_SQL)
 
-_THR = f"""SELECT CAST(round((t - 0.3) * 10) AS INTEGER) AS config_id, t AS threshold,
+_THR = f"""SELECT CAST(round((t - 0.3) * 10) AS INTEGER) AS config_id, CAST(t AS DOUBLE) AS threshold,
     round(avg(value), 6) AS mean_f1, round(stddev_pop(value), 6) AS std_f1 FROM (
   SELECT t, fold, value FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.7)) th(t), LATERAL (
     {_f1('fold', "(SELECT fold, y_true, CAST(y_prob > th.t AS INTEGER) AS y_pred FROM sf)")}))
