@@ -1,48 +1,71 @@
-"""Hyper-parameter grids (J6) and picking the best configuration."""
+"""Hyper-parameter grids (J6) and picking the best configuration.
+
+A grid is a parameter (a handful of configurations known on the driver), so
+it is expanded with ``itertools.product`` and attached to data rows with a
+row-local ``inline`` of literals, never with a join.
+"""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .metrics import f1_macro
+from .metrics import _f1_macro_expr
+
+MAX_CONFIGS = 10_000
+
+
+def grid_rows(params: Mapping[str, Sequence]) -> list[dict]:
+    """Configurations in list order, first parameter slowest; ``config_id`` is
+    the position."""
+    names = list(params)
+    rows = [dict(zip(names, values)) for values in itertools.product(*[params[n] for n in names])]
+    if len(rows) > MAX_CONFIGS:
+        raise ValueError(f"grid has {len(rows)} configurations (> {MAX_CONFIGS})")
+    return [{"config_id": i, **r} for i, r in enumerate(rows)]
 
 
 def param_grid(spark: SparkSession, params: Mapping[str, Sequence]) -> DataFrame:
-    """Cartesian product of the parameter lists (tiny tables). ``config_id``
-    numbers the configurations in list order, first parameter slowest."""
-    out, stride = None, 1
-    ids = []
-    for name, values in reversed(list(params.items())):
-        t = spark.createDataFrame([(v, i) for i, v in enumerate(values)], [name, f"_i_{name}"])
-        out = t if out is None else t.crossJoin(out)
-        ids.append(F.col(f"_i_{name}") * F.lit(stride))
-        stride *= len(values)
-    cid = ids[0]
-    for x in ids[1:]:
-        cid = cid + x
-    return out.withColumn("config_id", cid.cast("int")).drop(*[f"_i_{n}" for n in params])
-
-
-def with_folds(grid: DataFrame, folds: DataFrame, fold: str = "fold") -> DataFrame:
+    """The Cartesian product of the parameter lists as a (tiny) table."""
+    rows = grid_rows(params)
+    cols = ["config_id", *params]
+    return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], cols).withColumn(
+        "config_id", F.col("config_id").cast("int"))
+
+
+def _grid_literal(params: Mapping[str, Sequence]):
+    return F.array(*[F.struct(F.lit(r["config_id"]).alias("config_id"),
+                              *[F.lit(r[n]).alias(n) for n in params]) for r in grid_rows(params)])
+
+
+def with_folds(params: Mapping[str, Sequence], folds: DataFrame, fold: str = "fold") -> DataFrame:
     """Grid x folds: one row per (configuration, fold) fit with the train and
-    validation sizes of that fold. ``folds`` is the row -> fold assignment; its
-    per-fold counts (k rows) are what gets crossed, never the rows."""
+    validation sizes of that fold. Only the per-fold counts (k rows) are
+    expanded, never the data rows."""
     sizes = folds.groupBy(fold).agg(F.count(F.lit(1)).alias("n_val"))
-    total = folds.agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.crossJoin(F.broadcast(total)).select(fold, (F.col("_n") - F.col("n_val")).alias("n_train"), "n_val")
-    return grid.crossJoin(F.broadcast(sizes))
+    sizes = sizes.withColumn("n_train", F.sum("n_val").over(Window.partitionBy()) - F.col("n_val"))  # k rows
+    return sizes.select(F.inline(_grid_literal(params)), fold, "n_train", "n_val")
 
 
-def threshold_search(long: DataFrame, grid: DataFrame, param: str = "threshold", fold: str = "fold") -> DataFrame:
+def threshold_search(long: DataFrame, thresholds: Sequence[float], fold: str = "fold",
+                     param: str = "threshold") -> DataFrame:
     """Cross-validated search over the decision threshold: per (config, fold)
     the pooled macro F1 of ``y_prob > threshold``, then mean and population
-    std over folds per configuration. The grid is tiny and broadcast."""
-    d = long.crossJoin(F.broadcast(grid)).withColumn(
-        "y_pred", (F.col("y_prob") > F.col(param)).cast("int")).withColumn("target", F.lit("aggregate"))
-    per_fold = f1_macro(d, by=["config_id", param, fold])
+    std over folds. Rows are first reduced to counts per (fold, label, score),
+    and only those counts are expanded over the configurations."""
+    counts = long.groupBy(fold, "y_true", "y_prob").agg(F.count(F.lit(1)).alias("cnt"))
+    d = counts.select(fold, "y_true", "y_prob", "cnt", F.inline(_grid_literal({param: list(thresholds)})))
+    pred = F.col("y_prob") > F.col(param)
+    y = F.col("y_true") == 1
+    conf = d.groupBy("config_id", param, fold).agg(
+        F.sum(F.when(y & pred, F.col("cnt")).otherwise(0)).alias("tp"),
+        F.sum(F.when(~y & pred, F.col("cnt")).otherwise(0)).alias("fp"),
+        F.sum(F.when(y & ~pred, F.col("cnt")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~y & ~pred, F.col("cnt")).otherwise(0)).alias("tn"))
+    per_fold = conf.select("config_id", param, fold, F.round(_f1_macro_expr(), 6).alias("value"))
     return per_fold.groupBy("config_id", param).agg(
         F.round(F.avg("value"), 6).alias("mean_f1"), F.round(F.stddev_pop("value"), 6).alias("std_f1"))
 

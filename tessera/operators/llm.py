@@ -29,11 +29,16 @@ def build_prompts(codebook: DataFrame, role: str = fv.CODEBOOK_ROLE) -> DataFram
 
 def request_table(df: DataFrame, codebook: DataFrame, key: str, text: str = "text",
                   role: str = fv.CODEBOOK_ROLE, max_codes: int = 1000) -> DataFrame:
-    """One request per (row, code). The code table is tiny (one row per
-    code); it is broadcast, so the rows are never shuffled."""
-    prompts = build_prompts(codebook, role)
-    return df.select(key, text).crossJoin(F.broadcast(prompts)).select(
-        key, "alias", F.col("prompt").alias("system_prompt"), F.col(text).alias("user_text"))
+    """One request per (row, code). The prompt table has one row per code
+    (refused above ``max_codes``); it is fetched once and every row expands
+    into its requests with a row-local ``inline`` (no join, no shuffle)."""
+    prompts = build_prompts(codebook, role).limit(max_codes + 1).collect()
+    if len(prompts) > max_codes:
+        raise ValueError(f"more than {max_codes} codes")
+    reqs = F.array(*[F.struct(F.lit(p.alias).alias("alias"), F.lit(p.prompt).alias("system_prompt"))
+                     for p in prompts])
+    return df.select(key, F.col(text).alias("user_text"), F.inline(reqs)).select(
+        key, "alias", "system_prompt", "user_text")
 
 
 def parse_reply_cols(reply, alias) -> dict[str, Column]:

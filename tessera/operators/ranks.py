@@ -51,7 +51,8 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool
 
 
 def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
-                     by: Sequence[str] = (), out: str = "rank", carry: DataFrame | None = None) -> DataFrame:
+                     by: Sequence[str] = (), out: str = "rank", carry: DataFrame | None = None,
+                     total: str | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)`` (1-based).
 
     ``bucket`` must be non-decreasing along ``order`` within each stratum.
@@ -60,13 +61,15 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
     ``carry`` (a small table keyed by the strata, e.g. per-class quotas) is
     joined to the per-bucket offsets, never to the rows directly: the row join
     stays keyed by (stratum, bucket), so a hot stratum cannot skew it.
+    ``total`` names an optional output column with the stratum's row count.
     """
     by = list(by)
     b = _with_bucket(df, bucket)
     ranked = b.withColumn("_tz_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*order)))
     counts = ranked.groupBy(*by, BUCKET).agg(F.max("_tz_rn").alias("_tz_n"))
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"))
+    extra = [F.sum("_tz_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    offsets = counts.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"), *extra)
     if carry is not None:
         offsets = offsets.join(carry, by)
     joined = _join_small(ranked, offsets, [*by, BUCKET], bounded=not by)
@@ -75,25 +78,25 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
 
 
 def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank",
-                carry: DataFrame | None = None) -> DataFrame:
+                carry: DataFrame | None = None, total: str | None = None) -> DataFrame:
     """Rank rows inside each stratum by the seeded hash of ``key`` (ties by key).
 
     ``key`` must be unique within a stratum for the rank to be reproducible.
     """
     h = seeded_hash(key, seed)
     tmp = df.withColumn("_tz_h", h)
-    res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), by, out, carry)
+    res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), by, out, carry, total)
     return res.drop("_tz_h")
 
 
 def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
-    """Equal-width buckets of a numeric order column. min/max come from a
-    one-row aggregate joined by broadcast (no driver round trip)."""
-    stats = df.agg(F.min(order_col).alias("_tz_lo"), F.max(order_col).alias("_tz_hi"))
-    width = (F.col("_tz_hi").cast("double") - F.col("_tz_lo").cast("double") + 1.0) / F.lit(float(n_buckets))
-    b = df.crossJoin(F.broadcast(stats))
-    b = _with_bucket(b, F.floor((F.col(order_col).cast("double") - F.col("_tz_lo")) / width).cast("long"))
-    return b.drop("_tz_lo", "_tz_hi")
+    """Equal-width buckets of a numeric order column. The bounds are two
+    numbers fetched by one column-pruned min/max aggregate."""
+    row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo = float(row.lo) if row.lo is not None else 0.0
+    hi = float(row.hi) if row.hi is not None else 0.0
+    width = (hi - lo + 1.0) / float(n_buckets)
+    return _with_bucket(df, F.floor((F.col(order_col).cast("double") - F.lit(lo)) / F.lit(width)).cast("long"))
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
@@ -145,7 +148,7 @@ def last_preceding(df: DataFrame, order: Sequence[str], value: Column, out: str,
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], bucket: Column, sums: dict[str, Column],
-                 by: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] = (), totals: bool = False) -> DataFrame:
     """Inclusive running sums (``sum(x) over (partition by by order by order rows
     unbounded preceding)``) for each expression in ``sums``; output names are
     the dict keys. ``bucket`` must be non-decreasing along ``order``. Bucket
@@ -157,10 +160,11 @@ def running_sums(df: DataFrame, order: Sequence[Column], bucket: Column, sums: d
     inside = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for n in sums:
         b = b.withColumn(f"_tz_r_{n}", F.sum(f"_tz_x_{n}").over(inside))
-    totals = b.groupBy(*by, BUCKET).agg(*[F.sum(f"_tz_x_{n}").alias(f"_tz_t_{n}") for n in sums])
+    totals_t = b.groupBy(*by, BUCKET).agg(*[F.sum(f"_tz_x_{n}").alias(f"_tz_t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, BUCKET, *[
-        F.coalesce(F.sum(f"_tz_t_{n}").over(before), F.lit(0)).alias(f"_tz_o_{n}") for n in sums])
+    grand = [F.sum(f"_tz_t_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in sums] if totals else []
+    offsets = totals_t.select(*by, BUCKET, *[
+        F.coalesce(F.sum(f"_tz_t_{n}").over(before), F.lit(0)).alias(f"_tz_o_{n}") for n in sums], *grand)
     joined = _join_small(b, offsets, [*by, BUCKET], bounded=not by)
     for n in sums:
         joined = joined.withColumn(n, F.col(f"_tz_o_{n}") + F.col(f"_tz_r_{n}"))

@@ -74,17 +74,16 @@ def holdout(df: DataFrame, n: int = 200, seed=56, key: str = "row_id", out: str
     skips with a warning). With ``group`` (e.g. the parent id of augmented
     copies), whole groups are held out in seeded order while the running row
     count stays within ``n``, so no copy is split from its parent."""
-    total = df.agg(F.count(F.lit(1)).alias("_tz_total"))
     if group is None:
-        ranked = seeded_rank(df, key, seed, out="_tz_rank")
-        ranked = ranked.crossJoin(F.broadcast(total))
+        ranked = seeded_rank(df, key, seed, out="_tz_rank", total="_tz_total")
         cal = (F.col("_tz_total") > n) & (F.col("_tz_rank") <= n)
         return ranked.withColumn(out, F.when(cal, "calibrate").otherwise("train")).drop("_tz_rank", "_tz_total")
     from .ranks import hex_bucket, running_sums
     fam = df.groupBy(group).agg(F.count(F.lit(1)).alias("_tz_size")).withColumn("_tz_h", seeded_hash(group, seed))
-    fam = running_sums(fam, [F.col("_tz_h"), F.col(group)], hex_bucket("_tz_h"), {"_tz_cum": F.col("_tz_size")})
-    fam = fam.crossJoin(F.broadcast(total)).select(
-        group, F.when((F.col("_tz_total") > n) & (F.col("_tz_cum") <= n), "calibrate").otherwise("train").alias(out))
+    fam = running_sums(fam, [F.col("_tz_h"), F.col(group)], hex_bucket("_tz_h"), {"_tz_cum": F.col("_tz_size")},
+                       totals=True)
+    fam = fam.select(group, F.when((F.col("_tz_cum_total") > n) & (F.col("_tz_cum") <= n), "calibrate")
+                     .otherwise("train").alias(out))
     return df.join(fam, group)
 
 

@@ -478,17 +478,17 @@ def q_weighted_bce(spark, base):
 @q("param_grid")
 def q_param_grid(spark, base):
     folds = smp.stratified_folds(fx.fx_train(spark, base).select("doc_id", "trgt"), 5, "trgt", 56, "doc_id")
-    return grd.with_folds(grd.param_grid(spark, GRID), folds)
+    return grd.with_folds(GRID, folds)
 
 
 @q("threshold_search")
 def q_threshold_search(spark, base):
-    return grd.threshold_search(scores_with_folds(spark, base), grd.param_grid(spark, THRESHOLDS))
+    return grd.threshold_search(scores_with_folds(spark, base), THRESHOLDS["threshold"])
 
 
 @q("best_config")
 def q_best_config(spark, base):
-    res = grd.threshold_search(scores_with_folds(spark, base), grd.param_grid(spark, THRESHOLDS))
+    res = grd.threshold_search(scores_with_folds(spark, base), THRESHOLDS["threshold"])
     return grd.best_config(res, "mean_f1", ["threshold"])
 
 
