@@ -109,7 +109,7 @@ def q_reliability_trend(spark, base):
 # sources, projections, filters
 # --------------------------------------------------------------------------
 from ..operators import entities as ent  # noqa: E402
-from ..operators import llm  # noqa: E402
+from ..operators import coding  # noqa: E402
 from ..operators import text as txt  # noqa: E402
 from ..sources import io as sio  # noqa: E402
 from ..sources.codebook import codebook  # noqa: E402
@@ -175,8 +175,8 @@ def q_composite_indicator(spark, base):
 
 def triangulated(spark, base) -> DataFrame:
     human = fx.fx_train(spark, base).select("doc_id", "text", "rtnl", *fv.ALL_TAGS)
-    parsed = llm.parse_responses(fx.fx_reply(spark, base))
-    wide = llm.replies_wide(parsed, "doc_id", fv.LLM_CODES)
+    parsed = coding.parse_responses(fx.fx_reply(spark, base))
+    wide = coding.replies_wide(parsed, "doc_id", fv.LLM_CODES)
     return cols.triangulate(human.join(wide, "doc_id", "left"), fv.LLM_CODES)
 
 
@@ -245,13 +245,13 @@ def q_redact_entities(spark, base):
 
 @q("request_table")
 def q_request_table(spark, base):
-    return llm.request_table(load(spark, base, "benchmark"), codebook(spark), "item_id")
+    return coding.request_table(load(spark, base, "benchmark"), codebook(spark), "item_id")
 
 
 @q("build_prompts")
 def q_build_prompts(spark, base):
     # prompts as used: the distinct system prompts of the request table
-    req = llm.request_table(load(spark, base, "benchmark"), codebook(spark, aliases=fv.LLM_CODES), "item_id")
+    req = coding.request_table(load(spark, base, "benchmark"), codebook(spark, aliases=fv.LLM_CODES), "item_id")
     return req.groupBy("alias", "system_prompt").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
@@ -265,7 +265,7 @@ def q_codebook(spark, base):
 
 @q("parse_responses")
 def q_parse_responses(spark, base):
-    return llm.parse_responses(fx.fx_reply(spark, base)).select("doc_id", "alias", "decision", "rationale",
+    return coding.parse_responses(fx.fx_reply(spark, base)).select("doc_id", "alias", "decision", "rationale",
                                                                "explanation")
 
 

@@ -19,7 +19,7 @@ from .. import fixed_values as fv
 from ..operators import agreement as agr
 from ..operators import columns as cols
 from ..operators import labels as lab
-from ..operators import llm
+from ..operators import coding
 from ..operators import rows as rws
 from ..operators import sampling as smp
 from ..operators import text as txt
@@ -56,14 +56,14 @@ def agreement_report(sheet_a: DataFrame, sheet_b: DataFrame, key: str, codes: Se
 
 def coding_requests(df: DataFrame, codebook: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One request row per (row, code) for an external batch LLM service."""
-    return llm.request_table(df, codebook, key, text)
+    return coding.request_table(df, codebook, key, text)
 
 
 def triangulated_labels(human: DataFrame, replies: DataFrame, key: str,
                         codes: Sequence[str] = tuple(fv.LLM_CODES)) -> DataFrame:
     """Parse the reply table (key, alias, reply), widen it per code, keep a
     code only where human and model both say 1, and drop the interim columns."""
-    wide = llm.replies_wide(llm.parse_responses(replies), key, codes)
+    wide = coding.replies_wide(coding.parse_responses(replies), key, codes)
     tri = cols.triangulate(human.join(wide, key, "left"), codes)
     return cols.finalize_triangulated(tri, codes)
 

@@ -13,7 +13,7 @@ from tessera.operators import agreement as agr
 from tessera.operators import columns as cols
 from tessera.operators import entities as ent
 from tessera.operators import labels as lab
-from tessera.operators import llm
+from tessera.operators import coding
 from tessera.operators import metrics as met
 from tessera.operators import ranks
 from tessera.operators import rows as rws
@@ -156,7 +156,7 @@ def test_parse_reply_quirks(spark):
         ("afrm", "afrm_1 afrm_rationale: a afrm_rationale: b"),
     ]
     df = spark.createDataFrame(rows, "alias string, reply string")
-    got = [(r.decision, r.rationale, r.explanation) for r in llm.parse_responses(df).collect()]
+    got = [(r.decision, r.rationale, r.explanation) for r in coding.parse_responses(df).collect()]
     assert got == [
         (1, "because X<|SPL|>Y", "Two. Lines."),
         (1, None, "Does not merit afrm_1."),  # substring quirk: decision from the explanation
@@ -170,13 +170,13 @@ def test_parse_reply_quirks(spark):
 def test_parse_rerun_keeps_previous(spark):
     df = spark.createDataFrame([("afrm", "error", 1, "old", "old e")],
                                "alias string, reply string, decision int, rationale string, explanation string")
-    r = llm.parse_responses(df).first()
+    r = coding.parse_responses(df).first()
     assert (r.decision, r.rationale, r.explanation) == (1, "old", "old e")
 
 
 def test_prompt_matches_template(spark):
     from tessera.sources.codebook import codebook
-    p = {r.alias: r.prompt for r in llm.build_prompts(codebook(spark)).collect()}
+    p = {r.alias: r.prompt for r in coding.build_prompts(codebook(spark)).collect()}
     a, name, definition, clar, ex = fv.CODEBOOK[0]
     expected = (fv.CODEBOOK_ROLE + fv.DEFINITION_TEMPLATE.format(name=name, definition=definition)
                 + fv.INSTRUCTION_TEMPLATE.format(name=name, alias=a) + clar + ex)
