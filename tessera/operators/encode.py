@@ -10,9 +10,15 @@ WS_SPLIT = r"[\t\n\x{0B}\f\r ]+"
 PAD, UNK = 0, 1
 
 
+WS_EDGES = r"^[\t\n\x{0B}\f\r ]+|[\t\n\x{0B}\f\r ]+$"
+
+
 def tokens(text) -> F.Column:
+    """Whitespace tokens. The text is trimmed first, so ``split`` yields no
+    empty tokens and no (interpreted) higher-order filter is needed."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(t, WS_SPLIT), lambda x: x != "")
+    trimmed = F.regexp_replace(t, WS_EDGES, "")
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_SPLIT))
 
 
 def build_vocab(df: DataFrame, text: str = "text", vocab_size: int = 30_000) -> DataFrame:
