@@ -18,9 +18,10 @@ from .. import fixed_values as fv
 from .columns import assign_blank, drop_columns
 from .ranks import ordered_index, seeded_hash, seeded_rank
 
-# Up to this n a sample is a top-n (TakeOrderedAndProject: per-partition top-n,
-# one merge of at most n rows per partition); above it, a distributed rank.
-TOP_N_LIMIT = 100_000
+# A sample is a top-n (TakeOrderedAndProject) while the single merge task
+# would see at most this many rows (n per input partition); beyond, an exact
+# distributed rank.
+TOP_N_MERGE_BUDGET = 20_000_000
 
 
 def _check_rows(df: DataFrame, n: int) -> None:
@@ -35,7 +36,7 @@ def sample_n(df: DataFrame, n: int, seed, key: str, position: str | None = "posi
     reference), in sample order; ``position`` is 0..n-1."""
     if check:
         _check_rows(df, n)
-    if n <= TOP_N_LIMIT:
+    if n * df.rdd.getNumPartitions() <= TOP_N_MERGE_BUDGET:
         top = df.withColumn("_tz_h", seeded_hash(key, seed)).orderBy("_tz_h", key).limit(n)
         if position:
             # at most n (bounded) rows: a plain window is fine here

@@ -451,3 +451,21 @@ def test_no_single_partition_over_rows(spark, name):
     below = _single_partition_inputs(plan)
     # a single-partition exchange only ever sits on an aggregated summary
     assert all(op == "HashAggregate" for op in below), below
+
+
+def test_sample_n_large_path_equals_top_n(spark, monkeypatch):
+    df = spark.range(300).withColumnRenamed("id", "k").repartition(3)
+    small = {(r.k, r.position) for r in smp.sample_n(df, 40, 5, "k").collect()}
+    monkeypatch.setattr(smp, "TOP_N_MERGE_BUDGET", 0)
+    big = {(r.k, r.position) for r in smp.sample_n(df, 40, 5, "k").collect()}
+    assert small == big
+
+
+def test_by_family_keeps_copies_with_parent(spark):
+    data = [(i, f"t{i}", f"r{i}", i % 2) for i in range(40)]
+    aug = rws.augment(spark.createDataFrame(data, "row_id long, text string, rtnl string, trgt int"))
+    aug = aug.withColumn("family", F.coalesce("parent_id", "row_id"))
+    out = smp.by_family(smp.stratified_folds, aug, "family", F.col("agmt") == 0, 4, key="row_id").collect()
+    fold_of = {r.row_id: r.fold for r in out if r.seq == 0}
+    assert len(out) == 60
+    assert all(r.fold == fold_of[r.parent_id] for r in out if r.seq == 1)
