@@ -82,3 +82,39 @@ def replies_wide(parsed: DataFrame, key: str, codes: Sequence[str]) -> DataFrame
         F.first("decision").alias("gpt"), F.first("rationale").alias("rtnl_gpt"),
         F.first("explanation").alias("expl_gpt"))
     return p.withColumns({f"{c}_gpt": F.col(f"{c}_gpt").cast("double") for c in codes})
+
+
+def code_requests(requests: DataFrame, client, key: str, out: str = "reply",
+                  min_interval_s: float = 0.0) -> DataFrame:
+    """Run a model over the request table, one call per row, on the executors
+    (``mapInPandas``: each task owns a slice of the requests, so calls spread
+    over the cluster instead of one sequential driver loop). ``client`` is a
+    picklable ``(system_prompt, user_text) -> str``; a failing call yields
+    ``'error'``, which :func:`parse_responses` treats as "no reply".
+    ``min_interval_s`` throttles calls per task. The result is
+    ``(key, alias, reply)``; persist it before parsing, since model calls are
+    not deterministic and a recomputed partition would call again."""
+    import time
+
+    from pyspark.sql.types import StringType, StructField, StructType
+    key_type = requests.schema[key].dataType
+    schema = StructType([StructField(key, key_type), StructField("alias", StringType()),
+                         StructField(out, StringType())])
+
+    def run(batches):
+        import pandas as pd
+        last = 0.0
+        for pdf in batches:
+            replies = []
+            for system, user in zip(pdf["system_prompt"], pdf["user_text"]):
+                wait = min_interval_s - (time.monotonic() - last)
+                if wait > 0:
+                    time.sleep(wait)
+                try:
+                    replies.append(" " + str(client(system, user)))
+                except Exception:  # noqa: BLE001 - any failure is an 'error' reply
+                    replies.append(fv.ERROR_REPLY)
+                last = time.monotonic()
+            yield pd.DataFrame({key: pdf[key], "alias": pdf["alias"], out: replies})
+
+    return requests.select(key, "alias", "system_prompt", "user_text").mapInPandas(run, schema)

@@ -469,3 +469,20 @@ def test_by_family_keeps_copies_with_parent(spark):
     fold_of = {r.row_id: r.fold for r in out if r.seq == 0}
     assert len(out) == 60
     assert all(r.fold == fold_of[r.parent_id] for r in out if r.seq == 1)
+
+
+def test_code_requests_with_fake_client(spark):
+    from tessera.sources.codebook import codebook
+
+    def client(system, user):
+        if "boom" in user:
+            raise RuntimeError("down")
+        alias = "afrm" if '"Affirm,"' in system else "agnt"
+        return f"{alias}_1\n\n{alias}_rationale: {user}\n\n{alias}_explanation: ok."
+
+    docs = spark.createDataFrame([(1, "glad you asked"), (2, "boom")], "doc_id long, text string")
+    req = coding.request_table(docs, codebook(spark, aliases=["afrm", "agnt"]), "doc_id")
+    replies = coding.code_requests(req, client, "doc_id")
+    got = {(r.doc_id, r.alias): (r.decision, r.rationale) for r in coding.parse_responses(replies).collect()}
+    assert got[(1, "afrm")] == (1, "glad you asked") and got[(1, "agnt")] == (1, "glad you asked")
+    assert got[(2, "afrm")] == (None, None)
