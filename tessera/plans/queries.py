@@ -13,8 +13,18 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators import agreement as agr
+from ..operators import coding
 from ..operators import columns as cols
+from ..operators import encode as enc
+from ..operators import entities as ent
+from ..operators import grid as grd
 from ..operators import labels as lab
+from ..operators import metrics as met
+from ..operators import rows as rws
+from ..operators import sampling as smp
+from ..operators import text as txt
+from ..sources import io as sio
+from ..sources.codebook import codebook
 from ..sources.io import load
 from . import fixtures as fx
 
@@ -108,11 +118,6 @@ def q_reliability_trend(spark, base):
 # --------------------------------------------------------------------------
 # sources, projections, filters
 # --------------------------------------------------------------------------
-from ..operators import entities as ent  # noqa: E402
-from ..operators import coding  # noqa: E402
-from ..operators import text as txt  # noqa: E402
-from ..sources import io as sio  # noqa: E402
-from ..sources.codebook import codebook  # noqa: E402
 
 
 @q("read_responses")
@@ -272,8 +277,6 @@ def q_parse_responses(spark, base):
 # --------------------------------------------------------------------------
 # sampling, splits, augmentation
 # --------------------------------------------------------------------------
-from ..operators import rows as rws  # noqa: E402
-from ..operators import sampling as smp  # noqa: E402
 
 
 def train_frame(spark, base) -> DataFrame:
@@ -399,9 +402,6 @@ def q_masked_copy(spark, base):
 # --------------------------------------------------------------------------
 # metrics, weights, grids, encoding
 # --------------------------------------------------------------------------
-from ..operators import encode as enc  # noqa: E402
-from ..operators import grid as grd  # noqa: E402
-from ..operators import metrics as met  # noqa: E402
 
 LABEL_TARGETS = ["quality", "toxic"]
 GRID = {"learning_rate": [1e-5, 2e-5, 3e-5], "batch_size": [16, 32]}
