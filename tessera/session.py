@@ -53,3 +53,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings to size shuffles for a large run (pass as ``extra`` to
+    :func:`get_spark` or to spark-submit). Shuffle partitions start at about
+    one per ``target_partition_bytes`` of input (at least 2 per core) and AQE
+    coalesces small ones and splits skewed ones at run time, so a partition
+    fits in an executor's memory without spilling whole stages."""
+    parts = max(2 * total_cores, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(min(parts, 200_000)),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
