@@ -16,7 +16,8 @@ PY_STRIP_PATTERN = rf"^{_PY_SPACE}+|{_PY_SPACE}+$"
 # '1_000', no 'inf'): engines disagree outside it, so everything else is
 # "not a number".
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-BLANK_PATTERN = r"^\s*$"
+# whitespace-only as Python's regex ``^\s*$`` sees it (Unicode spaces too)
+BLANK_PATTERN = rf"^{_PY_SPACE}*$"
 
 
 def col_of(c) -> Column:

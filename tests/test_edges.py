@@ -487,3 +487,8 @@ def test_code_requests_with_fake_client(spark):
     got = {(r.doc_id, r.alias): (r.decision, r.rationale) for r in coding.parse_responses(replies).collect()}
     assert got[(1, "afrm")] == (1, "glad you asked") and got[(1, "agnt")] == (1, "glad you asked")
     assert got[(2, "afrm")] == (None, None)
+
+
+def test_tag_strict_unicode_blank(spark):
+    df = spark.createDataFrame([("\u00a0",), ("\u2003 \x1c",)], "c string")
+    assert [r.c for r in lab.normalize_tags(df, ["c"], "strict").collect()] == [0, 0]
