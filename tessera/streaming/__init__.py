@@ -1,3 +1,4 @@
+from .agreement import kappa_stream
 from .row_local import clean_text, clean_text_stream
 
-__all__ = ["clean_text", "clean_text_stream"]
+__all__ = ["clean_text", "clean_text_stream", "kappa_stream"]

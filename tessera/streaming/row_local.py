@@ -3,8 +3,9 @@
 The reference has no streaming. What carries over unchanged is every
 row-local operator (tag normalisation, term/token/numeral redaction, entity
 spans, reply parsing, triangulation): they are plain projections, so the same
-function serves a batch DataFrame and a ``readStream`` one. Sampling, ranks,
-splits, kappa and AP need the whole table and stay batch-only.
+function serves a batch DataFrame and a ``readStream`` one. Kappa streams
+through its confusion cells (:mod:`.agreement`). Sampling, ranks, splits and
+AP need the whole table and stay batch-only.
 """
 
 from __future__ import annotations

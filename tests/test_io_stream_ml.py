@@ -95,3 +95,24 @@ def test_workflows(spark, scratch):
     packet, masked = wf.annotation_packets(pool, 20, 0, 56, out_dir=os.path.join(scratch, "cycles"))
     assert packet.count() == 20 and masked.count() == 20
     assert spark.read.parquet(os.path.join(scratch, "cycles", "r1")).where("cycle = 0").count() == 20
+
+
+def test_kappa_stream_matches_batch(spark, scratch):
+    from tessera import fixed_values as fv
+    from tessera.operators.agreement import cohen_kappa
+    from tessera.operators.labels import normalize_tags
+    from tessera.plans import fixtures as fx
+    from tessera.streaming import kappa_stream
+    cols = [f"{t}_{s}" for t in fv.ALL_TAGS for s in ("r1", "r2")]
+    pairs = fx.fx_annot(spark, "/root/testdata/sf0.001").select("doc_id", *cols)
+    src = os.path.join(scratch, "pairs")
+    # two files arrive: the state must add them up
+    pairs.where("doc_id % 2 = 0").write.parquet(src)
+    pairs.where("doc_id % 2 = 1").write.mode("append").parquet(src)
+    stream = spark.readStream.schema(pairs.schema).parquet(src)
+    q = kappa_stream(stream, fv.ALL_TAGS, "r1", "r2", os.path.join(scratch, "kappa"), os.path.join(scratch, "ck"))
+    q.awaitTermination(180)
+    got = {r.tag: r.kappa for r in spark.read.parquet(os.path.join(scratch, "kappa")).collect()}
+    want = {r.tag: r.kappa for r in cohen_kappa(normalize_tags(pairs, cols, "coerce"), fv.ALL_TAGS, "r1", "r2")
+            .collect()}
+    assert got == want
