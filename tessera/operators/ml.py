@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .metrics import cv_summary, evaluate_long, pos_weights
-from .sampling import stratified_folds
+from .sampling import by_family, stratified_folds
 
 DEFAULT_PARAMS = {"maxIter": 25, "regParam": 0.01, "numFeatures": 1 << 16}
 
@@ -83,14 +83,24 @@ def evaluate(models: dict, df: DataFrame, key: str, targets: Sequence[str]) -> D
     return evaluate_long(score_long(models, df, key, targets))
 
 
+def assign_folds(feats: DataFrame, key: str, k: int, strat: str, seed, family: str | None = None) -> DataFrame:
+    """Stratified folds; with ``family`` (the original's key on every row,
+    e.g. ``coalesce(parent_id, row_id)``) only originals are dealt and each
+    augmented copy joins its parent's fold, so no copy validates its parent."""
+    if family is None:
+        return stratified_folds(feats, k, strat, seed, key)
+    return by_family(stratified_folds, feats, family, F.col(family) == F.col(key), k, strat, seed, key=key)
+
+
 def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int = 5, strat: str = "trgt",
-                   seed=56, params: Mapping | None = None, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
+                   seed=56, params: Mapping | None = None, parallelism: int = 8,
+                   family: str | None = None) -> tuple[DataFrame, DataFrame]:
     """M3: stratified k-fold CV: per fold, weights from the training part, a
     fresh model per target, validation metrics; then mean/std over folds.
     Returns (fold metrics, summary). Folds are fitted concurrently."""
     ensure_checkpoint_dir(feats.sparkSession)
     folded = feats if "fold" in feats.columns else \
-        stratified_folds(feats, k, strat, seed, key).checkpoint(eager=True)
+        assign_folds(feats, key, k, strat, seed, family).checkpoint(eager=True)
 
     def one_fold(f: int) -> DataFrame:
         train = folded.where(F.col("fold") != f)
@@ -108,14 +118,14 @@ def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int =
 
 
 def grid_search(feats: DataFrame, key: str, targets: Sequence[str], grid: Mapping[str, Sequence],
-                k: int = 5, strat: str = "trgt", seed=56) -> DataFrame:
+                k: int = 5, strat: str = "trgt", seed=56, family: str | None = None) -> DataFrame:
     """M4: every configuration of ``grid`` x k-fold CV; mean/std of the pooled
     F1 and AUPRC per configuration, best first."""
     import itertools
     names = list(grid)
     spark = feats.sparkSession
     ensure_checkpoint_dir(spark)
-    folded = stratified_folds(feats, k, strat, seed, key).checkpoint(eager=True)  # shared by all configs
+    folded = assign_folds(feats, key, k, strat, seed, family).checkpoint(eager=True)  # shared by all configs
 
     def one_config(item):
         cid, values = item
