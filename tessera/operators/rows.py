@@ -61,9 +61,9 @@ def parent_of(df: DataFrame, order: list[str], flag: str = "agmt", key: str = "r
 
 
 def semi(df: DataFrame, other: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """Rows of ``df`` whose ``left_on`` appears in ``other.right_on``."""
-    return df.join(other.select(F.col(right_on).alias("_tz_k")).distinct(),
-                   F.col(left_on) == F.col("_tz_k"), "left_semi")
+    """Rows of ``df`` whose ``left_on`` appears in ``other.right_on``
+    (existence only: duplicates on the right never multiply rows)."""
+    return df.join(other.select(F.col(right_on).alias("_tz_k")), F.col(left_on) == F.col("_tz_k"), "left_semi")
 
 
 def assemble_train(aug: DataFrame, test_size: float = 0.2, by: str = "trgt", seed=56, key: str = "row_id",
