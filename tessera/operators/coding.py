@@ -77,7 +77,8 @@ def parse_responses(df: DataFrame, reply: str = "reply", alias: str = "alias") -
 def replies_wide(parsed: DataFrame, key: str, codes: Sequence[str]) -> DataFrame:
     """Long parsed replies -> ``{code}_gpt``, ``{code}_rtnl_gpt``,
     ``{code}_expl_gpt`` per row (one shuffle on the row key, which a
-    following join on the same key reuses)."""
+    following join on the same key reuses). Expects one reply per
+    (key, code); merge re-runs first with :func:`parse_responses`."""
     p = parsed.groupBy(key).pivot("alias", list(codes)).agg(
         F.first("decision").alias("gpt"), F.first("rationale").alias("rtnl_gpt"),
         F.first("explanation").alias("expl_gpt"))

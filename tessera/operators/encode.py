@@ -18,7 +18,8 @@ def tokens(text) -> F.Column:
     empty tokens and no (interpreted) higher-order filter is needed."""
     t = F.col(text) if isinstance(text, str) else text
     trimmed = F.regexp_replace(t, WS_EDGES, "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_SPLIT))
+    empty = F.array().cast("array<string>")
+    return F.when(t.isNull() | (trimmed == ""), empty).otherwise(F.split(trimmed, WS_SPLIT))
 
 
 def build_vocab(df: DataFrame, text: str = "text", vocab_size: int = 30_000) -> DataFrame:

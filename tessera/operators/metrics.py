@@ -151,7 +151,9 @@ def cv_summary(fold_metrics: DataFrame, by: Sequence[str] = ("target", "metric")
 def weighted_bce(long: DataFrame, weights: DataFrame | Mapping[str, float], by: Sequence[str] = (),
                  logit: str = "logit") -> DataFrame:
     """Mean over all cells of pos_weight*y*softplus(-z) + (1-y)*softplus(z)
-    (binary cross-entropy on logits with per-target positive weights)."""
+    (binary cross-entropy on logits with per-target positive weights).
+    ``weights``: a mapping, or a table with one row per target (as
+    :func:`pos_weights` returns)."""
     if isinstance(weights, Mapping):
         w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
         d = long.withColumn("_w", F.coalesce(F.element_at(w, F.col("target")), F.lit(1.0)))

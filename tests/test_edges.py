@@ -492,3 +492,10 @@ def test_code_requests_with_fake_client(spark):
 def test_tag_strict_unicode_blank(spark):
     df = spark.createDataFrame([("\u00a0",), ("\u2003 \x1c",)], "c string")
     assert [r.c for r in lab.normalize_tags(df, ["c"], "strict").collect()] == [0, 0]
+
+
+def test_encode_null_text(spark):
+    from tessera.operators.encode import encode_batch
+    df = spark.createDataFrame([(1, None), (2, "a")], "k long, text string")
+    out = {r.k: r for r in encode_batch(df, "k", max_len=3).collect()}
+    assert out[1].n_tokens == 0 and out[1].input_ids == [0, 0, 0]
