@@ -44,10 +44,15 @@ def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
 
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    # ``bounded``: the small side has at most n_buckets rows (no stratum key),
-    # so broadcasting it is safe at any input size. With strata the size grows
-    # with their number: leave the choice to AQE's runtime size check.
-    return big.join(F.broadcast(small) if bounded else small, keys)
+    """Equi-join on ``keys`` that also matches NULL keys (a NULL stratum is a
+    stratum). ``bounded``: the small side has at most n_buckets rows (no
+    stratum key), so broadcasting it is safe at any input size; with strata
+    its size grows with their number and AQE's runtime size check decides."""
+    ren = {k: f"_tz_k{i}" for i, k in enumerate(keys)}
+    right = small.withColumnsRenamed(ren)
+    right = F.broadcast(right) if bounded else right
+    cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in ren.items()]
+    return big.join(right, cond).drop(*ren.values())
 
 
 def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
@@ -71,7 +76,7 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
     extra = [F.sum("_tz_n").over(Window.partitionBy(*by)).alias(total)] if total else []
     offsets = counts.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"), *extra)
     if carry is not None:
-        offsets = offsets.join(carry, by)
+        offsets = _join_small(offsets, carry, by, bounded=False)
     joined = _join_small(ranked, offsets, [*by, BUCKET], bounded=not by)
     return joined.withColumn(out, (F.col("_tz_off") + F.col("_tz_rn")).cast("long")).drop(
         BUCKET, "_tz_rn", "_tz_off")

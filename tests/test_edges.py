@@ -499,3 +499,10 @@ def test_encode_null_text(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "k long, text string")
     out = {r.k: r for r in encode_batch(df, "k", max_len=3).collect()}
     assert out[1].n_tokens == 0 and out[1].input_ids == [0, 0, 0]
+
+
+def test_rank_keeps_null_stratum(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "k long, s string")
+    got = sorted((r.k, r["rank"]) for r in ranks.seeded_rank(df, "k", 1, by=["s"]).collect())
+    assert [k for k, _ in got] == [1, 2, 3]
+    assert sorted(r for k, r in got if k != 3) == [1, 2]
