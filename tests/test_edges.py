@@ -506,3 +506,10 @@ def test_rank_keeps_null_stratum(spark):
     got = sorted((r.k, r["rank"]) for r in ranks.seeded_rank(df, "k", 1, by=["s"]).collect())
     assert [k for k, _ in got] == [1, 2, 3]
     assert sorted(r for k, r in got if k != 3) == [1, 2]
+
+
+def test_head_by_both_paths(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(4)
+    a = sorted(r.k for r in cols.head_by(df, 30, ["k"]).collect())
+    b = sorted(r.k for r in cols.head_by(df, 30, ["k"], merge_budget=0).collect())
+    assert a == b == list(range(30))
