@@ -1,4 +1,5 @@
-"""Projections, filters and predicates (P1-P14). All are narrow (no shuffle)."""
+"""Projections, filters and predicates (P1-P14). All are narrow (no shuffle)
+except head_by, a top-n."""
 
 from __future__ import annotations
 
