@@ -521,3 +521,8 @@ ORACLE["training_set"] = ofx.with_fixtures(
     f"SELECT l.doc_id, l.seq, s.split, l.text FROM e3_lab l JOIN {_E3_SPLIT} s USING (doc_id) "
     "WHERE l.h = 'rest' AND (l.seq = 0 OR s.split = 'train')",
     **_FXT, e3_base=_E3_BASE, e3_aug=_E3_AUG, e3_tok=_E3_TOK, e3_lab=_E3_LAB)
+
+_TERMS_LONGEST = sorted(_TERMS, key=lambda t: -len(t))
+ORACLE["redact_terms_longest"] = ofx.with_fixtures(
+    f"SELECT doc_id, {nested_replace('text', _TERMS_LONGEST, ' ')} AS text, "
+    f"{nested_replace('rtnl', _TERMS_LONGEST, ' ')} AS rtnl FROM tail", fx_text=ofx.FX_TEXT, tail=_TAIL)

@@ -559,3 +559,9 @@ def q_training_set(spark, base):
     from .workflows import training_set
     d = fx.fx_train(spark, base).select("doc_id", "text", "rtnl", *fv.ALL_TAGS)
     return training_set(d, "doc_id").select("doc_id", "seq", "split", "text")
+
+
+@q("redact_terms_longest")
+def q_redact_terms_longest(spark, base):
+    # corrected mode: longer terms first, so no name is cut by its prefix
+    return txt.redact_terms(text_with_tail(spark, base), ["text", "rtnl"], longest_first=True)
