@@ -106,14 +106,15 @@ def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int =
         train = folded.where(F.col("fold") != f)
         val = folded.where(F.col("fold") == f)
         models = fit_multilabel(train, targets, params, parallelism=len(targets))
-        return evaluate(models, val, key, targets).withColumn("fold", F.lit(f))
+        return score_long(models, val, key, targets).withColumn("fold", F.lit(f))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism // max(1, len(targets)))) as ex:
         per_fold = list(ex.map(one_fold, range(k)))
-    metrics = per_fold[0]
+    scores = per_fold[0]
     for x in per_fold[1:]:
-        metrics = metrics.unionByName(x)
-    metrics = metrics.checkpoint(eager=True)
+        scores = scores.unionByName(x)
+    # one metrics job for all folds (grouped by fold), not one per fold
+    metrics = evaluate_long(scores, by=["fold"]).checkpoint(eager=True)
     return metrics, cv_summary(metrics)
 
 
