@@ -33,21 +33,27 @@ def build_vocab(df: DataFrame, text: str = "text", vocab_size: int = 30_000) ->
 
 
 def encode_batch(df: DataFrame, key: str, text: str = "text", vocab: DataFrame | None = None,
-                 max_len: int = 512, vocab_size: int = 30_000) -> DataFrame:
+                 max_len: int = 512, vocab_size: int = 30_000, overflow: bool = False) -> DataFrame:
     """Token ids truncated/padded to ``max_len`` plus the attention mask.
 
     Only the first ``max_len`` tokens of each text are exploded, joined to the
     (bounded, broadcast) vocabulary and regrouped by key, so the shuffle per
-    text is bounded by ``max_len`` whatever the text length."""
+    text is bounded by ``max_len`` whatever the text length. With
+    ``overflow`` the whole text is encoded as consecutive ``max_len``
+    windows (``chunk`` 0, 1, ...), one row each; every group is still at most
+    ``max_len`` tokens."""
     vocab = vocab if vocab is not None else build_vocab(df, text, vocab_size)
     toks = df.select(key, tokens(text).alias("_toks"))
-    head = toks.select(key, F.size("_toks").alias("n_tokens"),
-                       F.posexplode_outer(F.slice("_toks", 1, max_len)).alias("pos", "token"))
+    body = F.col("_toks") if overflow else F.slice("_toks", 1, max_len)
+    head = toks.select(key, F.size("_toks").alias("n_tokens"), F.posexplode_outer(body).alias("pos", "token"))
+    chunk = F.coalesce(F.floor(F.col("pos") / F.lit(max_len)), F.lit(0)).cast("int")
+    head = head.withColumn("chunk", chunk).withColumn("pos", F.col("pos") - F.col("chunk") * F.lit(max_len))
     ided = head.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    grouped = ided.groupBy(key, "n_tokens").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    item = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
+    keys = [key, "n_tokens"] + (["chunk"] if overflow else [])
+    grouped = ided.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     ids = F.transform("_items", lambda s: s["id"])
     pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids))
     mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.lit(max_len) - F.size(ids)))
-    return grouped.select(key, F.col("n_tokens").cast("int").alias("n_tokens"),
+    return grouped.select(key, *(["chunk"] if overflow else []), F.col("n_tokens").cast("int").alias("n_tokens"),
                           F.concat(ids, pad).alias("input_ids"), mask.alias("attention_mask"))

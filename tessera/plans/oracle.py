@@ -526,3 +526,19 @@ _TERMS_LONGEST = sorted(_TERMS, key=lambda t: -len(t))
 ORACLE["redact_terms_longest"] = ofx.with_fixtures(
     f"SELECT doc_id, {nested_replace('text', _TERMS_LONGEST, ' ')} AS text, "
     f"{nested_replace('rtnl', _TERMS_LONGEST, ' ')} AS rtnl FROM tail", fx_text=ofx.FX_TEXT, tail=_TAIL)
+
+ORACLE["encode_chunks"] = r"""
+WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS toks
+             FROM documents),
+cnt AS (SELECT t, count(*) AS c FROM (SELECT unnest(toks) AS t FROM tok) GROUP BY t),
+vocab AS (SELECT t, row_number() OVER (ORDER BY c DESC, t) + 1 AS id FROM cnt QUALIFY id <= 30001),
+pos AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM tok),
+enc AS (SELECT doc_id, CAST((i - 1) // 512 AS INTEGER) AS chunk, list(coalesce(v.id, 1) ORDER BY i) AS ids
+        FROM pos LEFT JOIN vocab v USING (t) GROUP BY doc_id, chunk),
+allc AS (SELECT tok.doc_id, len(toks) AS n, coalesce(enc.chunk, 0) AS chunk, coalesce(enc.ids, []) AS ids
+         FROM tok LEFT JOIN enc USING (doc_id))
+SELECT doc_id, chunk, CAST(n AS INTEGER) AS n_tokens,
+  array_to_string(list_concat(ids, list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS input_ids,
+  array_to_string(list_concat(list_transform(range(len(ids)), lambda x: 1),
+                              list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS attention_mask
+FROM allc"""

@@ -565,3 +565,12 @@ def q_training_set(spark, base):
 def q_redact_terms_longest(spark, base):
     # corrected mode: longer terms first, so no name is cut by its prefix
     return txt.redact_terms(text_with_tail(spark, base), ["text", "rtnl"], longest_first=True)
+
+
+@q("encode_chunks")
+def q_encode_chunks(spark, base):
+    # the whole text in consecutive 512-token windows (no truncation)
+    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512,
+                         vocab_size=30_000, overflow=True)
+    return e.select("doc_id", "chunk", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"))

@@ -513,3 +513,12 @@ def test_head_by_both_paths(spark):
     a = sorted(r.k for r in cols.head_by(df, 30, ["k"]).collect())
     b = sorted(r.k for r in cols.head_by(df, 30, ["k"], merge_budget=0).collect())
     assert a == b == list(range(30))
+
+
+def test_encode_chunks_cover_whole_text(spark):
+    from tessera.operators.encode import encode_batch
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10))), (2, "")], "k long, text string")
+    out = sorted(encode_batch(df, "k", max_len=4, overflow=True).collect(), key=lambda r: (r.k, r.chunk))
+    assert [(r.k, r.chunk) for r in out] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert sum(sum(r.attention_mask) for r in out if r.k == 1) == 10
+    assert out[2].attention_mask == [1, 1, 0, 0]
