@@ -49,3 +49,21 @@ def test_folds_balanced_and_split_complete(spark, labels, k):
         assert sorted(r.row_id for r in split) == list(range(len(labels)))
         n_test = sum(r.split == "test" for r in split)
         assert n_test == -(-len(labels) * 2 // 10)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(-10**9, 10**9), st.booleans()), min_size=1, max_size=120,
+                     unique_by=lambda t: t[0]),
+       buckets=st.sampled_from([1, 2, 7, 65536]))
+def test_previous_and_last_preceding(spark, rows, buckets):
+    df = spark.createDataFrame([(k, str(k), int(f)) for k, f in rows], "k long, v string, f int")
+    prev = {r.k: r.p for r in ranks.previous_value(df, ["k"], "v", "p", n_buckets=buckets).collect()}
+    last = {r.k: r.q for r in ranks.last_preceding(df, ["k"], F.when(F.col("f") == 0, F.col("k")), "q",
+                                                   n_buckets=buckets).collect()}
+    ordered = sorted(rows)
+    seen = None
+    for i, (k, f) in enumerate(ordered):
+        assert prev[k] == (str(ordered[i - 1][0]) if i else None)
+        assert last[k] == seen
+        if not f:
+            seen = k
