@@ -43,7 +43,7 @@ def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
     return b.withColumn(BUCKET, F.coalesce(F.col(BUCKET), fill.cast(b.schema[BUCKET].dataType)))
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys (a NULL stratum is a
     stratum). ``bounded``: the small side has at most n_buckets rows (no
     stratum key), so broadcasting it is safe at any input size; with strata
@@ -52,7 +52,7 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool
     right = small.withColumnsRenamed(ren)
     right = F.broadcast(right) if bounded else right
     cond = [F.col(k).eqNullSafe(F.col(r)) for k, r in ren.items()]
-    return big.join(right, cond).drop(*ren.values())
+    return big.join(right, cond, how).drop(*ren.values())
 
 
 def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
@@ -82,16 +82,43 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
         BUCKET, "_tz_rn", "_tz_off")
 
 
+ROWS_PER_BUCKET = 1 << 20   # strata above this size are split into buckets
+
+
 def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank",
-                carry: DataFrame | None = None, total: str | None = None) -> DataFrame:
+                total: str | None = None) -> DataFrame:
     """Rank rows inside each stratum by the seeded hash of ``key`` (ties by key).
 
     ``key`` must be unique within a stratum for the rank to be reproducible.
+    Without strata the whole table is cut into hex-prefix buckets. With
+    strata, only *hot* strata (more than ``ROWS_PER_BUCKET`` rows) are split,
+    each into ceil(size / ROWS_PER_BUCKET) hash ranges, so the tables that
+    are broadcast back stay within (rows / ROWS_PER_BUCKET + hot strata) rows
+    however many small strata there are, and small strata need no join.
     """
     h = seeded_hash(key, seed)
     tmp = df.withColumn("_tz_h", h)
-    res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), by, out, carry, total)
-    return res.drop("_tz_h")
+    if not by:
+        res = exact_row_number(tmp, [F.col("_tz_h"), F.col(key)], hex_bucket("_tz_h"), (), out, total=total)
+        return res.drop("_tz_h")
+    if total:
+        raise ValueError("total is only computed without strata")
+    by = list(by)
+    counts = tmp.groupBy(*by).agg(F.count(F.lit(1)).alias("_tz_cnt"))
+    hot = counts.where(F.col("_tz_cnt") > ROWS_PER_BUCKET).select(
+        *by, F.ceil(F.col("_tz_cnt") / F.lit(ROWS_PER_BUCKET)).cast("long").alias("_tz_nb"))
+    b = _join_small(tmp, hot, by, bounded=True, how="left")   # at most rows / ROWS_PER_BUCKET rows
+    frac = F.conv(F.substring("_tz_h", 1, 8), 16, 10).cast("long")    # 32-bit prefix, monotone in the hash
+    bucket = F.when(F.col("_tz_nb").isNotNull(), F.floor(frac * F.col("_tz_nb") / F.lit(float(1 << 32))))
+    b = _with_bucket(b, F.coalesce(bucket, F.lit(0)).cast("long"))
+    ranked = b.withColumn("_tz_rn", F.row_number().over(
+        Window.partitionBy(*by, BUCKET).orderBy(F.col("_tz_h"), F.col(key))))
+    per = ranked.where(F.col("_tz_nb").isNotNull()).groupBy(*by, BUCKET).agg(F.max("_tz_rn").alias("_tz_n"))
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*by, BUCKET, F.coalesce(F.sum("_tz_n").over(before), F.lit(0)).alias("_tz_off"))
+    joined = _join_small(ranked, offsets, [*by, BUCKET], bounded=True, how="left")
+    return joined.withColumn(out, (F.coalesce(F.col("_tz_off"), F.lit(0)) + F.col("_tz_rn")).cast("long")).drop(
+        BUCKET, "_tz_rn", "_tz_off", "_tz_nb", "_tz_h")
 
 
 def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:

@@ -105,12 +105,32 @@ def class_quotas(counts: DataFrame, by: str, test_size: float) -> DataFrame:
                     .otherwise(quota).cast("long").alias("quota"))
 
 
+MAX_CLASSES = 100_000
+
+
+def class_lookup(table: DataFrame, by: str, value: str):
+    """A per-class value (quota, offset) as a row-local lookup: the class table
+    (one row per class, refused above MAX_CLASSES) is fetched and inlined as a
+    map literal, so no join keyed by the class (a hot key) is needed."""
+    rows = table.select(by, value).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    known = [(r[0], r[1]) for r in rows if r[0] is not None]
+    null_value = next((r[1] for r in rows if r[0] is None), None)
+    col = F.col(by)
+    if known:
+        lookup = F.element_at(F.create_map(*[x for k, v in known for x in (F.lit(k), F.lit(v))]), col)
+    else:
+        lookup = F.lit(None)
+    return F.when(col.isNull(), F.lit(null_value)).otherwise(lookup)
+
+
 def stratified_split(df: DataFrame, test_size: float = 0.2, by: str = "trgt", seed=56, key: str = "row_id",
                      out: str = "split") -> DataFrame:
     """Seeded stratified train/test split with exact per-class quotas."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
-    quotas = class_quotas(counts, by, test_size)
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank", carry=quotas)
+    quota = class_lookup(class_quotas(counts, by, test_size), by, "quota")
+    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank").withColumn("quota", quota)
     return ranked.withColumn(
         out, F.when(F.col("_tz_rank") <= F.col("quota"), "test").otherwise("train")).drop("_tz_rank", "quota")
 
@@ -122,7 +142,8 @@ def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key:
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
     offsets = counts.select(by, F.coalesce(F.sum("n_c").over(
         Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_tz_class_off"))
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank", carry=offsets)
+    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank").withColumn(
+        "_tz_class_off", class_lookup(offsets, by, "_tz_class_off"))
     return ranked.withColumn(
         out, F.pmod(F.col("_tz_class_off") + F.col("_tz_rank") - 1, F.lit(k)).cast("int")).drop(
         "_tz_rank", "_tz_class_off")

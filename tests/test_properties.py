@@ -67,3 +67,15 @@ def test_previous_and_last_preceding(spark, rows, buckets):
         assert last[k] == seen
         if not f:
             seen = k
+
+
+@SETTINGS
+@given(rows=strata, seed=st.integers(0, 99), per_bucket=st.sampled_from([1, 3, 10]))
+def test_seeded_rank_hot_strata_split(spark, monkeypatch, rows, seed, per_bucket):
+    # force small strata to count as hot so the bucketed path is exercised
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", per_bucket)
+    df = spark.createDataFrame(rows, "k long, s string").repartition(3)
+    ours = {(r.k, r["rank"]) for r in ranks.seeded_rank(df, "k", seed, by=["s"]).collect()}
+    w = Window.partitionBy("s").orderBy(ranks.seeded_hash("k", seed), "k")
+    ref = {(r.k, r.rn) for r in df.select("k", F.row_number().over(w).alias("rn")).collect()}
+    assert ours == ref
