@@ -506,7 +506,8 @@ FROM tok LEFT JOIN enc USING (doc_id)"""
 # end-to-end flow
 # --------------------------------------------------------------------------
 _E3_BASE = (f"SELECT doc_id, regexp_replace({nested_replace('text', _TERMS, ' ')}, '[\\p{{Nd}}\\r\\n]+', ' ', 'g') "
-            f"AS text, {nested_replace('rtnl', _TERMS, ' ')} AS rtnl, trgt FROM fx_train")
+            f"AS text, regexp_replace({nested_replace('rtnl', _TERMS, ' ')}, '[\\p{{Nd}}\\r\\n]+', ' ', 'g') AS rtnl, "
+            "trgt FROM fx_train")
 _E3_AUG = ("SELECT doc_id, text, rtnl, trgt, 0 AS seq FROM e3_base UNION ALL "
            "SELECT doc_id, rtnl AS text, ' ' AS rtnl, trgt, 1 AS seq FROM e3_base WHERE trgt > 0")
 _E3_TOK = f"SELECT doc_id, {nested_replace('text', fv.SALIENCE_TOKENS, ' ')} AS text, trgt, seq FROM e3_aug"

@@ -70,7 +70,8 @@ def triangulated_labels(human: DataFrame, replies: DataFrame, key: str,
 
 def training_set(df: DataFrame, key: str = "row_id", targets: Sequence[str] = tuple(fv.TARGETS),
                  n_calibrate: int = 200, test_size: float = 0.2, seed=56,
-                 terms: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
+                 terms: Sequence[str] | None = None, materialize: bool = True,
+                 faithful: bool = False) -> DataFrame:
     """Redact markers and names in text and rationale, strip numerals,
     flag targets, add rationale copies (with lineage), strip salience tokens,
     hold out ``n_calibrate`` rows by family (a copy never leaves its parent),
@@ -80,9 +81,16 @@ def training_set(df: DataFrame, key: str = "row_id", targets: Sequence[str] = tu
     The cleaned, augmented rows feed several branches (family sizes, totals,
     class counts, ranks, the semi join); with ``materialize`` they are
     checkpointed once to ``spark.checkpoint.dir`` instead of being re-derived
-    (and the text re-scanned) per branch."""
+    (and the text re-scanned) per branch.
+
+    ``faithful`` reproduces the reference's two gaps: numerals are stripped
+    from the text only (so rationale copies keep them) and the hold-out
+    draws single rows (a copy can be held out while its parent trains).
+    The default strips the rationale too and holds out whole families."""
     d = txt.redact_terms(df, ["text", "rtnl"], terms)
     d = txt.strip_numerals(d, "text")
+    if not faithful:
+        d = txt.strip_numerals(d, "rtnl")
     d = cols.composite_indicator(d, list(targets), "trgt")
     d = rws.augment(d, key)
     d = txt.strip_tokens(d, "text")
@@ -90,7 +98,7 @@ def training_set(df: DataFrame, key: str = "row_id", targets: Sequence[str] = tu
     if materialize:
         ensure_checkpoint_dir(d.sparkSession)
         d = d.checkpoint(eager=True)
-    held = smp.holdout(d, n_calibrate, seed, key, out="split", group="family")
+    held = smp.holdout(d, n_calibrate, seed, key, out="split", group=None if faithful else "family")
     cal = held.where(F.col("split") == "calibrate")
     rest = held.where(F.col("split") == "train").drop("split")
     return cal.unionByName(rws.assemble_train(rest, test_size, "trgt", seed, key).select(*cal.columns))

@@ -116,3 +116,13 @@ def test_kappa_stream_matches_batch(spark, scratch):
     want = {r.tag: r.kappa for r in cohen_kappa(normalize_tags(pairs, cols, "coerce"), fv.ALL_TAGS, "r1", "r2")
             .collect()}
     assert got == want
+
+
+def test_training_set_faithful_gap(spark):
+    from tessera.plans import workflows as wf
+    rows = [(i, f"text {i}", f"why {i}", 1, 0, 0, 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, text string, rtnl string, afrm int, agnt int, fitt int, refl int")
+    fixed = {(r.row_id, r.seq): r.text for r in wf.training_set(df, n_calibrate=5).collect()}
+    faithful = {(r.row_id, r.seq): r.text for r in wf.training_set(df, n_calibrate=5, faithful=True).collect()}
+    assert fixed[(3, 1)] == "why  " and faithful[(3, 1)] == "why 3"   # the copy bypasses numeral stripping
+    assert fixed[(3, 0)] == faithful[(3, 0)] == "text  "
