@@ -83,10 +83,17 @@ def evaluate(models: dict, df: DataFrame, key: str, targets: Sequence[str]) -> D
     return evaluate_long(score_long(models, df, key, targets))
 
 
-def assign_folds(feats: DataFrame, key: str, k: int, strat: str, seed, family: str | None = None) -> DataFrame:
+def assign_folds(feats: DataFrame, key: str, k: int, strat: str, seed, family: str | None = "auto") -> DataFrame:
     """Stratified folds; with ``family`` (the original's key on every row,
     e.g. ``coalesce(parent_id, row_id)``) only originals are dealt and each
-    augmented copy joins its parent's fold, so no copy validates its parent."""
+    augmented copy joins its parent's fold, so no copy validates its parent.
+    ``"auto"`` (default) does so when a ``parent_id`` column is present;
+    ``None`` deals every row (the reference's behaviour)."""
+    if family == "auto":
+        if "parent_id" in feats.columns:
+            fam = feats.withColumn("_tz_family", F.coalesce(F.col("parent_id"), F.col(key)))
+            return assign_folds(fam, key, k, strat, seed, "_tz_family").drop("_tz_family")
+        family = None
     if family is None:
         return stratified_folds(feats, k, strat, seed, key)
     return by_family(stratified_folds, feats, family, F.col(family) == F.col(key), k, strat, seed, key=key)
@@ -94,7 +101,7 @@ def assign_folds(feats: DataFrame, key: str, k: int, strat: str, seed, family: s
 
 def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int = 5, strat: str = "trgt",
                    seed=56, params: Mapping | None = None, parallelism: int = 8,
-                   family: str | None = None) -> tuple[DataFrame, DataFrame]:
+                   family: str | None = "auto") -> tuple[DataFrame, DataFrame]:
     """M3: stratified k-fold CV: per fold, weights from the training part, a
     fresh model per target, validation metrics; then mean/std over folds.
     Returns (fold metrics, summary). Folds are fitted concurrently."""
@@ -119,7 +126,7 @@ def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int =
 
 
 def grid_search(feats: DataFrame, key: str, targets: Sequence[str], grid: Mapping[str, Sequence],
-                k: int = 5, strat: str = "trgt", seed=56, family: str | None = None) -> DataFrame:
+                k: int = 5, strat: str = "trgt", seed=56, family: str | None = "auto") -> DataFrame:
     """M4: every configuration of ``grid`` x k-fold CV; mean/std of the pooled
     F1 and AUPRC per configuration, best first."""
     import itertools

@@ -69,12 +69,19 @@ def sample_strata(df: DataFrame, col: str, quotas: Mapping, seed, key: str,
 
 
 def holdout(df: DataFrame, n: int = 200, seed=56, key: str = "row_id", out: str = "split",
-            group: str | None = None) -> DataFrame:
+            group: str | None = "auto") -> DataFrame:
     """Label exactly ``n`` rows 'calibrate' and the rest 'train'; when
     the table has ``n`` rows or fewer nothing is held out (as the reference
     skips with a warning). With ``group`` (e.g. the parent id of augmented
     copies), whole groups are held out in seeded order while the running row
-    count stays within ``n``, so no copy is split from its parent."""
+    count stays within ``n``, so no copy is split from its parent. The
+    default ``"auto"`` does that whenever the rows carry augmentation lineage
+    (a ``parent_id`` column); ``group=None`` is the reference's row-level draw."""
+    if group == "auto":
+        if "parent_id" in df.columns:
+            df = df.withColumn("_tz_family", F.coalesce(F.col("parent_id"), F.col(key)))
+            return holdout(df, n, seed, key, out, "_tz_family").drop("_tz_family")
+        group = None
     if group is None:
         ranked = seeded_rank(df, key, seed, out="_tz_rank", total="_tz_total")
         cal = (F.col("_tz_total") > n) & (F.col("_tz_rank") <= n)

@@ -522,3 +522,14 @@ def test_encode_chunks_cover_whole_text(spark):
     assert [(r.k, r.chunk) for r in out] == [(1, 0), (1, 1), (1, 2), (2, 0)]
     assert sum(sum(r.attention_mask) for r in out if r.k == 1) == 10
     assert out[2].attention_mask == [1, 1, 0, 0]
+
+
+def test_holdout_auto_keeps_families(spark):
+    data = [(i, f"t{i}", f"r{i}", 1) for i in range(50)]
+    aug = rws.augment(spark.createDataFrame(data, "row_id long, text string, rtnl string, trgt int"))
+    out = smp.holdout(aug, 21).collect()
+    split_of = {(r.row_id, r.seq): r.split for r in out}
+    assert all(split_of[(i, 0)] == split_of[(i, 1)] for i in range(50))
+    assert sum(1 for v in split_of.values() if v == "calibrate") <= 21
+    rows = smp.holdout(aug, 21, group=None).collect()
+    assert sum(1 for r in rows if r.split == "calibrate") == 21
