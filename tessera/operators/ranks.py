@@ -4,8 +4,8 @@
 every row goes to one task. Here the order is cut into *buckets* that are
 monotone in the order (a hex prefix of an md5 order key, or equal-width ranges
 of a numeric order column). Rows are windowed per bucket in parallel; only the
-per-bucket summary (at most ``n_buckets`` rows per stratum) is ordered as a
-whole, and is joined back. Results are exactly those of the global window.
+per-bucket summary (at most ``n_buckets`` rows) is ordered as a whole, and is
+broadcast back. Results are exactly those of the global window.
 """
 
 from __future__ import annotations
@@ -45,9 +45,10 @@ def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys (a NULL stratum is a
-    stratum). ``bounded``: the small side has at most n_buckets rows (no
-    stratum key), so broadcasting it is safe at any input size; with strata
-    its size grows with their number and AQE's runtime size check decides."""
+    stratum). ``bounded``: the caller guarantees the small side's size (a
+    bucket summary of at most n_buckets rows, or a hot-strata table of at most
+    rows / ROWS_PER_BUCKET rows), so it is broadcast; otherwise AQE's runtime
+    size check picks the join."""
     ren = {k: f"_tz_k{i}" for i, k in enumerate(keys)}
     right = small.withColumnsRenamed(ren)
     right = F.broadcast(right) if bounded else right
