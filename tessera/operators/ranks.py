@@ -122,32 +122,42 @@ def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str
         BUCKET, "_tz_rn", "_tz_off", "_tz_nb", "_tz_h")
 
 
-def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
-    """Equal-width buckets of a numeric order column. The bounds are two
-    numbers fetched by one column-pruned min/max aggregate."""
+def order_bounds(df: DataFrame, order_col: str) -> tuple[float, float]:
+    """(min, max) of a numeric order column: one column-pruned aggregate. Pass
+    the result as ``bounds`` to several order-dependent operators over frames
+    that share the column, so it is computed once."""
     row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo = float(row.lo) if row.lo is not None else 0.0
     hi = float(row.hi) if row.hi is not None else 0.0
+    return lo, hi
+
+
+def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int,
+                       bounds: tuple[float, float] | None = None) -> DataFrame:
+    """Equal-width buckets of a numeric order column between ``bounds``
+    (computed when not given). Values outside the bounds still get a
+    monotone bucket, so stale bounds cost balance, never correctness."""
+    lo, hi = bounds if bounds is not None else order_bounds(df, order_col)
     width = (hi - lo + 1.0) / float(n_buckets)
     return _with_bucket(df, F.floor((F.col(order_col).cast("double") - F.lit(lo)) / F.lit(width)).cast("long"))
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
-                  n_buckets: int = RANGE_BUCKETS) -> DataFrame:
+                  n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
     """Dense 0-based position along a given order (``reset_index(drop=True)``).
     The first order column must be numeric; later ones break ties."""
     order = list(order)
-    b = _with_range_bucket(df, order[0], n_buckets)
+    b = _with_range_bucket(df, order[0], n_buckets, bounds)
     res = exact_row_number(b.withColumnRenamed(BUCKET, "_tz_rb"), [F.col(c) for c in order], F.col("_tz_rb"), (),
                            out).drop("_tz_rb")
     return res.withColumn(out, F.col(out) - 1)
 
 
 def previous_value(df: DataFrame, order: Sequence[str], value: str, out: str,
-                   n_buckets: int = RANGE_BUCKETS) -> DataFrame:
+                   n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
     """``lag(value)`` along a global order; NULL for the first row."""
     order = list(order)
-    b = _with_range_bucket(df, order[0], n_buckets)
+    b = _with_range_bucket(df, order[0], n_buckets, bounds)
     wb = Window.partitionBy(BUCKET).orderBy(*order)
     b = b.withColumn("_tz_rn", F.row_number().over(wb)).withColumn("_tz_lag", F.lag(value).over(wb))
     # last row of each bucket, then the last row of the nearest earlier bucket
@@ -160,11 +170,11 @@ def previous_value(df: DataFrame, order: Sequence[str], value: str, out: str,
 
 
 def last_preceding(df: DataFrame, order: Sequence[str], value: Column, out: str,
-                   n_buckets: int = RANGE_BUCKETS) -> DataFrame:
+                   n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
     """``last(value, ignorenulls) over (order by order rows between unbounded
     preceding and 1 preceding)``: the nearest earlier non-null value."""
     order = list(order)
-    b = _with_range_bucket(df, order[0], n_buckets).withColumn("_tz_v", value)
+    b = _with_range_bucket(df, order[0], n_buckets, bounds).withColumn("_tz_v", value)
     before = Window.partitionBy(BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_tz_in", F.last("_tz_v", ignorenulls=True).over(before))
     per = b.where(F.col("_tz_v").isNotNull()).groupBy(BUCKET).agg(

@@ -44,19 +44,19 @@ def augment(df: DataFrame, key: str = "row_id", text: str = "text", rtnl: str =
 
 
 def flag_augmented(df: DataFrame, order: list[str], text: str = "text", rtnl: str = "rtnl",
-                   out: str = "agmt") -> DataFrame:
+                   out: str = "agmt", bounds: tuple[float, float] | None = None) -> DataFrame:
     """W1 (faithful): 1 where ``text`` equals the previous row's rationale
     along ``order`` (NULL never equals NULL). Computed without a global
     single-partition window."""
-    d = previous_value(df, order, rtnl, "_tz_prev")
+    d = previous_value(df, order, rtnl, "_tz_prev", bounds=bounds)
     return d.withColumn(out, F.coalesce(F.col(text) == F.col("_tz_prev"), F.lit(False)).cast("int")).drop("_tz_prev")
 
 
 def parent_of(df: DataFrame, order: list[str], flag: str = "agmt", key: str = "row_id",
-              out: str = "parent_key") -> DataFrame:
+              out: str = "parent_key", bounds: tuple[float, float] | None = None) -> DataFrame:
     """For each flagged row, the key of the nearest preceding unflagged
     row (an as-of lookup); NULL on unflagged rows."""
-    d = last_preceding(df, order, F.when(F.col(flag) == 0, F.col(key)), "_tz_p")
+    d = last_preceding(df, order, F.when(F.col(flag) == 0, F.col(key)), "_tz_p", bounds=bounds)
     return d.withColumn(out, F.when(F.col(flag) == 1, F.col("_tz_p"))).drop("_tz_p")
 
 

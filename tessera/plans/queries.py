@@ -351,9 +351,11 @@ def q_flag_augmented(spark, base):
 
 @q("parent_of")
 def q_parent_of(spark, base):
+    from ..operators.ranks import order_bounds
     a = augmented(spark, base, clear_rtnl=False).drop("agmt")
-    flagged = rws.flag_augmented(a, ["doc_id", "seq"], out="agmt_flag")
-    return rws.parent_of(flagged, ["doc_id", "seq"], "agmt_flag", "doc_id").select(
+    bounds = order_bounds(a, "doc_id")      # shared by both order-dependent steps
+    flagged = rws.flag_augmented(a, ["doc_id", "seq"], out="agmt_flag", bounds=bounds)
+    return rws.parent_of(flagged, ["doc_id", "seq"], "agmt_flag", "doc_id", bounds=bounds).select(
         "doc_id", "seq", "agmt_flag", "parent_key")
 
 

@@ -533,3 +533,10 @@ def test_holdout_auto_keeps_families(spark):
     assert sum(1 for v in split_of.values() if v == "calibrate") <= 21
     rows = smp.holdout(aug, 21, group=None).collect()
     assert sum(1 for r in rows if r.split == "calibrate") == 21
+
+
+def test_stale_bounds_stay_exact(spark):
+    ids = list(range(-50, 300, 7))
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "k long, v string")
+    prev = {r.k: r.p for r in ranks.previous_value(df, ["k"], "v", "p", n_buckets=8, bounds=(0.0, 10.0)).collect()}
+    assert prev == {k: (str(ids[i - 1]) if i else None) for i, k in enumerate(ids)}
