@@ -540,3 +540,24 @@ def test_stale_bounds_stay_exact(spark):
     df = spark.createDataFrame([(i, str(i)) for i in ids], "k long, v string")
     prev = {r.k: r.p for r in ranks.previous_value(df, ["k"], "v", "p", n_buckets=8, bounds=(0.0, 10.0)).collect()}
     assert prev == {k: (str(ids[i - 1]) if i else None) for i, k in enumerate(ids)}
+
+
+def test_guards_refuse_unbounded_driver_tables(spark):
+    from tessera.sources.codebook import codebook
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        coding.request_table(docs, codebook(spark), "doc_id", max_codes=2)
+    assert coding.request_table(docs, codebook(spark), "doc_id").count() == len(fv.CODEBOOK)
+
+
+def test_replicate_counts(spark):
+    df = spark.range(7)
+    assert rws.replicate(df, 20).count() == 21
+    assert rws.replicate(df, 3).count() == 7
+
+
+def test_concat_rows_fills_missing(spark):
+    a = spark.createDataFrame([(1, "x")], "id long, a string")
+    b = spark.createDataFrame([(2, 3.0)], "id long, b double")
+    got = sorted(tuple(r) for r in rws.concat_rows(a, b).collect())
+    assert got == [(1, "x", None), (2, None, 3.0)]
