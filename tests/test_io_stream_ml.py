@@ -126,3 +126,16 @@ def test_training_set_faithful_gap(spark):
     faithful = {(r.row_id, r.seq): r.text for r in wf.training_set(df, n_calibrate=5, faithful=True).collect()}
     assert fixed[(3, 1)] == "why  " and faithful[(3, 1)] == "why 3"   # the copy bypasses numeral stripping
     assert fixed[(3, 0)] == faithful[(3, 0)] == "text  "
+
+
+def test_read_table_csv_with_schema(spark, scratch):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    path = os.path.join(scratch, "sheet.csv")
+    with open(path, "w") as f:
+        f.write("idx,text,afrm\n0,hello, \n1,bye,1\n")
+    schema = StructType([StructField("idx", LongType()), StructField("text", StringType()),
+                         StructField("afrm", StringType())])
+    df = sio.read_table(spark, path, schema=schema, row_id="idx", fmt="csv", header=True,
+                        ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False)
+    assert df.columns == ["row_id", "text", "afrm"]
+    assert [(r.row_id, r.afrm) for r in df.orderBy("row_id").collect()] == [(0, " "), (1, "1")]
