@@ -86,7 +86,15 @@ def disagreements(df: DataFrame, codes: Sequence[str], s1: str, s2: str, suffix:
 
 def triangulate(df: DataFrame, codes: Sequence[str], model_suffix: str = "_gpt",
                 out_suffix: str = "_triangulate") -> DataFrame:
-    """1 only where human = 1 and model = 1; anything missing -> 0."""
+    """1 only where human = 1 and model = 1; anything missing -> 0.
+    Both columns must be numeric: a string '1' is not 1 (as in pandas), and
+    Spark would silently cast it, so string tags are refused; run
+    ``normalize_tags`` first."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for c in codes:
+        for name in (c, f"{c}{model_suffix}"):
+            if types.get(name) == "string":
+                raise TypeError(f"{name} is a string column; normalise tags before triangulating")
     return df.withColumns({
         f"{c}{out_suffix}": F.coalesce((F.col(c) == 1) & (F.col(f"{c}{model_suffix}") == 1),
                                        F.lit(False)).cast("int") for c in codes})

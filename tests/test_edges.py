@@ -561,3 +561,9 @@ def test_concat_rows_fills_missing(spark):
     b = spark.createDataFrame([(2, 3.0)], "id long, b double")
     got = sorted(tuple(r) for r in rws.concat_rows(a, b).collect())
     assert got == [(1, "x", None), (2, None, 3.0)]
+
+
+def test_triangulate_refuses_string_tags(spark):
+    df = spark.createDataFrame([("1", 1.0)], "afrm string, afrm_gpt double")
+    with pytest.raises(TypeError):
+        cols.triangulate(df, ["afrm"])
