@@ -81,3 +81,39 @@ def assemble_train(aug: DataFrame, test_size: float = 0.2, by: str = "trgt", see
 def split_report(df: DataFrame, split: str = "split") -> DataFrame:
     """Row count per split."""
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def flag_and_parent(df: DataFrame, order: list[str], key: str = "row_id", text: str = "text",
+                    rtnl: str = "rtnl", flag: str = "agmt", out: str = "parent_key",
+                    bounds: tuple[float, float] | None = None) -> DataFrame:
+    """W1 then J5 in one pass over the rows: the faithful previous-row flag
+    and, for flagged rows, the key of the nearest preceding unflagged row.
+    One shuffle windows each order bucket; the flag of a bucket's first row
+    and the carry of earlier buckets come from a per-bucket summary (at most
+    n_buckets rows, broadcast back)."""
+    from pyspark.sql import Window
+
+    from .ranks import BUCKET, RANGE_BUCKETS, _join_small, _with_range_bucket
+    b = _with_range_bucket(df, order[0], RANGE_BUCKETS, bounds)
+    w = Window.partitionBy(BUCKET).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_tz_rn", F.row_number().over(w))
+    b = b.withColumn("_tz_fl", F.coalesce(F.col(text) == F.lag(rtnl).over(w), F.lit(False)))
+    unflagged_later = F.when((F.col("_tz_rn") > 1) & ~F.col("_tz_fl"), F.col(key))
+    b = b.withColumn("_tz_in", F.last(unflagged_later, ignorenulls=True).over(before))
+    pos = F.struct(*order)
+    summary = b.groupBy(BUCKET).agg(
+        F.min_by(F.col(text), pos).alias("_tz_t1"), F.min_by(F.col(key), pos).alias("_tz_k1"),
+        F.max_by(F.col(rtnl), pos).alias("_tz_rlast"),
+        F.max_by(F.col(key), F.when((F.col("_tz_rn") > 1) & ~F.col("_tz_fl"), pos)).alias("_tz_ulast"))
+    ws = Window.orderBy(BUCKET)   # one row per non-empty bucket
+    summary = summary.withColumn("_tz_f1", F.coalesce(F.col("_tz_t1") == F.lag("_tz_rlast").over(ws), F.lit(False)))
+    summary = summary.withColumn("_tz_lastu", F.coalesce(F.col("_tz_ulast"), F.when(~F.col("_tz_f1"), F.col("_tz_k1"))))
+    summary = summary.withColumn("_tz_carry", F.last("_tz_lastu", ignorenulls=True).over(
+        ws.rowsBetween(Window.unboundedPreceding, -1))).select(BUCKET, "_tz_f1", "_tz_k1", "_tz_carry")
+    j = _join_small(b, summary, [BUCKET], bounded=True)
+    is_flagged = F.when(F.col("_tz_rn") == 1, F.col("_tz_f1")).otherwise(F.col("_tz_fl"))
+    from_first = F.when((F.col("_tz_rn") > 1) & ~F.col("_tz_f1"), F.col("_tz_k1"))
+    parent = F.coalesce(F.col("_tz_in"), from_first, F.col("_tz_carry"))
+    return j.withColumn(flag, is_flagged.cast("int")).withColumn(out, F.when(is_flagged, parent)).drop(
+        BUCKET, "_tz_rn", "_tz_fl", "_tz_in", "_tz_f1", "_tz_k1", "_tz_carry")

@@ -351,12 +351,10 @@ def q_flag_augmented(spark, base):
 
 @q("parent_of")
 def q_parent_of(spark, base):
-    from ..operators.ranks import order_bounds
+    # W1 then J5 fused: one pass windows the rows once for both steps
     a = augmented(spark, base, clear_rtnl=False).drop("agmt")
-    bounds = order_bounds(a, "doc_id")      # shared by both order-dependent steps
-    flagged = rws.flag_augmented(a, ["doc_id", "seq"], out="agmt_flag", bounds=bounds)
-    return rws.parent_of(flagged, ["doc_id", "seq"], "agmt_flag", "doc_id", bounds=bounds).select(
-        "doc_id", "seq", "agmt_flag", "parent_key")
+    out = rws.flag_and_parent(a, ["doc_id", "seq"], key="doc_id", flag="agmt_flag", out="parent_key")
+    return out.select("doc_id", "seq", "agmt_flag", "parent_key")
 
 
 @q("semi_augmented")

@@ -79,3 +79,24 @@ def test_seeded_rank_hot_strata_split(spark, monkeypatch, rows, seed, per_bucket
     w = Window.partitionBy("s").orderBy(ranks.seeded_hash("k", seed), "k")
     ref = {(r.k, r.rn) for r in df.select("k", F.row_number().over(w).alias("rn")).collect()}
     assert ours == ref
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 400), st.sampled_from(["a", "b", None]),
+                               st.sampled_from(["a", "b", None])), min_size=1, max_size=80,
+                     unique_by=lambda t: t[0]),
+       buckets=st.sampled_from([1, 3, 65536]))
+def test_flag_and_parent_single_pass(spark, rows, buckets, monkeypatch):
+    from tessera.operators import rows as rws
+    monkeypatch.setattr(ranks, "RANGE_BUCKETS", buckets)
+    df = spark.createDataFrame(rows, "k long, text string, rtnl string")
+    got = {r.k: (r.agmt, r.parent_key) for r in rws.flag_and_parent(df, ["k"], key="k").collect()}
+    ordered = sorted(rows)
+    want, last_unflagged, prev_rtnl = {}, None, None
+    for i, (k, t, r) in enumerate(ordered):
+        f = int(i > 0 and t is not None and prev_rtnl is not None and t == prev_rtnl)
+        want[k] = (f, last_unflagged if f else None)
+        if not f:
+            last_unflagged = k
+        prev_rtnl = r
+    assert got == want
