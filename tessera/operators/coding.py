@@ -86,15 +86,17 @@ def replies_wide(parsed: DataFrame, key: str, codes: Sequence[str]) -> DataFrame
 
 
 def code_requests(requests: DataFrame, client, key: str, out: str = "reply",
-                  min_interval_s: float = 0.0) -> DataFrame:
+                  min_interval_s: float = 0.0, materialize: bool = True) -> DataFrame:
     """Run a model over the request table, one call per row, on the executors
     (``mapInPandas``: each task owns a slice of the requests, so calls spread
     over the cluster instead of one sequential driver loop). ``client`` is a
     picklable ``(system_prompt, user_text) -> str``; a failing call yields
     ``'error'``, which :func:`parse_responses` treats as "no reply".
     ``min_interval_s`` throttles calls per task. The result is
-    ``(key, alias, reply)``; persist it before parsing, since model calls are
-    not deterministic and a recomputed partition would call again."""
+    ``(key, alias, reply)``. Model calls are not deterministic and cost money,
+    so by default the replies are checkpointed at once (reliable storage under
+    ``spark.checkpoint.dir``): a lost executor later never triggers new calls,
+    and downstream parsing reads the stored replies."""
     import time
 
     from pyspark.sql.types import StringType, StructField, StructType
@@ -118,4 +120,9 @@ def code_requests(requests: DataFrame, client, key: str, out: str = "reply",
                 last = time.monotonic()
             yield pd.DataFrame({key: pdf[key], "alias": pdf["alias"], out: replies})
 
-    return requests.select(key, "alias", "system_prompt", "user_text").mapInPandas(run, schema)
+    replies = requests.select(key, "alias", "system_prompt", "user_text").mapInPandas(run, schema)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(replies.sparkSession)
+        replies = replies.checkpoint(eager=True)
+    return replies
