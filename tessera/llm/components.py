@@ -8,10 +8,28 @@ Nothing is collected; every round is cut off by a reliable checkpoint.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Joined:
+    """Joins the entries of a bucket into connected groups, row by row of the
+    link matrix, and keeps one link for every two groups that meet."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def row(self, a: int, linked: np.ndarray) -> None:
+        label = self.label
+        groups, first = np.unique(label[linked], return_index=True)
+        for g, i in zip(groups.tolist(), first.tolist()):
+            if g != label[a]:
+                self.links.append((a, int(linked[i])))
+                label[label == g] = label[a]
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     return edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 

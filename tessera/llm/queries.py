@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, simhash, warc
+from . import exact, mixing, multiindex, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,17 @@ FROM s
 @q
 def op10_mixing(spark, sf_dir):
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@q
+def op8_embedding_groups(spark, sf_dir):
+    return multiindex.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+@q
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        F.col("_d").alias("doc_id"), (F.crc32(F.col("_d").cast("string")) % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

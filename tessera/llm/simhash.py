@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, key_id, saved, whole
-from .components import components
+from .components import Joined, components
 
 SAMPLE = 4096
 HOT = 4096
@@ -163,23 +163,6 @@ def _entries(batches: Iterator[pa.RecordBatch], plan, deeper: bool) -> Iterator[
                                                  names=["_key", "_node", "_fp", "_probe"])
 
 
-class _Joined:
-    """Joins the entries of a bucket into connected groups, row by row of the
-    link matrix, and keeps one link for every two groups that meet."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def row(self, a: int, linked: np.ndarray) -> None:
-        label = self.label
-        groups, first = np.unique(label[linked], return_index=True)
-        for g, i in zip(groups.tolist(), first.tolist()):
-            if g != label[a]:
-                self.links.append((a, int(linked[i])))
-                label[label == g] = label[a]
-
-
 def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     t = whole(batches)
     if t is None:
@@ -198,7 +181,7 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     found += zip(node[pair[close]].tolist(), node[pair[close] + 1].tolist())
     for s, e in zip(starts[sizes > 2].tolist(), stops[sizes > 2].tolist()):
         filed = int((~probe[s:e]).sum())  # these come first; probes are compared with them only
-        joined, rows = _Joined(e - s), max(1, (1 << 22) // max(1, filed))
+        joined, rows = Joined(e - s), max(1, (1 << 22) // max(1, filed))
         for at in range(s, e, rows):
             top = min(at + rows, e)
             near = np.bitwise_count(fp[at:top, None] ^ fp[None, s:s + filed]) <= most
