@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, multiindex, simhash, toxicity, warc
+from . import exact, licences, lines, mixing, multiindex, packing, simhash, suffix, toxicity, warc
+from .common import NO_ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,32 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, model).select(
         F.col("_d").alias("doc_id"), (F.crc32(F.col("_d").cast("string")) % 4 == 2).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@q
+def op2_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
+        F.nullif("_id", F.lit(NO_ID)).alias("doc_id"), "n_lines", "n_exact", "n_near", "text")
+
+
+@q
+def op4_licences(spark, sf_dir):
+    # the documents as files of a tree: source, thousands, hundreds, one file each
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100) % 10,
+                       F.concat(F.col("doc_id"), F.lit(".txt")))
+    return licences.scan_licences(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
+
+
+@q
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@q
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
