@@ -1,10 +1,69 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage calls one operator of ``tessera.llm`` on all that the stage before
+kept; what a stage returns is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import lines, mixing, packing, simhash, toxicity
+from tessera.llm.common import saved
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.3. Learned from the labels of
+    documents that are still here; without labels of both classes all stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean_documents(docs, toxicity.fit(docs, labels))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that repeat or nearly repeat an
+    earlier one; n_chars follows the text. A document may end up empty."""
+    out = lines.dedup_lines(docs, carry=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of SimHash near-duplicates the document with the smallest
+    id; of rows that repeat that id, one."""
+    groups = simhash.simhash_groups(docs, shingle=3, most=3)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        F.col("doc_id").alias("_tz_id")).count()
+    repeated = not stay.where("count > 1").isEmpty()
+    out = docs.join(stay.select("_tz_id"), F.col("doc_id").eqNullSafe(F.col("_tz_id")), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: a row per document and pass over
+    its source, with the words taken."""
+    out = mixing.mixed_documents(docs, mixing.mix(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens; ids are little-endian
+    unsigned 32-bit."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("simhash", drop_near_copies), ("mixing", mix_sources),
+          ("packing", pack)]
+ORACLE_SQL = None  # a learned model, hashes and random draws are not SQL; tests/llm compares plain versions
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"stage-{k}")
+    return docs

@@ -46,18 +46,21 @@ def key_id(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """(_id, _ord, _text): ``_id`` orders the documents, ``_ord`` tells apart
     different texts under one id (0 where ids are unique). Rows that repeat
-    both id and text share a key and so are one document."""
-    base = docs.select(key_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    both id and text share a key and so are one document. ``carry`` adds the
+    whole rows, as the struct ``_row`` without the text."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_row")] if carry else []
+    base = docs.select(key_id(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *rest)
+    names = ["_id", "_ord", "_text", *(["_row"] if carry else [])]
     ids = base.select("_id")
     if ids.groupBy("_id").count().where("count > 1").isEmpty():
-        return base.select("_id", F.lit(0).alias("_ord"), "_text")
+        return base.withColumn("_ord", F.lit(0)).select(*names)
     marked = base.withColumn("_h", F.xxhash64("_text", F.length("_text")))
     kinds = marked.select("_id", "_h").distinct()
     ranked = kinds.withColumn("_ord", (F.row_number().over(Window.partitionBy("_id").orderBy("_h")) - 1).cast("int"))
-    return marked.join(ranked, ["_id", "_h"]).select("_id", "_ord", "_text")
+    return marked.join(ranked, ["_id", "_h"]).select(*names)
 
 
 def whole(batches: Iterator[pa.RecordBatch], schema: pa.Schema | None = None) -> pa.Table | None:

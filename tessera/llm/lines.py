@@ -57,9 +57,10 @@ def _where(items: Column, line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int = MIN_WORDS) -> DataFrame:
+                min_words: int = MIN_WORDS, carry: bool = False) -> DataFrame:
     """Per row of the keyed documents (_id, _ord): n_lines, n_exact, n_near
-    and text without the removed lines.
+    and text without the removed lines; with ``carry`` also _row, the other
+    columns of ``docs``.
 
     Lines are parted by a line feed. A line goes if an equal normalised line
     (:func:`normal`) comes earlier, by (id, line number), or if it is the
@@ -70,7 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash, and rows that repeat id and text are one document with a row each.
     An empty table gives an empty table.
     """
-    base = with_key(docs, id_col, text_col)
+    base = with_key(docs, id_col, text_col, carry)
     split = F.split("_text", "\n", -1)
     lines = base.select("_id", "_ord", F.posexplode(split).alias("_line", "_raw")).select(
         "_id", "_ord", "_line", F.split(normal(F.col("_raw")), " ", -1).alias("_w")).withColumn(
@@ -153,7 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.size("_all") == 0, F.col("_text")).otherwise(
         F.array_join(F.filter("_lines", lambda x, k: ~F.array_contains("_all", k)), "\n"))
     return out.select("_id", "_ord", F.size("_lines").alias("n_lines"), F.size("_gone").alias("n_exact"),
-                      F.size("_near").alias("n_near"), kept.alias("text"))
+                      F.size("_near").alias("n_near"), kept.alias("text"), *(["_row"] if carry else []))
 
 
 def _repeated(base: DataFrame) -> bool:

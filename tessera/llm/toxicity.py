@@ -285,3 +285,16 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"))
     return rows.mapInArrow(lambda b: _scores(b, shared),
                            "_d long, score double, passages array<struct<text:string,score:double>>")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], model, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+    m = model.value
+    for b in batches:
+        keep = [m.probability(m.evidence(m.passages(t.as_py())[1])) < least for t in b.column(text_col)]
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def clean_documents(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose score is below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda b: _clean(b, shared, text_col, least), docs.schema)
