@@ -192,7 +192,7 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: str, out_schema: pa.Schema)
         for r in b.to_pylist():
             spans = [m.span() for m in word.finditer(r[text_at] or "")]
             by_turn: dict[int, list] = {}
-            for p in r.pop("_p"):
+            for p in r.pop("_tz_p"):
                 by_turn.setdefault(p["turn"], []).append((p["start"], p["stop"]))
             text = r[text_at]
             for turn in sorted(by_turn):
@@ -214,10 +214,10 @@ def mixed_documents(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: s
     both id and text all get the union of their takings."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    per = m.pieces.groupBy(F.col("_id").alias("_tz_i"), F.col("_h").alias("_tz_h")).agg(
-        F.collect_list(F.struct("turn", "start", "stop")).alias("_p"))
-    d = docs.join(per, docs[id_col].eqNullSafe(F.col("_tz_i"))
-                  & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_tz_h"))).drop("_tz_i", "_tz_h")
+    per = m.pieces.groupBy(F.col("_id").alias("_tz_id2"), F.col("_h").alias("_tz_h")).agg(
+        F.collect_list(F.struct("turn", "start", "stop")).alias("_tz_p"))
+    d = docs.join(per, docs[id_col].eqNullSafe(F.col("_tz_id2"))
+                  & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_tz_h"))).drop("_tz_id2", "_tz_h")
     schema = docs.schema
     arrow = to_arrow_schema(schema)
     return d.mapInArrow(lambda b: _cut(b, text_col, arrow), schema)

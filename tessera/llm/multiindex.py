@@ -89,7 +89,7 @@ class Index:
         out = np.empty(len(q), dtype=np.int64)
         for r in range(len(q)):
             s = a[r, at[r] // len(self.second)] + b[r, at[r] % len(self.second)]
-            out[r] = np.searchsorted(np.sort(b[r]), s - a[r], side="left").sum()
+            out[r] = np.searchsorted(np.sort(b[r]), s - a[r] - 1e-12 * (1 + abs(s)), side="left").sum()
         return out
 
 

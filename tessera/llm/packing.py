@@ -68,7 +68,7 @@ class Tokens:
             s = w.decode()
             base = s.rstrip(".,;:!?")
             # a letter and the ASCII punctuation after it are never one token
-            cut = len(base) < len(s) and base and base[-1].isalpha() and ord(base[-1]) < 0x250
+            cut = len(base) < len(s) and base and len(z := base[-1].lower()) == 1 and z.isalpha() and ord(z) < 0x250
             parts[w] = [x.lower().encode() if x.isascii() else x.encode() for x in ([base, s[len(base):]] if cut else [s])]
         new = sorted({p for ps in parts.values() for p in ps} - self.where.keys())
         for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
