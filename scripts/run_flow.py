@@ -32,13 +32,16 @@ def main() -> None:
     ag.add_argument("--key", default="row_id")
     ag.add_argument("--output", required=True)
     ap.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
+    ap.add_argument("--input-bytes", type=int, default=None, help="sizes the shuffles, with --cores")
+    ap.add_argument("--cores", type=int, default=None)
     args = ap.parse_args()
 
     from tessera.plans import workflows
-    from tessera.session import get_spark
+    from tessera.session import cluster_conf, get_spark
     from tessera.sources.io import write_table
 
-    spark = get_spark(args.master, app=f"tessera-{args.flow}")
+    sized = cluster_conf(args.input_bytes, args.cores) if args.input_bytes and args.cores else None
+    spark = get_spark(args.master, app=f"tessera-{args.flow}", extra=sized)
     if args.flow == "training-set":
         df = spark.read.parquet(args.input)
         out = workflows.training_set(df, args.key, n_calibrate=args.n_calibrate, seed=args.seed)

@@ -45,6 +45,8 @@ SALIENCE_TOKENS = ["<|AFRM|>", "<|AGNT|>", "<|BRDN|>", "<|DMND|>", "<|FITT|>",
 # Entity labels whose spans are redacted.
 PII_LABELS = ["PERSON", "NORP", "FAC", "ORG", "GPE", "LOC", "PRODUCT", "EVENT"]
 PII_TOKEN = "<|PII|>"
+# This library's default: those and what its own recogniser finds.
+REDACT_LABELS = [*PII_LABELS, "EMAIL", "PHONE"]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: LLM prompt pieces

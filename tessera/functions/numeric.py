@@ -18,15 +18,6 @@ def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col_of(z)))
 
 
-def nan_to_null(c) -> Column:
-    c = col_of(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def ratio(num, den) -> Column:
     """num / den as DOUBLE, NULL when den is 0 or NULL (never raises under ANSI)."""
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
-
-
-def round6(c) -> Column:
-    return F.round(col_of(c), 6)

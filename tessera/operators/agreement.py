@@ -30,42 +30,45 @@ def rater_pairs(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: Seque
     return df.select(*by, F.inline(pairs))
 
 
-def confusion_cells(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., tag, a, b, cnt): the per-tag rater confusion matrix, pairs with a
-    missing value left out."""
-    long = rater_pairs(df, codes, s1, s2, by).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return long.groupBy(*by, "tag", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+def confusion_cells(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: Sequence[str] = (),
+                    missing: str = "raise") -> DataFrame:
+    """(by..., tag, a, b, cnt): the per-tag rater confusion matrix. A pair with
+    a missing value is an error; with ``missing="drop"`` it is left out."""
+    long = rater_pairs(df, codes, s1, s2, by)
+    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
+    if missing == "raise":
+        whole = F.when(whole, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("missing value in tag "), F.col("tag"))).cast("boolean"))
+    return long.where(whole).groupBy(*by, "tag", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def kappa_from_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Unweighted Cohen's kappa from confusion cells, in integers until the last
+    """Unweighted Cohen's kappa from confusion cells, exact until the last
     division: (n*sum(n_ii) - sum(n_i. n_.i)) / (n^2 - sum(n_i. n_.i)); NULL when
     the denominator is 0 (both raters constant and equal).
 
-    The cells of one tag (at most classes^2 rows) are gathered into one array
-    and reduced with higher-order functions, so the row data is read once
-    and no branch of the plan is recomputed."""
+    Each cell gives its count to its row's and its column's class; two grouped
+    sums over the cell table follow, for any number of classes. Products are
+    DECIMAL(38, 0), so counts up to 10^18 pairs do not overflow."""
     keys = [*by, "tag"]
-    g = cells.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "cnt")).alias("_c"))
     zero = F.lit(0).cast("long")
-
-    def total(arr):
-        return F.aggregate(arr, zero, lambda acc, c: acc + c["cnt"])
-
-    n = total(F.col("_c"))
-    agree = total(F.filter("_c", lambda c: c["a"] == c["b"]))
-    classes = F.array_distinct(F.concat(F.transform("_c", lambda c: c["a"]), F.transform("_c", lambda c: c["b"])))
-    pe = F.aggregate(classes, zero, lambda acc, k: acc + total(F.filter("_c", lambda c: c["a"] == k))
-                     * total(F.filter("_c", lambda c: c["b"] == k)))
-    res = g.select(*keys, n.alias("n"), agree.alias("agree"), pe.alias("pe"))
-    num = F.col("n") * F.col("agree") - F.col("pe")
-    den = F.col("n") * F.col("n") - F.col("pe")
+    halves = F.array(F.struct(F.col("a").alias("k"), F.col("cnt").alias("na"), zero.alias("nb"),
+                              F.when(F.col("a") == F.col("b"), F.col("cnt")).otherwise(zero).alias("agree")),
+                     F.struct(F.col("b").alias("k"), zero.alias("na"), F.col("cnt").alias("nb"), zero.alias("agree")))
+    marg = cells.select(*keys, F.inline(halves)).groupBy(*keys, "k").agg(
+        F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("agree").alias("agree"))
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("na", "nb", "n", "agree")}
+    res = marg.groupBy(*keys).agg(F.sum("na").alias("n"), F.sum("agree").alias("agree"),
+                                  F.sum((wide["na"] * wide["nb"]).cast("decimal(38,0)")).alias("pe"))
+    num = (wide["n"] * wide["agree"]).cast("decimal(38,0)") - F.col("pe")
+    den = (wide["n"] * wide["n"]).cast("decimal(38,0)") - F.col("pe")
     return res.select(*keys, "n", F.round(F.try_divide(num.cast("double"), den.cast("double")), 6).alias("kappa"))
 
 
-def cohen_kappa(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: Sequence[str] = ()) -> DataFrame:
+def cohen_kappa(df: DataFrame, codes: Sequence[str], s1: str, s2: str, by: Sequence[str] = (),
+                missing: str = "raise") -> DataFrame:
     """G1: kappa per tag (and per ``by`` group), any number of classes."""
-    return kappa_from_cells(confusion_cells(df, codes, s1, s2, by), by)
+    return kappa_from_cells(confusion_cells(df, codes, s1, s2, by, missing), by)
 
 
 def reliability_trend(df: DataFrame, codes: Sequence[str], s1: str, s2: str, cycle: str = "cycle",
@@ -76,6 +79,7 @@ def reliability_trend(df: DataFrame, codes: Sequence[str], s1: str, s2: str, cyc
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], value: str = "value") -> DataFrame:
-    """Value x column count matrix; a value absent from a column is NULL."""
-    long = df.unpivot([], list(cols), "column", value)
+    """Value x column count matrix; a value absent from a column is NULL,
+    and missing cells are not counted."""
+    long = df.unpivot([], list(cols), "column", value).where(F.col(value).isNotNull())
     return long.groupBy(value).pivot("column", list(cols)).agg(F.count(F.lit(1)))

@@ -18,8 +18,9 @@ from ..functions.text import col_of, pystrip
 def build_prompts(codebook: DataFrame, role: str = fv.CODEBOOK_ROLE) -> DataFrame:
     """One prompt per code: role + definition block + instruction +
     clarification + examples, the alias/name put into one template literal."""
-    definition_block = F.concat(F.lit('\nDefinition of "'), F.col("name"), F.lit('": '),
-                                F.col("definition"), F.lit("\n"))
+    before, after = fv.DEFINITION_TEMPLATE.split("{name}")
+    between, end = after.split("{definition}")
+    definition_block = F.concat(F.lit(before), F.col("name"), F.lit(between), F.col("definition"), F.lit(end))
     instruction = F.replace(F.replace(F.lit(fv.INSTRUCTION_TEMPLATE), F.lit("{name}"), F.col("name")),
                             F.lit("{alias}"), F.col("alias"))
     prompt = F.concat(F.lit(role), definition_block, instruction,
@@ -28,12 +29,12 @@ def build_prompts(codebook: DataFrame, role: str = fv.CODEBOOK_ROLE) -> DataFram
 
 
 def request_table(df: DataFrame, codebook: DataFrame, key: str, text: str = "text",
-                  role: str = fv.CODEBOOK_ROLE, max_codes: int = 1000) -> DataFrame:
-    """One request per (row, code). The prompt table has one row per code
-    (refused above ``max_codes``); it is fetched once and every row expands
-    into its requests with a row-local ``inline`` (no join, no shuffle)."""
-    prompts = build_prompts(codebook, role).limit(max_codes + 1).collect()
-    if len(prompts) > max_codes:
+                  role: str = fv.CODEBOOK_ROLE, max_codes: int | None = None) -> DataFrame:
+    """One request per (row, code). The prompt table has one row per code;
+    it is fetched once and every row expands into its requests with a
+    row-local ``inline`` (no join, no shuffle). ``max_codes``: refuse more."""
+    prompts = build_prompts(codebook, role).collect()
+    if max_codes is not None and len(prompts) > max_codes:
         raise ValueError(f"more than {max_codes} codes")
     reqs = F.array(*[F.struct(F.lit(p.alias).alias("alias"), F.lit(p.prompt).alias("system_prompt"))
                      for p in prompts])
@@ -49,9 +50,8 @@ def parse_reply_cols(reply, alias) -> dict[str, Column]:
     three stay NULL for an ``'error'`` or missing reply."""
     r, a = col_of(reply), col_of(alias)
     failed = r.isNull() | (r == F.lit(fv.ERROR_REPLY))
-    dec_m = F.concat(a, F.lit("_1"))
-    rat_m = F.concat(a, F.lit("_rationale:"))
-    exp_m = F.concat(a, F.lit("_explanation:"))
+    dec_m, rat_m, exp_m = (F.concat(a, F.lit(m.removeprefix("{alias}")))
+                           for m in (fv.DECISION_MARKER, fv.RATIONALE_MARKER, fv.EXPLANATION_MARKER))
     decision = F.when(F.contains(r, dec_m), F.lit(1)).otherwise(F.lit(0))
     rationale = F.when((decision == 1) & F.contains(r, rat_m),
                        pystrip(F.split_part(F.split_part(r, rat_m, F.lit(2)), exp_m, F.lit(1))))
@@ -66,12 +66,12 @@ def parse_reply_cols(reply, alias) -> dict[str, Column]:
 
 def parse_responses(df: DataFrame, reply: str = "reply", alias: str = "alias") -> DataFrame:
     """T10 on a long reply table (one row per row x code). If the output
-    columns already exist (a re-run), a failed reply keeps the old values."""
+    columns already exist (a re-run), a failed reply keeps the old values and
+    any other reply replaces them all."""
     cols = parse_reply_cols(reply, alias)
-    out = {}
-    for name, expr in cols.items():
-        out[name] = F.coalesce(expr, F.col(name)) if name in df.columns else expr
-    return df.withColumns(out)
+    failed = F.col(reply).isNull() | (F.col(reply) == F.lit(fv.ERROR_REPLY))
+    return df.withColumns({name: F.when(failed, F.col(name)).otherwise(expr) if name in df.columns else expr
+                           for name, expr in cols.items()})
 
 
 def replies_wide(parsed: DataFrame, key: str, codes: Sequence[str]) -> DataFrame:

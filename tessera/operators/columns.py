@@ -59,14 +59,10 @@ def any_positive(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-def head_by(df: DataFrame, n: int, order: Sequence[str], merge_budget: int = 20_000_000) -> DataFrame:
-    """First ``n`` rows along ``order``: a top-n (no full sort) while its
-    single merge task sees at most ``merge_budget`` rows (n per partition),
-    else an exact distributed index along the order (numeric first column)."""
-    if n * df.rdd.getNumPartitions() <= merge_budget:
-        return df.orderBy(*order).limit(n)
-    from .ranks import ordered_index
-    return ordered_index(df, order, "_tz_idx").where(F.col("_tz_idx") < n).drop("_tz_idx")
+def head_by(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """First ``n`` rows along ``order``, sorted (a top-n: no full sort;
+    the n rows themselves pass through one task)."""
+    return df.orderBy(*order).limit(n)
 
 
 def composite_indicator(df: DataFrame, cols: Sequence[str], out: str = "trgt") -> DataFrame:

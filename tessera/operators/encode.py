@@ -1,13 +1,15 @@
 """T12 (re-aimed): fixed-length token-id encoding with attention masks over
-whitespace tokens and a corpus vocabulary."""
+whitespace tokens and hashed ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WS_SPLIT = r"[\t\n\x{0B}\f\r ]+"
-PAD, UNK = 0, 1
+PAD = 0
 
 
 WS_EDGES = r"^[\t\n\x{0B}\f\r ]+|[\t\n\x{0B}\f\r ]+$"
@@ -22,38 +24,29 @@ def tokens(text) -> F.Column:
     return F.when(t.isNull() | (trimmed == ""), empty).otherwise(F.split(trimmed, WS_SPLIT))
 
 
-def build_vocab(df: DataFrame, text: str = "text", vocab_size: int = 30_000) -> DataFrame:
-    """The ``vocab_size`` most frequent tokens (ties by token), ids from 2
-    (0 = padding, 1 = unknown). Counting is a map-side combined group-by; the
-    cut is a top-n, so the vocabulary is bounded by ``vocab_size``."""
-    counts = df.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    top = counts.orderBy(F.desc("freq"), F.asc("token")).limit(vocab_size)
-    # at most vocab_size rows: a plain window is fine
-    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("token"))) + 1).cast("int"))
-
-
-def encode_batch(df: DataFrame, key: str, text: str = "text", vocab: DataFrame | None = None,
-                 max_len: int = 512, vocab_size: int = 30_000, overflow: bool = False) -> DataFrame:
-    """Token ids truncated/padded to ``max_len`` plus the attention mask.
-
-    Only the first ``max_len`` tokens of each text are exploded, joined to the
-    (bounded, broadcast) vocabulary and regrouped by key, so the shuffle per
-    text is bounded by ``max_len`` whatever the text length. With
-    ``overflow`` the whole text is encoded as consecutive ``max_len``
-    windows (``chunk`` 0, 1, ...), one row each; every group is still at most
-    ``max_len`` tokens."""
-    vocab = vocab if vocab is not None else build_vocab(df, text, vocab_size)
-    toks = df.select(key, tokens(text).alias("_toks"))
-    body = F.col("_toks") if overflow else F.slice("_toks", 1, max_len)
-    head = toks.select(key, F.size("_toks").alias("n_tokens"), F.posexplode_outer(body).alias("pos", "token"))
-    chunk = F.coalesce(F.floor(F.col("pos") / F.lit(max_len)), F.lit(0)).cast("int")
-    head = head.withColumn("chunk", chunk).withColumn("pos", F.col("pos") - F.col("chunk") * F.lit(max_len))
-    ided = head.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    keys = [key, "n_tokens"] + (["chunk"] if overflow else [])
-    grouped = ided.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    ids = F.transform("_items", lambda s: s["id"])
-    pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.lit(max_len) - F.size(ids)))
-    return grouped.select(key, *(["chunk"] if overflow else []), F.col("n_tokens").cast("int").alias("n_tokens"),
-                          F.concat(ids, pad).alias("input_ids"), mask.alias("attention_mask"))
+def token_id(token) -> F.Column:
+    """A stable id for every token: 60 bits of its md5, from 2 on (0 is padding,
+    1 is kept free for an unknown token). No vocabulary has to be counted,
+    joined or cut off, and other engines compute the same ids."""
+    return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("long") + 2
+
+
+def encode_batch(df: DataFrame, key: str, text: str = "text", max_len: int = 512, overflow: bool = True,
+                 labels: Sequence[str] = ()) -> DataFrame:
+    """Token ids in windows of ``max_len``, padded, with the attention mask and
+    the ``labels`` columns. The whole text is encoded: consecutive windows are
+    rows with ``chunk`` 0, 1, ... ``overflow=False`` is the reference's
+    truncation to the first window. Row by row, no shuffle; ``key`` may repeat."""
+    toks = df.select(key, *labels, tokens(text).alias("_toks")).withColumn("n_tokens", F.size("_toks"))
+    if overflow:
+        last = F.greatest(F.ceil(F.col("n_tokens") / max_len) - 1, F.lit(0)).cast("int")
+        toks = toks.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    else:
+        toks = toks.withColumn("chunk", F.lit(0))
+    ids = F.transform(F.slice("_toks", F.col("chunk") * max_len + 1, F.lit(max_len)), token_id)
+    toks = toks.withColumn("_ids", ids)
+    more = F.lit(max_len) - F.size("_ids")
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), more))
+    return toks.select(key, *(["chunk"] if overflow else []), "n_tokens",
+                       F.concat("_ids", F.array_repeat(F.lit(PAD).cast("long"), more)).alias("input_ids"),
+                       mask.alias("attention_mask"), *labels)

@@ -39,11 +39,12 @@ def _sorted_terms(gazetteer: Mapping[str, str]) -> list[str]:
 
 
 def recogniser_pattern(gazetteer: Mapping[str, str]) -> str:
-    """``[^A-Za-z0-9](term|...|EMAIL|PHONE)`` run over ``' ' + text``: one
-    boundary character, consumed, then the entity. The right boundary is
-    checked afterwards."""
-    alt = "|".join([_escape_re(t) for t in _sorted_terms(gazetteer)] + [EMAIL, PHONE])
-    return f"[^A-Za-z0-9](?:{alt})"
+    """``[^A-Za-z0-9](EMAIL|PHONE|term|...)`` run over ``' ' + text``: one
+    boundary character, consumed, then the entity, which no letter or digit
+    may follow. Addresses come first, so that a name at the start of one does
+    not eat it."""
+    alt = "|".join([EMAIL, PHONE] + [_escape_re(t) for t in _sorted_terms(gazetteer)])
+    return f"[^A-Za-z0-9](?:{alt})(?!{ALNUM})"
 
 
 def candidate_guard(text, gazetteer: Mapping[str, str]) -> Column:
@@ -61,8 +62,7 @@ def builtin_spans(text, gazetteer: Mapping[str, str] | None = None) -> Column:
     """Spans of gazetteer terms (whole words), e-mail addresses and phone
     numbers, as SQL expressions: one ``regexp_extract_all`` scan over the rows
     that pass :func:`candidate_guard`, then each match is located after the
-    previous one (a match is always the first occurrence of its text there,
-    else the scan would have matched earlier)."""
+    previous one: the first place where its text stands as a whole word."""
     gaz = dict(default_gazetteer() if gazetteer is None else gazetteer)
     t = col_of(text)
     padded = F.concat(F.lit(" "), t)
@@ -71,7 +71,10 @@ def builtin_spans(text, gazetteer: Mapping[str, str] | None = None) -> Column:
     labels = F.create_map(*[x for k, v in sorted(gaz.items()) for x in (F.lit(k), F.lit(v))])
 
     def step(acc, w):
-        at = F.call_function("locate", w, padded, acc["pos"] + 1) - 1   # 0-based in padded
+        # 0-based in padded; the text may occur earlier with a letter or digit behind it, which is no match
+        rest = F.substring(padded, acc["pos"] + 1, F.lit(2147483647))
+        whole = F.concat(F.lit("\\Q"), w, F.lit("\\E(?!" + ALNUM + ")"))
+        at = acc["pos"] + F.length(F.element_at(F.split(rest, whole, 2), 1))
         ent = F.substring(w, 2, 2147483647)
         start = at                                                     # entity start in text
         end = start + F.length(ent)
@@ -83,8 +86,6 @@ def builtin_spans(text, gazetteer: Mapping[str, str] | None = None) -> Column:
         return F.struct((at + F.length(w)).alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     spans = F.aggregate(wholes, init, step)["spans"]
-    # whole words only: the character after a span must not be a letter/digit
-    spans = F.filter(spans, lambda s: ~F.coalesce(F.substring(t, s["end"] + 1, F.lit(1)).rlike(ALNUM), F.lit(False)))
     return F.when(candidate_guard(t, gaz), spans).otherwise(F.array().cast(SPAN_TYPE))
 
 
@@ -116,5 +117,7 @@ def detect_entities(df: DataFrame, text: str = "text", out: str = "spans",
 
 def spans_long(df: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
     """One row per span: (key, span_no, start, end, label, text)."""
-    return df.select(key, F.posexplode(spans).alias("span_no", "s")).select(
+    # the outer form, then a test of the row: an inner one would run the recogniser in a filter as well
+    rows = df.select(key, F.posexplode_outer(spans).alias("span_no", "s")).where(F.col("span_no").isNotNull())
+    return rows.select(
         key, "span_no", "s.start", "s.end", "s.label", F.col("s.text").alias("span_text"))

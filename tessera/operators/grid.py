@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 
 from .metrics import _f1_macro_expr
 
-MAX_CONFIGS = 10_000
-
 
 def grid_rows(params: Mapping[str, Sequence]) -> list[dict]:
     """Configurations in list order, first parameter slowest; ``config_id`` is
     the position."""
     names = list(params)
     rows = [dict(zip(names, values)) for values in itertools.product(*[params[n] for n in names])]
-    if len(rows) > MAX_CONFIGS:
-        raise ValueError(f"grid has {len(rows)} configurations (> {MAX_CONFIGS})")
     return [{"config_id": i, **r} for i, r in enumerate(rows)]
 
 
@@ -54,11 +50,18 @@ def threshold_search(long: DataFrame, thresholds: Sequence[float], fold: str = "
                      param: str = "threshold") -> DataFrame:
     """Cross-validated search over the decision threshold: per (config, fold)
     the pooled macro F1 of ``y_prob > threshold``, then mean and population
-    std over folds. Rows are first reduced to counts per (fold, label, score),
-    and only those counts are expanded over the configurations."""
-    counts = long.groupBy(fold, "y_true", "y_prob").agg(F.count(F.lit(1)).alias("cnt"))
-    d = counts.select(fold, "y_true", "y_prob", "cnt", F.inline(_grid_literal({param: list(thresholds)})))
-    pred = F.col("y_prob") > F.col(param)
+    std over folds. Each row falls between two thresholds; rows are counted
+    per (fold, label, interval), one row per interval at most, and the counts
+    above each threshold are sums over the intervals beyond it."""
+    cuts = sorted({float(t) for t in thresholds})
+    above = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0),
+                        lambda acc, c: acc + (F.col("y_prob") > c).cast("int"))  # thresholds below the score
+    counts = long.groupBy(fold, "y_true", above.alias("above")).agg(F.count(F.lit(1)).alias("cnt"))
+    grid = F.array(*[F.struct(F.lit(r["config_id"]).alias("config_id"), F.lit(float(r[param])).alias(param),
+                              F.lit(cuts.index(float(r[param]))).alias("cut"))
+                     for r in grid_rows({param: list(thresholds)})])
+    d = counts.select(fold, "y_true", "above", "cnt", F.inline(grid))
+    pred = F.col("above") > F.col("cut")
     y = F.col("y_true") == 1
     conf = d.groupBy("config_id", param, fold).agg(
         F.sum(F.when(y & pred, F.col("cnt")).otherwise(0)).alias("tp"),

@@ -15,7 +15,7 @@ from ..functions.numeric import ratio, sigmoid, softplus
 from .ranks import running_sums
 
 AGGREGATE = "aggregate"
-SCORE_BUCKETS = 65536
+SCORE_BUCKETS = 64
 
 
 def decide(df: DataFrame, logit: str = "logit", threshold: float = 0.5, prob: str = "y_prob",
@@ -45,9 +45,16 @@ def pos_weights(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     return out.select(*by, "target", "n_pos", "n_neg", F.round(w, 6).alias("pos_weight"))
 
 
+def _given(c: str):
+    """The column; a NULL (or NaN) in it raises."""
+    missing = F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return F.when(missing, F.raise_error(F.lit(f"missing value in {c}")).cast("double")).otherwise(F.col(c).cast("double"))
+
+
 def confusion(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, tn per (by..., target)."""
-    y, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    """tp, fp, fn, tn per (by..., target). A missing label or prediction is an
+    error: no row is left out."""
+    y, p = _given("y_true") == 1, _given("y_pred") == 1
     return long.groupBy(*by, "target").agg(
         F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
         F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
@@ -83,16 +90,22 @@ def mcc(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def score_counts(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and rows per distinct score: the one shuffle AP needs."""
-    return long.where(F.col("y_prob").isNotNull() & ~F.isnan("y_prob")).groupBy(*by, "target", "y_prob").agg(
-        F.sum(F.col("y_true")).cast("long").alias("pos"), F.count(F.lit(1)).alias("cnt"))
+    """Positives and rows per distinct score: the one shuffle AP needs. A
+    missing score or label is an error: no row is left out."""
+    return long.withColumn("y_prob", _given("y_prob")).groupBy(*by, "target", "y_prob").agg(
+        F.sum(_given("y_true")).cast("long").alias("pos"), F.count(F.lit(1)).alias("cnt"))
 
 
 def ap_from_counts(s: DataFrame, keys: Sequence[str]) -> DataFrame:
     """AP = sum(pos_k * TP_k / N_k) / P over thresholds, running sums down the
     scores computed as a bucketed prefix sum (no single-partition window)."""
     keys = list(keys)
-    bucket = -F.floor(F.col("y_prob") * F.lit(float(SCORE_BUCKETS)))
+    # equal shares of the distinct scores, wherever they lie: quantiles per group (any monotone cut gives the same sums)
+    at = [(k + 1) / SCORE_BUCKETS for k in range(SCORE_BUCKETS - 1)]
+    cuts = s.groupBy(*keys).agg(F.percentile_approx("y_prob", at, 1000).alias("_cuts"))
+    s = s.join(cuts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}),
+               [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
+    bucket = -F.size(F.filter("_cuts", lambda c: c <= F.col("y_prob")))
     s = running_sums(s, [F.col("y_prob").desc()], bucket, {"tp_cum": F.col("pos"), "n_cum": F.col("cnt")}, keys)
     ap = s.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("tp_cum").cast("double") / F.col("n_cum"))).alias("_acc"),

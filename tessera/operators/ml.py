@@ -14,31 +14,36 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.io import write_csv
 from .metrics import cv_summary, evaluate_long, pos_weights
 from .sampling import by_family, stratified_folds
 
-DEFAULT_PARAMS = {"maxIter": 25, "regParam": 0.01, "numFeatures": 1 << 16}
+DEFAULT_PARAMS = {"maxIter": 25, "regParam": 0.01}
 
 
 def featurize(df: DataFrame, text: str = "text", num_features: int = 1 << 16) -> tuple[PipelineModel, DataFrame]:
-    """Tokenise -> hashed term frequencies -> IDF. The featurised frame is
-    checkpointed (reliable storage under spark.checkpoint.dir) so the fits
-    that follow neither recompute nor depend on a long lineage."""
+    """Tokenise -> hashed term frequencies (``tf``). Row by row: nothing is
+    learned here, so nothing of a test row can leak. The frame is checkpointed
+    (reliable storage under spark.checkpoint.dir) so the fits that follow
+    neither recompute nor depend on a long lineage."""
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[\s\p{Z}]+", toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
+        HashingTF(inputCol="_tokens", outputCol="tf", numFeatures=num_features),
     ])
-    model = pipe.fit(df)
     ensure_checkpoint_dir(df.sparkSession)
-    feats = model.transform(df).drop("_tokens", "_tf").checkpoint(eager=True)
-    return model, feats
+    model = pipe.fit(df)
+    return model, model.transform(df).drop("_tokens").checkpoint(eager=True)
+
+
+def fit_idf(train: DataFrame) -> IDFModel:
+    """Inverse document frequencies of the training part alone."""
+    return IDF(inputCol="tf", outputCol="features").fit(train)
 
 
 def _fit_one(train: DataFrame, target: str, weight: float, p: Mapping):
@@ -52,22 +57,28 @@ def _fit_one(train: DataFrame, target: str, weight: float, p: Mapping):
 def fit_multilabel(train: DataFrame, targets: Sequence[str], params: Mapping | None = None,
                    parallelism: int = 4) -> dict:
     """M1: one weighted logistic regression per target. Returns
-    ``{target: (model, pos_weight)}``; the weights come from one aggregate.
+    ``{target: (model, pos_weight, idf)}``; the weights come from one aggregate.
+    A frame with ``tf`` gets ``features`` from its own document frequencies.
     Fits are independent Spark jobs, submitted concurrently (as
     ``CrossValidator(parallelism=...)`` does) so small fits overlap."""
     p = {**DEFAULT_PARAMS, **(params or {})}
+    idf = None
+    if "features" not in train.columns:
+        idf = fit_idf(train)
+        train = idf.transform(train)
     weights = {r.target: r.pos_weight for r in pos_weights(train, targets).collect()}  # one row per target
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         futs = {t: ex.submit(_fit_one, train, t, weights[t], p) for t in targets}
-        return {t: (futs[t].result(), weights[t]) for t in targets}
+        return {t: (futs[t].result(), weights[t], idf) for t in targets}
 
 
 def score_long(models: dict, df: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:
     """Long scores (key, target, y_true, logit, y_prob, y_pred) for all targets."""
     parts = []
     for t in targets:
-        m, _ = models[t]
-        s = m.transform(df.select(key, "features", t))
+        m, _, idf = models[t]
+        x = df if idf is None else idf.transform(df)
+        s = m.transform(x.select(key, "features", t))
         parts.append(s.select(
             key, F.lit(t).alias("target"), F.col(t).cast("int").alias("y_true"),
             vector_to_array("rawPrediction")[1].alias("logit"),
@@ -96,7 +107,10 @@ def assign_folds(feats: DataFrame, key: str, k: int, strat: str, seed, family: s
         family = None
     if family is None:
         return stratified_folds(feats, k, strat, seed, key)
-    return by_family(stratified_folds, feats, family, F.col(family) == F.col(key), k, strat, seed, key=key)
+    # a copy shares its parent's key: lineage, not the key, tells originals
+    own = F.col("seq") == 0 if "seq" in feats.columns else F.col("parent_id").isNull() \
+        if "parent_id" in feats.columns else F.col(family) == F.col(key)
+    return by_family(stratified_folds, feats, family, own, k, strat, seed, key=key)
 
 
 def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int = 5, strat: str = "trgt",
@@ -126,11 +140,17 @@ def cross_validate(feats: DataFrame, key: str, targets: Sequence[str], k: int =
 
 
 def grid_search(feats: DataFrame, key: str, targets: Sequence[str], grid: Mapping[str, Sequence],
-                k: int = 5, strat: str = "trgt", seed=56, family: str | None = "auto") -> DataFrame:
+                k: int = 5, strat: str = "trgt", seed=56, family: str | None = "auto",
+                fixed: Mapping | None = None, csv: str | None = None) -> DataFrame:
     """M4: every configuration of ``grid`` x k-fold CV; mean/std of the pooled
-    F1 and AUPRC per configuration, best first."""
+    F1 and AUPRC per configuration, best first. ``fixed`` parameters apply to
+    all and are columns of the result; ``csv``: also written there."""
     import itertools
-    names = list(grid)
+    fixed = dict(fixed or {})
+    unknown = (set(grid) | set(fixed)) - set(DEFAULT_PARAMS)
+    if unknown:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    names = [*grid, *fixed]
     spark = feats.sparkSession
     ensure_checkpoint_dir(spark)
     folded = assign_folds(feats, key, k, strat, seed, family).checkpoint(eager=True)  # shared by all configs
@@ -144,12 +164,19 @@ def grid_search(feats: DataFrame, key: str, targets: Sequence[str], grid: Mappin
         stats = {r.metric: (r.mean, r.std) for r in agg}
         f1 = stats.get("f1_macro", (None, None))
         ap = stats.get("auprc", (None, None))
-        return (cid, *[float(v) for v in values], f1[0], f1[1], ap[0], ap[1])
+        return (cid, *values, f1[0], f1[1], ap[0], ap[1])
 
-    configs = list(enumerate(itertools.product(*[grid[n] for n in names])))
+    configs = [(i, (*v, *fixed.values())) for i, v in enumerate(itertools.product(*grid.values()))]
     with ThreadPoolExecutor(max_workers=3) as ex:
         rows = list(ex.map(one_config, configs))
-    schema = ", ".join(["config_id int"] + [f"{n} double" for n in names] +
+    kinds = {n: "bigint" if all(isinstance(v, int) for v in [*grid.get(n, []), *([fixed[n]] if n in fixed else [])])
+             else "double" for n in names}
+    rows = [tuple(float(v) if 0 < i <= len(names) and kinds[names[i - 1]] == "double" else v for i, v in enumerate(r))
+            for r in rows]
+    schema = ", ".join(["config_id int"] + [f"{n} {kinds[n]}" for n in names] +
                        ["mean_f1 double", "std_f1 double", "mean_auprc double", "std_auprc double"])
     res = spark.createDataFrame(rows, schema)
-    return res.orderBy(F.desc_nulls_last("mean_f1"), *names)
+    res = res.orderBy(F.desc_nulls_last("mean_f1"), *names)
+    if csv:
+        write_csv(res.coalesce(1), csv)
+    return res

@@ -2,8 +2,8 @@
 
 ``Window.orderBy(...)`` with no partition key plans ``Exchange SinglePartition``:
 every row goes to one task. Here the order is cut into *buckets* that are
-monotone in the order (a hex prefix of an md5 order key, or equal-width ranges
-of a numeric order column). Rows are windowed per bucket in parallel; only the
+monotone in the order (a hex prefix of an md5 order key, or ranges between the
+quantiles of a numeric order column). Rows are windowed per bucket in parallel; only the
 per-bucket summary (at most ``n_buckets`` rows) is ordered as a whole, and is
 broadcast back. Results are exactly those of the global window.
 """
@@ -19,7 +19,7 @@ from ..functions.text import col_of
 
 BUCKET = "_tz_bkt"
 HEX_CHARS = 4          # 16**4 = 65,536 buckets per stratum
-RANGE_BUCKETS = 65536
+RANGE_BUCKETS = 1024
 
 
 def seeded_hash(key, seed) -> Column:
@@ -122,28 +122,39 @@ def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str
         BUCKET, "_tz_rn", "_tz_off", "_tz_nb", "_tz_h")
 
 
-def order_bounds(df: DataFrame, order_col: str) -> tuple[float, float]:
-    """(min, max) of a numeric order column: one column-pruned aggregate. Pass
-    the result as ``bounds`` to several order-dependent operators over frames
-    that share the column, so it is computed once."""
-    row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo = float(row.lo) if row.lo is not None else 0.0
-    hi = float(row.hi) if row.hi is not None else 0.0
-    return lo, hi
+def order_bounds(df: DataFrame, order_col: str, n_buckets: int = RANGE_BUCKETS) -> list[float]:
+    """Cut points of a numeric order column at its quantiles: one
+    column-pruned aggregate. Pass the result as ``bounds`` to several
+    order-dependent operators over frames that share the column, so it is
+    computed once."""
+    at = [(k + 1) / n_buckets for k in range(n_buckets - 1)]
+    got = df.agg(F.percentile_approx(F.col(order_col).cast("double"), at, 10 * n_buckets)).first()[0]
+    return sorted(set(got or []))
 
 
 def _with_range_bucket(df: DataFrame, order_col: str, n_buckets: int,
-                       bounds: tuple[float, float] | None = None) -> DataFrame:
-    """Equal-width buckets of a numeric order column between ``bounds``
-    (computed when not given). Values outside the bounds still get a
-    monotone bucket, so stale bounds cost balance, never correctness."""
-    lo, hi = bounds if bounds is not None else order_bounds(df, order_col)
-    width = (hi - lo + 1.0) / float(n_buckets)
-    return _with_bucket(df, F.floor((F.col(order_col).cast("double") - F.lit(lo)) / F.lit(width)).cast("long"))
+                       bounds: Sequence[float] | None = None) -> DataFrame:
+    """Buckets of a numeric order column between cut points (its quantiles
+    when not given), so a bucket holds about an equal share of the rows
+    wherever the values lie. Any cut points give monotone buckets: stale ones
+    cost balance, never correctness. The bucket is found in two steps, among
+    every k-th cut point and then among the k from there on."""
+    cuts = sorted(float(b) for b in (bounds if bounds is not None else order_bounds(df, order_col, n_buckets)))
+    x = F.col(order_col).cast("double")
+    k = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i:i + k] for i in range(0, len(cuts), k)]
+    if not parts:
+        return _with_bucket(df, F.lit(0).cast("long"))
+    lit = lambda v: F.array(*[F.lit(c) for c in v]).cast("array<double>")
+    below = lambda v: F.size(F.filter(v, lambda c: c <= x))
+    part = below(lit([p[0] for p in parts]))
+    inner = below(F.element_at(F.array(*[lit(p) for p in parts]), part))
+    bucket = F.when(x.isNull() | (part == 0), F.lit(0)).otherwise((part - 1) * k + inner)
+    return _with_bucket(df, bucket.cast("long"))
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
-                  n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
+                  n_buckets: int = RANGE_BUCKETS, bounds: Sequence[float] | None = None) -> DataFrame:
     """Dense 0-based position along a given order (``reset_index(drop=True)``).
     The first order column must be numeric; later ones break ties."""
     order = list(order)
@@ -154,7 +165,7 @@ def ordered_index(df: DataFrame, order: Sequence[str], out: str = "index",
 
 
 def previous_value(df: DataFrame, order: Sequence[str], value: str, out: str,
-                   n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
+                   n_buckets: int = RANGE_BUCKETS, bounds: Sequence[float] | None = None) -> DataFrame:
     """``lag(value)`` along a global order; NULL for the first row."""
     order = list(order)
     b = _with_range_bucket(df, order[0], n_buckets, bounds)
@@ -170,7 +181,7 @@ def previous_value(df: DataFrame, order: Sequence[str], value: str, out: str,
 
 
 def last_preceding(df: DataFrame, order: Sequence[str], value: Column, out: str,
-                   n_buckets: int = RANGE_BUCKETS, bounds: tuple[float, float] | None = None) -> DataFrame:
+                   n_buckets: int = RANGE_BUCKETS, bounds: Sequence[float] | None = None) -> DataFrame:
     """``last(value, ignorenulls) over (order by order rows between unbounded
     preceding and 1 preceding)``: the nearest earlier non-null value."""
     order = list(order)

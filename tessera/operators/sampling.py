@@ -18,34 +18,46 @@ from .. import fixed_values as fv
 from .columns import assign_blank, drop_columns
 from .ranks import ordered_index, seeded_hash, seeded_rank
 
-# A sample is a top-n (TakeOrderedAndProject) while the single merge task
-# would see at most this many rows (n per input partition); beyond, an exact
-# distributed rank.
-TOP_N_MERGE_BUDGET = 20_000_000
+PREFIX = 4  # hex characters: 65,536 shares of the hash order
 
 
-def _check_rows(df: DataFrame, n: int) -> None:
-    rows = df.count()
-    if n > rows:
-        raise ValueError(f"cannot take a sample of {n} from {rows} rows without replacement")
+def _cut_off(df: DataFrame, n: int, seed, key: str) -> tuple[int, str | None, str]:
+    """(rows, hash, key) of the n-th row in seeded order, the hash None if
+    there are n rows or fewer. Two small jobs: rows per hash prefix (at most
+    65,536 counts), then the top of one prefix."""
+    h = seeded_hash(key, seed)
+    counts = {r[0]: r[1] for r in df.groupBy(F.substring(h, 1, PREFIX).alias("p")).count().collect()}
+    total, left = sum(counts.values()), n
+    if total <= n or n <= 0:
+        return total, None, ""
+    for p in sorted(counts, key=lambda p: p or ""):
+        if counts[p] >= left:
+            break
+        left -= counts[p]
+    rows = df.select(h.alias("h"), F.col(key).alias("k")).where(F.substring("h", 1, PREFIX) == p)
+    last = rows.orderBy("h", "k").limit(left).orderBy(F.desc("h"), F.desc("k")).first()
+    return total, last["h"], last["k"]
+
+
+def _within(seed, key: str, h: str, k) -> F.Column:
+    """Rows up to and with the cut-off, row by row: nothing is shuffled."""
+    own = seeded_hash(key, seed)
+    return (own < F.lit(h)) | ((own == F.lit(h)) & (F.col(key) <= F.lit(k)))
 
 
 def sample_n(df: DataFrame, n: int, seed, key: str, position: str | None = "position",
              check: bool = True) -> DataFrame:
     """O1: exactly ``n`` rows without replacement (error if n > rows, like the
-    reference), in sample order; ``position`` is 0..n-1."""
-    if check:
-        _check_rows(df, n)
-    if n * df.rdd.getNumPartitions() <= TOP_N_MERGE_BUDGET:
-        top = df.withColumn("_tz_h", seeded_hash(key, seed)).orderBy("_tz_h", key).limit(n)
-        if position:
-            # at most n (bounded) rows: a plain window is fine here
-            top = top.withColumn(position, (F.row_number().over(Window.orderBy("_tz_h", key)) - 1).cast("long"))
-        return top.drop("_tz_h")
-    ranked = seeded_rank(df, key, seed, out="_tz_rank").where(F.col("_tz_rank") <= n)
-    if position:
-        ranked = ranked.withColumn(position, F.col("_tz_rank") - 1)
-    return ranked.drop("_tz_rank")
+    reference); ``position`` 0..n-1 is the sample order. ``key`` must be
+    unique. The rows are those up to a hash cut-off found beforehand (two
+    small jobs); only the n rows taken are ranked."""
+    total, h, k = _cut_off(df, n, seed, key)
+    if check and n > total:
+        raise ValueError(f"cannot take a sample of {n} from {total} rows without replacement")
+    taken = df.limit(0) if n <= 0 else df if h is None else df.where(_within(seed, key, h, k))
+    if not position:  # the n rows alone, in sample order
+        return taken.withColumn("_tz_h", seeded_hash(key, seed)).orderBy("_tz_h", key).limit(n).drop("_tz_h")
+    return seeded_rank(taken, key, seed, out=position).withColumn(position, F.col(position) - 1)
 
 
 def shuffle(df: DataFrame, seed, key: str, position: str = "position") -> DataFrame:
@@ -60,12 +72,19 @@ def reindex(df: DataFrame, order: Sequence[str], out: str = "index") -> DataFram
 
 def sample_strata(df: DataFrame, col: str, quotas: Mapping, seed, key: str,
                   position: str = "position") -> DataFrame:
-    """O3: ``quotas[v]`` rows of stratum ``v`` (all rows if fewer), then a
-    seeded shuffle of the kept rows."""
-    qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(int(v)))])
-    kept = seeded_rank(df, key, seed, by=[col], out="_tz_rank").where(
-        F.col("_tz_rank") <= F.coalesce(F.element_at(qmap, F.col(col)), F.lit(0))).drop("_tz_rank")
-    return shuffle(kept, seed, key, position)
+    """O3: ``quotas[v]`` rows of stratum ``v`` (an error if it has fewer), then
+    a seeded shuffle of the kept rows. A cut-off per stratum, as for
+    :func:`sample_n`: only the rows taken are ranked."""
+    keep = F.lit(False)
+    for v, n in quotas.items():
+        if int(n) <= 0:
+            continue
+        own = F.col(col).eqNullSafe(F.lit(v))
+        total, h, k = _cut_off(df.where(own), int(n), seed, key)
+        if total < int(n):
+            raise ValueError(f"cannot take {n} rows of stratum {v!r}: it has {total}")
+        keep = keep | (own if h is None else own & _within(seed, key, h, k))
+    return shuffle(df.where(keep), seed, key, position)
 
 
 def holdout(df: DataFrame, n: int = 200, seed=56, key: str = "row_id", out: str = "split",
@@ -83,9 +102,11 @@ def holdout(df: DataFrame, n: int = 200, seed=56, key: str = "row_id", out: str
             return holdout(df, n, seed, key, out, "_tz_family").drop("_tz_family")
         group = None
     if group is None:
-        ranked = seeded_rank(df, key, seed, out="_tz_rank", total="_tz_total")
-        cal = (F.col("_tz_total") > n) & (F.col("_tz_rank") <= n)
-        return ranked.withColumn(out, F.when(cal, "calibrate").otherwise("train")).drop("_tz_rank", "_tz_total")
+        # augmented copies share their parent's key; their own id draws single rows
+        key = "aug_id" if "aug_id" in df.columns else key
+        total, h, k = _cut_off(df, n, seed, key)
+        cal = F.lit(False) if total <= n or n <= 0 else _within(seed, key, h, k)
+        return df.withColumn(out, F.when(cal, "calibrate").otherwise("train"))
     from .ranks import hex_bucket, running_sums
     fam = df.groupBy(group).agg(F.count(F.lit(1)).alias("_tz_size")).withColumn("_tz_h", seeded_hash(group, seed))
     fam = running_sums(fam, [F.col("_tz_h"), F.col(group)], hex_bucket("_tz_h"), {"_tz_cum": F.col("_tz_size")},
@@ -112,16 +133,17 @@ def class_quotas(counts: DataFrame, by: str, test_size: float) -> DataFrame:
                     .otherwise(quota).cast("long").alias("quota"))
 
 
-MAX_CLASSES = 100_000
+LITERAL_CLASSES = 1000
 
 
-def class_lookup(table: DataFrame, by: str, value: str):
-    """A per-class value (quota, offset) as a row-local lookup: the class table
-    (one row per class, refused above MAX_CLASSES) is fetched and inlined as a
-    map literal, so no join keyed by the class (a hot key) is needed."""
-    rows = table.select(by, value).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+def class_lookup(df: DataFrame, table: DataFrame, by: str, value: str) -> DataFrame:
+    """``df`` with the per-class ``value`` (quota, offset) of ``table``: inlined
+    as a literal while the classes are few (a hot class costs no shuffle), else
+    joined by the class."""
+    rows = table.select(by, value).limit(LITERAL_CLASSES + 1).collect()
+    if len(rows) > LITERAL_CLASSES:
+        right = table.select(F.col(by).alias("_tz_c"), value)
+        return df.join(right, F.col(by).eqNullSafe(F.col("_tz_c")), "left").drop("_tz_c")
     known = [(r[0], r[1]) for r in rows if r[0] is not None]
     null_value = next((r[1] for r in rows if r[0] is None), None)
     col = F.col(by)
@@ -129,17 +151,17 @@ def class_lookup(table: DataFrame, by: str, value: str):
         lookup = F.element_at(F.create_map(*[x for k, v in known for x in (F.lit(k), F.lit(v))]), col)
     else:
         lookup = F.lit(None)
-    return F.when(col.isNull(), F.lit(null_value)).otherwise(lookup)
+    return df.withColumn(value, F.when(col.isNull(), F.lit(null_value)).otherwise(lookup))
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, by: str = "trgt", seed=56, key: str = "row_id",
                      out: str = "split") -> DataFrame:
     """Seeded stratified train/test split with exact per-class quotas."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
-    quota = class_lookup(class_quotas(counts, by, test_size), by, "quota")
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank").withColumn("quota", quota)
+    quotas = class_quotas(counts, by, test_size).withColumnRenamed("quota", "_tz_quota")
+    ranked = class_lookup(seeded_rank(df, key, seed, by=[by], out="_tz_rank"), quotas, by, "_tz_quota")
     return ranked.withColumn(
-        out, F.when(F.col("_tz_rank") <= F.col("quota"), "test").otherwise("train")).drop("_tz_rank", "quota")
+        out, F.when(F.col("_tz_rank") <= F.col("_tz_quota"), "test").otherwise("train")).drop("_tz_rank", "_tz_quota")
 
 
 def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key: str = "row_id",
@@ -149,8 +171,7 @@ def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key:
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_c"))
     offsets = counts.select(by, F.coalesce(F.sum("n_c").over(
         Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_tz_class_off"))
-    ranked = seeded_rank(df, key, seed, by=[by], out="_tz_rank").withColumn(
-        "_tz_class_off", class_lookup(offsets, by, "_tz_class_off"))
+    ranked = class_lookup(seeded_rank(df, key, seed, by=[by], out="_tz_rank"), offsets, by, "_tz_class_off")
     return ranked.withColumn(
         out, F.pmod(F.col("_tz_class_off") + F.col("_tz_rank") - 1, F.lit(k)).cast("int")).drop(
         "_tz_rank", "_tz_class_off")
@@ -159,11 +180,17 @@ def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key:
 def by_family(assign, df: DataFrame, family: str, is_original, *args, **kw) -> DataFrame:
     """Run a row assignment (split/fold/holdout) on original rows only and give
     every copy its parent's value: ``family`` is the original's key on every
-    row (``coalesce(parent_id, row_id)``)."""
+    row (``coalesce(parent_id, row_id)``). Every row is returned; a copy whose
+    original is not in ``df`` is an error."""
     orig = df.where(is_original)
     assigned = assign(orig, *args, **kw)
     new_cols = [c for c in assigned.columns if c not in orig.columns]
-    return df.join(assigned.select(F.col(kw.get("key", "row_id")).alias(family), *new_cols), family)
+    got = assigned.select(F.col(kw.get("key", "row_id")).alias("_tz_f"), *new_cols, F.lit(True).alias("_tz_found"))
+    orphan = F.raise_error(F.concat(F.lit("no original for the copy of "), F.col(family).cast("string")))
+    out = df.join(got, F.col(family) == F.col("_tz_f"), "left")
+    for c in new_cols:
+        out = out.withColumn(c, F.when(F.col("_tz_found"), F.col(c)).otherwise(orphan.cast(out.schema[c].dataType)))
+    return out.drop("_tz_f", "_tz_found")
 
 
 def sample_by_cycle(df: DataFrame, n: int, cycle: int, seed, key: str = "row_id",

@@ -92,7 +92,7 @@ def merge_spans(spans) -> Column:
     return F.aggregate(asc, empty, step)
 
 
-def redact_spans_expr(text, spans, labels: Sequence[str] = tuple(fv.PII_LABELS), token: str = " ",
+def redact_spans_expr(text, spans, labels: Sequence[str] = tuple(fv.REDACT_LABELS), token: str = " ",
                       null_text: str = "keep") -> Column:
     """T4: each kept span [start, end) (0-based code points) -> one ``token``,
     applied right to left so earlier offsets stay valid. Overlapping spans
@@ -105,11 +105,11 @@ def redact_spans_expr(text, spans, labels: Sequence[str] = tuple(fv.PII_LABELS),
 
 
 def redact_spans(df: DataFrame, text: str = "text", spans: str = "spans",
-                 labels: Sequence[str] = tuple(fv.PII_LABELS), out: str | None = None, **kw) -> DataFrame:
+                 labels: Sequence[str] = tuple(fv.REDACT_LABELS), out: str | None = None, **kw) -> DataFrame:
     return df.withColumn(out or text, redact_spans_expr(text, spans, labels, **kw))
 
 
-def redact_entities_expr(text, spans, labels: Sequence[str] = tuple(fv.PII_LABELS),
+def redact_entities_expr(text, spans, labels: Sequence[str] = tuple(fv.REDACT_LABELS),
                          token: str = fv.PII_TOKEN, null_text: str = "keep") -> Column:
     """T5: every occurrence, anywhere, of each kept entity's text -> ``token``,
     entity by entity in document order (also inside other words)."""
@@ -119,5 +119,5 @@ def redact_entities_expr(text, spans, labels: Sequence[str] = tuple(fv.PII_LABEL
 
 
 def redact_entities(df: DataFrame, text: str = "text", spans: str = "spans",
-                    labels: Sequence[str] = tuple(fv.PII_LABELS), out: str | None = None, **kw) -> DataFrame:
+                    labels: Sequence[str] = tuple(fv.REDACT_LABELS), out: str | None = None, **kw) -> DataFrame:
     return df.withColumn(out or text, redact_entities_expr(text, spans, labels, **kw))

@@ -53,6 +53,12 @@ def fx_text(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "documents").selectExpr("doc_id", f"{ofx.SPLICE_SQL} AS text")
 
 
+def fx_text_rtnl(spark: SparkSession, base: str) -> DataFrame:
+    """:func:`fx_text` with the rationale of :func:`fx_annot` (the first line,
+    missing for a sixteenth), the same terms spliced in."""
+    return load(spark, base, "documents").selectExpr("doc_id", f"{ofx.SPLICE_SQL} AS text", f"{ofx.SPLICED_RTNL} AS rtnl")
+
+
 def fx_reply(spark: SparkSession, base: str, aliases=None) -> DataFrame:
     """One simulated LLM reply per (document, code); row-local explode."""
     aliases = aliases or fv.LLM_CODES

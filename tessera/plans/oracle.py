@@ -59,7 +59,7 @@ ORACLE["tags_coerce"] = ofx.with_fixtures(
 
 def _strict(c: str) -> str:
     m = f"CASE WHEN {c} = '1.0' THEN '1' WHEN {c} = 'x' THEN '0' ELSE {c} END"
-    return f"CASE WHEN {c} IS NULL OR trim({m}) = '' THEN 0 ELSE CAST(trim({m}) AS INTEGER) END"
+    return f"CASE WHEN {c} IS NULL OR trim({m}) = '' THEN 0 ELSE CAST(trim({m}) AS BIGINT) END"
 
 
 ORACLE["tags_strict"] = ofx.with_fixtures(
@@ -93,7 +93,7 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-ORACLE["read_responses"] = "SELECT doc_id AS row_id, lang, source, n_chars FROM documents"
+ORACLE["read_responses"] = "SELECT doc_id AS row_id, text, lang, source, n_chars FROM documents"
 
 _DOC_TYPES = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
               ("n_chars", "bigint")]
@@ -202,7 +202,7 @@ def nested_replace(x: str, terms, token: str) -> str:
 
 
 _TERMS = list(fv.MANUAL_MARKERS) + list(fv.CLIENT_NAMES)
-_TAIL = "SELECT doc_id, text, substr(text, greatest(length(text) - 79, 1), 80) AS rtnl FROM fx_text"
+_TAIL = f"SELECT doc_id, {ofx.SPLICE_SQL} AS text, {ofx.SPLICED_RTNL} AS rtnl FROM documents"
 ORACLE["redact_terms"] = ofx.with_fixtures(
     f"SELECT doc_id, {nested_replace('text', _TERMS, ' ')} AS text, {nested_replace('rtnl', _TERMS, ' ')} AS rtnl "
     f"FROM tail", fx_text=ofx.FX_TEXT, tail=_TAIL)
@@ -216,7 +216,7 @@ ORACLE["strip_tokens"] = ofx.with_fixtures(
 _NAMES = sorted(fv.CLIENT_NAMES, key=lambda t: (-len(t), t))
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 _PHONE = r"[0-9]{3}-[0-9]{4}"
-_PAT = "(^|[^A-Za-z0-9])(" + "|".join(_NAMES + [_EMAIL, _PHONE]) + ")"
+_PAT = "(^|[^A-Za-z0-9])(" + "|".join([_EMAIL, _PHONE] + _NAMES) + ")"
 _M = f"""SELECT doc_id, text, regexp_extract_all(text, '{_PAT}', 0) AS w, regexp_extract_all(text, '{_PAT}', 2) AS e,
            regexp_split_to_array(text, '{_PAT}') AS p FROM fx_text"""
 _NAME_SET = "(" + ", ".join(lit(n) for n in fv.CLIENT_NAMES) + ")"
@@ -232,7 +232,7 @@ ORACLE["detect_entities"] = ofx.with_fixtures(
     """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS span_no,
               start, "end", label, ent AS span_text FROM spans""", fx_text=ofx.FX_TEXT, m=_M, spans=_SPANS)
 
-_KEEP = "(" + ", ".join(lit(x) for x in fv.PII_LABELS) + ")"
+_KEEP = "(" + ", ".join(lit(x) for x in fv.REDACT_LABELS) + ")"
 
 
 def _kept_k(k: str) -> str:
@@ -362,10 +362,11 @@ ORACLE["assemble_train"] = ofx.with_fixtures(_ASSEMBLED, **_FXT, aug=_aug(True))
 ORACLE["split_report"] = ofx.with_fixtures(
     "SELECT split, count(*) AS n_rows FROM assembled GROUP BY split", **_FXT, aug=_aug(True), assembled=_ASSEMBLED)
 
-ORACLE["concat_rows"] = ("SELECT doc_id, lang, source, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS BIGINT) AS turn, "
-                         "CAST(NULL AS VARCHAR) AS role FROM documents UNION ALL SELECT NULL, NULL, NULL, conv_id, "
+ORACLE["concat_rows"] = ("SELECT doc_id, text, lang, source, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS BIGINT) AS turn, "
+                         "CAST(NULL AS VARCHAR) AS role FROM documents UNION ALL SELECT NULL, text, NULL, NULL, conv_id, "
                          "turn, role FROM conversations")
-ORACLE["replicate"] = ("SELECT doc_id, quality, CAST(r.range AS INTEGER) AS rep FROM labels CROSS JOIN "
+ORACLE["replicate"] = ("SELECT doc_id, quality, toxic, CAST(r.range AS INTEGER) AS rep, "
+                       "concat(doc_id, ':', r.range) AS rep_id FROM labels CROSS JOIN "
                        "range(0, CAST(ceil(1600 / (SELECT count(*) FROM labels)) AS BIGINT)) r")
 
 ORACLE["sample_by_cycle"] = (
@@ -474,7 +475,7 @@ ORACLE["weighted_bce"] = ofx.with_fixtures(
     **_SC)
 
 _GRID_SQL = ("SELECT lr AS learning_rate, bs AS batch_size, CAST(i * 2 + j AS INTEGER) AS config_id "
-             "FROM (VALUES (1e-5, 0), (2e-5, 1), (3e-5, 2)) a(lr, i), (VALUES (16, 0), (32, 1)) b(bs, j)")
+             "FROM (VALUES (1e-5, 0), (2e-5, 1), (5e-5, 2)) a(lr, i), (VALUES (16, 0), (32, 1)) b(bs, j)")
 ORACLE["param_grid"] = ofx.with_fixtures(
     "SELECT g.*, f.fold, (SELECT count(*) FROM fx_train) - f.n_val AS n_train, f.n_val FROM g, "
     "(SELECT fold, count(*) AS n_val FROM folded GROUP BY fold) f", **_FXT, folded=_TRAIN_FOLDS, g=_GRID_SQL)
@@ -488,26 +489,41 @@ ORACLE["threshold_search"] = ofx.with_fixtures(_THR, **_SCF)
 ORACLE["best_config"] = ofx.with_fixtures(f"SELECT * FROM ({_THR}) ORDER BY mean_f1 DESC NULLS LAST, threshold LIMIT 1",
                                           **_SCF)
 
-ORACLE["encode_batch"] = r"""
-WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS toks
-             FROM documents),
-cnt AS (SELECT t, count(*) AS c FROM (SELECT unnest(toks) AS t FROM tok) GROUP BY t),
-vocab AS (SELECT t, row_number() OVER (ORDER BY c DESC, t) + 1 AS id FROM cnt QUALIFY id <= 30001),
-pos AS (SELECT doc_id, unnest(toks[1:512]) AS t, generate_subscripts(toks[1:512], 1) AS i FROM tok),
-enc AS (SELECT doc_id, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM pos LEFT JOIN vocab v USING (t) GROUP BY doc_id)
-SELECT tok.doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
-  array_to_string(list_concat(coalesce(ids, []), list_transform(range(512 - len(coalesce(ids, []))), lambda x: 0)), ',') AS input_ids,
-  array_to_string(list_concat(list_transform(range(len(coalesce(ids, []))), lambda x: 1),
-                              list_transform(range(512 - len(coalesce(ids, []))), lambda x: 0)), ',') AS attention_mask
-FROM tok LEFT JOIN enc USING (doc_id)"""
+def _encoded(src: str, key: str, chunks: bool, extra: str = "") -> str:
+    """Ids (60 bits of md5 + 2), masks, windows of 512."""
+    width = "greatest(CAST(ceil(len(toks) / 512) AS BIGINT), 1)" if chunks else "1"
+    return rf"""
+WITH tok AS (SELECT {key}{extra}, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda x: x <> '')
+             AS toks FROM {src}),
+w AS (SELECT {key}{extra}, len(toks) AS n, toks, unnest(range({width})) AS chunk FROM tok),
+enc AS (SELECT {key}{extra}, n, chunk, list_transform(toks[chunk * 512 + 1:chunk * 512 + 512],
+          lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) + 2) AS ids FROM w)
+SELECT {key}{extra}, {'CAST(chunk AS INTEGER) AS chunk, ' if chunks else ''}CAST(n AS INTEGER) AS n_tokens,
+  array_to_string(list_concat(ids, list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS input_ids,
+  array_to_string(list_concat(list_transform(range(len(ids)), lambda x: 1),
+                              list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS attention_mask
+FROM enc"""
+
+
+ORACLE["encode_batch"] = _encoded("documents", "doc_id", False)
+ORACLE["encode_chunks"] = _encoded("documents", "doc_id", True)
 
 
 # --------------------------------------------------------------------------
 # end-to-end flow
 # --------------------------------------------------------------------------
+def _redacted(c: str) -> str:
+    """Column ``c`` with the recogniser's entities blanked; matches in w, e, p."""
+    w, e, p = (f"regexp_{f}({c}, '{_PAT}'{g})" for f, g in (("extract_all", ", 0"), ("extract_all", ", 2"), ("split_to_array", "")))
+    return (f"(SELECT CASE WHEN coalesce(len(w), 0) = 0 THEN {c} ELSE array_to_string(list_transform(range(1, len(w) + 1), "
+            f"lambda k: p[k] || CASE WHEN {_kept_k('k')} THEN left(w[k], length(w[k]) - length(e[k])) || ' ' ELSE w[k] END), '')"
+            f" || p[len(w) + 1] END FROM (SELECT {w} AS w, {e} AS e, {p} AS p))")
+
+
+_E3_RED = f"SELECT doc_id, {_redacted('text')} AS text, {_redacted('rtnl')} AS rtnl, trgt FROM fx_train"
 _E3_BASE = (f"SELECT doc_id, regexp_replace({nested_replace('text', _TERMS, ' ')}, '[\\p{{Nd}}\\r\\n]+', ' ', 'g') "
             f"AS text, regexp_replace({nested_replace('rtnl', _TERMS, ' ')}, '[\\p{{Nd}}\\r\\n]+', ' ', 'g') AS rtnl, "
-            "trgt FROM fx_train")
+            "trgt FROM e3_red")
 _E3_AUG = ("SELECT doc_id, text, rtnl, trgt, 0 AS seq FROM e3_base UNION ALL "
            "SELECT doc_id, rtnl AS text, ' ' AS rtnl, trgt, 1 AS seq FROM e3_base WHERE trgt > 0")
 _E3_TOK = f"SELECT doc_id, {nested_replace('text', fv.SALIENCE_TOKENS, ' ')} AS text, trgt, seq FROM e3_aug"
@@ -521,25 +537,63 @@ ORACLE["training_set"] = ofx.with_fixtures(
     "SELECT doc_id, seq, 'calibrate' AS split, text FROM e3_lab WHERE h = 'calibrate' UNION ALL "
     f"SELECT l.doc_id, l.seq, s.split, l.text FROM e3_lab l JOIN {_E3_SPLIT} s USING (doc_id) "
     "WHERE l.h = 'rest' AND (l.seq = 0 OR s.split = 'train')",
-    **_FXT, e3_base=_E3_BASE, e3_aug=_E3_AUG, e3_tok=_E3_TOK, e3_lab=_E3_LAB)
+    **_FXT, e3_red=_E3_RED, e3_base=_E3_BASE, e3_aug=_E3_AUG, e3_tok=_E3_TOK, e3_lab=_E3_LAB)
 
 _TERMS_LONGEST = sorted(_TERMS, key=lambda t: -len(t))
 ORACLE["redact_terms_longest"] = ofx.with_fixtures(
     f"SELECT doc_id, {nested_replace('text', _TERMS_LONGEST, ' ')} AS text, "
     f"{nested_replace('rtnl', _TERMS_LONGEST, ' ')} AS rtnl FROM tail", fx_text=ofx.FX_TEXT, tail=_TAIL)
 
-ORACLE["encode_chunks"] = r"""
-WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS toks
-             FROM documents),
-cnt AS (SELECT t, count(*) AS c FROM (SELECT unnest(toks) AS t FROM tok) GROUP BY t),
-vocab AS (SELECT t, row_number() OVER (ORDER BY c DESC, t) + 1 AS id FROM cnt QUALIFY id <= 30001),
-pos AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM tok),
-enc AS (SELECT doc_id, CAST((i - 1) // 512 AS INTEGER) AS chunk, list(coalesce(v.id, 1) ORDER BY i) AS ids
-        FROM pos LEFT JOIN vocab v USING (t) GROUP BY doc_id, chunk),
-allc AS (SELECT tok.doc_id, len(toks) AS n, coalesce(enc.chunk, 0) AS chunk, coalesce(enc.ids, []) AS ids
-         FROM tok LEFT JOIN enc USING (doc_id))
-SELECT doc_id, chunk, CAST(n AS INTEGER) AS n_tokens,
-  array_to_string(list_concat(ids, list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS input_ids,
-  array_to_string(list_concat(list_transform(range(len(ids)), lambda x: 1),
-                              list_transform(range(512 - len(ids)), lambda x: 0)), ',') AS attention_mask
-FROM allc"""
+# --------------------------------------------------------------------------
+# keys and lineage of augmented rows; edges of tags, replies and counts
+# --------------------------------------------------------------------------
+ORACLE["head_by_text"] = "SELECT doc_id, source, lang FROM documents ORDER BY source, lang, doc_id LIMIT 50"
+ORACLE["profile_first"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, count(*) AS n_rows, "
+    f"(SELECT string_agg(coalesce(CAST({c} AS VARCHAR), ''), ' | ' ORDER BY doc_id) FROM "
+    f"(SELECT * FROM documents ORDER BY doc_id LIMIT 3)) AS first FROM documents" for i, (c, t) in enumerate(_DOC_TYPES))
+ORACLE["folds_augmented"] = ofx.with_fixtures(
+    "SELECT aug.doc_id, aug.seq, folded.fold FROM aug JOIN folded USING (doc_id)", **_FXT, aug=_aug(True), folded=_TRAIN_FOLDS)
+ORACLE["holdout_rows"] = ofx.with_fixtures(
+    "SELECT doc_id, seq, CASE WHEN (SELECT count(*) FROM aug) > 200 AND row_number() OVER (ORDER BY "
+    "md5('56:' || doc_id || ':' || seq), doc_id || ':' || seq) <= 200 THEN 'calibrate' ELSE 'train' END AS split FROM aug",
+    **_FXT, aug=_aug(True))
+ORACLE["encode_augmented"] = (
+    f"WITH fx_annot AS ({_FXT['fx_annot']}), fx_train AS ({_FXT['fx_train']}), aug AS ({_aug(True)}), "
+    "ids AS (SELECT *, doc_id || ':' || seq AS aug_id FROM aug)," + _encoded("ids", "aug_id", True, ", trgt").strip().removeprefix("WITH"))
+ORACLE["tags_strict_numeric"] = ofx.with_fixtures(
+    'SELECT row_id, CAST(trunc(coalesce("EmailPairID", 0)) AS BIGINT) AS "EmailPairID" FROM fx_sheet', fx_sheet=ofx.FX_SHEET)
+ORACLE["parse_rerun"] = ofx.with_fixtures(
+    "SELECT doc_id, alias, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE decision END AS decision, "
+    "CASE WHEN doc_id % 3 <> 1 THEN rationale END AS rationale, "
+    "CASE WHEN doc_id % 3 <> 1 THEN explanation END AS explanation FROM parsed", fx_reply=ofx.fx_reply(), parsed=PARSED)
+ORACLE["value_counts_missing"] = ofx.with_fixtures(
+    "SELECT value, " + ", ".join(f"nullif(count(*) FILTER (WHERE col = '{c}'), 0) AS {c}" for c in TAG_CELLS)
+    + " FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value FROM fx_annot" for c in TAG_CELLS)
+    + ") WHERE value IS NOT NULL GROUP BY value", fx_annot=ofx.fx_annot())
+ORACLE["split_sizes"] = ofx.with_fixtures(
+    f"SELECT trgt, split, count(*) AS n_rows FROM {_split_sql('(SELECT doc_id, trgt FROM fx_train)', 'doc_id')} "
+    "GROUP BY trgt, split", **_FXT)
+ORACLE["cv_plan"] = ("SELECT * FROM (VALUES (0, 5, 0.0::DOUBLE), (1, 5, 0.01), (2, 10, 0.0), (3, 10, 0.01), (4, 20, 0.0), "
+                     '(5, 20, 0.01)) g(config_id, "maxIter", "regParam") CROSS JOIN (' + ofx.with_fixtures(
+                         "SELECT fold, count(*) AS n_val, (SELECT count(*) FROM fx_train) - count(*) AS n_train FROM folded "
+                         "GROUP BY fold", **_FXT, folded=_TRAIN_FOLDS) + ") s JOIN (" + ORACLE["pos_weights_by_fold"]
+                     + ") w USING (fold)")
+
+# --------------------------------------------------------------------------
+# sources, sinks and flows
+# --------------------------------------------------------------------------
+ORACLE["read_terms"] = (f"SELECT {pystrip_sql('line')} AS term, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) "
+                        f"AS line FROM benchmark) WHERE {pystrip_sql('line')} <> '' GROUP BY 1")
+ORACLE["write_read_table"] = "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE lang = 'en'"
+ORACLE["write_read_csv"] = "SELECT * FROM labels"
+ORACLE["null_text"] = ofx.with_fixtures("SELECT doc_id, coalesce(rtnl, 'nan') AS text FROM fx_annot", fx_annot=ofx.fx_annot())
+ORACLE["pystrip"] = ofx.with_fixtures(f"SELECT doc_id, alias, {pystrip_sql('reply')} AS reply FROM fx_reply",
+                                      fx_reply=ofx.fx_reply())
+ORACLE["theme_output"] = ofx.with_fixtures(
+    f"SELECT doc_id, text, {', '.join(fv.THEMES)} FROM fx_train WHERE " + " OR ".join(f"{t} = 1" for t in fv.THEMES),
+    fx_train=ofx.fx_train())
+ORACLE["flow_agreement"] = ofx.with_fixtures(
+    "SELECT doc_id, " + ", ".join(f"CASE WHEN {t}_r1 <> {t}_r2 THEN 1 ELSE 0 END AS {t}_dis" for t in TAGS)
+    + f", {_fill('rtnl')} AS rtnl_r1, {_fill('rtnl')} AS rtnl_r2 FROM ({COERCED_ANNOT})", fx_annot=ofx.fx_annot())
+ORACLE["flow_triangulation"] = "SELECT doc_id, " + ", ".join(f"{c}_triangulate AS {c}" for c in fv.LLM_CODES) + f" FROM ({_TRI})"

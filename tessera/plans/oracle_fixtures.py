@@ -31,6 +31,8 @@ SPLICE_SQL = """concat(text, CASE substr(md5(concat('splice:', CAST(doc_id AS ST
   WHEN '1' THEN ' <|PII|> Amyloid Scottish [PHONE NUMBER] 555-0100'
   WHEN '2' THEN ' <PII> <|AFRM|><|REFL|> see [URL]'
   ELSE '' END)"""
+SPLICED_RTNL = ("CASE WHEN substr(md5(concat('rtnl:', CAST(doc_id AS STRING))),1,1) = 'f' THEN CAST(NULL AS STRING) ELSE "
+                + SPLICE_SQL.replace("concat(text,", "concat(split_part(text, chr(10), 1),", 1) + " END")
 FX_TEXT = f"SELECT doc_id, {SPLICE_SQL} AS text FROM documents"
 
 
@@ -76,7 +78,7 @@ NUM_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 def coerce_sql(c: str) -> str:
     return (f"CASE WHEN regexp_matches({c}, '{NUM_RE}') THEN "
-            f"COALESCE(TRY_CAST(trunc(CAST(trim({c}) AS DOUBLE)) AS INTEGER), 0) ELSE 0 END")
+            f"COALESCE(TRY_CAST(trunc(CAST(trim({c}) AS DOUBLE)) AS BIGINT), 0) ELSE 0 END")
 
 
 def fx_train() -> str:

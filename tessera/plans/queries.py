@@ -123,7 +123,7 @@ def q_reliability_trend(spark, base):
 @q("read_responses")
 def q_read_responses(spark, base):
     return sio.read_table(spark, sio.table_path(base, "documents"), row_id="doc_id").select(
-        "row_id", "lang", "source", "n_chars")
+        "row_id", "text", "lang", "source", "n_chars")
 
 
 @q("profile")
@@ -206,15 +206,13 @@ def q_fill_placeholders(spark, base):
 # text
 # --------------------------------------------------------------------------
 
-def text_with_tail(spark, base) -> DataFrame:
-    t = fx.fx_text(spark, base)
-    return t.withColumn("rtnl", F.substring(F.col("text"), F.greatest(F.length("text") - 79, F.lit(1)),
-                                            F.lit(80)))
+def text_and_rationale(spark, base) -> DataFrame:
+    return fx.fx_text_rtnl(spark, base)
 
 
 @q("redact_terms")
 def q_redact_terms(spark, base):
-    return txt.redact_terms(text_with_tail(spark, base), ["text", "rtnl"])
+    return txt.redact_terms(text_and_rationale(spark, base), ["text", "rtnl"])
 
 
 @q("strip_numerals")
@@ -367,7 +365,8 @@ def q_semi_augmented(spark, base):
 
 @q("assemble_train")
 def q_assemble_train(spark, base):
-    return rws.assemble_train(augmented(spark, base), 0.2, "trgt", 56, "doc_id").select("doc_id", "seq", "split")
+    d = train_frame(spark, base).select("doc_id", "text", "rtnl", "trgt")
+    return rws.split_and_augment(d, 0.2, "trgt", 56, "doc_id").select("doc_id", "seq", "split")
 
 
 @q("split_report")
@@ -377,13 +376,14 @@ def q_split_report(spark, base):
 
 @q("concat_rows")
 def q_concat_rows(spark, base):
-    return rws.concat_rows(load(spark, base, "documents").select("doc_id", "lang", "source"),
-                           load(spark, base, "conversations").select("conv_id", "turn", "role"))
+    # both have `text`, at different places
+    return rws.concat_rows(load(spark, base, "documents").select("doc_id", "text", "lang", "source"),
+                           load(spark, base, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 @q("replicate")
 def q_replicate(spark, base):
-    return rws.replicate(load(spark, base, "labels").select("doc_id", "quality"), 1600)
+    return rws.replicate(load(spark, base, "labels").select("doc_id", "quality", "toxic"), 1600, key="doc_id")
 
 
 @q("sample_by_cycle")
@@ -404,7 +404,7 @@ def q_masked_copy(spark, base):
 # --------------------------------------------------------------------------
 
 LABEL_TARGETS = ["quality", "toxic"]
-GRID = {"learning_rate": [1e-5, 2e-5, 3e-5], "batch_size": [16, 32]}
+GRID = {"learning_rate": [1e-5, 2e-5, 5e-5], "batch_size": [16, 32]}
 THRESHOLDS = {"threshold": [0.3, 0.4, 0.5, 0.6, 0.7]}
 
 
@@ -494,8 +494,8 @@ def q_best_config(spark, base):
 
 @q("encode_batch")
 def q_encode_batch(spark, base):
-    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512,
-                         vocab_size=30_000)
+    # the reference's truncation, asked for; encode_chunks encodes whole texts
+    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512, overflow=False)
     return e.select("doc_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
                     F.array_join("attention_mask", ",").alias("attention_mask"))
 
@@ -525,7 +525,7 @@ def q_fit_multilabel(spark, base):
     from ..operators import ml
     train, _ = _train_test(spark, base)
     models = ml.fit_multilabel(train, LABEL_TARGETS)
-    rows = [(t, float(w), float(m.intercept), int(m.summary.totalIterations)) for t, (m, w) in models.items()]
+    rows = [(t, float(w), float(m.intercept), int(m.summary.totalIterations)) for t, (m, w, _) in models.items()]
     return spark.createDataFrame(rows, "target string, pos_weight double, intercept double, iterations int")
 
 
@@ -564,13 +564,142 @@ def q_training_set(spark, base):
 @q("redact_terms_longest")
 def q_redact_terms_longest(spark, base):
     # corrected mode: longer terms first, so no name is cut by its prefix
-    return txt.redact_terms(text_with_tail(spark, base), ["text", "rtnl"], longest_first=True)
+    return txt.redact_terms(text_and_rationale(spark, base), ["text", "rtnl"], longest_first=True)
 
 
 @q("encode_chunks")
 def q_encode_chunks(spark, base):
-    # the whole text in consecutive 512-token windows (no truncation)
-    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512,
-                         vocab_size=30_000, overflow=True)
+    # the whole text in consecutive 512-token windows: every token, rare ones too
+    e = enc.encode_batch(load(spark, base, "documents").select("doc_id", "text"), "doc_id", max_len=512)
     return e.select("doc_id", "chunk", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
                     F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
+# --------------------------------------------------------------------------
+# keys and lineage of augmented rows; edges of tags, replies and counts
+# --------------------------------------------------------------------------
+
+@q("head_by_text")
+def q_head_by_text(spark, base):
+    return cols.head_by(load(spark, base, "documents").select("doc_id", "source", "lang"), 50, ["source", "lang", "doc_id"])
+
+
+@q("profile_first")
+def q_profile_first(spark, base):
+    return sio.profile(load(spark, base, "documents"), order=["doc_id"], head=3)
+
+
+@q("folds_augmented")
+def q_folds_augmented(spark, base):
+    from ..operators import ml
+    return ml.assign_folds(augmented(spark, base), "doc_id", 5, "trgt", 56).select("doc_id", "seq", "fold")
+
+
+@q("holdout_rows")
+def q_holdout_rows(spark, base):
+    return smp.holdout(augmented(spark, base), 200, 56, "doc_id", group=None).select("doc_id", "seq", "split")
+
+
+@q("encode_augmented")
+def q_encode_augmented(spark, base):
+    e = enc.encode_batch(augmented(spark, base), "aug_id", max_len=512, labels=["trgt"])
+    return e.select("aug_id", "chunk", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"), "trgt")
+
+
+@q("tags_strict_numeric")
+def q_tags_strict_numeric(spark, base):
+    return lab.normalize_tags(fx.fx_sheet(spark, base).select("row_id", "EmailPairID"), ["EmailPairID"], "strict")
+
+
+@q("parse_rerun")
+def q_parse_rerun(spark, base):
+    # a second run: a third of the replies fail, a third now say no
+    first = coding.parse_responses(fx.fx_reply(spark, base))
+    third = F.pmod("doc_id", F.lit(3))
+    again = first.withColumn("reply", F.when(third == 0, "error").when(third == 1, " 0").otherwise(F.col("reply")))
+    return coding.parse_responses(again).select("doc_id", "alias", "decision", "rationale", "explanation")
+
+
+@q("value_counts_missing")
+def q_value_counts_missing(spark, base):
+    return agr.value_counts(fx.fx_annot(spark, base), TAG_CELLS)
+
+
+@q("split_sizes")
+def q_split_sizes(spark, base):
+    d = smp.stratified_split(train_frame(spark, base).select("doc_id", "trgt"), 0.2, "trgt", 56, "doc_id")
+    return d.groupBy("trgt", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@q("cv_plan")
+def q_cv_plan(spark, base):
+    # what each fit of the grid search gets: fold sizes and class weights, per configuration and target
+    d = smp.stratified_folds(fx.fx_train(spark, base), 5, "trgt", 56, "doc_id")
+    return grd.with_folds(ML_GRID, d.select("doc_id", "fold")).join(met.pos_weights_by_fold(d, fv.TARGETS, "fold"), "fold")
+
+
+# --------------------------------------------------------------------------
+# sources, sinks and flows
+# --------------------------------------------------------------------------
+
+def scratch_path(spark, name: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@q("read_terms")
+def q_read_terms(spark, base):
+    path = scratch_path(spark, "terms")
+    load(spark, base, "benchmark").select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)
+    return sio.read_terms(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("write_read_table")
+def q_write_read_table(spark, base):
+    path = scratch_path(spark, "stage")
+    sio.write_table(load(spark, base, "documents"), path, partition_by=["lang"])
+    return spark.read.parquet(path).where("lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@q("write_read_csv")
+def q_write_read_csv(spark, base):
+    path = scratch_path(spark, "csv")
+    d = load(spark, base, "labels")
+    sio.write_csv(d, path)
+    return sio.read_table(spark, path, schema=d.schema, fmt="csv", header=True)
+
+
+@q("null_text")
+def q_null_text(spark, base):
+    return fx.fx_annot(spark, base).select("doc_id", txt.text_for_nlp("rtnl", "nan").alias("text"))
+
+
+@q("pystrip")
+def q_pystrip(spark, base):
+    from ..functions import pystrip
+    return fx.fx_reply(spark, base).select("doc_id", "alias", pystrip("reply").alias("reply"))
+
+
+@q("theme_output")
+def q_theme_output(spark, base):
+    from .workflows import theme_output
+    return theme_output(fx.fx_train(spark, base), "doc_id")
+
+
+@q("flow_agreement")
+def q_flow_agreement(spark, base):
+    from .workflows import agreement_report
+    rep = agreement_report(rater_sheet(spark, base, "r1"), rater_sheet(spark, base, "r2"), "doc_id")
+    return rep["disagreements"].select("doc_id", *[f"{t}_dis" for t in fv.ALL_TAGS], "rtnl_r1", "rtnl_r2")
+
+
+@q("flow_triangulation")
+def q_flow_triangulation(spark, base):
+    from .workflows import triangulated_labels
+    raw = fx.fx_annot(spark, base)
+    human = raw.select("doc_id", *[F.when(F.col(f"{c}_r1") == "1.0", "1").when(F.col(f"{c}_r1") == "x", "0").otherwise(
+        F.col(f"{c}_r1")).alias(c) for c in fv.LLM_CODES])
+    return triangulated_labels(human, fx.fx_reply(spark, base).select("doc_id", "alias", "reply"), "doc_id")

@@ -35,13 +35,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer partitions than
-    the cluster has cores (e.g. a small file with one row group); a no-op on
-    large inputs, whose scans already split by row group. Filters and column
+    """Round-robin repartition of a table of fewer files than the cluster has
+    cores (e.g. one small file with one row group); a no-op on larger ones. Filters and column
     pruning still reach the scan through the repartition."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if len(df.inputFiles()) < want:  # file names only; no job runs
         return df.repartition(want)
     return df
 
@@ -57,12 +56,9 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("term") != "").withColumn("pos", F.monotonically_increasing_id())
 
 
-def terms_list(terms: DataFrame, limit: int = 100_000) -> list[str]:
-    """The term table as a driver-side list (bounded: term lists are small
-    dictionaries; refuse anything larger than ``limit``)."""
-    n = terms.count()
-    if n > limit:
-        raise ValueError(f"term list has {n} entries (> {limit}); use a join-based redaction")
+def terms_list(terms: DataFrame) -> list[str]:
+    """The term table as a driver-side list, in order (sequential redaction
+    needs every term at each row)."""
     return [r.term for r in terms.orderBy("pos").collect()]
 
 
@@ -81,14 +77,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Non-null count and type per column, in one pass over the data."""
+def profile(df: DataFrame, order: Sequence[str] | None = None, head: int = 5) -> DataFrame:
+    """Non-null count and type per column, in one pass over the data. With
+    ``order`` also ``first``: the column's values in the first ``head`` rows
+    along it, as strings parted by ' | ' (missing ones empty)."""
     cols = df.columns
     counts = df.agg(F.count(F.lit(1)).alias("__rows"),
                     *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    firsts = {}
+    if order is not None:
+        rows = df.orderBy(*order).limit(head).select(*[F.col(f"`{c}`").cast("string").alias(f"s{i}")
+                                                       for i, c in enumerate(cols)]).collect()
+        firsts = {i: " | ".join(r[i] or "" for r in rows) for i in range(len(cols))}
     stack = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                               F.lit(i).alias("position"), F.col(f"c{i}").alias("non_null"))
+                               F.lit(i).alias("position"), F.col(f"c{i}").alias("non_null"),
+                               *([F.lit(firsts[i]).alias("first")] if firsts else []))
                       for i, c in enumerate(cols)])
     return counts.select(F.col("__rows").alias("n_rows"), F.inline(stack)).select(
-        "position", "column_name", "dtype", "non_null", "n_rows")
+        "position", "column_name", "dtype", "non_null", "n_rows", *(["first"] if firsts else []))

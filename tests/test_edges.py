@@ -397,7 +397,7 @@ def test_weighted_bce_matches_formula(spark):
 def test_encode_batch_pad_truncate(spark):
     from tessera.operators.encode import encode_batch
     df = spark.createDataFrame([(1, "a b a"), (2, "c " * 10), (3, "   ")], "k long, text string")
-    out = {r.k: r for r in encode_batch(df, "k", max_len=4).collect()}
+    out = {r.k: r for r in encode_batch(df, "k", max_len=4, overflow=False).collect()}
     assert all(len(r.input_ids) == 4 and len(r.attention_mask) == 4 for r in out.values())
     assert out[1].attention_mask == [1, 1, 1, 0] and out[1].input_ids[3] == 0
     assert out[2].attention_mask == [1, 1, 1, 1] and out[2].n_tokens == 10
@@ -454,12 +454,19 @@ def test_no_single_partition_over_rows(spark, name):
     assert all(op in ("HashAggregate", "SortAggregate") for op in below), below
 
 
-def test_sample_n_large_path_equals_top_n(spark, monkeypatch):
+def test_sample_n_is_the_top_of_the_hash_order(spark):
+    import hashlib
     df = spark.range(300).withColumnRenamed("id", "k").repartition(3)
-    small = {(r.k, r.position) for r in smp.sample_n(df, 40, 5, "k").collect()}
-    monkeypatch.setattr(smp, "TOP_N_MERGE_BUDGET", 0)
-    big = {(r.k, r.position) for r in smp.sample_n(df, 40, 5, "k").collect()}
-    assert small == big
+    want = sorted(range(300), key=lambda k: hashlib.md5(f"5:{k}".encode()).hexdigest())
+    for n in (1, 40, 299, 300):
+        got = {(r.k, r.position) for r in smp.sample_n(df, n, 5, "k").collect()}
+        assert got == {(k, i) for i, k in enumerate(want[:n])}
+    assert smp.sample_n(df, 0, 5, "k").count() == 0
+    # a hold-out labels by the same cut-off and ranks nothing
+    h = smp.holdout(df, 40, 5, "k")
+    assert {r.k for r in h.where("split = 'calibrate'").collect()} == set(want[:40])
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
 
 
 def test_by_family_keeps_copies_with_parent(spark):
@@ -508,11 +515,11 @@ def test_rank_keeps_null_stratum(spark):
     assert sorted(r for k, r in got if k != 3) == [1, 2]
 
 
-def test_head_by_both_paths(spark):
+def test_head_by_any_type_in_order(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(4)
-    a = sorted(r.k for r in cols.head_by(df, 30, ["k"]).collect())
-    b = sorted(r.k for r in cols.head_by(df, 30, ["k"], merge_budget=0).collect())
-    assert a == b == list(range(30))
+    assert [r.k for r in cols.head_by(df, 30, ["k"]).collect()] == list(range(30))
+    words = df.withColumn("w", F.concat(F.lit("w"), F.col("k")))
+    assert [r.w for r in cols.head_by(words, 3, ["w"]).collect()] == ["w0", "w1", "w10"]
 
 
 def test_encode_chunks_cover_whole_text(spark):
@@ -567,3 +574,152 @@ def test_triangulate_refuses_string_tags(spark):
     df = spark.createDataFrame([("1", 1.0)], "afrm string, afrm_gpt double")
     with pytest.raises(TypeError):
         cols.triangulate(df, ["afrm"])
+
+
+# ----------------------------------------------------- lineage, counts, edges
+def augmented_rows(spark, n=60):
+    data = [(i, f"t{i}", f"r{i}", i % 2) for i in range(n)]
+    return rws.augment(spark.createDataFrame(data, "row_id long, text string, rtnl string, trgt int"))
+
+
+def test_augmented_rows_have_their_own_id_and_family(spark):
+    from tessera.operators import ml
+    aug = augmented_rows(spark).repartition(5)
+    rows = aug.collect()
+    assert len({r.aug_id for r in rows}) == len(rows) == 90
+    out = ml.assign_folds(aug, "row_id", 4, "trgt", 56).collect()
+    assert len(out) == 90
+    folds = {}
+    for r in out:
+        folds.setdefault(r.row_id, set()).add(r.fold)
+    assert all(len(f) == 1 for f in folds.values()) and {f for s in folds.values() for f in s} == {0, 1, 2, 3}
+    drawn = lambda d: {r.aug_id for r in smp.holdout(d, 20, 3, group=None).where("split = 'calibrate'").collect()}
+    assert drawn(aug) == drawn(aug.repartition(2)) and len(drawn(aug)) == 20
+    orphans = aug.where("not (seq = 0 and row_id = 1)")
+    with pytest.raises(Exception, match="no original"):
+        ml.assign_folds(orphans, "row_id", 4, "trgt", 56).collect()
+
+
+def test_split_and_augment_is_assemble_train(spark):
+    data = [(i, f"t{i}", f"r{i}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(data, "row_id long, text string, rtnl string, trgt int")
+    a = {(r.row_id, r.seq, r.split) for r in rws.split_and_augment(df).collect()}
+    assert a == {(r.row_id, r.seq, r.split) for r in rws.assemble_train(rws.augment(df)).collect()}
+
+
+def test_replicate_new_id(spark):
+    out = rws.replicate(spark.range(7).withColumnRenamed("id", "k"), 20, key="k").collect()
+    assert len({r.rep_id for r in out}) == 21
+
+
+def test_encode_keeps_rare_tokens_labels_and_repeated_keys(spark):
+    from tessera.operators.encode import encode_batch
+    df = spark.createDataFrame([(1, "a b a", 5), (1, "x y z", 6)], "k long, text string, y int")
+    out = sorted(encode_batch(df, "k", max_len=4, labels=["y"]).collect(), key=lambda r: r.y)
+    assert [r.n_tokens for r in out] == [3, 3] and [r.y for r in out] == [5, 6]
+    ids = {i for r in out for i in r.input_ids}
+    assert len(ids) == 6 and 1 not in ids
+
+
+def test_kappa_large_counts_and_many_classes(spark):
+    big = 10**11
+    cells = spark.createDataFrame([("t", 0, 0, 6 * big), ("t", 1, 1, 3 * big), ("t", 0, 1, big), ("t", 1, 0, big)],
+                                  "tag string, a int, b int, cnt long")
+    n, agree, pe = 11 * big, 9 * big, (7 * 7 + 4 * 4) * big * big
+    assert agr.kappa_from_cells(cells).first().kappa == pytest.approx((n * agree - pe) / (n * n - pe), abs=1e-6)
+    many = spark.range(5000).select(F.lit("t").alias("tag"), F.col("id").alias("a"), F.col("id").alias("b"),
+                                    F.lit(2).cast("long").alias("cnt"))
+    assert agr.kappa_from_cells(many).first().kappa == 1.0
+
+
+def test_missing_values_are_errors(spark):
+    pairs = spark.createDataFrame([(1, 1), (None, 0)], "t_x int, t_y int")
+    with pytest.raises(Exception, match="missing value"):
+        agr.cohen_kappa(pairs, ["t"], "x", "y").collect()
+    assert agr.cohen_kappa(pairs, ["t"], "x", "y", missing="drop").first().n == 1
+    for row in ((None, 1, 0.5), (1, None, 0.5), (1, 1, None), (1, 1, float("nan"))):
+        long = spark.createDataFrame([("t", 0, 0, 0.1), ("t", *row)], "target string, y_true int, y_pred int, y_prob double")
+        with pytest.raises(Exception, match="missing value"):
+            met.evaluate_long(long).collect()
+
+
+def test_average_precision_skewed_scores(spark):
+    import random
+    rng = random.Random(1)
+    rows = [("t", int(rng.random() < 0.1), rng.random() * (1e-4 if rng.random() < 0.95 else 1.0)) for _ in range(2000)]
+    got = met.average_precision(spark.createDataFrame(rows, "target string, y_true int, y_prob double")).first().value
+    order = sorted(rows, key=lambda r: -r[2])
+    tp, acc = 0, 0.0
+    for i, r in enumerate(order, 1):
+        tp += r[1]
+        acc += r[1] * tp / i
+    assert got == pytest.approx(acc / tp, abs=1e-6)
+
+
+def test_range_buckets_balance_and_outliers(spark):
+    ids = [*range(20_000), 10**15]
+    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(3)
+    b = ranks._with_range_bucket(df, "k", 64)
+    sizes = [r["count"] for r in b.groupBy(ranks.BUCKET).count().collect()]
+    assert len(sizes) >= 60 and max(sizes) < 2 * len(ids) / len(sizes)
+    got = {r.k: r["index"] for r in ranks.ordered_index(df, ["k"], n_buckets=64).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(ids))}
+
+
+def test_strict_tags_numbers_and_large_values(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (2.7,)], "c double")
+    assert [r.c for r in lab.normalize_tags(df, ["c"], "strict").collect()] == [1, 0, 0, 2]
+    df = spark.createDataFrame([("3000000000",)], "c string")
+    assert lab.normalize_tags(df, ["c"], "coerce").first().c == 3_000_000_000
+
+
+def test_rerun_replaces_old_rationale(spark):
+    df = spark.createDataFrame([("afrm", " 0", 1, "old", "old"), ("afrm", "error", 1, "old", "old"), ("afrm", None, 1, "old", "old")],
+                               "alias string, reply string, decision int, rationale string, explanation string")
+    got = [(r.decision, r.rationale, r.explanation) for r in coding.parse_responses(df).collect()]
+    assert got == [(0, None, None), (1, "old", "old"), (1, "old", "old")]
+
+
+def test_short_stratum_is_an_error(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(20)], "k long, s int")
+    assert smp.sample_strata(df, "s", {0: 3, 1: 10}, 1, "k").count() == 13
+    with pytest.raises(ValueError, match="stratum"):
+        smp.sample_strata(df, "s", {0: 11}, 1, "k")
+
+
+def test_recogniser_addresses_that_begin_with_names(spark):
+    texts = ["Danielle@x.org", "Amy123@x.org wrote", "see bob@x.org.", "Amys Amy", "555-01001 555-0100", "Daniela, Daniel"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in ent.spans_long(ent.detect_entities(df)).collect():
+        got.setdefault(r.doc_id, []).append((r.label, r.span_text, r.start))
+    assert got == {0: [("EMAIL", "Danielle@x.org", 0)], 1: [("EMAIL", "Amy123@x.org", 0)], 2: [("EMAIL", "bob@x.org", 4)],
+                   3: [("PERSON", "Amy", 5)], 4: [("PHONE", "555-0100", 10)],
+                   5: [("PERSON", "Daniela", 0), ("PERSON", "Daniel", 9)]}
+    red = txt.redact_spans(ent.detect_entities(df)).orderBy("doc_id").collect()
+    assert red[0].text == " " and red[4].text == "555-01001  "
+
+
+def test_redact_terms_nested_and_folded_agree(spark, monkeypatch):
+    df = spark.createDataFrame([("abc abd ab a",), (None,)], "text string")
+    terms = ["ab", "abc", "a", " "]
+    a = [r.text for r in txt.redact_terms(df, ["text"], terms, token="_").collect()]
+    monkeypatch.setattr(txt, "NESTED_LIMIT", 1)
+    assert a == [r.text for r in txt.redact_terms(df, ["text"], terms, token="_").collect()]
+
+
+def test_class_lookup_join_path(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(100)], "row_id long, trgt int")
+    a = {(r.row_id, r.fold) for r in smp.stratified_folds(df, 5).collect()}
+    monkeypatch.setattr(smp, "LITERAL_CLASSES", 1)
+    assert a == {(r.row_id, r.fold) for r in smp.stratified_folds(df, 5).collect()}
+
+
+def test_checkpoint_folder_only_falls_back_on_a_local_master():
+    from types import SimpleNamespace
+
+    from tessera.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                         getConf=lambda: SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
