@@ -44,6 +44,20 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)], dtype=np.uint64)
 
 
+def _gram_hash(v: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every run of ``gram`` symbols, by doubling."""
+    h, size, power = v, 1, _R
+    with np.errstate(over="ignore"):
+        for bit in bin(gram)[3:]:
+            h = h[:-size] * np.uint64(power) + h[size:]
+            size, power = 2 * size, power * power & _MASK
+            if bit == "1":
+                h = h[:-1] * np.uint64(_R) + v[size:size + len(h) - 1]
+                size, power = size + 1, power * _R & _MASK
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
 class Stretches:
     """Cuts texts into stretches of one minimizer each."""
 
@@ -64,17 +78,7 @@ class Stretches:
 
     def _block(self, buf: np.ndarray, at: int):
         v = _BYTE[buf]
-        # the hash of every run of `gram` bytes, by doubling
-        h, size, power = v, 1, _R
-        bits = bin(self.gram)[3:]
-        for bit in bits:
-            h = h[:-size] * np.uint64(power) + h[size:]
-            size, power = 2 * size, power * power & _MASK
-            if bit == "1":
-                h = h[:-1] * np.uint64(_R) + v[size:size + len(h) - 1]
-                size, power = size + 1, power * _R & _MASK
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+        h = _gram_hash(v, self.gram)
         # the least hash of each string; of equals the leftmost
         key = (h >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
         width, reach = self.least - self.gram + 1, 1
@@ -231,42 +235,56 @@ class Transform:
     prefixes of neighbours, built column by column from the strings' ends.
 
     Three files run in step, a row per suffix in sorted order: the symbol
-    before it (0 where the string begins), its common prefix with the row
-    above, and its string and length. A round reads and writes each once."""
+    before it (byte + 1, or 0 where the string begins), its common prefix with
+    the row above, and its string and length. A round reads them once to rank
+    the symbols and once to write them anew with its rows put in."""
 
     def __init__(self, strings: list[bytes], folder: str, rows: int = FILE_ROWS) -> None:
         self.folder, self.block, self.m = folder, rows, len(strings)
         self.size = np.array([len(s) for s in strings], dtype=np.int64)
         self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
         self.end = np.cumsum(self.size)
-        self.turn = 0
-        self._write_all(self._symbol(np.arange(self.m), 0), np.zeros(self.m, np.uint16),
-                        np.arange(self.m, dtype=np.uint64) << np.uint64(16))
+        longest = int(self.size.max(initial=0))
+        self.bits = longest.bit_length() + 1
+        wide = self.m.bit_length() + self.bits > 32
+        self.types = (np.uint16 if self.data.max(initial=0) == 255 else np.uint8, np.uint16 if longest > 254 else np.uint8,
+                      np.uint64 if wide else np.uint32)
+        self.turn, self.rows = 0, self.m
         at, who = np.arange(self.m), np.arange(self.m)  # rows put in by the last round, and whose
-        for j in range(1, int(self.size.max(initial=0)) + 1):
+        self._write([(self._symbol(who, 0), np.zeros(self.m, self.types[1]), self._whose(who, 0))])
+        for j in range(1, longest + 1):
             keep = self.size[who] >= j
             at, who = self._round(at[keep], who[keep], j)
 
     def _symbol(self, who: np.ndarray, j: int) -> np.ndarray:
-        """The symbol before the suffix of length j: byte + 1, or 0."""
-        out = np.zeros(len(who), dtype=np.uint16)
+        out = np.zeros(len(who), dtype=self.types[0])
         more = self.size[who] > j
-        out[more] = self.data[self.end[who[more]] - j - 1].astype(np.uint16) + 1
+        out[more] = self.data[self.end[who[more]] - j - 1] + self.types[0](1)
         return out
 
-    def _files(self, mode: str, turn: int):
-        return [open(os.path.join(self.folder, f"{n}-{turn % 2}"), mode) for n in ("symbol", "prefix", "whose")]
+    def _whose(self, who: np.ndarray, j: int) -> np.ndarray:
+        return (who << self.bits | j).astype(self.types[2])
 
-    def _write_all(self, *columns: np.ndarray) -> None:
-        for f, c in zip(self._files("wb", self.turn), columns, strict=True):
-            with f:
+    def _paths(self, turn: int) -> list[str]:
+        return [os.path.join(self.folder, f"{n}-{turn % 2}") for n in ("symbol", "prefix", "whose")]
+
+    def _write(self, blocks) -> None:
+        files = [open(p, "wb") for p in self._paths(self.turn + 1)]
+        for columns in blocks:
+            for f, c in zip(files, columns, strict=True):
                 c.tofile(f)
+        for f in files:
+            f.close()
+        for p in self._paths(self.turn):  # what was read is done with
+            if os.path.exists(p):
+                os.unlink(p)
+        self.turn += 1
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        files = self._files("rb", self.turn)
+        files = [open(p, "rb") for p in self._paths(self.turn)]
         try:
             while True:
-                got = [np.fromfile(f, dtype=t, count=self.block) for f, t in zip(files, (np.uint16, np.uint16, np.uint64))]
+                got = [np.fromfile(f, dtype=t, count=self.block) for f, t in zip(files, self.types)]
                 if not len(got[0]):
                     return
                 yield tuple(got)
@@ -275,75 +293,98 @@ class Transform:
                 f.close()
 
     def _round(self, at: np.ndarray, who: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-        # first pass: where the symbols of the rows `at` lead, and the common prefixes there
-        count, low = np.zeros(257, np.int64), np.full(257, 0xFFFF, np.int64)
+        symbol, rank, prefix, new, row, count = self._ranked(at)
+        ahead = self.m + np.r_[0, np.cumsum(count[1:])]  # rows before the suffixes that begin with symbol 1, 2, ...
+        to = ahead[symbol - 1] + rank
+        order = np.argsort(to, kind="stable")
+        to, prefix, new, row = to[order], prefix[order], new[order], row[order]
+        put, mine = to[new], who[np.searchsorted(at, row[new])]
+        columns = (self._symbol(mine, j), prefix[new].astype(self.types[1]), self._whose(mine, j))
+        self._write(self._merged(put, columns, to[~new], prefix[~new].astype(self.types[1])))
+        self.rows += len(put)
+        return put, mine
+
+    def _ranked(self, at: np.ndarray):
+        """For the symbols of the rows ``at``, and for each that is the next of
+        its symbol after one of them: symbol, rank among its kind, one more
+        than the shortest common prefix since the one before, whether its row
+        is in ``at``, and the row. Also the count of each symbol."""
+        count, low = np.zeros(257, np.int64), np.full(257, 1 << 30, np.int64)
         seen, seen_new = np.zeros(257, bool), np.zeros(257, bool)
-        symbol, rank, prefix, new, row = [], [], [], [], []
-        base = 0
+        found, base = [], 0
         for sym, lcp, _ in self.blocks():
             n = len(sym)
-            fresh = np.zeros(n, dtype=bool)
             a, z = np.searchsorted(at, (base, base + n))
+            fresh = np.zeros(n, dtype=bool)
             fresh[at[a:z] - base] = True
+            here = np.bincount(sym, minlength=257)
+            first = np.cumsum(here) - here
             order = np.argsort(sym, kind="stable")
-            s = sym[order].astype(np.int64)
-            head = np.r_[True, s[1:] != s[:-1]]
-            first = np.flatnonzero(head)
-            index = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-            before = np.r_[0, order[:-1]]
-            need = (fresh[order] | np.where(head, seen_new[s], fresh[before])) & (s > 0)
-            i = np.flatnonzero(need)
-            p, q, top = order[i], before[i], head[i]
-            shortest = np.empty(len(i), dtype=np.int64)
-            if top.any():
-                run = np.minimum.accumulate(lcp)
-                shortest[top] = np.where(seen[s[i[top]]], 1 + np.minimum(low[s[i[top]]], run[p[top]]), 0)
-            if (~top).any():
-                shortest[~top] = 1 + _least_between(lcp, q[~top] + 1, p[~top] + 1)
-            symbol.append(s[i])
-            rank.append(count[s[i]] + index[i])
-            prefix.append(shortest)
-            new.append(fresh[p])
-            row.append(p + base)
-            tail = np.minimum.accumulate(lcp[::-1])[::-1]
-            low = np.minimum(low, int(lcp.min()))
-            last = np.r_[first[1:], n] - 1
-            end, kind = order[last], s[first]
-            low[kind] = np.where(end + 1 < n, tail[np.minimum(end + 1, n - 1)], 0xFFFF)
-            seen[kind], seen_new[kind] = True, fresh[end]
-            count += np.bincount(s, minlength=257)
+            kind = sym[at[a:z] - base]
+            mine = np.split(at[a:z][np.argsort(kind, kind="stable")] - base, np.cumsum(np.bincount(kind, minlength=257))[:-1])
+            ask_s, ask_p, ask_from, ask_rank = [], [], [], []
+            for s in range(1, 257):
+                if not here[s] or not (len(mine[s]) or seen_new[s]):
+                    continue
+                own = order[first[s]:first[s] + here[s]]
+                marked = np.zeros(here[s] + 1, dtype=bool)
+                i = np.searchsorted(own, mine[s])
+                marked[i] = marked[i + 1] = True
+                marked[0] |= seen_new[s]
+                r = np.flatnonzero(marked[:-1])
+                start = own[r - 1] + 1
+                if r[0] == 0:
+                    start[0] = 0
+                ask_s.append(np.full(len(r), s))
+                ask_p.append(own[r])
+                ask_from.append(start)
+                ask_rank.append(r)
+            last_block = base + n == self.rows
+            kinds = np.flatnonzero(here)
+            end = order[first[kinds] + here[kinds] - 1]
+            if ask_s:
+                s, p, start, r = (np.concatenate(x) for x in (ask_s, ask_p, ask_from, ask_rank))
+                shortest = np.zeros(len(s), dtype=np.int64)
+                known = (r > 0) | seen[s]  # the first of its kind has nothing before it
+                shortest[known] = _least_between(lcp, start[known], p[known] + 1)
+                top = known & (r == 0)
+                shortest[top] = np.minimum(shortest[top], low[s[top]])
+                shortest[known] += 1
+                found.append((s, count[s] + r, shortest, fresh[p], p + base))
+            if not last_block:
+                low = np.minimum(low, int(lcp.min()))
+                low[kinds] = 1 << 30
+                inner = end + 1 < n
+                low[kinds[inner]] = _least_between(lcp, end[inner] + 1, np.full(int(inner.sum()), n))
+                seen[kinds], seen_new[kinds] = True, fresh[end]
+            count += here
             base += n
-        symbol, rank, prefix, new, row = (np.concatenate(v) for v in (symbol, rank, prefix, new, row))
-        ahead = self.m + np.r_[0, np.cumsum(count[1:])]  # rows before the suffixes that begin with symbol 1, 2, ...
-        to = ahead[symbol - 1] + rank
-        whose = np.full(len(to), -1, dtype=np.int64)
-        whose[new] = who[np.searchsorted(at, row[new])]
-        # second pass: put the new rows in, and lower the prefixes of those that follow one
-        order = np.argsort(to, kind="stable")
-        to, prefix, new, whose = to[order], prefix[order], new[order], whose[order]
-        put, mine = to[new], whose[new]
-        columns = (self._symbol(mine, j), prefix[new].astype(np.uint16),
-                   (mine.astype(np.uint64) << np.uint64(16)) | np.uint64(j))
-        change, changed = to[~new], prefix[~new].astype(np.uint16)
-        old_at = put - np.arange(len(put))  # the old row that each goes before
-        out = self._files("wb", self.turn + 1)
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(bool), none, count
+        return *(np.concatenate(x) for x in zip(*found)), count
+
+    def _merged(self, put: np.ndarray, columns, change: np.ndarray, changed: np.ndarray):
+        """The rows with ``columns`` put in at ``put``, and prefixes changed."""
+        before = put - np.arange(len(put))  # the old row that each goes before
         base = done = 0
-        total = base_rows = int(count.sum())
-        for cols in self.blocks():
-            n = len(cols[0])
-            a = np.searchsorted(old_at, base)
-            z = np.searchsorted(old_at, base + n) if base + n < total else len(old_at)
-            merged = [np.insert(c, old_at[a:z] - base, new_c[a:z]) for c, new_c in zip(cols, columns, strict=True)]
-            x, y = np.searchsorted(change, (done, done + len(merged[0])))
-            merged[1][change[x:y] - done] = changed[x:y]
-            for f, c in zip(out, merged, strict=True):
-                c.tofile(f)
-            base, done = base + n, done + len(merged[0])
-        for f in out:
-            f.close()
-        assert done == base_rows + len(put)
-        self.turn += 1
-        return put, mine
+        for old in self.blocks():
+            n = len(old[0])
+            a = np.searchsorted(before, base)
+            z = np.searchsorted(before, base + n) if base + n < self.rows else len(before)
+            size = n + z - a
+            stay = np.ones(size, dtype=bool)
+            stay[put[a:z] - done] = False
+            out = []
+            for c, more in zip(old, columns, strict=True):
+                merged = np.empty(size, dtype=c.dtype)
+                merged[stay] = c
+                merged[put[a:z] - done] = more[a:z]
+                out.append(merged)
+            x, y = np.searchsorted(change, (done, done + size))
+            out[1][change[x:y] - done] = changed[x:y]
+            yield out
+            base, done = base + n, done + size
 
     def equal(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(group, string, suffix length) of rows whose neighbours share
@@ -352,19 +393,21 @@ class Transform:
         for _, lcp, whose in self.blocks():
             tied = lcp >= least
             g = group + np.cumsum(~tied)
-            follows = np.r_[tied[1:], False]
             if before is not None and tied[0]:
                 yield before
-            keep = tied | follows
-            last = (g[-1:], (whose[-1:] >> np.uint64(16)).astype(np.int64), (whose[-1:] & np.uint64(0xFFFF)).astype(np.int64))
-            before = None if keep[-1] else last
-            yield g[keep], (whose[keep] >> np.uint64(16)).astype(np.int64), (whose[keep] & np.uint64(0xFFFF)).astype(np.int64)
+            keep = np.flatnonzero(tied | np.r_[tied[1:], False])
+            whose = whose.astype(np.int64)
+            who, size = whose >> self.bits, whose & ((1 << self.bits) - 1)
+            before = None if tied[-1] else (g[-1:], who[-1:], size[-1:])
+            yield g[keep], who[keep], size[keep]
             group = int(g[-1])
 
 
 def _least_between(v: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """min(v[start:stop]) for non-empty ranges, from tables of doubling reach."""
     size = stop - start
+    if not len(size):
+        return size
     level = np.frexp(size.astype(np.float64))[1] - 1
     out = np.empty(len(size), dtype=np.int64)
     table, reach = v, 1
@@ -378,13 +421,51 @@ def _least_between(v: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return out
 
 
+def _may_share(keys: np.ndarray, strings: list[bytes], least: int) -> np.ndarray:
+    """Which stretches may share a string with another: of two that do, the
+    bytes that lead up to and through the minimizer, or from it on, agree over
+    half of what the string has besides it. Loses none that share."""
+    gram = min(GRAM, least)
+    width, flank = least - gram + 1, (least - gram) // 2
+    size = np.array([len(x) for x in strings])
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    first = np.cumsum(size) - size
+    h = _gram_hash(_BYTE[data], gram)
+    weight = _rng_words(gram + flank)
+    out = np.zeros((2, len(strings)), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(strings), 20_000):
+            f = first[at:at + 20_000]
+            m = (h[f[:, None] + np.arange(width)] >> np.uint64(_POS)).argmin(axis=1)  # the leftmost of equals
+            for side, begin in enumerate((m - flank, m)):
+                fits = (begin >= 0) & (begin + gram + flank <= size[at:at + 20_000])
+                part = data[(f + begin)[fits, None] + np.arange(gram + flank)].astype(np.uint64)
+                own = np.full(len(f), -1, dtype=np.int64).view(np.uint64) - np.arange(at, at + len(f), dtype=np.uint64)
+                own[fits] = ((part + np.uint64(1)) * weight).sum(axis=1, dtype=np.uint64)
+                out[side, at:at + 20_000] = own ^ (keys[at:at + 20_000].view(np.uint64) * np.uint64(_R))
+    keep = np.zeros(len(strings), dtype=bool)
+    for side in out:
+        _, at, n = np.unique(side, return_inverse=True, return_counts=True)
+        keep |= n[at] > 1
+    return keep
+
+
+def _rng_words(n: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64(11))
+    return rng.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _transformed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     t = whole(batches)
     if t is None:
         return
-    ids, at = t.column("_id").to_numpy(), t.column("_at").to_numpy()
     strings = [s.as_py() for s in t.column("_s")]
+    keep = np.flatnonzero(_may_share(t.column("_k").to_numpy(), strings, least))
+    ids, at = t.column("_id").to_numpy()[keep], t.column("_at").to_numpy()[keep]
+    strings = [strings[k] for k in keep.tolist()]
     del t
+    if not strings:
+        return
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
         made = Transform(strings, folder)
         got = list(made.equal(least))

@@ -146,10 +146,10 @@ def test_transform_is_the_sorted_suffixes(block):
     with tempfile.TemporaryDirectory() as folder:
         t = suffix.Transform(strings, folder, block)
         symbol, prefix, whose = (np.concatenate(c) for c in zip(*t.blocks()))
-        assert sorted(os.listdir(folder)) == sorted(f"{n}-{k}" for n in ("symbol", "prefix", "whose") for k in (0, 1))
+        assert len(os.listdir(folder)) == 3
     # the ends differ, in the order of the strings
     want = sorted(([b + 1 for b in s[len(s) - j:]] + [0, i], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
-    assert [(int(w) >> 16, int(w) & 0xFFFF) for w in whose] == [(i, j) for _, i, j in want]
+    assert [divmod(int(w), 1 << t.bits) for w in whose] == [(i, j) for _, i, j in want]
     for k, (s, i, j) in enumerate(want):
         assert symbol[k] == (strings[i][len(strings[i]) - j - 1] + 1 if j < len(strings[i]) else 0)
         if k:
