@@ -146,9 +146,10 @@ class Member:
     def end(self) -> bytes:
         if b"".join(self.take(4)) != b"\r\n\r\n":
             raise ValueError("block is longer than its Content-Length")
-        while self._more():
-            if self.out:
-                raise ValueError("gzip member goes on after its record")
+        while not self.out and self._more():
+            pass
+        if self.out:
+            raise ValueError("gzip member goes on after its record")
         return self.z.unused_data or self.ahead
 
 
