@@ -10,6 +10,8 @@ are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 4096
-SHARD_TOKENS = 2_000_000
-SHARD_CHARS = 6_000_000
-CACHE_WORDS = 600_000
+SHARD_TOKENS = 1_500_000
+SHARD_CHARS = 3_000_000
+CACHE_WORDS = 1_000_000
+_AFTER_LETTER = re.compile(rb"([a-z])([.,;:!?])")
 
 
 class Tokens:
@@ -31,11 +34,14 @@ class Tokens:
     _open: dict[str, Tokens] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     @classmethod
@@ -47,53 +53,48 @@ class Tokens:
 
     def clear(self) -> None:
         self.where: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 20, dtype=self.dtype)
-        self.used = 0
-        self.start, self.size = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64)
-
-    def _add(self, word: bytes, ids) -> None:
-        k, n = len(self.where), len(ids)
-        if k == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + n] = ids
-        self.start[k], self.size[k] = self.used, n
-        self.used += n
-        self.where[word] = k
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts: dict[bytes, list[bytes]] = {}
+        self.flat = np.empty(0, dtype=self.dtype)
+        self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
         for w in words:
             s = w.decode()
-            base = s.rstrip(".,;:!?")
-            # a letter and the ASCII punctuation after it are never one token
-            cut = len(base) < len(s) and base and len(z := base[-1].lower()) == 1 and z.isalpha() and ord(z) < 0x250
-            parts[w] = [x.lower().encode() if x.isascii() else x.encode() for x in ([base, s[len(base):]] if cut else [s])]
-        new = sorted({p for ps in parts.values() for p in ps} - self.where.keys())
-        for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self._add(p, e.ids)
-        for w, ps in parts.items():
-            if w not in self.where:
-                at = [self.where[p] for p in ps]
-                self._add(w, np.concatenate([self.flat[self.start[k]:self.start[k] + self.size[k]] for k in at]))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()  # at ASCII white space
-        if not words:
-            return np.zeros(0, dtype=self.dtype)
-        at = list(map(self.where.get, words))
-        if None in at:
-            new = {w for w, k in zip(words, at) if k is None}
-            if len(self.where) + 2 * len(new) > CACHE_WORDS:
-                self.clear()
-                new = set(words)
-            self._learn(new)
-            at = list(map(self.where.get, words))
-        at = np.array(at)
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+            # letters only, whose lower case is letters: one word to the tokenizer, with one word-end token
+            (plain if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s else other).append(s)
+        texts = [" ".join(plain[k:k + 5000]) for k in range(0, len(plain), 5000)]
+        got = self.tok.encode_batch_fast(texts + other, add_special_tokens=False)
+        joined = np.array([i for e in got[:len(texts)] for i in e.ids], dtype=np.int64)
+        last = np.flatnonzero(self.ends_word[joined]) + 1 if len(joined) else joined
+        if len(last) != len(plain):  # not such a tokenizer: word by word
+            got = self.tok.encode_batch_fast(plain + other, add_special_tokens=False)
+            plain, other, texts, joined, last = [], plain + other, [], joined[:0], joined[:0]
+        rest = [e.ids for e in got[len(texts):]]
+        size = np.r_[np.diff(np.r_[0, last]), np.array([len(i) for i in rest], dtype=np.int64)].astype(np.int64)
+        flat = np.r_[joined, np.array([i for ids in rest for i in ids], dtype=np.int64)].astype(self.dtype)
+        self.where.update(zip((s.encode() for s in plain + other), range(len(self.where), len(self.where) + len(words))))
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+        self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, flat]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. The words that a batch brings anew are
+        encoded together."""
+        # ASCII letters in lower case, punctuation after one set apart: neither changes what the tokenizer sees
+        words = [_AFTER_LETTER.sub(rb"\1 \2", t.encode().lower()).split() for t in texts]  # at ASCII white space
+        new = set().union(*words).difference(self.where)
+        if len(self.where) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = set().union(*words)
+        if new:
+            self._learn(sorted(new))
+        for ws in words:
+            if not ws:
+                yield np.zeros(0, dtype=self.dtype)
+                continue
+            at = np.fromiter(map(self.where.__getitem__, ws), dtype=np.int64, count=len(ws))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            ids = [np.concatenate([tok.encode(t.as_py()), end]).tobytes() for t in part.column("_text")]
+            ids = [np.concatenate([x, end]).tobytes() for x in tok.encode(part.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), pa.array(ids, pa.binary())],
                                              names=["_id", "_h", "_ids"])
 
