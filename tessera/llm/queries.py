@@ -84,6 +84,29 @@ def op2_line_dedup(spark, sf_dir):
         F.nullif("_id", F.lit(NO_ID)).alias("doc_id"), "n_lines", "n_exact", "n_near", "text")
 
 
+ORACLE["op2_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, k, trim(regexp_replace(lower(ls[k + 1]), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t
+           FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM d)),
+     r AS (SELECT doc_id, k, string_split(t, ' ') AS w, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) AS nth
+           FROM l WHERE len(string_split(t, ' ')) >= 5),
+     v AS (SELECT doc_id, k, len(w) AS m, i, array_to_string(w[1:i], ' ') || chr(1) || array_to_string(w[i + 2:], ' ') AS rest
+           FROM (SELECT *, unnest(range(len(w))) AS i FROM r WHERE nth = 1)
+           UNION ALL
+           SELECT doc_id, k, len(w) + 1, i, array_to_string(w[1:i], ' ') || chr(1) || array_to_string(w[i + 1:], ' ')
+           FROM (SELECT *, unnest(range(len(w) + 1)) AS i FROM r WHERE nth = 1)),
+     gone AS (SELECT doc_id, k, 1 AS exact FROM r WHERE nth > 1 UNION ALL
+              SELECT DISTINCT doc_id, k, 0 FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY m, i, rest ORDER BY doc_id, k)
+                                                 AS nth FROM v) WHERE nth > 1),
+     g AS (SELECT doc_id, list(k) AS ks, sum(exact) AS e, sum(1 - exact) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(coalesce(e, 0) AS INTEGER) AS n_exact,
+       CAST(coalesce(n, 0) AS INTEGER) AS n_near,
+       CASE WHEN ks IS NULL THEN text ELSE array_to_string([ls[k + 1] FOR k IN range(len(ls)) IF NOT list_contains(ks, k)],
+                                                           chr(10)) END AS text
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 @q
 def op4_licences(spark, sf_dir):
     # the documents as files of a tree: source, thousands, hundreds, one file each
@@ -99,6 +122,28 @@ def op7_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     c AS (SELECT doc_id, len(h) // 2 - 99 AS n, q, substr(h, 1024 * q + 1, 1222) AS x
+           FROM (SELECT doc_id, h, unnest(range(0, len(h) // 1024 + 1)) AS q FROM d)),
+     s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS nth
+           FROM (SELECT doc_id, 512 * q + i AS p, md5(substr(x, 2 * i + 1, 200)) AS g
+                 FROM (SELECT *, unnest(range(0, least(512, n - 512 * q))) AS i FROM c))),
+     m AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, false) AS far
+           FROM s WHERE nth > 1),
+     runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z
+              FROM (SELECT doc_id, p, count(*) FILTER (WHERE far) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM m)
+              GROUP BY doc_id, i),
+     cut AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM runs),
+     kept AS (SELECT doc_id, sum(z - a) AS r, count(*) AS k, max(z) AS last,
+                     string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS x
+              FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(x || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @q
 def op9_packing(spark, sf_dir):
     import public_tokenizers
