@@ -26,25 +26,36 @@ MIN_WORDS = 5
 
 def normal(line: Column) -> Column:
     """Lower case, words parted by single spaces."""
-    return F.btrim(F.regexp_replace(F.lower(line), SPACE, " "), F.lit(" "))
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.btrim(F.when(odd, F.regexp_replace(low, SPACE, " ")).otherwise(low), F.lit(" "))
 
 
 def _half(m: Column) -> Column:
     return F.floor(m / 2).cast("int")
 
 
-def _ends_hash(words: Column, n: Column, m: Column, last: bool) -> Column:
-    """Hash of the first (or last) half of a line compared at length m."""
-    h = _half(m)
-    part = F.slice(words, n - h + 1, h) if last else F.slice(words, F.lit(1), h)
-    return F.xxhash64(F.lit(last), m, part)
+def _ends(n: Column) -> Column:
+    """Hashes of the first and the last half of a normal line, for a partner
+    of up to n words and for one of n + 1; where these halves are of one
+    length, once."""
+    short, long = _half(n), _half(n + 1)
+    def end(side: int, h: Column) -> Column:
+        half = F.call_function("substring_index", F.col("_t"), F.lit(" "), h if side == 0 else -h)
+        return F.xxhash64(F.lit(side), half).bitwiseAND(F.lit((1 << 48) - 1))  # only a filter: 48 bits do
 
+    first, last = (lambda h: end(0, h)), (lambda h: end(1, h))
+    return F.when(short == long, F.array(first(short), last(short))).otherwise(
+        F.array(first(short), last(short), first(long), last(long)))
 
-def _run_hash(words: Column, blocks: Column, b: Column, k: Column, seed: int) -> Column:
+
+def _run_hash(words: Column, blocks: Column, b: Column, k: Column) -> Column:
     """Hash of the first k words, from the hashes of whole blocks of b words
     and the words after them, so that it costs about b + k / b."""
     c = F.floor(k / b).cast("int")
-    return F.xxhash64(F.lit(seed), k, F.slice(blocks, F.lit(1), c), F.slice(words, c * b + 1, k - c * b))
+    return F.xxhash64(k, F.slice(blocks, F.lit(1), c), F.slice(words, c * b + 1, k - c * b))
 
 
 def _blocks(words: Column, n: Column, b: Column) -> Column:
@@ -52,8 +63,10 @@ def _blocks(words: Column, n: Column, b: Column) -> Column:
                        lambda c: F.xxhash64(F.slice(words, c * b + 1, b)))
 
 
-def _where(items: Column, line: Column) -> Column:
-    return F.element_at(F.filter(items, lambda x: x["line"] == line), 1)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once: the optimizer copies a plain one into
+    every expression that uses it, but not across a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -73,37 +86,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = with_key(docs, id_col, text_col, carry)
     split = F.split("_text", "\n", -1)
-    lines = base.select("_id", "_ord", F.posexplode(split).alias("_line", "_raw")).select(
-        "_id", "_ord", "_line", F.split(normal(F.col("_raw")), " ", -1).alias("_w")).withColumn(
-        "_n", F.size("_w")).where(F.col("_n") >= min_words)
-    w, n = F.col("_w"), F.col("_n")
-    lines = lines.select(F.xxhash64("_w").alias("_h1"), F.xxhash64(F.lit(1), "_w").alias("_h2"), "_id", "_ord", "_line",
-                         "_n", *[_ends_hash(w, n, n + more, last).alias(f"_a{2 * more + last}")
-                                 for more in (0, 1) for last in (False, True)])
-    anchors = ["_a0", "_a1", "_a2", "_a3"]
+    lines = _once(base.select("_id", "_ord", F.posexplode(split).alias("_line", "_raw")), "_t", normal(F.col("_raw")))
+    lines = _once(lines, "_n", F.octet_length("_t") - F.octet_length(F.replace("_t", F.lit(" "))) + 1)
+    lines = lines.where(F.col("_n") >= min_words)
+    lines = saved(lines.select(F.xxhash64("_t").alias("_h1"), F.hash(F.lit(1), "_t").alias("_h2"), "_id", "_ord",
+                               "_line", _ends(F.col("_n")).alias("_ends")), "lines")
     place = F.struct("_id", "_ord", "_line")
-    kinds = lines.groupBy("_h1", "_h2").agg(
-        F.min(F.struct("_id", "_ord", "_line", "_n", *anchors)).alias("_first"),
-        F.countDistinct(place).alias("_c") if _repeated(base) else F.count(F.lit(1)).alias("_c"))
-    kinds = saved(kinds.select("_h1", "_h2", "_c", "_first.*"), "line-kinds")
+
+    # one row per kind of line (96 bits of hash): its first place, with its halves, and how often it occurs
+    kinds = lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_ord", "_line", "_ends")).alias("_first"),
+                                            F.count(F.lit(1)).alias("_c"))
+    kinds = kinds.select("_h1", "_h2", F.inline(F.array(F.struct("_first", "_c"))))  # both uses share one shuffle
+    first = F.struct("_first._id", "_first._ord", "_first._line")
 
     # equal lines
-    many = kinds.where("_c > 1").select("_h1", "_h2", F.struct("_id", "_ord", "_line").alias("_keep"))
+    many = kinds.where("_c > 1").select("_h1", "_h2", first.alias("_keep"))
     equal = lines.select("_h1", "_h2", "_id", "_ord", "_line").join(many, ["_h1", "_h2"]).where(place != F.col("_keep"))
     equal = equal.groupBy("_id", "_ord").agg(F.collect_set("_line").alias("_equal"))
 
-    # lines with a half that occurs elsewhere; bit k of _half stands for anchor k
-    ends = kinds.select("_id", "_ord", "_line", F.posexplode(F.array(*anchors)).alias("_k", "_a"))
+    # lines with a half that occurs elsewhere; the bits of half: first and last at n words, first and last at n + 1
+    bits = F.when(F.size("_ends") == 2, F.array(F.lit(5), F.lit(10))).otherwise(F.array(*map(F.lit, (1, 2, 4, 8))))
+    ends = kinds.select("_first.*").select("_id", "_ord", "_line", F.inline(F.arrays_zip(
+        F.col("_ends"), bits.alias("_bits"))).alias("_a", "_bits"))
     shared = ends.groupBy("_a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_a")
     halves = ends.join(shared, "_a", "left_semi").groupBy("_id", "_ord", "_line").agg(
-        F.sum(F.expr("shiftleft(1, _k)")).cast("int").alias("half"))
+        F.sum("_bits").cast("int").alias("half"))
     wanted = halves.groupBy("_id", "_ord").agg(F.collect_list(F.struct(F.col("_line").alias("line"), "half")).alias("_want"))
 
     # their neighbourhoods
-    dealt = base.repartition("_id", "_ord")
-    cand = dealt.join(wanted, ["_id", "_ord"]).select("_id", "_ord", split.alias("_lines"), F.explode("_want").alias("_x"))
-    cand = cand.select("_id", "_ord", F.col("_x.line").alias("_line"), F.col("_x.half").alias("_half"),
-                       F.split(normal(F.element_at("_lines", F.col("_x.line") + 1)), " ", -1).alias("_w"))
+    cand = _once(base.select("_id", "_ord", "_text").join(wanted, ["_id", "_ord"]), "_lines", split)
+    cand = cand.select("_id", "_ord", "_lines", F.inline("_want").alias("_line", "_half"))
+    cand = _once(cand, "_w", F.split(normal(F.element_at("_lines", F.col("_line") + 1)), " ", -1)).drop("_lines")
     cand = cand.withColumn("_n", F.size("_w")).withColumn("_more", F.explode(F.array(F.lit(0), F.lit(1))))
     cand = cand.withColumn("_m", F.col("_n") + F.col("_more")).withColumn(
         "_b", F.ceil(F.sqrt(F.col("_m"))).cast("int")).withColumn("_v", F.reverse("_w"))
@@ -117,13 +130,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = cand.withColumn("_i", F.explode(at))
     i = F.col("_i")
 
-    def key(seed: int) -> Column:
-        return F.xxhash64(m, i, _run_hash(F.col("_w"), F.col("_wb"), F.col("_b"), i, seed),
-                          _run_hash(F.col("_v"), F.col("_vb"), F.col("_b"), m - 1 - i, seed))
-
-    keys = keys.select(key(1).alias("_k1"), key(2).alias("_k2"), "_id", "_ord", "_line", "_i", "_m")
-    met = keys.groupBy("_k1", "_k2").agg(F.min(place).alias("_keep"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    links = keys.join(met.select("_k1", "_k2", "_keep"), ["_k1", "_k2"]).where(F.col("_keep") < place)
+    # 64 bits of hash beside the length and the place of the edit; links are verified on the words
+    keys = keys.select(F.xxhash64(_run_hash(F.col("_w"), F.col("_wb"), F.col("_b"), i),
+                                  _run_hash(F.col("_v"), F.col("_vb"), F.col("_b"), m - 1 - i)).alias("_key"),
+                       "_m", "_i", "_id", "_ord", "_line")
+    by = ["_key", "_m", "_i"]
+    met = keys.groupBy(*by).agg(F.min(place).alias("_keep"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    links = keys.join(met.select(*by, "_keep"), by).where(F.col("_keep") < place)
     links = links.groupBy("_id", "_ord", "_line").agg(F.min(F.struct("_keep", "_m", "_i")).alias("_l")).select(
         "_id", "_ord", "_line", "_l.*")
 
@@ -131,14 +144,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = links.groupBy(F.col("_keep._id").alias("_id"), F.col("_keep._ord").alias("_ord")).agg(
         F.collect_list(F.struct(F.col("_id").alias("to"), F.col("_ord").alias("to_ord"), F.col("_line").alias("line"),
                                 F.col("_keep._line").alias("from"), F.col("_m").alias("m"), F.col("_i").alias("i"))).alias("_ask"))
-    sent = dealt.join(asked, ["_id", "_ord"]).select(split.alias("_lines"), F.explode("_ask").alias("_a")).select(
+    sent = _once(base.select("_id", "_ord", "_text").join(asked, ["_id", "_ord"]), "_lines", split)
+    sent = sent.select("_lines", F.explode("_ask").alias("_a")).select(
         F.col("_a.to").alias("_id"), F.col("_a.to_ord").alias("_ord"),
         F.struct(F.col("_a.line").alias("line"), F.col("_a.m").alias("m"), F.col("_a.i").alias("i"),
                  F.element_at("_lines", F.col("_a.from") + 1).alias("other")).alias("_near"))
     near = sent.groupBy("_id", "_ord").agg(F.collect_list("_near").alias("_near"))
 
-    out = dealt.join(equal, ["_id", "_ord"], "left").join(near, ["_id", "_ord"], "left")
-    out = out.withColumn("_lines", split)
+    out = base.join(equal, ["_id", "_ord"], "left").join(near, ["_id", "_ord"], "left")
+    out = _once(out, "_lines", split)
 
     def rest(line: Column, x: Column) -> Column:
         """Words without the one at x.i; a line one word shorter has none there."""
@@ -148,14 +162,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     close = F.filter(F.coalesce("_near", F.array().cast("array<struct<line:int,m:int,i:int,other:string>>")),
                      lambda x: rest(F.element_at("_lines", x["line"] + 1), x) == rest(x["other"], x))
-    out = out.withColumn("_gone", F.coalesce("_equal", F.array().cast("array<int>"))).withColumn(
-        "_near", F.transform(close, lambda x: x["line"]))
-    out = out.withColumn("_all", F.array_union("_gone", "_near"))
+    out = out.withColumn("_gone", F.coalesce("_equal", F.array().cast("array<int>")))
+    out = _once(out, "_close", F.transform(close, lambda x: x["line"])).withColumn("_all", F.array_union("_gone", "_close"))
     kept = F.when(F.size("_all") == 0, F.col("_text")).otherwise(
         F.array_join(F.filter("_lines", lambda x, k: ~F.array_contains("_all", k)), "\n"))
     return out.select("_id", "_ord", F.size("_lines").alias("n_lines"), F.size("_gone").alias("n_exact"),
-                      F.size("_near").alias("n_near"), kept.alias("text"), *(["_row"] if carry else []))
-
-
-def _repeated(base: DataFrame) -> bool:
-    return not base.groupBy("_id", "_ord").count().where("count > 1").isEmpty()
+                      F.size("_close").alias("n_near"), kept.alias("text"), *(["_row"] if carry else []))
