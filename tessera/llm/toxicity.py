@@ -27,7 +27,7 @@ from .common import saved
 
 BUCKETS = 1 << 20
 TRAIN_ROWS = 50_000
-BEGINNINGS = (7, 5)  # bytes of a word that back off for it
+BEGINNINGS = (7, 5, 4)  # bytes of a word that back off for it
 _rng = np.random.Generator(np.random.PCG64(20))
 _TABLE = _rng.integers(0, 1 << 63, size=64 * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -135,13 +135,16 @@ class Model:
 
 
 def count(texts, n: np.ndarray) -> None:
-    """Adds to n: per bucket, documents that have it, those labelled clean, and toxic."""
+    """Adds to n: per bucket, the distinct words of each document that have it,
+    over all documents, those labelled clean, and toxic. A word counts once a
+    document, a beginning once for each word that has it."""
     for text, label in texts:
-        used = np.unique(tokens(text)[0])
-        used = used[used >= 0]
-        n[0][used] += 1
+        words = tokens(text)[0]
+        words = words[np.unique(words[:, 0], return_index=True)[1]]
+        used = words[words >= 0]
+        np.add.at(n[0], used, 1)
         if label is not None:
-            n[1 + label][used] += 1
+            np.add.at(n[1 + label], used, 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
