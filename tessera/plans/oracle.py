@@ -270,11 +270,12 @@ _PROMPT = (f"{lit(fv.CODEBOOK_ROLE)} || chr(10) || 'Definition of \"' || name ||
 
 ORACLE["request_table"] = (f"SELECT item_id, alias, {_PROMPT} AS system_prompt, text AS user_text "
                            f"FROM benchmark CROSS JOIN {_codebook_values()}")
-ORACLE["build_prompts"] = (f"SELECT alias, {_PROMPT} AS system_prompt, count(*) AS n_requests "
+ORACLE["build_prompts"] = (f"SELECT alias, {_PROMPT} AS system_prompt, count(*) AS n_requests, CAST(sum(length(text)) AS BIGINT) AS n_user_chars "
                            f"FROM benchmark CROSS JOIN {_codebook_values(fv.LLM_CODES)} GROUP BY ALL")
 ORACLE["codebook"] = ofx.with_fixtures(
-    f"SELECT cb.*, coalesce(r.n, 0) AS n_replies FROM {_codebook_values()} LEFT JOIN "
-    "(SELECT alias, count(*) AS n FROM fx_reply GROUP BY alias) r ON r.alias = cb.alias",
+    f"SELECT cb.*, coalesce(r.n, 0) AS n_replies, CAST(coalesce(r.yes, 0) AS BIGINT) AS n_positive FROM {_codebook_values()} "
+    "LEFT JOIN (SELECT alias, count(*) AS n, count(*) FILTER (WHERE reply <> 'error' AND contains(reply, alias || '_1')) AS yes "
+    "FROM fx_reply GROUP BY alias) r ON r.alias = cb.alias",
     fx_reply=ofx.fx_reply())
 
 

@@ -255,15 +255,17 @@ def q_request_table(spark, base):
 def q_build_prompts(spark, base):
     # prompts as used: the distinct system prompts of the request table
     req = coding.request_table(load(spark, base, "benchmark"), codebook(spark, aliases=fv.LLM_CODES), "item_id")
-    return req.groupBy("alias", "system_prompt").agg(F.count(F.lit(1)).alias("n_requests"))
+    return req.groupBy("alias", "system_prompt").agg(F.count(F.lit(1)).alias("n_requests"),
+                                                     F.sum(F.length("user_text")).alias("n_user_chars"))
 
 
 @q("codebook")
 def q_codebook(spark, base):
-    # codebook rows joined to the number of replies seen per code
-    replies = fx.fx_reply(spark, base).groupBy("alias").agg(F.count(F.lit(1)).alias("n_replies"))
-    return codebook(spark).join(replies, "alias", "left").withColumn(
-        "n_replies", F.coalesce("n_replies", F.lit(0)).cast("long"))
+    # codebook rows joined to the replies seen per code and how many of them say yes
+    replies = coding.parse_responses(fx.fx_reply(spark, base)).groupBy("alias").agg(
+        F.count(F.lit(1)).alias("n_replies"), F.sum("decision").alias("n_positive"))
+    return codebook(spark).join(replies, "alias", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_replies", "n_positive")})
 
 
 @q("parse_responses")
