@@ -182,7 +182,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         F.broadcast(rows), F.col("_d") == F.col("_i"), "left").select("_t", "_y")
 
 
-def log_odds(n: np.ndarray, prior: float, least_z: float, density: float) -> Model:
+def log_odds(n: np.ndarray, prior: float, least_z: float, density: float, least_odds: float) -> Model:
     """The model without its curve, from the counts of :func:`count`."""
     every, clean, toxic = n.astype(float)
     if not clean.any() or not toxic.any():
@@ -191,7 +191,7 @@ def log_odds(n: np.ndarray, prior: float, least_z: float, density: float) -> Mod
     n_t, n_c, n_a = toxic.sum(), clean.sum(), alpha.sum()
     odds = (np.log((toxic + alpha) / (n_t + n_a - toxic - alpha)) - np.log((clean + alpha) / (n_c + n_a - clean - alpha)))
     z = odds / np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    odds[np.abs(z) < least_z] = 0
+    odds[(np.abs(z) < least_z) | (np.abs(odds) < least_odds)] = 0
     up = odds[odds > 0]
     drift = density * float(up.mean()) if len(up) else 1.0
     # on clean text the expected score is below zero, or the drift is raised until it is
@@ -202,12 +202,14 @@ def log_odds(n: np.ndarray, prior: float, least_z: float, density: float) -> Mod
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        train_rows: int = TRAIN_ROWS, prior: float = 0.3, least_z: float = 3.0, density: float = 0.005) -> Model:
+        train_rows: int = TRAIN_ROWS, prior: float = 0.3, least_z: float = 3.0, density: float = 0.005,
+        least_odds: float = 1.5) -> Model:
     """Learn the scores from labelled training rows and the whole corpus.
 
     ``prior`` is the weight of the corpus counts against the labelled ones,
-    ``least_z`` the significance below which a bucket's log-odds count as
-    none, ``density`` the share of toxic tokens that a passage needs to rise.
+    ``least_z`` the significance and ``least_odds`` the size (1.5: 4.5 times as
+    common) below which a bucket's log-odds count as none: in a large corpus
+    many slight differences are significant. ``density`` the share of toxic tokens that a passage needs to rise.
     Without rows of both classes the model scores every text alike."""
     spark = docs.sparkSession
     rows = labelled(docs, labels, id_col, text_col, label_col, train_rows)
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got, n = counts.toArrow(), np.zeros((3, BUCKETS), dtype=np.int64)
     for to, c in zip(n, ("n", "clean", "toxic"), strict=True):
         to[got.column("bucket").to_numpy()] = got.column(c).to_numpy()
-    model = log_odds(n, prior, least_z, density)
+    model = log_odds(n, prior, least_z, density, least_odds)
     if not model.odds.any():
         return model
     for step in (calibrate_law, calibrate_curve):
