@@ -51,8 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens; ids are little-endian
-    unsigned 32-bit."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    unsigned 32-bit. The workers' word tables are kept small: the workers live
+    on beside those of other stages."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), cache_words=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("simhash", drop_near_copies), ("mixing", mix_sources),

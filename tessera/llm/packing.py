@@ -34,6 +34,7 @@ class Tokens:
     _open: dict[str, Tokens] = {}
 
     def __init__(self, path: str) -> None:
+        self.most_words = CACHE_WORDS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ class Tokens:
         # ASCII letters in lower case, punctuation after one set apart: neither changes what the tokenizer sees
         words = [_AFTER_LETTER.sub(rb"\1 \2", t.encode().lower()).split() for t in texts]  # at ASCII white space
         new = set().union(*words).difference(self.where)
-        if len(self.where) + len(new) > CACHE_WORDS:
+        if len(self.where) + len(new) > self.most_words:
             self.clear()
             new = set().union(*words)
         if new:
@@ -97,8 +98,9 @@ class Tokens:
             yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, words: int) -> Iterator[pa.RecordBatch]:
     tok = Tokens.at(path)
+    tok.most_words = words
     end = np.array([end_id], dtype=tok.dtype)
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -228,11 +230,13 @@ def vocab_width(path: str) -> int:
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-                   window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+                   window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_chars: int = SHARD_CHARS,
+                   cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents: the id column, start, length, doc_tokens (with
     ``end_id``), sequence_id, offset, and ids (little-endian unsigned 32-bit).
 
-    ``path``: the tokenizer's file, on every executor. Null and empty texts
+    ``path``: the tokenizer's file, on every executor. ``cache_words`` bounds
+    the table of words that each Python worker keeps (about 200 bytes each). Null and empty texts
     are documents of ``end_id`` alone. Rows that repeat, in id or in whole, are
     documents of their own. A shard holds about ``shard_chars`` characters;
     one that comes out larger (a hot id) is packed in parts of
@@ -242,7 +246,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     chars = rows.agg(F.sum(F.length("_text") + 1)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     rows = rows.withColumn("_h", F.xxhash64("_id", "_text"))
-    ids = rows.mapInArrow(lambda b: _tokenized(b, path, end_id), "_id long, _h long, _ids binary")
+    ids = rows.mapInArrow(lambda b: _tokenized(b, path, end_id, cache_words), "_id long, _h long, _ids binary")
     ids = ids.withColumn("_shard", F.pmod("_h", F.lit(shards))).repartition(shards, "_shard")
     ids = ids.sortWithinPartitions("_shard", "_h", "_id").select("_shard", "_id", "_ids")
     width = vocab_width(path)
