@@ -63,6 +63,12 @@ def _blocks(words: Column, n: Column, b: Column) -> Column:
                        lambda c: F.xxhash64(F.slice(words, c * b + 1, b)))
 
 
+def _apart(df: DataFrame, by: str) -> DataFrame:
+    """A small grouped table, dealt out anew: a join with it then shuffles both
+    sides itself, and only then can Spark split a hot key of the large side."""
+    return df.repartition(F.col(by))
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """A column that is computed once: the optimizer copies a plain one into
     every expression that uses it, but not across a generator."""
@@ -101,6 +107,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # equal lines
     many = kinds.where("_c > 1").select("_h1", "_h2", first.alias("_keep"))
+    many = _apart(many, "_keep._id")
     equal = lines.select("_h1", "_h2", "_id", "_ord", "_line").join(many, ["_h1", "_h2"]).where(place != F.col("_keep"))
     equal = equal.groupBy("_id", "_ord").agg(F.collect_set("_line").alias("_equal"))
 
@@ -109,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = kinds.select("_first.*").select("_id", "_ord", "_line", F.inline(F.arrays_zip(
         F.col("_ends"), bits.alias("_bits"))).alias("_a", "_bits"))
     shared = ends.groupBy("_a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_a")
-    halves = ends.join(shared, "_a", "left_semi").groupBy("_id", "_ord", "_line").agg(
+    halves = ends.join(_apart(shared.withColumn("_s", F.xxhash64("_a")), "_s"), "_a", "left_semi").groupBy("_id", "_ord", "_line").agg(
         F.sum("_bits").cast("int").alias("half"))
     wanted = halves.groupBy("_id", "_ord").agg(F.collect_list(F.struct(F.col("_line").alias("line"), "half")).alias("_want"))
 
@@ -136,7 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        "_m", "_i", "_id", "_ord", "_line")
     by = ["_key", "_m", "_i"]
     met = keys.groupBy(*by).agg(F.min(place).alias("_keep"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    links = keys.join(met.select(*by, "_keep"), by).where(F.col("_keep") < place)
+    links = keys.join(_apart(met.select(*by, "_keep"), "_keep._id"), by).where(F.col("_keep") < place)
     links = links.groupBy("_id", "_ord", "_line").agg(F.min(F.struct("_keep", "_m", "_i")).alias("_l")).select(
         "_id", "_ord", "_line", "_l.*")
 
