@@ -32,14 +32,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest
-    id; of rows that repeat that id, one."""
-    groups = simhash.simhash_groups(docs, shingle=3, most=3)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("doc_id").alias("_tz_id")).count()
-    repeated = not stay.where("count > 1").isEmpty()
-    out = docs.join(stay.select("_tz_id"), F.col("doc_id").eqNullSafe(F.col("_tz_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """Of each group of SimHash near-duplicates one row: that with the smallest
+    id, null ids last, and of these the smallest hash of text, then of row."""
+    groups = simhash.simhash_groups(docs, shingle=3, most=3, row_key=True)
+    groups = saved(groups.select(F.col("doc_id").alias("_tz_id"), "_tz_ht", "_tz_hr", "_c"), "groups")
+    stay = groups.groupBy("_c").agg(F.min(F.struct(F.col("_tz_id").isNull().alias("_no"), "_tz_id", "_tz_ht", "_tz_hr")).alias("_k"))
+    stay = stay.select("_k._tz_id", "_k._tz_ht", "_k._tz_hr")
+    key = ["_tz_ht", "_tz_hr"]
+    repeated = not groups.groupBy("_tz_id", *key).count().where("count > 1").isEmpty()
+    out = docs.select("*", *simhash.row_hashes(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_tz_id")) & (out["_tz_ht"] == stay["_tz_ht"]) & (out["_tz_hr"] == stay["_tz_hr"])
+    out = out.join(stay, same, "left_semi")
+    # rows that repeat in whole share a key, and a component
+    return (out.dropDuplicates(["doc_id", *key]) if repeated else out).drop(*key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, key_id, saved, whole
@@ -55,15 +55,27 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
     for b in batches:
         texts = b.column("_t").cast(pa.binary())
         got = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(got)], names=["_id", "_fp"])
+        rest = [c for c in b.schema.names if c != "_t"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, rest), pa.array(got)], names=[*rest, "_fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(_id, _fp) per row; A-Z are lower-cased, other letters stay."""
+def row_hashes(docs: DataFrame, text_col: str = "text") -> list[Column]:
+    """Hashes of a row's text and of the whole row, null and empty text apart;
+    with the id they name a row, as long as it is not repeated in whole."""
+    return [F.xxhash64(text_col, F.length(text_col)).alias("_tz_ht"),
+            F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]).alias("_tz_hr")]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 row_key: bool = False) -> DataFrame:
+    """(_id, _fp) per row, with ``row_key`` also :func:`row_hashes`; A-Z are
+    lower-cased, other letters stay."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     text = F.btrim(F.regexp_replace(text, SPACE, " "), F.lit(" "))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
-    return rows.mapInArrow(lambda b: _fingerprints(b, shingle), "_id long, _fp long")
+    hashes = row_hashes(docs, text_col) if row_key else []
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *hashes, text.alias("_t"))
+    return rows.mapInArrow(lambda b: _fingerprints(b, shingle),
+                           f"_id long, {'_tz_ht long, _tz_hr long, ' if row_key else ''}_fp long")
 
 
 # -- the plan ---------------------------------------------------------------
@@ -235,15 +247,17 @@ def near_pairs(prints: DataFrame, most: int = 3, hot: int = HOT, sample_size: in
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   most: int = 3, hot: int = HOT) -> DataFrame:
+                   most: int = 3, hot: int = HOT, row_key: bool = False) -> DataFrame:
     """Per row of ``docs``: id, fingerprint (16 hex digits), component_id (the
-    smallest id reachable over links, its own included).
+    smallest id reachable over links, its own included). With ``row_key`` also
+    _tz_ht and _tz_hr (:func:`row_hashes`) and _c, a number of the component's own:
+    components may share a component_id where ids repeat or are null.
 
     Null and empty texts have the fingerprint zero and link like any other. A
     text of fewer words than ``shingle`` is one shingle. Rows that repeat an
     id keep a row each. Null ids sort last: a component of null ids only has a
     null component_id. An empty table gives an empty table."""
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    prints = saved(fingerprints(docs, id_col, text_col, shingle, row_key), "fingerprints")
     kinds = saved(prints.groupBy("_fp").agg(F.min(key_id("_id")).alias("_least")), "kinds")
     # nodes are the prints themselves; ids may repeat or be null
     links = near_pairs(kinds.select(F.col("_fp").alias("_node"), "_fp"), most, hot)
@@ -252,8 +266,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("_fp").alias("_f"), "_least", F.coalesce("component", "_fp").alias("_c"))
     member = saved(member, "members")
     roots = saved(member.groupBy("_c").agg(F.min("_least").alias("component_id")), "roots")
-    member = member.join(roots, "_c").select("_f", "component_id")
+    member = member.join(roots, "_c").select("_f", "_c", "component_id")
     out = prints.join(member, prints["_fp"] == member["_f"])
     none = key_id("_id") == F.col("component_id")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-                      F.when(none, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(none, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
+                      *(["_tz_ht", "_tz_hr", "_c"] if row_key else []))

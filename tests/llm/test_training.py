@@ -295,3 +295,28 @@ def test_pipeline_odd(spark, odd, repeated, empty):
             if name in ("toxicity", "line dedup"):
                 assert out.count() <= n
             docs = out
+
+
+def test_pipeline_near_copies_keep_a_row_each(spark):
+    """Rows under one id or none are not copies of one another; and a copy goes
+    even if its id is the root of another component."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(7)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(40)]
+    data = [(None, text[k], None) for k in range(10)] + [(1, text[k], None) for k in range(10, 20)]
+    data += [(k, text[k], "x") for k in range(20, 30)] + [(k + 100, text[k], "x") for k in range(20, 30)]
+    data += [(None, text[3], None), (1, text[12], "y"), (1, text[12], "y"), (50, text[30], None), (60, text[31], None),
+             (60, text[30], None), (None, text[30], None), (70, None, None), (71, "", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    fp = {t: brute.simhash(t) for _, t, _ in data}
+    comp = brute.closure(range(len(data)), [(a, b) for a in range(len(data)) for b in range(a)
+                                            if (fp[data[a][1]] ^ fp[data[b][1]]).bit_count() <= 3])
+    least = {}
+    for k, (i, _, _) in enumerate(data):
+        least[comp[k]] = min(least.get(comp[k], (True, 0)), (i is None, i or 0))
+    got = cp.drop_near_copies(spark, docs, "").collect()
+    assert len(got) == len(least) == 33
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(least.values())
+    by_text = {fp[r.text]: r.doc_id for r in got}
+    assert len(by_text) == 33 and by_text[fp[text[30]]] == 50 and by_text[fp[text[31]]] == 60
