@@ -5,8 +5,10 @@ names one of K x K cells, and every vector is filed in its cell. A vector
 visits cells in the order of the summed distances of its halves (the order of
 the multi-sequence traversal) until the target recall is reached: the number
 of visits is the quantile, at that recall, of the rank at which the cells of
-true neighbours came up, measured by brute force for a bounded set of queries
-against all rows. What it meets in a visited cell is verified by the cosine in
+neighbours come up. These are partners made from sampled vectors at the bound
+itself, the farthest that a pair can be; and, where they are enough and come up
+later, the true pairs that a bounded set of queries meets by brute force among
+all rows. What a vector meets in a visited cell is verified by the cosine in
 double precision.
 """
 
@@ -24,6 +26,7 @@ from .components import Joined, components
 
 SAMPLE = 16_384
 CALIBRATION = 512
+LEAST_PAIRS = 300
 CELL_ROWS = 16_384
 
 
@@ -92,6 +95,11 @@ class Index:
             out[r] = np.searchsorted(np.sort(b[r]), s - a[r] - 1e-12 * (1 + abs(s)), side="left").sum()
         return out
 
+    def either(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A pair is found if one of the two visits the other's cell: the lower
+        of both ranks counts."""
+        return np.minimum(self.rank(a, b), self.rank(b, a))
+
 
 def _ranks(batches: Iterator[pa.RecordBatch], index: Index, queries: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -102,8 +110,8 @@ def _ranks(batches: Iterator[pa.RecordBatch], index: Index, queries: np.ndarray,
             near = v[at:at + 4096] @ queries.T
             x, q = np.nonzero((near >= least) & (near < 1 - 1e-12))
             for i in range(0, len(x), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(index.rank(queries[q[i:i + 4096]], v[at + x[i:i + 4096]]))],
-                                                 names=["rank"])
+                a, b = queries[q[i:i + 4096]], v[at + x[i:i + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array(index.either(a, b))], names=["rank"])
 
 
 def _filed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -166,19 +174,46 @@ def _verified(batches: Iterator[pa.RecordBatch], index: Index, least: float) ->
                                           pa.array(np.zeros(len(u), np.int64))], names=["u", "v", "n"])
 
 
+def at_bound(x: np.ndarray, toward: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x``, and unit vectors whose cosine to them is ``least``, each
+    turned towards its row of ``toward``; parallel rows are left out."""
+    side = toward - (toward * x).sum(axis=1)[:, None] * x
+    norm = np.sqrt((side * side).sum(axis=1))
+    fine = norm > 1e-9
+    x, side = x[fine], side[fine] / norm[fine, None]
+    return x, least * x + np.sqrt(max(0.0, 1 - least * least)) * side
+
+
+def bound_visits(index: Index, sample: np.ndarray, least: float, recall: float) -> int:
+    """Visits that find the share ``recall`` of partners at the bound, turned in
+    directions of no preference and in those in which the data differ: the more
+    of the two."""
+    rng = np.random.default_rng(0)
+    visits = 1
+    for toward in (rng.normal(size=sample.shape), sample[rng.permutation(len(sample))]):
+        pairs = at_bound(sample, toward, least)
+        if len(pairs[0]):
+            visits = max(visits, int(np.quantile(index.either(*pairs), recall, method="higher")) + 1)
+    return visits
+
+
 def fitted(kinds: DataFrame, n: int, least: float, recall: float, sample_size: int, calibration: int) -> Index:
-    """Codebooks from at most ``sample_size`` rows, chosen by hash; visits from
-    ``calibration`` of them, compared with all rows. Without one true pair
-    among them a vector visits 16 cells."""
-    part = kinds.select("_v").orderBy(F.xxhash64("_node"), "_node").limit(sample_size).toArrow()
+    """Codebooks from at most ``sample_size`` rows, chosen by hash. Visits from
+    4 x ``calibration`` rows, not those of the codebooks where there are others,
+    and their partners at the bound; and from the pairs of ``calibration`` of
+    them among all rows, if there are ``LEAST_PAIRS``."""
+    part = kinds.select("_v").orderBy(F.xxhash64("_node"), "_node").limit(sample_size + 4 * calibration).toArrow()
     sample = unit(part.column("_v"))
+    sample, held = sample[:sample_size], sample[-4 * calibration:]
     h = sample.shape[1] // 2
     k = max(1, min(int(np.sqrt(n / 8)), len(sample) // 8, 4096))
     index = Index(codebook(sample[:, :h], k), codebook(sample[:, h:], k))
-    queries = sample[:calibration]
+    index.visits = bound_visits(index, held, least, recall)
+    queries = held[-calibration:]
     ranks = kinds.select("_v").mapInArrow(lambda b: _ranks(b, index, queries, least), "rank long")
-    at = ranks.agg(F.percentile_approx("rank", recall, 10_000)).first()[0]
-    index.visits = 16 if at is None else int(at) + 1
+    pairs, at = ranks.agg(F.count("rank"), F.percentile_approx("rank", recall, 10_000)).first()
+    if pairs >= LEAST_PAIRS:
+        index.visits = max(index.visits, int(at) + 1)
     return index
 
 

@@ -132,6 +132,34 @@ def test_embeddings_recall(spark, cell_rows):
     assert all(r[2] == (i == r[1]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("n,pairs", [(4000, 20), (4000, 100)])
+def test_embeddings_recall_of_sparse_pairs(spark, n, pairs):
+    """Near copies so rare that the queries meet next to none of them."""
+    rng = np.random.default_rng(n + pairs)
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    _, v[-pairs:] = multiindex.at_bound(v[:pairs], rng.normal(size=(pairs, 64)), 0.952)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = rows(multiindex.embedding_groups(df).where("n_links > 0"))
+    found = sum(n - pairs <= r[0] and r[2] == r[0] - n + pairs for r in got)
+    assert found >= 0.95 * pairs and len(got) == 2 * found
+
+
+def test_visits_from_the_bound():
+    """A vector held out of the codebooks finds its partner at the bound."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32)) @ rng.normal(size=(32, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = multiindex.Index(multiindex.codebook(x[:2000, :16], 20), multiindex.codebook(x[:2000, 16:], 20))
+    index.visits = multiindex.bound_visits(index, x[2000:2500], 0.95, 0.99)
+    for toward in (rng.normal(size=(500, 32)), x[:500]):
+        a, b = multiindex.at_bound(x[2500:], toward, 0.95)
+        assert np.allclose((a * b).sum(axis=1), 0.95)
+        met = (index.traversal(a) == index.cells(b)[:, None]).any(axis=1) | (index.traversal(b) == index.cells(a)[:, None]).any(axis=1)
+        assert met.mean() >= 0.96
+    assert multiindex.bound_visits(index, x[:1], 0.95, 0.99) >= 1
+
+
 def test_embeddings_odd(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0, 0.0]), (3, [1.0, -0.0, 0.0, 0.0]), (4, None), (5, []),
