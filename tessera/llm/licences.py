@@ -1,9 +1,10 @@
 """Licence scan: TF-IDF cosine to licence templates, then inheritance from the
 nearest ancestor directory.
 
-Every line of every file is compared with the templates' lines by the cosine
-of sparse TF-IDF vectors; document frequencies come from the whole corpus. A
-file whose best line reaches the threshold carries that licence itself. A file
+Every line of every file, and every window of a template's length, is compared
+with the templates by the cosine of sparse TF-IDF vectors; document frequencies
+come from the whole corpus. A file whose best line or window reaches its
+threshold carries that licence itself. A file
 whose words are in large part licence text is a licence file, and what it
 says holds for its directory and all below it, unless a nearer directory says
 otherwise: directories are joined by path.
@@ -22,23 +23,79 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-# licence notices in common use
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public "
+        "License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any "
+        "later version.")
+_ONLY = "This work is licensed under the GNU {0}General Public License, version {1}."
+_CC = ("Licensed under CC {0} {1}.", "This work is licensed under a Creative Commons {2} {1} International License.",
+       "creativecommons.org/licenses/{3}/{1}", "Creative Commons {2} {1} International Public License")
+
+
+def _notices(name: str, *lines: str) -> tuple[str, ...]:
+    return (*lines, f"SPDX-License-Identifier: {name}")
+
+
+def _gnu(name: str, kind: str, version: str, *lines: str) -> tuple[str, ...]:
+    spdx = (f"SPDX-License-Identifier: {name}{end}" for end in ("", "-only", "-or-later"))
+    return (*lines, _ONLY.format(kind, version), _GNU.format(kind, version), f"GNU {kind}General Public License version {version}",
+            f"GNU {kind.upper()}GENERAL PUBLIC LICENSE Version {version}", *spdx)
+
+
+def _cc(short: str, long: str, version: str = "4.0") -> tuple[str, ...]:
+    return _notices(f"CC-{short}-{version}", *(x.format(short, version, long, short.lower()) for x in _CC))
+
+
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted",)
+_NAMED = "Use of this source code is governed by a {0} license that can be found in the LICENSE file."
+
+# notices, standard headers and SPDX lines in common use; versions of a licence are rivals
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
-    "MPL-2.0": ("This file is subject to the terms of the Mozilla Public License, version 2.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "Proprietary": ("All rights reserved. No part may be reproduced without written permission.",),
+    "MIT": _notices("MIT", "Released under the MIT License.",
+                    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+                    "MIT License Copyright (c)", "Licensed under the MIT license.", _NAMED.format("MIT-style")),
+    "Apache-2.0": _notices(
+        "Apache-2.0", "Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "GPL-3.0": _gnu("GPL-3.0", "", "3"),
+    "GPL-2.0": _gnu("GPL-2.0", "", "2"),
+    "LGPL-3.0": _gnu("LGPL-3.0", "Lesser ", "3"),
+    "LGPL-2.1": _gnu("LGPL-2.1", "Lesser ", "2.1",
+                     "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    "AGPL-3.0": _gnu("AGPL-3.0", "Affero ", "3"),
+    "BSD-3-Clause": _notices(
+        "BSD-3-Clause", *_BSD, "Licensed under the BSD 3-Clause License.", _NAMED.format("BSD-style"),
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
+    "BSD-2-Clause": _notices("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "Simplified BSD License"),
+    "ISC": _notices("ISC", "Licensed under the ISC License.",
+                    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                    "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "Unlicense": _notices("Unlicense", "This is free and unencumbered software released into the public domain.",
+                          "Released under the Unlicense."),
+    "MPL-2.0": _notices(
+        "MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
+    "CC0-1.0": _notices("CC0-1.0", "Released under CC0 1.0 Universal.", "CC0 1.0 Universal Public Domain Dedication",
+                        "creativecommons.org/publicdomain/zero/1.0"),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "Proprietary": ("All rights reserved. No part may be reproduced without written permission.", "All rights reserved."),
 }
+WEAK = frozenset({"Proprietary"})  # "All rights reserved." also stands above the text of open licences
 _TERM = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 
 
+WINDOW = 0.85  # a window is cut to a template's length: what lies around does not dilute it
+
+
 def terms(line: str) -> list[str]:
     return _TERM.findall(line.lower())
 
@@ -53,11 +110,20 @@ class Scanner:
         self.rows = [(name, terms(line)) for name, lines in templates.items() for line in lines]
         self.idf = {t: float(np.log((1 + n) / (1 + df.get(t, 0))) + 1) for _, ts in self.rows for t in ts}
         self.other = float(np.log(1 + n) + 1)  # a term of no template: as rare as can be
+        self.of_term: dict[str, list[tuple[int, float]]] = {}
         self.vectors = []
         for name, ts in self.rows:
             v = {t: c * self.idf[t] for t, c in Counter(ts).items()}
             norm = float(np.sqrt(sum(x * x for x in v.values())))
+            for t, x in v.items():
+                self.of_term.setdefault(t, []).append((len(self.vectors), x / norm))
             self.vectors.append((name, {t: x / norm for t, x in v.items()}))
+        self.place = {t: i for i, t in enumerate(self.idf)}
+        self.weights = np.array([*self.idf.values(), self.other])
+        self.length = [len(ts) for _, ts in self.rows]
+        self.dense = np.zeros((len(self.vectors), len(self.idf) + 1))
+        for j, (_, v) in enumerate(self.vectors):
+            self.dense[j, [self.place[t] for t in v]] = [x * self.idf[t] for t, x in v.items()]
         # the most common terms, as long as they alone reach the threshold in no template
         self.rare = set(self.idf)
         for t in sorted(self.idf, key=self.idf.get):
@@ -65,33 +131,77 @@ class Scanner:
             if max(sum(x * x for u, x in v.items() if u in common) for _, v in self.vectors) >= least * least * 0.999:
                 break
             self.rare.discard(t)
-        self.any_rare = regex.compile(r"(?<![\p{L}\p{N}])(?:" + "|".join(
-            regex.escape(t) for t in sorted(self.rare, key=lambda t: (-len(t), t))) + r")(?![\p{L}\p{N}])")
 
     def best(self, line: str) -> tuple[str, float, int] | None:
         """(licence, cosine, terms) of the nearest template that reaches the threshold."""
-        found = Counter(terms(line))
-        if not found.keys() & self.rare:
+        return self._best(terms(line))
+
+    def _best(self, found: list[str]) -> tuple[str, float, int] | None:
+        if self.rare.isdisjoint(found):
             return None
-        v = {t: c * self.idf.get(t, self.other) for t, c in found.items()}
-        norm = float(np.sqrt(sum(x * x for x in v.values())))
-        top = max(((sum(x * u.get(t, 0) for t, x in v.items()) / norm, name) for name, u in self.vectors),
-                  key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-        return (top[1], top[0], sum(found.values())) if top[0] >= self.least else None
+        norm, dot = 0.0, [0.0] * len(self.vectors)
+        for t, c in Counter(found).items():
+            x = c * self.idf.get(t, self.other)
+            norm += x * x
+            for j, w in self.of_term.get(t, ()):
+                dot[j] += x * w
+        at = max(range(len(dot)), key=lambda j: (dot[j], [-ord(c) for c in self.vectors[j][0]]))
+        top = dot[at] / float(np.sqrt(norm))
+        return (self.vectors[at][0], top, len(found)) if top >= self.least else None
+
+    def windows(self, found: list[str], least: float) -> Iterator[tuple[str, float, int, int]]:
+        """(licence, cosine, first, last) of each template's best window of its
+        own length, if it reaches ``least``: a notice within a long line, or one
+        that runs over several lines."""
+        at = np.fromiter((self.place.get(t, -1) for t in found), dtype=np.int64, count=len(found))
+        weight = self.weights[at]
+        sums = np.r_[0.0, np.cumsum(weight * weight)]
+        # as no template reaches the threshold with its common terms alone, those without a rare one here are out
+        for j in sorted({j for t in self.rare.intersection(found) for j, _ in self.of_term[t]}):
+            name, m = self.vectors[j][0], self.length[j]
+            if m > len(found):
+                continue
+            c = np.r_[0.0, np.cumsum(self.dense[j][at])]
+            dot = c[m:] - c[:-m]
+            # terms that repeat make the norm larger than the sum of squares, so this is the most it can be
+            if not (dot >= least * 0.999999 * np.sqrt(sums[m:] - sums[:-m])).any():
+                continue
+            norm, seen, squares = 0.0, Counter(), np.empty(len(dot))
+            for i, t in enumerate(found):
+                if i >= m:
+                    seen[found[i - m]] -= 1
+                    norm -= weight[i - m] ** 2 * (2 * seen[found[i - m]] + 1)
+                norm += weight[i] ** 2 * (2 * seen[t] + 1)
+                seen[t] += 1
+                if i >= m - 1:
+                    squares[i - m + 1] = norm
+            cosine = dot / np.sqrt(squares)
+            i = int(cosine.argmax())
+            if cosine[i] >= least:
+                yield name, float(cosine[i]), i, i + m
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """(licence, cosine, share of the file's terms in licence lines). The
-        best line counts; of equals the first."""
-        if not self.any_rare.search(text.lower()):
+        best line or window counts; of equals the first. A weak licence counts
+        only where there is no other."""
+        lines = [terms(line) for line in text.split("\n")]
+        found = [t for line in lines for t in line]
+        if self.rare.isdisjoint(found):
+            return None, 0.0, 0.0
+        inside, at, got = np.zeros(len(found), dtype=bool), 0, []
+        for line in lines:
+            best = self._best(line) if len(self.idf.keys() & set(line)) > 1 else None  # one word is a name, not a notice
+            if best:
+                inside[at:at + len(line)] = True
+                got.append((best[0], best[1]))
+            at += len(line)
+        for name, cosine, a, z in self.windows(found, WINDOW):
+            inside[a:z] = True
+            got.append((name, cosine))
+        if not got:
             return None, 0.0, 0.0
-        name, top, inside = None, 0.0, 0
-        for line in text.split("\n"):
-            got = self.best(line)
-            if got:
-                inside += got[2]
-                if got[1] > top:
-                    name, top = got[0], got[1]
-        return name, top, inside / len(terms(text)) if inside else 0.0
+        name, top = max(got, key=lambda x: (x[0] not in WEAK, round(x[1], 9)))
+        return name, top, float(inside.mean())
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset) -> Iterator[pa.RecordBatch]:

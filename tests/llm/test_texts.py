@@ -100,6 +100,37 @@ def test_licence_shortcut_loses_nothing():
             assert s.best(line) is not None
 
 
+def scanner():
+    return licences.Scanner({"all": 900, "the": 9000, "of": 9000, "version": 400, "license": 300, "2": 500, "3": 500, "and": 9000},
+                            100_000, licences.TEMPLATES, 0.6)
+
+
+def test_licence_notices_and_versions():
+    s = scanner()
+    for text, want in [
+            ("All rights reserved.", "Proprietary"), ("Copyright 2020 A. B. All rights reserved.", "Proprietary"),
+            ("GNU General Public License, version 2.", "GPL-2.0"), ("GNU General Public License, version 3.", "GPL-3.0"),
+            ("GNU Affero General Public License, version 3", "AGPL-3.0"), ("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+            ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+            ("All rights reserved.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
+            *[(f"// SPDX-License-Identifier: {x}", x) for x in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "CC0-1.0", "Unlicense")]]:
+        assert s.scan(text)[0] == want, text
+    assert s.scan("SPDX-License-Identifier: Foo-1.0")[0] is None and s.scan("see the License of version things")[0] is None
+    assert s.scan("Mit.\nISC\nmit und mit")[0] is None
+
+
+def test_licence_windows():
+    """Notices within a long line, and over several lines."""
+    s = scanner()
+    prose = "some words of ordinary prose that go on and on without any meaning for a long while " * 3
+    for name, lines in licences.TEMPLATES.items():
+        for line in lines:
+            if len(licences.terms(line)) >= 3:
+                assert s.scan(prose + line + " " + prose)[0] == name, line
+                assert s.scan(prose + "\n# " + line.replace(" ", "\n# ") + "\n" + prose)[0] == name, line
+    assert s.scan(prose * 20) == (None, 0.0, 0.0)
+
+
 # -- repeated passages ------------------------------------------------------
 
 def passages(seed=6):
