@@ -4,9 +4,9 @@ nearest ancestor directory.
 Every line of every file, and every window of a template's length, is compared
 with the templates by the cosine of sparse TF-IDF vectors; document frequencies
 come from the whole corpus. A file whose best line or window reaches its
-threshold carries that licence itself. A file
-whose words are in large part licence text is a licence file, and what it
-says holds for its directory and all below it, unless a nearer directory says
+threshold carries that licence itself. A file that is near a licence's full
+text, is named LICENSE or the like, or whose words are in large part notices, is
+a licence file, and what it says holds for its directory and all below it, unless a nearer directory says
 otherwise: directories are joined by path.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,25 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
     "Proprietary": ("All rights reserved. No part may be reproduced without written permission.", "All rights reserved."),
 }
+FILE = 0.75  # a file with this cosine to a full text is that licence; one named so needs only the threshold of lines
+NAMED_FILE = regex.compile(
+    r"(?i)(?!.*\.(?:py|js|ts|java|go|rs|c|h|cc|cpp|rb|php|sh|cs|json|ya?ml|xml)$)(?:(?:un)?licen[cs]es?|copying|copyright)"
+    r"(?:[-_][\w.\-]+|\.(?:txt|md|rst|html?|mit|apache|bsd|l?gpl|agpl|mpl|isc|lesser))?|[\w.]+[-_.]licen[cs]e(?:\.(?:txt|md|rst))?")
+
+
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The licences' full texts, read on the driver. The text of AGPL-3.0 is
+    that of GPL-3.0 under its own name, with the section on networks."""
+    folder = resources.files(__package__) / "licence_texts"
+    texts = {f.name[:-4]: f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    gpl = texts["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General", "GNU Affero General")
+    texts["AGPL-3.0"] = gpl + """
+13. Remote Network Interaction; Use with the GNU General Public License. If you modify the Program, your modified version
+must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the
+Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge."""
+    return {name: (texts[name],) for name in sorted(texts)}
+
+
 WEAK = frozenset({"Proprietary"})  # "All rights reserved." also stands above the text of open licences
 _TERM = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 
@@ -122,7 +142,9 @@ class Scanner:
         self.weights = np.array([*self.idf.values(), self.other])
         self.length = [len(ts) for _, ts in self.rows]
         self.dense = np.zeros((len(self.vectors), len(self.idf) + 1))
+        self.squares = np.zeros((len(self.vectors), len(self.idf)))
         for j, (_, v) in enumerate(self.vectors):
+            self.squares[j, [self.place[t] for t in v]] = [x * x for x in v.values()]
             self.dense[j, [self.place[t] for t in v]] = [x * self.idf[t] for t, x in v.items()]
         # the most common terms, as long as they alone reach the threshold in no template
         self.rare = set(self.idf)
@@ -180,6 +202,18 @@ class Scanner:
             if cosine[i] >= least:
                 yield name, float(cosine[i]), i, i + m
 
+    def whole(self, found: list[str], least: float) -> tuple[str, float] | None:
+        """(licence, cosine) of the full text nearest to a whole file."""
+        shared = [self.place[t] for t in self.idf.keys() & set(found)]
+        # the terms that a text shares with the file bound the cosine
+        if not shared or (self.squares[:, shared].sum(axis=1) < least * least * 0.999).all():
+            return None
+        count = Counter(found)
+        v = {t: c * self.idf.get(t, self.other) for t, c in count.items()}
+        norm = float(np.sqrt(sum(x * x for x in v.values())))
+        top, name = max(((sum(x * u.get(t, 0) for t, x in v.items()) / norm, name) for name, u in self.vectors))
+        return (name, top) if top >= least else None
+
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """(licence, cosine, share of the file's terms in licence lines). The
         best line or window counts; of equals the first. A weak licence counts
@@ -215,14 +249,26 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset) -> It
         yield pa.RecordBatch.from_pydict({"term": ["", *df], "n": pa.array([n, *df.values()], pa.int64())})
 
 
-def _scan(batches: Iterator[pa.RecordBatch], scanner: Scanner) -> Iterator[pa.RecordBatch]:
+def scan_file(path: str | None, text: str, scanner: Scanner, full: Scanner) -> tuple[str | None, float, float, bool]:
+    """(licence, cosine, share of licence lines, whether the full text or the
+    file's name says that it is a licence file)."""
+    named = path is not None and NAMED_FILE.fullmatch(path.rsplit("/", 1)[-1]) is not None
+    got = full.whole(terms(text), scanner.least if named else full.least)
+    if got:
+        return *got, 1.0, True
+    name, cosine, share = scanner.scan(text)
+    return name, cosine, share, named and name is not None
+
+
+def _scan(batches: Iterator[pa.RecordBatch], scanner: Scanner, full: Scanner) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [scanner.scan(t.as_py()) for t in b.column("_text")]
+        got = [scan_file(p.as_py(), t.as_py(), scanner, full) for p, t in zip(b.column("_path"), b.column("_text"))]
         if got:
-            name, cosine, share = zip(*got, strict=True)
+            name, cosine, share, file = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_path"), pa.array(name, pa.string()),
-                                              pa.array(cosine, pa.float64()), pa.array(share, pa.float64())],
-                                             names=["_id", "_path", "own", "cosine", "share"])
+                                              pa.array(cosine, pa.float64()), pa.array(share, pa.float64()),
+                                              pa.array(file, pa.bool_())],
+                                             names=["_id", "_path", "own", "cosine", "share", "file"])
 
 
 def directory(path: Column) -> Column:
@@ -240,10 +286,13 @@ def ancestors(path: Column) -> Column:
 
 
 def scan_licences(files: DataFrame, id_col: str, path_col: str, text_col: str, least: float = 0.6,
-                  file_share: float = 0.5, templates: dict = TEMPLATES) -> DataFrame:
+                  file_share: float = 0.5, templates: dict = TEMPLATES, texts: dict | None = None) -> DataFrame:
     """Per row of ``files``: id, path, own (the licence its text carries, or
     null), cosine, licence_file, licence (its own, else the nearest
     directory's), licence_from (the directory, null if its own or none).
+    A licence file is one near a full text (``texts``, by default
+    :func:`full_texts`), one that is named so and carries a licence, or one of
+    whose terms ``file_share`` lie in notices.
 
     Null and empty texts carry none. A null path has no directory and inherits
     nothing. Of several licence files in one directory that with the highest
@@ -252,13 +301,16 @@ def scan_licences(files: DataFrame, id_col: str, path_col: str, text_col: str, l
     rows = files.select(F.col(id_col).alias("_id"), F.col(path_col).alias("_path"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     vocabulary = frozenset(t for lines in templates.values() for line in lines for t in terms(line))
+    texts = full_texts() if texts is None else texts
+    vocabulary |= frozenset(t for lines in texts.values() for text in lines for t in terms(text))
     counts = rows.select("_text").mapInArrow(lambda b: _frequencies(b, vocabulary), "term string, n long")
     df = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the vocabulary at most
     scanner = Scanner(df, df.get("", 0), templates, least)
+    full = Scanner(df, df.get("", 0), texts, FILE)
     id_type = files.schema[id_col].dataType.simpleString()
-    own = saved(rows.mapInArrow(lambda b: _scan(b, scanner),
-                                f"_id {id_type}, _path string, own string, cosine double, share double"), "licences")
-    own = own.withColumn("licence_file", F.col("own").isNotNull() & (F.col("share") >= file_share))
+    own = saved(rows.mapInArrow(lambda b: _scan(b, scanner, full),
+                                f"_id {id_type}, _path string, own string, cosine double, share double, file boolean"), "licences")
+    own = own.withColumn("licence_file", F.col("own").isNotNull() & (F.col("file") | (F.col("share") >= file_share)))
     speaks = own.where("licence_file and _path is not null").groupBy(directory(F.col("_path")).alias("_dir")).agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("_path").alias("p"), F.col("own").alias("o"))).alias("_b"))
     speaks = speaks.select("_dir", F.col("_b.o").alias("_said"))

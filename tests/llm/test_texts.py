@@ -131,6 +131,26 @@ def test_licence_windows():
     assert s.scan(prose * 20) == (None, 0.0, 0.0)
 
 
+def test_licence_files(spark):
+    """Full texts, each under its own copyright line, speak for their folders,
+    whatever the file is called; so does a file named LICENSE with a notice."""
+    texts = licences.full_texts()
+    assert len(texts) >= 13
+    filler = "some words of ordinary prose without any legal meaning that go on for a while\n" * 5
+    files = [(100, "n/LICENSE.md", filler + "Licensed under CC BY-SA 4.0.\n"), (101, "n/a.py", filler),
+             (102, "m/license.py", filler + "Licensed under CC BY-SA 4.0.\n"), (103, "m/a.py", filler)]
+    for k, (name, (text,)) in enumerate(texts.items()):
+        files += [(2 * k, f"p{k}/{['LICENSE', 'about'][k % 2]}", f"Copyright (c) 2021 Jo Doe <jo@doe.net>\nAll rights reserved.\n\n{text}"),
+                  (2 * k + 1, f"p{k}/src/main.c", filler)]
+    got = {r.doc_id: r for r in licences.scan_licences(
+        spark.createDataFrame(files, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
+    for k, name in enumerate(texts):
+        assert (got[2 * k].own, got[2 * k].licence_file) == (name, True)
+        assert (got[2 * k + 1].licence, got[2 * k + 1].licence_from) == (name, f"p{k}")
+    assert got[100].licence_file and got[101].licence == "CC-BY-SA-4.0"
+    assert not got[102].licence_file and got[103].licence is None
+
+
 # -- repeated passages ------------------------------------------------------
 
 def passages(seed=6):
