@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, fim, licences, lines, mixing, multiindex, packing, simhash, suffix, toxicity, warc
+from . import decontaminate, exact, fim, lexical, licences, lines, mixing, multiindex, packing, simhash, suffix, toxicity, warc
 from .common import NO_ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,28 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
               ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@q
+def op13_lexical_search(spark, sf_dir):
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, unnest(regexp_extract_all(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+     q AS (SELECT item_id, t, count(*) AS c FROM b GROUP BY item_id, t),
+     g AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+     p AS (SELECT doc_id, t, count(*) AS tf, any_value(m) AS m
+           FROM (SELECT doc_id, unnest(w) AS t, 75 + (25 * len(w) * n) // l AS m FROM d, g WHERE len(w) > 0)
+           WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+     f AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM p, g GROUP BY t, n),
+     s AS (SELECT item_id, doc_id, CAST(sum(c * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM q JOIN p USING (t) JOIN f USING (t) GROUP BY item_id, doc_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
