@@ -130,11 +130,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _without(text: Column, gone: Column) -> Column:
     """``text`` without the words of the spans and what stands before each."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    stops = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.size(pieces)))
-    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["stop"]))
-    kept = F.zip_with(starts, stops, lambda a, z: F.array_join(F.slice(pieces, a + 1, z - a), ""))
-    return F.concat(F.array_join(kept, ""), F.substring(text, F.length(F.array_join(pieces, "")) + 1, F.lit(2147483647)))
+    def rest(pieces: Column) -> Column:
+        stops = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.size(pieces)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["stop"]))
+        kept = F.zip_with(starts, stops, lambda a, z: F.array_join(F.slice(pieces, a + 1, z - a), ""))
+        tail = F.substring(text, F.length(F.array_join(pieces, "")) + 1, F.lit(2147483647))
+        return F.concat(F.array_join(kept, ""), tail)
+
+    # bound to a variable, so that the text is cut into words once and not for each span
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))), rest)[0]
 
 
 def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:

@@ -111,3 +111,38 @@ def cosine_links(vectors, least=0.95):
         n[a] += 1
         n[b] += 1
     return n, closure([i for i, _ in vectors], links)
+
+
+NOISE = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def fold(text):
+    return NOISE.sub(" ", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")).split(" ")
+
+
+def contamination(docs, items, size=10):
+    """(id, n_words, n_hit, spans, items) of each row"""
+    grams = defaultdict(set)
+    for i, t in items:
+        w = [x for x in fold(t) if x]
+        for k in range(max(0, len(w) - min(len(w), size) + 1) if w else 0):
+            grams[tuple(w[k:k + size])].add("null" if i is None else str(i))
+    sizes = {len(g) for g in grams}
+    out = []
+    for i, t in docs:
+        w = [x for x in fold(t) if x]
+        hit, found = np.zeros(len(w) + 2, bool), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in grams:
+                    found |= grams[tuple(w[k:k + n])]
+                    hit[k + 1:k + n + 1] = True
+        spans, start = [], None
+        for k in range(len(w)):
+            if hit[k + 1]:
+                start = k if start is None else start
+                if not hit[k + 2]:
+                    spans.append((start, k + 1))
+                    start = None
+        out.append((i, len(w), int(hit.sum()), spans, sorted(found)))
+    return out
