@@ -89,13 +89,27 @@ def builtin_spans(text, gazetteer: Mapping[str, str] | None = None) -> Column:
     return F.when(candidate_guard(t, gaz), spans).otherwise(F.array().cast(SPAN_TYPE))
 
 
+def joined_spans(first, second) -> Column:
+    """The spans of ``first`` and those of ``second`` that overlap none of
+    them, in document order."""
+    a, b = col_of(first), col_of(second)
+    apart = F.filter(b, lambda s: ~F.exists(a, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    return F.array_sort(F.concat(a, apart))
+
+
 def detect_entities(df: DataFrame, text: str = "text", out: str = "spans",
                     fn: Callable[[str], Sequence[tuple]] | None = None,
-                    gazetteer: Mapping[str, str] | None = None) -> DataFrame:
-    """Add a spans column. Without ``fn`` the built-in recogniser runs as SQL
-    expressions; with ``fn`` (text -> [(start, end, label), ...], e.g. a
-    statistical NER model) it runs on Arrow batches through ``mapInPandas``,
-    the only Python step of the library."""
+                    gazetteer: Mapping[str, str] | None = None, model=None) -> DataFrame:
+    """Add a spans column. By default the built-in recogniser runs as SQL
+    expressions. ``model``: a trained :class:`tagger.Tagger`; its spans are
+    added to the built-in ones where they overlap none of these. ``fn`` (text
+    -> [(start, end, label), ...], any other recogniser) runs alone, on Arrow
+    batches through ``mapInPandas``."""
+    if model is not None:
+        from .tagger import tag_entities
+
+        both = tag_entities(df.withColumn("_tz_own", builtin_spans(text, gazetteer)), model, text, "_tz_more")
+        return both.withColumn(out, joined_spans("_tz_own", "_tz_more")).drop("_tz_own", "_tz_more")
     if fn is None:
         return df.withColumn(out, builtin_spans(text, gazetteer))
     schema = StructType(df.schema.fields + [StructField(out, SPAN_DATATYPE)])

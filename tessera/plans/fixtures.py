@@ -106,3 +106,27 @@ def fx_train(spark: SparkSession, base: str) -> DataFrame:
     a = fx_annot(spark, base)
     d = a.select("doc_id", "text", "rtnl", *[tag_coerce(f"{t}_{R1}").alias(t) for t in fv.ALL_TAGS])
     return composite_indicator(d, fv.TARGETS, "trgt")
+
+
+def fx_named(spark: SparkSession, base: str) -> DataFrame:
+    """Documents, half of them with a last line that holds names made of the id's
+    hash, and the annotated spans of these."""
+    d = load(spark, base, "documents").selectExpr(
+        "doc_id", "coalesce(text, '') AS body", "md5(concat('name:', CAST(doc_id AS STRING))) AS nh",
+        "substr(md5(concat('sent:', CAST(doc_id AS STRING))),1,1) AS sk")
+
+    def spans(parts) -> str:
+        out, at = [], ["length(body)", "1"]
+        for part, label in parts:
+            sql = ofx.part_sql(part)
+            if label:
+                start = " + ".join(at)
+                out.append(f"named_struct('start', CAST({start} AS INT), 'end', CAST({start} + length({sql}) AS INT), "
+                           f"'label', '{label}', 'text', {sql})")
+            at.append(f"length({sql})")
+        return f"array({', '.join(out)})"
+
+    none = "CAST(array() AS array<struct<start:int,end:int,label:string,text:string>>)"
+    gold = ofx.sentence_case(lambda parts: spans(parts) if any(lab for _, lab in parts) else none)
+    return d.selectExpr("doc_id", f"concat(body, coalesce(concat(chr(10), {ofx.SENTENCE_SQL}), '')) AS text",
+                        f"coalesce({gold}, {none}) AS gold")

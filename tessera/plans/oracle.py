@@ -232,6 +232,37 @@ ORACLE["detect_entities"] = ofx.with_fixtures(
     """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS span_no,
               start, "end", label, ent AS span_text FROM spans""", fx_text=ofx.FX_TEXT, m=_M, spans=_SPANS)
 
+_TOKEN = r"'[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]+|[\n!-/:-@\[-`{-~]'"
+
+
+def _tokens_tagged(sql: str, label: str | None) -> str:
+    first = f"'B-{label}'" if label else "'O'"
+    more = f"'I-{label}'" if label else "'O'"
+    return (f"list_transform(regexp_extract_all({sql}, {_TOKEN}), lambda t, i: "
+            f"{{'token': t, 'tag': CASE WHEN i = 1 THEN {first} ELSE {more} END}})")
+
+
+_SEQ = ("SELECT doc_id, list_concat(" + _tokens_tagged("body", None) + ", coalesce(" + ofx.sentence_case(
+    lambda parts: "flatten([[{'token': chr(10), 'tag': 'O'}], " + ", ".join(_tokens_tagged(ofx.part_sql(p), lab) for p, lab in parts)
+    + "])") + f", [])) AS s FROM ({ofx.NAMED_BASE})").replace("AS STRING", "AS VARCHAR")
+_OBS = r"""CASE WHEN known.w IS NOT NULL THEN {t} WHEN regexp_matches({t}, '^[\n!-/:-@\[-`{{-~]$') THEN {t}
+  WHEN regexp_matches({t}, '^[0-9]{{1,2}}$') THEN '<d>' WHEN regexp_matches({t}, '^[0-9]{{3,4}}$') THEN '<dd>'
+  WHEN regexp_matches({t}, '^[0-9]+$') THEN '<ddd>' WHEN regexp_matches({t}, '^[A-Z]$') THEN '<X>'
+  WHEN regexp_matches({t}, '^[A-Z]+$') THEN '<XX>' WHEN regexp_matches({t}, '^[A-Z][^A-Z]+$') THEN '<Xx>'
+  WHEN regexp_matches({t}, '[A-Z]') THEN '<xX>' ELSE '<x>' END"""
+ORACLE["tagger_counts"] = ofx.with_fixtures(
+    f"""SELECT 'emission' AS kind, CAST(NULL AS VARCHAR) AS prev, tag, CASE WHEN known.w IS NULL AND pt IN ('.', '!', '?', ':', chr(10)) AND regexp_matches(t, '^[A-Z][^A-Z]*$')
+          THEN CASE WHEN length(t) = 1 THEN '<^X>' ELSE '<^Xx>' END ELSE {_OBS.format(t="p.t")} END AS seen, CAST(count(*) AS BIGINT) AS n
+        FROM p LEFT JOIN known ON p.t = known.w GROUP BY ALL
+        UNION ALL
+        SELECT 'transition', prev, tag, {_OBS.format(t="p.pt")}, count(*) FROM p LEFT JOIN known ON p.pt = known.w GROUP BY ALL""",
+    seqs=_SEQ,
+    p="""SELECT s[i].token AS t, s[i].tag AS tag, CASE WHEN i = 1 THEN chr(10) ELSE s[i - 1].token END AS pt,
+                CASE WHEN i = 1 THEN 'O' ELSE s[i - 1].tag END AS prev
+         FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM seqs)""",
+    known=r"""SELECT t AS w FROM p WHERE regexp_matches(t, '^[A-Za-z0-9\x{80}-\x{10FFFF}]') GROUP BY t HAVING count(*) >= 5
+             ORDER BY count(*) DESC, t LIMIT 20000""")
+
 _KEEP = "(" + ", ".join(lit(x) for x in fv.REDACT_LABELS) + ")"
 
 

@@ -93,3 +93,43 @@ def with_fixtures(sql: str, **views: str) -> str:
     if not views:
         return sql
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in views.items()) + "\n" + sql
+
+
+# Sentences with names for some documents: (part, label) pairs; a part in
+# braces is a name made of the id's hash, so most names occur once.
+_LETTERS = "'0123456789abcdef', 'aeioubdklmnrstvy'"
+
+
+def _name_sql(at: int, n: int) -> str:
+    return (f"concat(upper(translate(substr(nh,{at},1),{_LETTERS})), translate(substr(nh,{at + 1},{n}),{_LETTERS}))")
+
+
+NAME_SQL = {"given": _name_sql(1, 4), "family": _name_sql(7, 6), "town": _name_sql(14, 5), "firm": _name_sql(21, 5)}
+SENTENCES = {
+    "0": [("Please call ", None), ("{given} {family}", "PERSON"), (" at ", None), ("{firm} Group", "ORG"), (" before noon.", None)],
+    "1": [("We met ", None), ("{given}", "PERSON"), (" in ", None), ("{town}", "GPE"), (" last week.", None)],
+    "2": [("The ", None), ("{firm} Group", "ORG"), (" office in ", None), ("{town}", "GPE"), (" is closed.", None)],
+    "3": [("Regards, ", None), ("{given} {family}", "PERSON")],
+    "4": [("{given}", "PERSON"), (" wrote to ", None), ("{given} {family}", "PERSON"), (" on Monday.", None)],
+    "5": [("A train to ", None), ("{town}", "GPE"), (" leaves at 9. Ask ", None), ("{firm} Group", "ORG"), (".", None)],
+    "6": [("Thanks. Order 4411 ships in June, see Notes.", None)],
+    "7": [("Meeting Room B is Free on Friday.", None)],
+}
+
+
+def part_sql(part: str) -> str:
+    bits = []
+    for x in part.replace("}", "{").split("{"):
+        if x:
+            bits.append(NAME_SQL.get(x) or "'" + x.replace("'", "''") + "'")
+    return bits[0] if len(bits) == 1 else f"concat({', '.join(bits)})"
+
+
+def sentence_case(per) -> str:
+    """``CASE`` over the sentences; ``per(parts)`` gives the SQL of one."""
+    return "CASE sk " + " ".join(f"WHEN '{k}' THEN {per(parts)}" for k, parts in SENTENCES.items()) + " END"
+
+
+NAMED_BASE = ("SELECT doc_id, coalesce(text, '') AS body, md5(concat('name:', CAST(doc_id AS STRING))) AS nh, "
+              "substr(md5(concat('sent:', CAST(doc_id AS STRING))),1,1) AS sk FROM documents")
+SENTENCE_SQL = sentence_case(lambda parts: f"concat({', '.join(part_sql(p) for p, _ in parts)})")

@@ -22,6 +22,7 @@ from ..operators import labels as lab
 from ..operators import metrics as met
 from ..operators import rows as rws
 from ..operators import sampling as smp
+from ..operators import tagger as tag
 from ..operators import text as txt
 from ..sources import io as sio
 from ..sources.codebook import codebook
@@ -230,6 +231,37 @@ def q_detect_entities(spark, base):
     return ent.spans_long(ent.detect_entities(fx.fx_text(spark, base)), "doc_id")
 
 
+@q("tagger_counts")
+def q_tagger_counts(spark, base):
+    """What the recogniser learns from all annotated texts."""
+    emission, transition = tag.tag_counts(fx.fx_named(spark, base), "text", "gold")
+    none = F.lit(None).cast("string")
+    return emission.select(F.lit("emission").alias("kind"), none.alias("prev"), "tag", F.col("obs").alias("seen"), "n").unionByName(
+        transition.select(F.lit("transition").alias("kind"), "prev", "tag", F.col("cue").alias("seen"), "n"))
+
+
+def _tagger_rows(spark, base):
+    d = fx.fx_named(spark, base)
+    return d, F.substring(F.md5(F.concat(F.lit("tagger:"), F.col("doc_id").cast("string"))), 1, 1) < "8"
+
+
+@q("tagger_entities")
+def q_tagger_entities(spark, base):
+    """Spans that a recogniser trained on half of the documents finds in all."""
+    d, train = _tagger_rows(spark, base)
+    found = ent.detect_entities(d, model=tag.fit_tagger(d.where(train), "text", "gold"))
+    return ent.spans_long(found, "doc_id")
+
+
+@q("tagger_report")
+def q_tagger_report(spark, base):
+    """Precision, recall and F1 on the half that was not trained on."""
+    d, train = _tagger_rows(spark, base)
+    learn = d.where(train)
+    found = tag.tag_entities(d.where(~train), tag.fit_tagger(learn, "text", "gold"))
+    return tag.span_report(found, seen=learn.select(F.explode("gold.text").alias("text")))
+
+
 @q("redact_spans")
 def q_redact_spans(spark, base):
     d = ent.detect_entities(fx.fx_text(spark, base))
