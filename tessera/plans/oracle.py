@@ -506,6 +506,113 @@ ORACLE["weighted_bce"] = ofx.with_fixtures(
     "JOIN (" + _pw("labels", ["quality", "toxic"]) + ") w0 USING (target), LATERAL (SELECT w0.pos_weight AS w)",
     **_SC)
 
+# joint training (M1-M4), written from its rule: hashed tf-idf rows of unit length, AdamW with warm-up, one CTE a step
+_JT = ["quality", "toxic"]
+_DIM = 512
+
+
+def _tok_sql(c: str) -> str:
+    return (f"list_filter(regexp_split_to_array({c}, '[\\t\\n\\x0B\\f\\r ]+'), lambda t: t <> '')")
+
+
+def _joint_views(configs: list[dict], folds: bool) -> dict[str, str]:
+    """CTEs up to ``w`` (fit, j, w): ``configs`` x folds x targets, or all rows (fold -1)."""
+    src = "(SELECT doc_id, quality, toxic, CASE WHEN quality = 1 OR toxic = 1 THEN 1 ELSE 0 END AS trgt FROM labels)"
+    v = {"sp": f"SELECT * FROM {_split_sql(src, 'doc_id')}",
+         "tr": f"SELECT f.*, CAST((off + rk - 1) % 5 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY trgt ORDER BY "
+               f"{_h(56, 'doc_id')}, doc_id) AS rk, (SELECT count(*) FROM sp f2 WHERE split = 'train' AND f2.trgt < f1.trgt) AS off "
+               "FROM sp f1 WHERE split = 'train') f",
+         "x0": f"SELECT doc_id, j, 1 + ln(count(*)) AS val FROM (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {_DIM} AS j "
+               f"FROM (SELECT doc_id, unnest({_tok_sql('text')}) AS t FROM documents)) WHERE doc_id IN (SELECT doc_id FROM sp) "
+               "GROUP BY doc_id, j",
+         "fo": "SELECT DISTINCT fold AS f FROM tr" if folds else "SELECT -1 AS f",
+         "lab": " UNION ALL ".join(f"SELECT doc_id, fold, '{t}' AS target, {t} AS y, "
+                                   "('0x' || substr(md5('batch:' || doc_id), 1, 8))::BIGINT AS lot FROM tr" for t in _JT),
+         "pw": "SELECT f, target, CASE WHEN sum(y) > 0 THEN (count(*) - sum(y)) / CAST(sum(y) AS DOUBLE) ELSE 1.0 END AS pw "
+               "FROM lab, fo WHERE fold <> f GROUP BY f, target",
+         "idf": "SELECT f, j, ln((n + 1) / (count(doc_id) + 1)) AS idf FROM (SELECT f, count(*) AS n FROM tr, fo WHERE fold <> f GROUP BY f) "
+                f"s, range({_DIM}) r(j) LEFT JOIN (SELECT f AS g, j AS i, doc_id FROM tr JOIN x0 USING (doc_id), fo WHERE fold <> f) d "
+                "ON d.g = s.f AND d.i = r.j GROUP BY f, j, n",
+         "xs": "SELECT doc_id, f, j, val * idf AS v FROM x0 JOIN idf USING (j)",
+         "xv": "SELECT doc_id, f, j, v / sqrt(s) AS v FROM xs JOIN (SELECT doc_id, f, sum(v * v) AS s FROM xs GROUP BY doc_id, f) "
+               "USING (doc_id, f) WHERE s > 0 "
+               f"UNION ALL SELECT doc_id, f, {_DIM}, 1.0 FROM sp, fo",
+         "fits": "SELECT c, b, f, target, pw FROM (VALUES " + ", ".join(f"({i}, {c['batches']})" for i, c in enumerate(configs))
+                 + ") AS k(c, b), pw"}
+    v["w0"] = f"SELECT c, f, target, j, 0.0 AS w, 0.0 AS m, 0.0 AS s FROM fits, range({_DIM} + 1) r(j)"
+    total = [c["epochs"] * c["batches"] for c in configs]
+    for t in range(max(total)):
+        rates = []
+        for i, c in enumerate(configs):
+            warm = int(total[i] * c["warmup_ratio"])
+            up = t / max(1, warm) if t < warm else max(0.0, (total[i] - t) / max(1, total[i] - warm))
+            if t < total[i]:
+                rates.append(f"({i}, {c['learning_rate'] * up!r}::DOUBLE, {c['weight_decay']!r}::DOUBLE)")
+        v[f"z{t}"] = (f"SELECT k.c, k.f, k.target, k.pw, l.doc_id, l.y, sum(x.v * w.w) AS z FROM fits k "
+                      f"JOIN (VALUES {', '.join(rates)}) AS q(c, lr, wd) ON q.c = k.c "
+                      f"JOIN lab l ON l.target = k.target AND l.fold <> k.f AND l.lot % k.b = {t} % k.b "
+                      f"JOIN xv x ON x.doc_id = l.doc_id AND x.f = k.f JOIN w{t} w ON w.c = k.c AND w.f = k.f AND w.target = k.target "
+                      "AND w.j = x.j GROUP BY ALL")
+        v[f"g{t}"] = (f"SELECT c, r.f, target, j, sum(r * x.v) / any_value(n) AS g FROM (SELECT *, (1 - y) / (1 + exp(-z)) - pw * y * "
+                      f"(1 - 1 / (1 + exp(-z))) AS r, count(*) OVER (PARTITION BY c, f, target) AS n FROM z{t}) r "
+                      "JOIN xv x ON x.doc_id = r.doc_id AND x.f = r.f GROUP BY c, r.f, target, j")
+        v[f"u{t}"] = (f"SELECT w.c, w.f, w.target, w.j, w.w, q.lr, q.wd, CASE WHEN q.c IS NULL THEN w.m ELSE 0.9 * w.m + (1 - 0.9) * "
+                      f"coalesce(g, 0) END AS m, CASE WHEN q.c IS NULL THEN w.s ELSE 0.999 * w.s + (1 - 0.999) * coalesce(g, 0) * "
+                      f"coalesce(g, 0) END AS s FROM w{t} w LEFT JOIN (VALUES {', '.join(rates)}) AS q(c, lr, wd) ON q.c = w.c "
+                      f"LEFT JOIN g{t} g ON g.c = w.c AND g.f = w.f AND g.target = w.target AND g.j = w.j")
+        v[f"w{t + 1}"] = (f"SELECT c, f, target, j, CASE WHEN lr IS NULL THEN w ELSE w * (1 - lr * wd) - lr * (m / (1 - power(0.9::DOUBLE, "
+                          f"{t + 1}))) / (sqrt(s / (1 - power(0.999::DOUBLE, {t + 1}))) + 1e-8) END AS w, m, s FROM u{t}")
+    v["w"] = f"SELECT * FROM w{max(total)}"
+    return v
+
+
+def _joint_sql(sql: str, views: dict[str, str], **more: str) -> str:
+    return "WITH " + ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in {**views, **more}.items()) + "\n" + sql
+
+
+_J0 = dict(learning_rate=0.1, epochs=5, batches=2, weight_decay=0.01, warmup_ratio=0.1)
+_JGRID = [{**_J0, "learning_rate": lr, "batches": b} for lr in (0.05, 0.1, 0.2) for b in (1, 2)]
+
+
+def _joint_scores(rows: str) -> str:
+    """Scores of ``rows`` (doc_id, fold, target, y) by the fits of their fold."""
+    return (f"SELECT c AS config_id, fold, target, y_true, CAST(z > 0 AS INTEGER) AS y_pred, round(1 / (1 + exp(-z)), 6) AS y_prob FROM ("
+            f"SELECT w.c, l.fold, l.target, l.y AS y_true, l.doc_id, round(sum(x.v * w.w), 6) AS z FROM ({rows}) l JOIN xv x ON "
+            "x.doc_id = l.doc_id AND x.f = l.fold JOIN w ON w.f = l.fold AND w.target = l.target AND w.j = x.j GROUP BY ALL)")
+
+
+_JFLAT = "(SELECT * EXCLUDE (target), 'aggregate' AS target FROM js)"
+_TESTROWS = " UNION ALL ".join(f"SELECT doc_id, -1 AS fold, '{t}' AS target, {t} AS y FROM sp WHERE split = 'test'" for t in _JT)
+
+
+def _jmetrics(by: str) -> str:
+    g = f"{by}target"
+    return (f"{_f1(g, 'js')} UNION ALL {_mcc(g, 'js')} UNION ALL {_ap(g, 'js')} UNION ALL {_f1(g, _JFLAT)} UNION ALL "
+            f"SELECT * FROM ({_ap(g, _JFLAT)}) WHERE value IS NOT NULL")
+
+
+ORACLE["fit_multilabel"] = _joint_sql(
+    f"SELECT target, CAST(CASE WHEN j = {_DIM} THEN -1 ELSE j END AS INTEGER) AS feature, round(w, 6) + 0.0 AS coef, "
+    "round(pw, 6) AS pos_weight FROM w JOIN pw USING (f, target)", _joint_views([_J0], False))
+ORACLE["evaluate"] = _joint_sql(f"SELECT target, metric, value FROM ({_jmetrics('')})", _joint_views([_J0], False), js=_joint_scores(_TESTROWS))
+ORACLE["training_loss"] = _joint_sql(
+    "SELECT f AS fold, target, CAST(e AS INTEGER) AS epoch, round(avg(loss), 6) AS loss FROM (" + " UNION ALL ".join(
+        f"SELECT f, target, {t // 2 + 1} AS e, avg(pw * y * (greatest(-z, 0) + ln(1 + exp(-abs(z)))) + (1 - y) * (greatest(z, 0) + "
+        f"ln(1 + exp(-abs(z))))) AS loss FROM z{t} GROUP BY f, target" for t in range(10)) + ") GROUP BY f, target, e",
+    _joint_views([_J0], True))
+ORACLE["cross_validate"] = _joint_sql(
+    "SELECT target, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds FROM "
+    f"({_jmetrics('fold, ')}) WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY target, metric",
+    _joint_views([_J0], True), js=_joint_scores("SELECT doc_id, fold, target, y FROM lab"))
+ORACLE["grid_search"] = _joint_sql(
+    f"""SELECT CAST(i AS INTEGER) AS config_id, lr AS learning_rate, CAST(b AS BIGINT) AS batches,
+       round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1, round(avg(ap), 6) AS mean_auprc, round(stddev_pop(ap), 6) AS std_auprc
+       FROM (SELECT config_id, fold, max(value) FILTER (WHERE metric = 'f1_macro') AS f1, max(value) FILTER (WHERE metric = 'auprc') AS ap
+             FROM ({_f1('config_id, fold, target', _JFLAT)} UNION ALL SELECT * FROM ({_ap('config_id, fold, target', _JFLAT)})) GROUP BY ALL) m
+       JOIN (VALUES """ + ", ".join(f"({i}, {c['learning_rate']!r}::DOUBLE, {c['batches']})" for i, c in enumerate(_JGRID))
+    + ") AS k(i, lr, b) ON i = config_id GROUP BY i, lr, b",
+    _joint_views(_JGRID, True), js=_joint_scores("SELECT doc_id, fold, target, y FROM lab"))
+
 _GRID_SQL = ("SELECT lr AS learning_rate, bs AS batch_size, CAST(i * 2 + j AS INTEGER) AS config_id "
              "FROM (VALUES (1e-5, 0), (2e-5, 1), (5e-5, 2)) a(lr, i), (VALUES (16, 0), (32, 1)) b(bs, j)")
 ORACLE["param_grid"] = ofx.with_fixtures(

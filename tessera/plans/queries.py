@@ -554,34 +554,63 @@ def _train_test(spark, base):
     return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
 
+JOINT_GRID = {"learning_rate": [0.05, 0.1, 0.2], "batches": [1, 2]}
+
+
+def _joint_split(spark, base):
+    lab_ = cols.composite_indicator(load(spark, base, "labels"), LABEL_TARGETS, "trgt")
+    return smp.stratified_split(lab_, 0.2, "trgt", 56, "doc_id")
+
+
+def _joint_features(spark, base, rows):
+    from ..operators import joint
+    docs = sio.spread(load(spark, base, "documents").select("doc_id", "text"))
+    return joint.hashed_features(rows.join(docs, "doc_id"), "doc_id")
+
+
+def _joint_rows(spark, base):
+    """Labelled rows with features: training part, test part."""
+    feats = _joint_features(spark, base, _joint_split(spark, base))
+    return feats.where("split = 'train'"), feats.where("split = 'test'")
+
+
+def _joint_folds(spark, base):
+    train = _joint_split(spark, base).where("split = 'train'")
+    return _joint_features(spark, base, smp.stratified_folds(train, 5, "trgt", 56, "doc_id"))
+
+
 @q("fit_multilabel")
 def q_fit_multilabel(spark, base):
-    from ..operators import ml
-    train, _ = _train_test(spark, base)
-    models = ml.fit_multilabel(train, LABEL_TARGETS)
-    rows = [(t, float(w), float(m.intercept), int(m.summary.totalIterations)) for t, (m, w, _) in models.items()]
-    return spark.createDataFrame(rows, "target string, pos_weight double, intercept double, iterations int")
+    from ..operators import joint
+    train, _ = _joint_rows(spark, base)
+    fits = joint.fit_joint(train, "doc_id", LABEL_TARGETS)
+    return joint.coefficients(fits, spark).drop("config_id", "fold")
+
+
+@q("training_loss")
+def q_training_loss(spark, base):
+    from ..operators import joint
+    fits = joint.fit_joint(_joint_folds(spark, base), "doc_id", LABEL_TARGETS, fold="fold")
+    return joint.epoch_losses(fits, spark).drop("config_id")
 
 
 @q("evaluate")
 def q_evaluate(spark, base):
-    from ..operators import ml
-    train, test = _train_test(spark, base)
-    return ml.evaluate(ml.fit_multilabel(train, LABEL_TARGETS), test, "doc_id", LABEL_TARGETS)
+    from ..operators import joint
+    train, test = _joint_rows(spark, base)
+    return joint.evaluate_joint(joint.fit_joint(train, "doc_id", LABEL_TARGETS), test, "doc_id")
 
 
 @q("cross_validate")
 def q_cross_validate(spark, base):
-    from ..operators import ml
-    train, _ = _train_test(spark, base)
-    return ml.cross_validate(train, "doc_id", LABEL_TARGETS, k=5)[1]
+    from ..operators import joint
+    return joint.cross_validate_joint(_joint_folds(spark, base), "doc_id", LABEL_TARGETS)[1]
 
 
 @q("grid_search")
 def q_grid_search(spark, base):
-    from ..operators import ml
-    train, _ = _train_test(spark, base)
-    return ml.grid_search(train, "doc_id", LABEL_TARGETS, ML_GRID, k=5)
+    from ..operators import joint
+    return joint.grid_search_joint(_joint_folds(spark, base), "doc_id", LABEL_TARGETS, JOINT_GRID)
 
 
 # --------------------------------------------------------------------------
