@@ -12,7 +12,10 @@ the weights (features x fits).
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -23,29 +26,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .encode import tokens
 from .metrics import cv_summary, evaluate_long
 
 DIM = 512
 DEFAULTS = {"learning_rate": 0.1, "epochs": 5, "batches": 2, "weight_decay": 0.01, "warmup_ratio": 0.1}
 BETAS, EPSILON = (0.9, 0.999), 1e-8
+_SPACES = re.compile("[\t\n\x0b\f\r ]+")
 CHUNK = 512  # rows made dense at once
 BLOCK = 64  # rows of the gradient table that travel together
 ALL = -1  # the fold of a fit on all rows
 
 
-def hashed_features(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """``df`` without the text, with ``idx`` and ``val``: the hash buckets of its
-    white-space tokens in order, and 1 + ln of how often they occur. Texts
-    without tokens have empty arrays. ``key`` must be unique. Checkpointed."""
+def _hashed(texts: pd.Series, dim: int) -> pd.DataFrame:
+    at: dict[str, int] = {}
+    idx, val = [], []
+    for text in texts:
+        n: dict[int, int] = {}
+        for t in _SPACES.split(text or ""):
+            if t:
+                j = at.get(t)
+                if j is None:
+                    j = at[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                n[j] = n.get(j, 0) + 1
+        idx.append(sorted(n))
+        val.append([1 + math.log(n[j]) for j in idx[-1]])
+    return pd.DataFrame({"idx": idx, "val": val})
+
+
+def hashed_features(df: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:
+    """``df`` without the text, with ``idx`` and ``val``: the hash buckets (32
+    bits of md5, modulo ``dim``) of its white-space tokens in order, and 1 + ln
+    of how often they occur. Row by row: nothing is learned or shuffled. Texts
+    without tokens have empty arrays. Checkpointed."""
     ensure_checkpoint_dir(df.sparkSession)
-    bucket = F.pmod(F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    tf = df.select(key, F.explode(tokens(text)).alias("_t")).groupBy(key, bucket.alias("_j")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = tf.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_j", (1 + F.log("_n")).alias("_v")))).alias("_x"))
-    out = df.drop(text).join(rows.withColumnRenamed(key, "_tz_key"), F.col(key) == F.col("_tz_key"), "left").drop("_tz_key")
-    idx, val = F.col("_x")["_j"], F.col("_x")["_v"]
-    return out.withColumns({"idx": F.coalesce(idx, F.array().cast("array<int>")),
-                            "val": F.coalesce(val, F.array().cast("array<double>"))}).drop("_x").checkpoint(eager=True)
+
+    @F.pandas_udf("struct<idx:array<int>,val:array<double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield _hashed(texts, dim)
+
+    rows = df.withColumn("_tz_x", run(F.col(text))).drop(text)
+    return rows.select("*", "_tz_x.idx", "_tz_x.val").drop("_tz_x").checkpoint(eager=True)
 
 
 def configurations(grid: Mapping[str, Sequence], fixed: Mapping | None = None) -> list[dict]:

@@ -53,9 +53,9 @@ def _shape(token: str) -> str:
 
 
 def tagged(text: Column, spans: Column) -> Column:
-    """Tokens with their tags, as array<struct<token, tag>>. Of overlapping
-    spans the one that starts first counts (then the shorter); a token is cut
-    where a span begins or ends."""
+    """struct<tokens, tags>, two arrays of one length. Of overlapping spans the
+    one that starts first counts (then the shorter); a token is cut where a
+    span begins or ends."""
     asc = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("stop"), s["label"].alias("label"))))
     empty = F.array().cast("array<struct<start:int,stop:int,label:string>>")
     apart = F.aggregate(asc, empty, lambda acc, s: F.when(
@@ -67,12 +67,18 @@ def tagged(text: Column, spans: Column) -> Column:
         gaps = F.zip_with(starts, F.concat(F.transform(kept, lambda s: s["start"]), F.array(F.length(text))), lambda a, z: F.struct(
             a.alias("start"), z.alias("stop"), F.lit(None).cast("string").alias("label")))
         ranges = F.flatten(F.zip_with(gaps, kept, lambda g, s: F.when(s.isNull(), F.array(g)).otherwise(F.array(g, s))))
-        return F.zip_with(slices(text, ranges), ranges, lambda x, r: F.transform(
-            F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)),
-            lambda t, i: F.struct(t.alias("token"), F.when(r["label"].isNull(), F.lit("O")).when(i == 0, F.concat(F.lit("B-"), r["label"]))
-                                  .otherwise(F.concat(F.lit("I-"), r["label"])).alias("tag"))))
+        return F.zip_with(slices(text, ranges), ranges, lambda x, r: F.struct(
+            F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)).alias("tokens"), r["label"].alias("label")))
 
-    return F.flatten(F.transform(F.array(F.coalesce(apart, empty)), cut)[0])
+    def label(part: Column) -> Column:
+        n, name = F.size(part["tokens"]), part["label"]
+        inside = F.concat(F.array(F.concat(F.lit("B-"), name)), F.array_repeat(F.concat(F.lit("I-"), name), n - 1))
+        return F.when(name.isNull(), F.array_repeat(F.lit("O"), n)).when(n > 0, inside).otherwise(F.array().cast("array<string>"))
+
+    def both(parts: Column) -> Column:
+        return F.struct(F.flatten(F.transform(parts, lambda p: p["tokens"])).alias("tokens"), F.flatten(F.transform(parts, label)).alias("tags"))
+
+    return F.transform(F.transform(F.array(F.coalesce(apart, empty)), cut), both)[0]
 
 
 def tag_counts(df: DataFrame, text: str = "text", spans: str = "spans", vocab: int = VOCAB,
@@ -80,26 +86,31 @@ def tag_counts(df: DataFrame, text: str = "text", spans: str = "spans", vocab: i
     """(emission, transition): ``(tag, obs, n)`` and ``(prev, cue, tag, n)``
     over all rows. Tokens that occur ``min_count`` times, the ``vocab`` most
     frequent of them at most (ties by token), are observations of their own;
-    the others count by shape. Null texts have no tokens, null spans none."""
+    the others count by shape. Null texts have no tokens, null spans none.
+
+    Two passes: words are counted, then tags, cues and observations."""
     ensure_checkpoint_dir(df.sparkSession)
-    seq = df.select(tagged(F.coalesce(F.col(text), F.lit("")), F.col(spans)).alias("_s")).where(F.size("_s") > 0)
-    first = F.array(F.struct(F.lit(BREAK).alias("token"), F.lit("O").alias("tag")))
-    before = F.concat(first, F.slice("_s", F.lit(1), F.size("_s") - 1))
-    pairs = seq.select(F.inline(F.zip_with(before, F.col("_s"), lambda p, s: F.struct(
-        p["token"].alias("_pt"), p["tag"].alias("prev"), s["token"].alias("_t"), s["tag"].alias("tag")))))
-    pairs = pairs.groupBy("_pt", "prev", "_t", "tag").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    words = pairs.where(F.col("_t").rlike("^[A-Za-z0-9\\x{80}-\\x{10FFFF}]")).groupBy("_t").agg(F.sum("n").alias("n"))
+    rows = df.select(tagged(F.coalesce(F.col(text), F.lit("")), F.col(spans)).alias("_s"))
+    # the outer forms, then a test: inner ones would tokenise in filters as well
+    words = rows.select(F.explode_outer("_s.tokens").alias("_t")).where(F.col("_t").rlike("^[A-Za-z0-9\\x{80}-\\x{10FFFF}]")).groupBy("_t").agg(F.count(F.lit(1)).alias("n"))
     words = words.where(F.col("n") >= min_count).orderBy(F.desc("n"), "_t").limit(vocab)
-    known = F.broadcast(words.select(F.col("_t").alias("_w")).checkpoint())  # at most ``vocab`` words
-
-    def observed(token: str, kind: Column) -> DataFrame:
-        return pairs.join(known, pairs[token] == F.col("_w"), "left").withColumn("_o", F.coalesce("_w", kind))
-
+    known = words.select(F.col("_t").alias("_w")).checkpoint()  # at most ``vocab`` words
+    at = rows.select("_s.tokens", "_s.tags", F.posexplode_outer("_s.tokens").alias("_i", "_t")).where("_i IS NOT NULL")
+    opens, before = F.col("_i") == 0, F.col("_i") - 1
+    at = at.select("_t", F.get("tags", F.col("_i")).alias("tag"),
+                   F.when(opens, BREAK).otherwise(F.get("tokens", before)).alias("_pt"),
+                   F.when(opens, "O").otherwise(F.get("tags", before)).alias("prev"))
+    for token, out in (("_t", "_w1"), ("_pt", "_w2")):
+        at = at.join(F.broadcast(known.withColumnRenamed("_w", out)), F.col(token) == F.col(out), "left")
     own = shape(F.col("_t"))
     opening = F.when(F.col("_pt").isin(*ENDS) & own.isin(*OPENING), F.concat(F.lit("<^"), F.substring(own, 2, 9))).otherwise(own)
-    emission = observed("_t", opening).groupBy("tag", F.col("_o").alias("obs")).agg(F.sum("n").alias("n"))
-    transition = observed("_pt", shape(F.col("_pt"))).groupBy("prev", F.col("_o").alias("cue"), "tag").agg(F.sum("n").alias("n"))
-    return emission.checkpoint(), transition.checkpoint()
+    at = at.select("tag", "prev", F.coalesce("_w1", opening).alias("obs"), F.coalesce("_w2", shape(F.col("_pt"))).alias("cue"))
+    # one pass for both tables: each token counts once in either
+    none = F.lit(None).cast("string")
+    kinds = F.inline(F.array(F.struct(F.col("tag"), F.col("obs"), none.alias("prev"), none.alias("cue")),
+                             F.struct(F.col("tag"), none.alias("obs"), F.col("prev"), F.col("cue"))))
+    both = at.select(kinds).groupBy("tag", "obs", "prev", "cue").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    return both.where("obs IS NOT NULL").select("tag", "obs", "n"), both.where("obs IS NULL").select("prev", "cue", "tag", "n")
 
 
 class Tagger:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..sources.io import load
+from ..sources.io import load, spread
 from . import oracle_fixtures as ofx
 
 R1, R2 = "r1", "r2"
@@ -111,7 +111,7 @@ def fx_train(spark: SparkSession, base: str) -> DataFrame:
 def fx_named(spark: SparkSession, base: str) -> DataFrame:
     """Documents, half of them with a last line that holds names made of the id's
     hash, and the annotated spans of these."""
-    d = load(spark, base, "documents").selectExpr(
+    d = spread(load(spark, base, "documents").select("doc_id", "text")).selectExpr(
         "doc_id", "coalesce(text, '') AS body", "md5(concat('name:', CAST(doc_id AS STRING))) AS nh",
         "substr(md5(concat('sent:', CAST(doc_id AS STRING))),1,1) AS sk")
 

@@ -724,7 +724,9 @@ ORACLE["cv_plan"] = ("SELECT * FROM (VALUES (0, 5, 0.0::DOUBLE), (1, 5, 0.01), (
 # --------------------------------------------------------------------------
 ORACLE["read_terms"] = (f"SELECT {pystrip_sql('line')} AS term, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) "
                         f"AS line FROM benchmark) WHERE {pystrip_sql('line')} <> '' GROUP BY 1")
-ORACLE["write_read_table"] = "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE lang = 'en'"
+ORACLE["write_read_table"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+ORACLE["write_cycles"] = (f"SELECT doc_id, CASE WHEN cycle = 2 THEN upper(lang) ELSE lang END AS lang, n_chars, cycle FROM "
+                          f"(SELECT *, {_CYCLE} AS cycle FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents))")
 ORACLE["write_read_csv"] = "SELECT * FROM labels"
 ORACLE["null_text"] = ofx.with_fixtures("SELECT doc_id, coalesce(rtnl, 'nan') AS text FROM fx_annot", fx_annot=ofx.fx_annot())
 ORACLE["pystrip"] = ofx.with_fixtures(f"SELECT doc_id, alias, {pystrip_sql('reply')} AS reply FROM fx_reply",

@@ -534,8 +534,19 @@ def q_encode_batch(spark, base):
                     F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
+@q("encode_subwords")
+def q_encode_subwords(spark, base):
+    """Whole texts in windows of 512 subwords of a public vocabulary, as digests."""
+    import public_tokenizers
+
+    e = enc.encode_subwords(load(spark, base, "documents").select("doc_id", "text"), "doc_id",
+                            public_tokenizers.path("word_bpe_49k.json"), first=49406, last=49407)
+    return e.select("doc_id", "chunk", "n_tokens", F.crc32(F.array_join("input_ids", ",")).alias("ids_crc32"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
+
+
 # --------------------------------------------------------------------------
-# Spark ML (rows-only checks)
+# Models (one joint descent)
 # --------------------------------------------------------------------------
 ML_GRID = {"maxIter": [5, 10, 20], "regParam": [0.0, 0.01]}
 
@@ -564,8 +575,8 @@ def _joint_split(spark, base):
 
 def _joint_features(spark, base, rows):
     from ..operators import joint
-    docs = sio.spread(load(spark, base, "documents").select("doc_id", "text"))
-    return joint.hashed_features(rows.join(docs, "doc_id"), "doc_id")
+    docs = load(spark, base, "documents").select("doc_id", "text")
+    return joint.hashed_features(sio.spread(rows.join(docs, "doc_id")))
 
 
 def _joint_rows(spark, base):
@@ -724,7 +735,18 @@ def q_read_terms(spark, base):
 def q_write_read_table(spark, base):
     path = scratch_path(spark, "stage")
     sio.write_table(load(spark, base, "documents"), path, partition_by=["lang"])
-    return spark.read.parquet(path).where("lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars")
+    return spark.read.parquet(path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@q("write_cycles")
+def q_write_cycles(spark, base):
+    """Cycles written one by one, one of them again with other rows: each is there once."""
+    path, d = scratch_path(spark, "cycles"), load(spark, base, "documents")
+    d = d.select("doc_id", "lang", "n_chars", cycle_of(F.col("doc_id").cast("string")).alias("cycle"))
+    for cycle in (0, 1, 2, 3, 1):
+        sio.write_partitions(d.where(F.col("cycle") == cycle), path, ["cycle"])
+    sio.write_partitions(d.where("cycle = 2").withColumn("lang", F.upper("lang")), path, ["cycle"])
+    return sio.read_partitions(spark, path, d.schema, ["cycle"])
 
 
 @q("write_read_csv")

@@ -25,13 +25,14 @@ from ..operators import rows as rws
 from ..operators import sampling as smp
 from ..operators import text as txt
 from ..session import ensure_checkpoint_dir
-from ..sources.io import write_table
+from ..sources.io import write_partitions
 
 
 def annotation_packets(pool: DataFrame, n: int, cycle: int, seed, key: str = "row_id",
                        out_dir: str | None = None, redact: bool = True) -> tuple[DataFrame, DataFrame]:
     """One cycle's packet for the first rater and its masked copy for the
-    second; optionally written under ``out_dir`` partitioned by cycle. Entities
+    second; optionally written under ``out_dir`` (r1, r2) by cycle, to be read with
+    ``read_partitions``: running a cycle again replaces it. Entities
     and names are redacted first (raters see no raw text), unless ``redact``
     is off for a pool that already is."""
     if redact and "text" in pool.columns:
@@ -40,8 +41,8 @@ def annotation_packets(pool: DataFrame, n: int, cycle: int, seed, key: str = "ro
     packet = smp.sample_by_cycle(pool, n, cycle, seed, key)
     masked = smp.masked_copy(packet, fv.CYCLE_TAG_COLUMNS)
     if out_dir:
-        write_table(packet, f"{out_dir}/r1", partition_by=["cycle"], mode="append")
-        write_table(masked, f"{out_dir}/r2", partition_by=["cycle"], mode="append")
+        write_partitions(packet, f"{out_dir}/r1", ["cycle"])
+        write_partitions(masked, f"{out_dir}/r2", ["cycle"])
     return packet, masked
 
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ml
@@ -20,6 +21,41 @@ def test_write_table_partitioned_and_pruned(spark, scratch):
     assert "PartitionFilters" in plan and "cycle" in plan
 
 
+def test_overwrite_keeps_other_partitions(spark, scratch):
+    df = spark.range(20).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("cycle"))
+    path = os.path.join(scratch, "cycles")
+    for cycle in (0, 1, 2, 1):
+        sio.write_table(df.where(F.col("cycle") == cycle), path, partition_by=["cycle"])
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_partitions_with_manifest(spark, scratch):
+    path, by = os.path.join(scratch, "packets"), ["cycle", "kind"]
+    rows = [(k, k % 3, None if k % 5 == 0 else "01", f"t{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, cycle int, kind string, text string")
+    assert sio.read_partitions(spark, path, df.schema, by).isEmpty()
+    sio.write_partitions(df, path, by)
+    want = sorted(map(str, rows))
+    for again in (df, df.where("cycle = 1"), df.limit(0)):
+        sio.write_partitions(again, path, by)
+        back = sio.read_partitions(spark, path, df.schema, by)
+        assert sorted(str(tuple(r)) for r in back.collect()) == want and back.columns == df.columns
+        assert sio.check_partitions(spark, path, df.schema, by).isEmpty()
+    assert sio.read_manifest(spark, path, df.schema, by).count() == 6
+    # a run that dies before its manifest: its partitions do not show until it runs again
+    half = df.where("cycle = 2").withColumn("text", F.lit("new"))
+    sio.write_table(half.withColumn(sio.RUN, F.lit("dead")), f"{path}/data", by)
+    back = sio.read_partitions(spark, path, df.schema, by)
+    assert back.count() == 20 and back.where("cycle = 2").isEmpty()
+    assert sio.check_partitions(spark, path, df.schema, by).count() == 2
+    sio.write_partitions(half, path, by)
+    assert sio.read_partitions(spark, path, df.schema, by).where("cycle = 2 and text = 'new'").count() == 10
+    plan = back.where("cycle = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cycle" in plan
+    with pytest.raises(ValueError):
+        sio.write_partitions(df.withColumn("_run", F.lit(1)), path, by)
+
+
 def test_write_csv_header(spark, scratch):
     df = spark.createDataFrame([(1, "a")], "config_id int, name string")
     path = os.path.join(scratch, "csv")
@@ -94,7 +130,13 @@ def test_workflows(spark, scratch):
     pool = fx.fx_train(spark, base).withColumnRenamed("doc_id", "row_id")
     packet, masked = wf.annotation_packets(pool, 20, 0, 56, out_dir=os.path.join(scratch, "cycles"))
     assert packet.count() == 20 and masked.count() == 20
-    assert spark.read.parquet(os.path.join(scratch, "cycles", "r1")).where("cycle = 0").count() == 20
+    out = os.path.join(scratch, "cycles")
+    for _ in range(2):  # a cycle run again is there once
+        back = sio.read_partitions(spark, f"{out}/r1", packet.schema, ["cycle"])
+        assert back.where("cycle = 0").count() == 20 and back.columns == packet.columns
+        wf.annotation_packets(pool, 20, 0, 56, out_dir=out)
+    wf.annotation_packets(pool, 20, 1, 56, out_dir=out)
+    assert sio.read_partitions(spark, f"{out}/r2", masked.schema, ["cycle"]).count() == 40
 
 
 def test_kappa_stream_matches_batch(spark, scratch):
