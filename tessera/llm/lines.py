@@ -81,11 +81,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text without the removed lines; with ``carry`` also _row, the other
     columns of ``docs``.
 
-    Lines are parted by a line feed. A line goes if an equal normalised line
-    (:func:`normal`) comes earlier, by (id, line number), or if it is the
-    first of its kind and the first of another kind within one edit comes
-    earlier. Lines of fewer than ``min_words`` words stay (one edit in five
-    words leaves four fifths alike). Null text is empty and has one empty
+    Lines are parted by a line feed. A line with words, however short, goes if
+    an equal normalised line (:func:`normal`) comes earlier, by (id, line
+    number); one of at least ``min_words`` words (one edit in five leaves four
+    fifths alike) also if it is the first of its kind and the first of another
+    such kind within one edit comes earlier. Lines without words stay. Null text is empty and has one empty
     line; null ids come last; different texts under one id are ordered by
     hash, and rows that repeat id and text are one document with a row each.
     An empty table gives an empty table.
@@ -94,9 +94,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = F.split("_text", "\n", -1)
     lines = _once(base.select("_id", "_ord", F.posexplode(split).alias("_line", "_raw")), "_t", normal(F.col("_raw")))
     lines = _once(lines, "_n", F.octet_length("_t") - F.octet_length(F.replace("_t", F.lit(" "))) + 1)
-    lines = lines.where(F.col("_n") >= min_words)
-    lines = saved(lines.select(F.xxhash64("_t").alias("_h1"), F.hash(F.lit(1), "_t").alias("_h2"), "_id", "_ord",
-                               "_line", _ends(F.col("_n")).alias("_ends")), "lines")
+    ends = F.when(F.col("_n") >= min_words, _ends(F.col("_n"))).otherwise(F.array().cast("array<long>"))
+    lines = saved(lines.where(F.col("_t") != "").select(F.xxhash64("_t").alias("_h1"), F.hash(F.lit(1), "_t").alias("_h2"), "_id", "_ord",
+                                                        "_line", ends.alias("_ends")), "lines")
     place = F.struct("_id", "_ord", "_line")
 
     # one row per kind of line (96 bits of hash): its first place, with its halves, and how often it occurs
@@ -113,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # lines with a half that occurs elsewhere; the bits of half: first and last at n words, first and last at n + 1
     bits = F.when(F.size("_ends") == 2, F.array(F.lit(5), F.lit(10))).otherwise(F.array(*map(F.lit, (1, 2, 4, 8))))
-    ends = kinds.select("_first.*").select("_id", "_ord", "_line", F.inline(F.arrays_zip(
+    ends = kinds.select("_first.*").where(F.size("_ends") > 0).select("_id", "_ord", "_line", F.inline(F.arrays_zip(
         F.col("_ends"), bits.alias("_bits"))).alias("_a", "_bits"))
     shared = ends.groupBy("_a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_a")
     halves = ends.join(_apart(shared.withColumn("_s", F.xxhash64("_a")), "_s"), "_a", "left_semi").groupBy("_id", "_ord", "_line").agg(
@@ -147,16 +147,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.groupBy("_id", "_ord", "_line").agg(F.min(F.struct("_keep", "_m", "_i")).alias("_l")).select(
         "_id", "_ord", "_line", "_l.*")
 
-    # the earlier line's words go to the later line's document
+    # the earlier lines' words, once each, then to all that link with them: a hot line is a hot key, which Spark can split
     asked = links.groupBy(F.col("_keep._id").alias("_id"), F.col("_keep._ord").alias("_ord")).agg(
-        F.collect_list(F.struct(F.col("_id").alias("to"), F.col("_ord").alias("to_ord"), F.col("_line").alias("line"),
-                                F.col("_keep._line").alias("from"), F.col("_m").alias("m"), F.col("_i").alias("i"))).alias("_ask"))
+        F.collect_set("_keep._line").alias("_ask"))
     sent = _once(base.select("_id", "_ord", "_text").join(asked, ["_id", "_ord"]), "_lines", split)
-    sent = sent.select("_lines", F.explode("_ask").alias("_a")).select(
-        F.col("_a.to").alias("_id"), F.col("_a.to_ord").alias("_ord"),
-        F.struct(F.col("_a.line").alias("line"), F.col("_a.m").alias("m"), F.col("_a.i").alias("i"),
-                 F.element_at("_lines", F.col("_a.from") + 1).alias("other")).alias("_near"))
-    near = sent.groupBy("_id", "_ord").agg(F.collect_list("_near").alias("_near"))
+    sent = sent.select("_id", "_ord", "_lines", F.explode("_ask").alias("_line"))
+    sent = sent.select(F.struct("_id", "_ord", "_line").alias("_keep"), F.element_at("_lines", F.col("_line") + 1).alias("_other"))
+    sent = sent.dropDuplicates(["_keep"])  # rows that repeat send the same
+    near = links.join(_apart(sent.withColumn("_s", F.xxhash64("_keep")), "_s").drop("_s"), "_keep")
+    near = near.groupBy("_id", "_ord").agg(F.collect_list(F.struct(
+        F.col("_line").alias("line"), F.col("_m").alias("m"), F.col("_i").alias("i"), F.col("_other").alias("other"))).alias("_near"))
 
     out = base.join(equal, ["_id", "_ord"], "left").join(near, ["_id", "_ord"], "left")
     out = _once(out, "_lines", split)
@@ -172,6 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("_gone", F.coalesce("_equal", F.array().cast("array<int>")))
     out = _once(out, "_close", F.transform(close, lambda x: x["line"])).withColumn("_all", F.array_union("_gone", "_close"))
     kept = F.when(F.size("_all") == 0, F.col("_text")).otherwise(
-        F.array_join(F.filter("_lines", lambda x, k: ~F.array_contains("_all", k)), "\n"))
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_all"),
+                                 lambda k: F.element_at("_lines", k + 1)), "\n"))
     return out.select("_id", "_ord", F.size("_lines").alias("n_lines"), F.size("_gone").alias("n_exact"),
                       F.size("_close").alias("n_near"), kept.alias("text"), *(["_row"] if carry else []))

@@ -89,12 +89,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text
      l AS (SELECT doc_id, k, trim(regexp_replace(lower(ls[k + 1]), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t
            FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM d)),
      r AS (SELECT doc_id, k, string_split(t, ' ') AS w, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) AS nth
-           FROM l WHERE len(string_split(t, ' ')) >= 5),
+           FROM l WHERE t <> ''),
      v AS (SELECT doc_id, k, len(w) AS m, i, array_to_string(w[1:i], ' ') || chr(1) || array_to_string(w[i + 2:], ' ') AS rest
-           FROM (SELECT *, unnest(range(len(w))) AS i FROM r WHERE nth = 1)
+           FROM (SELECT *, unnest(range(len(w))) AS i FROM r WHERE nth = 1 AND len(w) >= 5)
            UNION ALL
            SELECT doc_id, k, len(w) + 1, i, array_to_string(w[1:i], ' ') || chr(1) || array_to_string(w[i + 1:], ' ')
-           FROM (SELECT *, unnest(range(len(w) + 1)) AS i FROM r WHERE nth = 1)),
+           FROM (SELECT *, unnest(range(len(w) + 1)) AS i FROM r WHERE nth = 1 AND len(w) >= 5)),
      gone AS (SELECT doc_id, k, 1 AS exact FROM r WHERE nth > 1 UNION ALL
               SELECT DISTINCT doc_id, k, 0 FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY m, i, rest ORDER BY doc_id, k)
                                                  AS nth FROM v) WHERE nth > 1),

@@ -83,19 +83,21 @@ def line_dedup(docs, min_words=5):
         for k, line in enumerate((t or "").split("\n")):
             w = tuple(WORD.findall(line.lower()))
             lines[i, k] = w
-            if len(w) >= min_words and w not in first:
+            if w and w not in first:
                 first[w] = (i, k)
                 order.append(w)
     by_size = defaultdict(list)
     gone = set()
     for w in order:  # in order of their first places
+        if len(w) < min_words:
+            continue
         if any(one_edit(w, v) for n in (len(w) - 1, len(w), len(w) + 1) for v in by_size[n]):
             gone.add(first[w])
         by_size[len(w)].append(w)
     out = {}
     for i, t in docs:
         keep = [line for k, line in enumerate((t or "").split("\n"))
-                if len(lines[i, k]) < min_words or (first[lines[i, k]] == (i, k) and (i, k) not in gone)]
+                if not lines[i, k] or (first[lines[i, k]] == (i, k) and (i, k) not in gone)]
         out[i] = "\n".join(keep)
     return out
 

@@ -50,6 +50,14 @@ def test_lines_against_plain(spark, given):
             assert got[i].n_lines == t.count("\n") + 1 == got[i].n_exact + got[i].n_near + left
 
 
+def test_lines_hot_template(spark):
+    """Very many near variants of one line, and of one short line exact copies."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('one two three four five six ', id, '\\n', 'ok', '\\n \\n', 'x', id) AS text")
+    got = lines.dedup_lines(df.repartition(6)).groupBy("n_exact", "n_near").count().collect()
+    assert {tuple(r) for r in got} == {(0, 0, 1), (1, 1, n - 1)}
+
+
 def test_lines_odd(odd, odd_rows, repeated, empty):
     assert {r._id: r.text for r in lines.dedup_lines(odd).collect()} == brute.line_dedup(odd_rows)
     got = lines.dedup_lines(repeated, carry=True).collect()
