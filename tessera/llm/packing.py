@@ -1,35 +1,43 @@
 """Packing documents into fixed windows beside their lexical neighbours.
 
-Documents are dealt over shards, each with an inverted index of its own. A
-window begins with a seed document; the shard's BM25 index ranks the unused
-documents by the seed's terms, and they fill the window in that order. The
-document that overflows is cut, and its rest is the next seed, so every window
-but a shard's last is full. What is left at the end is cut into lengths that
-are powers of two, which need no padding.
+Documents are dealt over shards by likeness: those whose least tokens under a
+few fixed permutations of the vocabulary are the same (min-hashes) come
+together, a group larger than a shard parting by one permutation more. Each
+shard has an inverted index with the term weights of the whole corpus. A window
+begins with a seed document; BM25 ranks the shard's unused documents by the
+seed's terms, and they fill the window in that order. The document that
+overflows is cut, and its rest is the next seed, so every window but a shard's
+last is full. What is left at the end is cut into lengths that are powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WINDOW = 4096
 SHARD_TOKENS = 1_500_000
-SHARD_CHARS = 3_000_000
 CACHE_WORDS = 1_000_000
-_AFTER_LETTER = re.compile(rb"([a-z])([.,;:!?])")
+SLICE_BYTES = 16 << 20  # text tokenised at once
+LIKENESS = 4  # permutations
 
 
 class Tokens:
-    """Token ids of whole texts, for a tokenizer of the ``tokenizers`` library
-    that never joins what white space parts. Words are kept in a bounded
-    table, so that each is encoded once."""
+    """Token ids of whole texts, for a tokenizer file of the ``tokenizers``
+    library. If the tokenizer sees ASCII letters in lower case, never joins
+    what white space parts and ends each word with a token of its own, words
+    are kept in a bounded table, so that each is encoded once; a text with
+    the string of a special token, and any text for another tokenizer, is
+    encoded whole."""
 
     _open: dict[str, Tokens] = {}
 
@@ -39,10 +47,14 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        size = self.tok.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        self.size_of_vocab = size
+        self.ends_word = np.zeros(size, dtype=bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.by_word = all(self._ids(x) == self._ids(y) for x, y in (
+            ("Ab Cd, e", "ab cd , e"), ("a\t\nb", "a b"), (" x.y ", "x .y"))) and bool(self.ends_word.any())
         self.clear()
 
     @classmethod
@@ -53,68 +65,125 @@ class Tokens:
         return cls._open[path]
 
     def clear(self) -> None:
-        self.where: dict[bytes, int] = {}
+        self.where: dict[str, int] = {}
         self.flat = np.empty(0, dtype=self.dtype)
         self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._add([""], [[]])  # what stands before or after the white space at a text's edge
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            s = w.decode()
-            # letters only, whose lower case is letters: one word to the tokenizer, with one word-end token
-            (plain if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s else other).append(s)
-        texts = [" ".join(plain[k:k + 5000]) for k in range(0, len(plain), 5000)]
-        got = self.tok.encode_batch_fast(texts + other, add_special_tokens=False)
-        joined = np.array([i for e in got[:len(texts)] for i in e.ids], dtype=np.int64)
-        last = np.flatnonzero(self.ends_word[joined]) + 1 if len(joined) else joined
-        if len(last) != len(plain):  # not such a tokenizer: word by word
-            got = self.tok.encode_batch_fast(plain + other, add_special_tokens=False)
-            plain, other, texts, joined, last = [], plain + other, [], joined[:0], joined[:0]
-        rest = [e.ids for e in got[len(texts):]]
-        size = np.r_[np.diff(np.r_[0, last]), np.array([len(i) for i in rest], dtype=np.int64)].astype(np.int64)
-        flat = np.r_[joined, np.array([i for ids in rest for i in ids], dtype=np.int64)].astype(self.dtype)
-        self.where.update(zip((s.encode() for s in plain + other), range(len(self.where), len(self.where) + len(words))))
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        self._put(words, np.array([len(i) for i in ids], dtype=np.int64), np.array([i for x in ids for i in x], dtype=self.dtype))
+
+    def _put(self, words: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        self.where.update(zip(words, range(len(self.where), len(self.where) + len(words))))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
         self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, flat]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text. The words that a batch brings anew are
-        encoded together."""
+    def _learn(self, words: pa.Array) -> None:
+        # letters only, whose lower case is letters: one word to the tokenizer, with one word-end token
+        easy = pc.match_substring_regex(words, r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$")
+        plain, other = words.filter(easy).to_pylist(), words.filter(pc.invert(easy)).to_pylist()
+        texts = [" ".join(plain[k:k + 5000]) for k in range(0, len(plain), 5000)]
+        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        joined = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in got]) if got else np.empty(0, dtype=self.dtype)
+        last = np.flatnonzero(self.ends_word[joined]) + 1 if len(joined) else np.empty(0, dtype=np.int64)
+        if len(last) == len(plain):
+            self._put(plain, np.diff(np.r_[0, last]), joined)
+        else:  # not one word-end token each: word by word
+            other = plain + other
+        self._add(other, [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (no nulls)."""
+        if not self.by_word:
+            for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                yield np.array(e.ids, dtype=self.dtype)
+            return
+        odd = np.zeros(len(texts), dtype=bool)
+        for t in self.special:
+            odd |= pc.match_substring(texts, t, ignore_case=True).to_numpy(zero_copy_only=False)
         # ASCII letters in lower case, punctuation after one set apart: neither changes what the tokenizer sees
-        words = [_AFTER_LETTER.sub(rb"\1 \2", t.encode().lower()).split() for t in texts]  # at ASCII white space
-        new = set().union(*words).difference(self.where)
-        if len(self.where) + len(new) > self.most_words:
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?])", r"\1 \2")
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        names = words.to_pylist()
+        new = [w not in self.where for w in names]
+        n = sum(new)
+        if len(self.where) + n > self.most_words:
             self.clear()
-            new = set().union(*words)
-        if new:
-            self._learn(sorted(new))
-        for ws in words:
-            if not ws:
-                yield np.zeros(0, dtype=self.dtype)
+            new = [w not in self.where for w in names]
+            n = sum(new)
+        if n:
+            self._learn(words.filter(pa.array(new)))
+        kind = np.fromiter(map(self.where.__getitem__, names), dtype=np.int64, count=len(names))
+        at = kind[coded.indices.to_numpy()] if len(names) else np.empty(0, dtype=np.int64)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        for k in range(len(texts)):
+            if odd[k]:
+                yield np.array(self._ids(texts[k].as_py()), dtype=self.dtype)
                 continue
-            at = np.fromiter(map(self.where.__getitem__, ws), dtype=np.int64, count=len(ws))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+            mine = at[ends[k]:ends[k + 1]]
+            size = self.size[mine]
+            stop = np.cumsum(size)
+            yield self.flat[np.repeat(self.start[mine] - stop + size, size) + np.arange(stop[-1])] if len(mine) else self.flat[:0]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of bounded size (a longer text is one by itself)."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:at + 20_000]), SLICE_BYTES)))
+        yield at, texts.slice(at, n)
+        at += n
+
+
+TOKENISED = "_id long, _h long, _n long, " + "".join(f"_m{k} int, " for k in range(1, LIKENESS + 1)) + "_ids binary"
+FREQUENCIES = -1  # the ``_n`` of a row whose ids are a task's document frequencies
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, words: int) -> Iterator[pa.RecordBatch]:
     tok = Tokens.at(path)
     tok.most_words = words
     end = np.array([end_id], dtype=tok.dtype)
+    vocab = max(tok.size_of_vocab, end_id + 1)
+    ranks = np.stack([np.random.default_rng(k).permutation(vocab).astype(np.int32) for k in range(LIKENESS)])
+    df, names = np.zeros(vocab, dtype="<u8"), ["_id", "_h", "_n", *[f"_m{k + 1}" for k in range(LIKENESS)], "_ids"]
+    types = [pa.int64()] * 3 + [pa.int32()] * LIKENESS + [pa.binary()]
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            ids = [np.concatenate([x, end]).tobytes() for x in tok.encode(part.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), pa.array(ids, pa.binary())],
-                                             names=["_id", "_h", "_ids"])
+        for at, texts in _slices(b.column("_text")):
+            ids = [np.concatenate([x, end]) for x in tok.encode(texts)]
+            least = np.empty((len(ids), LIKENESS), dtype=np.int32)
+            for k, x in enumerate(ids):
+                kinds = np.unique(x)
+                df[kinds] += 1
+                least[k] = ranks[:, kinds].min(axis=1)
+            yield pa.RecordBatch.from_arrays([
+                b.column("_id").slice(at, len(ids)), b.column("_h").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()),
+                *[pa.array(least[:, k]) for k in range(LIKENESS)], pa.array([x.tobytes() for x in ids], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, 0, FREQUENCIES, *[0] * LIKENESS, df.tobytes()], types)], names=names)
+
+
+def _added_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for raw in b.column("_ids"):
+            df = np.frombuffer(raw.as_py(), dtype="<u8")
+            total = df if total is None else total + df
+    if total is not None:
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["_t", "_df"])
 
 
 class Bm25:
-    """An inverted index of one shard. Terms in over half of the documents
-    weigh nothing (their inverse document frequency is negative)."""
+    """An inverted index of one shard. ``idf``: the corpus's, by token id;
+    ``mean``: the corpus's mean length. Terms of weight 0 (those in over half
+    of all documents) are left out."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
         self.n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.float64)
         kinds = [np.unique(d, return_counts=True) for d in docs]
@@ -123,12 +192,11 @@ class Bm25:
         tf = np.concatenate([c for _, c in kinds]).astype(np.float64)
         order = np.argsort(term, kind="stable")
         self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
-        idf = np.maximum(0, np.log((self.n - df + 0.5) / (df + 0.5)))
         self.last = self.first + df
         self.doc, tf = doc[order], tf[order]
-        norm = k1 * (1 - b + b * sizes / max(1.0, sizes.mean()))
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
-        self.useful = idf > 0
+        norm = k1 * (1 - b + b * sizes / max(1.0, mean))
+        self.weight = np.repeat(idf[self.terms], df) * tf * (k1 + 1) / (tf + norm[self.doc])
+        self.useful = idf[self.terms] > 0
         self.kinds = [t for t, _ in kinds]
 
     def scores(self, d: int) -> np.ndarray:
@@ -141,9 +209,9 @@ class Bm25:
                            weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length)."""
-    index = Bm25(docs)
+    index = Bm25(docs, idf, mean)
     free = np.ones(len(docs), dtype=bool)
     at, nxt, seq, room = 0, 0, [], window
     current, ranked, seed = None, None, None
@@ -191,14 +259,15 @@ _ARROW = pa.schema([("_id", pa.int64()), ("start", pa.int64()), ("length", pa.in
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], width: int, window: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], width: int, idf: np.ndarray, mean: float, window: int,
+            shard_tokens: int) -> Iterator[pa.RecordBatch]:
     dtype = np.uint16 if width == 2 else np.uint32
     shard, ids, docs, size, number = None, [], [], 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal number
         rows, held = [], 0
-        for seq in pack(docs, window):
+        for seq in pack(docs, idf, mean, window):
             offset = 0
             for d, a, n in seq:
                 rows.append((ids[d], a, n, len(docs[d]), (shard << 32) + number, offset,
@@ -229,26 +298,50 @@ def vocab_width(path: str) -> int:
     return np.dtype(Tokens.at(path).dtype).itemsize
 
 
+def _cells(docs: DataFrame, most: int) -> DataFrame:
+    """``docs`` with ``_cell``: documents of like least tokens, at most about
+    ``most`` tokens of them. A heavier group parts by its next least token, one
+    that is heavy under all by document, and rows that repeat by row."""
+    least = [F.col(f"_m{k}") for k in range(1, LIKENESS + 1)]
+    paths = [F.xxhash64(F.lit(k), *least[:k]) for k in range(1, LIKENESS + 1)] + [F.xxhash64(F.lit(0), *least, F.col("_h"))]
+    size = docs.select(F.col("_n"), F.explode(F.array(*paths)).alias("_p")).groupBy("_p").agg(F.sum("_n").alias("_w"))
+    heavy = size.where(F.col("_w") > most)  # at most LIKENESS + 1 times tokens / most rows
+    out, cell = docs, None
+    for k, path in reversed(list(enumerate(paths, 1))):
+        out = out.join(heavy.select(F.col("_p").alias(f"_p{k}"), F.ceil(F.col("_w") / most).alias(f"_w{k}")), path == F.col(f"_p{k}"), "left")
+        inner = F.xxhash64(path, F.pmod(F.xxhash64("_row"), F.col(f"_w{k}"))) if cell is None else cell
+        cell = F.when(F.col(f"_p{k}").isNull(), path).otherwise(inner)
+    return out.select("_id", "_h", "_row", "_ids", cell.alias("_cell"))
+
+
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-                   window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_chars: int = SHARD_CHARS,
-                   cache_words: int = CACHE_WORDS) -> DataFrame:
+                   window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents: the id column, start, length, doc_tokens (with
     ``end_id``), sequence_id, offset, and ids (little-endian unsigned 32-bit).
 
-    ``path``: the tokenizer's file, on every executor. ``cache_words`` bounds
-    the table of words that each Python worker keeps (about 200 bytes each). Null and empty texts
-    are documents of ``end_id`` alone. Rows that repeat, in id or in whole, are
-    documents of their own. A shard holds about ``shard_chars`` characters;
-    one that comes out larger (a hot id) is packed in parts of
-    ``shard_tokens``. An empty table gives an empty table. Reruns agree: a
-    shard's documents are taken in the order of their hash."""
+    ``path``: the tokenizer's file, on every executor; ids are the library's
+    own, strings of special tokens included. ``cache_words`` bounds the table
+    of words that each Python worker keeps (about 200 bytes each). Document
+    frequencies and the mean length are the corpus's; a shard holds about
+    ``shard_tokens``, documents alike in their tokens first of all. Null and
+    empty texts are documents of ``end_id`` alone. Rows that repeat, in id or
+    in whole, are documents of their own; a text of any length is packed whole,
+    over as many windows as it takes; other columns are not read. An empty
+    table gives an empty table. Reruns on the same files agree."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    chars = rows.agg(F.sum(F.length("_text") + 1)).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
     rows = rows.withColumn("_h", F.xxhash64("_id", "_text"))
-    ids = rows.mapInArrow(lambda b: _tokenized(b, path, end_id, cache_words), "_id long, _h long, _ids binary")
-    ids = ids.withColumn("_shard", F.pmod("_h", F.lit(shards))).repartition(shards, "_shard")
-    ids = ids.sortWithinPartitions("_shard", "_h", "_id").select("_shard", "_id", "_ids")
-    width = vocab_width(path)
-    out = ids.mapInArrow(lambda b: _packed(b, width, window, shard_tokens), PIECES)
+    ids = rows.mapInArrow(lambda b: _tokenized(b, path, end_id, cache_words), TOKENISED)
+    ids = saved(ids.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    df = ids.where(F.col("_n") == FREQUENCIES).select("_ids").mapInArrow(_added_frequencies, "_t long, _df long")
+    df = {r._t: r._df for r in df.groupBy("_t").agg(F.sum("_df").alias("_df")).collect()}  # a row for each token of the vocabulary
+    ids = ids.where("_n >= 0")
+    n, total = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    idf = np.zeros(max(df, default=0) + 1)
+    for t, c in df.items():
+        idf[t] = max(0.0, np.log((n - c + 0.5) / (c + 0.5)))
+    shards, width, mean = max(1, -(-total // shard_tokens)), vocab_width(path), total / max(1, n)
+    dealt = _cells(ids, shard_tokens).withColumn("_shard", F.pmod(F.xxhash64("_cell"), F.lit(shards)))
+    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_cell", "_h", "_row").select("_shard", "_id", "_ids")
+    held = docs.sparkSession.sparkContext.broadcast(idf)  # a number for each token of the vocabulary
+    out = dealt.mapInArrow(lambda b: _packed(b, width, held.value, mean, window, shard_tokens), PIECES)
     return out.withColumnRenamed("_id", id_col)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,7 +97,6 @@ def test_toxicity_without_labels(spark, odd, empty):
 
 def check_packed(docs, out, window=4096):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = sorted(tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t in docs)
     whole, seqs = {}, {}
     for r in out:
@@ -115,7 +115,7 @@ def check_packed(docs, out, window=4096):
 
 def test_packing(spark, given):
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
-    out = packing.pack_documents(df, PATH, shard_chars=60_000).collect()
+    out = packing.pack_documents(df, PATH, shard_tokens=20_000).collect()
     want, whole = check_packed(given, out)
     got = []
     for pieces in whole.values():
@@ -126,7 +126,7 @@ def test_packing(spark, given):
         assert len(ids) == n
         got.append(ids)
     assert sorted(got) == want
-    again = packing.pack_documents(df.repartition(5), PATH, shard_chars=60_000).collect()
+    again = packing.pack_documents(df.repartition(5), PATH, shard_tokens=20_000).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
@@ -140,27 +140,108 @@ def test_packing_odd(spark, odd, odd_rows, repeated, empty):
 
 def test_tokens_as_the_tokenizer():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     rng = random.Random(3)
     odd = ["don't", "'s", "x's.", "É", "é", "é", "́", "a b", "\x1c", " ", "..", "a.,", "Ab!?", "Δς.", "İ.",
            "1.5,", "ǅ.", "<|endoftext|>", "你好。", "x\x00", "a‍.", "ﬁ.", "ª.", "ſ.", "-", "_a_", "'", "'ll.", "I'M."]
-    for _ in range(400):
-        text = "".join(rng.choice(odd) + rng.choice(["", " ", "\n", "\t", "\x0b", "　"]) for _ in range(12))
-        got = next(packing.Tokens.at(PATH).encode([text]))
-        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    odd += ["<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "<|endoftext", "Žlutý", "ŒŸ", "µ"]
+    texts = ["".join(rng.choice(odd) + rng.choice(["", " ", "\n", "\t", "\x0b", "　"]) for _ in range(12)) for _ in range(400)]
+    texts += ["", " ", "plain", "hello <|endoftext|> world"]
+    got = packing.Tokens.at(PATH).encode(pa.array(texts))
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_tokens_of_a_cased_tokenizer(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.Tokens.at(path).by_word and packing.Tokens.at(PATH).by_word
+    out = packing.pack_documents(spark.createDataFrame([(1, "Hello World. Ok")], "doc_id long, text string"), path, end_id=50256)
+    ids = [i for r in sorted(out.collect(), key=lambda r: r.start) for i in np.frombuffer(bytes(r.ids), "<u4").tolist()]
+    assert ids == Tokenizer.from_file(path).encode("Hello World. Ok", add_special_tokens=False).ids + [50256]
+
+
+def corpus_weights(docs):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]).astype(int))
+    idf = np.array([max(0.0, np.log((len(docs) - c + 0.5) / (c + 0.5))) for c in df])
+    return idf, sum(map(len, docs)) / len(docs)
+
+
+def plain_pack(docs, idf, mean, window, k1=1.2, b=0.75):
+    """The windows, by going through every unused document for each seed."""
+    def score(seed, d):
+        total = 0.0
+        for t in sorted(set(docs[seed].tolist())):
+            tf = float((docs[d] == t).sum())
+            if tf and idf[t] > 0:
+                total += idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(docs[d]) / max(1.0, mean)))
+        return total
+
+    free, out, seq, room, seed, rest = list(range(len(docs))), [], [], window, None, None
+    while free or rest:
+        if rest is None:
+            if not seq:
+                d = seed = free[0]
+            else:
+                d = max(free, key=lambda x: (score(seed, x), -x))
+            free.remove(d)
+            rest = (d, 0)
+        d, at = rest
+        n = min(room, len(docs[d]) - at)
+        seq.append((d, at, n))
+        room -= n
+        rest = (d, at + n) if at + n < len(docs[d]) else None
+        if not room:
+            out.append(seq)
+            seq, room, seed = [], window, d
+    return out, seq
 
 
 def test_bm25_and_pack_near():
     rng = np.random.default_rng(1)
     docs = [np.r_[rng.integers(0, 50, 30) + 100 * (k % 4), 2].astype(np.uint16) for k in range(40)]
-    scores = packing.Bm25(docs).scores(5)
+    idf, mean = corpus_weights(docs)
+    scores = packing.Bm25(docs, idf, mean).scores(5)
     assert set(np.argsort(-scores)[:10]) == set(range(1, 40, 4))
-    seqs = list(packing.pack(docs, 256))
+    seqs = list(packing.pack(docs, idf, mean, 256))
     assert sum(n for s in seqs for _, _, n in s) == sum(map(len, docs))
     first = {d % 4 for d, _, _ in seqs[0]}
     assert len(first) == 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_as_plain(seed):
+    rng = np.random.default_rng(seed)
+    docs = [np.r_[rng.integers(3, 90, rng.integers(0, 60)), 2].astype(np.uint16) for _ in range(60)]
+    idf, mean = corpus_weights(docs)
+    full, last = plain_pack(docs, idf, mean, 64)
+    got = list(packing.pack(docs, idf, mean, 64))
+    assert got[:len(full)] == full and sum(n for s in got[len(full):] for _, _, n in s) == sum(n for _, _, n in last)
+
+
+def test_twins_meet(spark):
+    """Documents alike, though in different hash shards, come together."""
+    rng = random.Random(9)
+    docs = []
+    for k in range(150):
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(120)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-4] + ["other", "end"]))]
+    out = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), PATH, shard_tokens=9000).collect()
+    where = {}
+    for r in out:
+        where.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert len({r.sequence_id >> 32 for r in out}) > 5
+    assert sum(bool(where[2 * k] & where[2 * k + 1]) for k in range(150)) >= 120
+
+
+def test_packing_copies(spark):
+    """Copies of a text under many ids, and rows that repeat in whole, are cut into shards."""
+    text = " ".join(f"word{k}" for k in range(200))
+    df = spark.range(400).selectExpr("if(id % 2 = 0, id, NULL) AS doc_id", f"'{text}' AS text")
+    out = packing.pack_documents(df, PATH, shard_tokens=20_000).collect()
+    n = len(next(packing.Tokens.at(PATH).encode(pa.array([text])))) + 1
+    assert sum(r.length for r in out) == 400 * n and len({r.sequence_id >> 32 for r in out}) > 3
+    check_packed([], out)
+
+
 # -- mixing -----------------------------------------------------------------
 
 def test_water_fill():
