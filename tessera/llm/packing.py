@@ -29,22 +29,22 @@ SHARD_TOKENS = 1_500_000
 CACHE_WORDS = 1_000_000
 SLICE_BYTES = 16 << 20  # text tokenised at once
 LIKENESS = 4  # permutations
+LOWER = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 
 
 class Tokens:
     """Token ids of whole texts, for a tokenizer file of the ``tokenizers``
-    library. If the tokenizer sees ASCII letters in lower case, never joins
-    what white space parts and ends each word with a token of its own, words
-    are kept in a bounded table, so that each is encoded once; a text with
-    the string of a special token, and any text for another tokenizer, is
-    encoded whole."""
+    library. If the tokenizer sees ASCII letters in lower case and never joins
+    what white space parts, words are kept in a bounded table, so that each is
+    encoded once; a text with the string of a special token, and any text for
+    another tokenizer, is encoded whole."""
 
     _open: dict[str, Tokens] = {}
 
     def __init__(self, path: str) -> None:
         self.most_words = CACHE_WORDS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size()
@@ -55,6 +55,9 @@ class Tokens:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = all(self._ids(x) == self._ids(y) for x, y in (
             ("Ab Cd, e", "ab cd , e"), ("a\t\nb", "a b"), (" x.y ", "x .y"))) and bool(self.ends_word.any())
+        # words of lower-case letters may go to the model itself, past the steps that leave them as they are
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.to_model = all(self._word(x) == self._ids(x) for x in ("a", "the", "unheard", "straße", "él", "œuvre", "žlutý", "ñandú"))
         self.clear()
 
     @classmethod
@@ -81,25 +84,22 @@ class Tokens:
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
         self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, flat]
 
+    def _word(self, word: str) -> list[int]:
+        mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
+        return [t.id for t in self.tok.model.tokenize(mapped)]
+
     def _learn(self, words: pa.Array) -> None:
-        # letters only, whose lower case is letters: one word to the tokenizer, with one word-end token
-        easy = pc.match_substring_regex(words, r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$")
+        easy = pc.match_substring_regex(words, LOWER) if self.to_model else pa.array([False] * len(words))
         plain, other = words.filter(easy).to_pylist(), words.filter(pc.invert(easy)).to_pylist()
-        texts = [" ".join(plain[k:k + 5000]) for k in range(0, len(plain), 5000)]
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        joined = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in got]) if got else np.empty(0, dtype=self.dtype)
-        last = np.flatnonzero(self.ends_word[joined]) + 1 if len(joined) else np.empty(0, dtype=np.int64)
-        if len(last) == len(plain):
-            self._put(plain, np.diff(np.r_[0, last]), joined)
-        else:  # not one word-end token each: word by word
-            other = plain + other
+        self._add(plain, [self._word(w) for w in plain])
         self._add(other, [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)])
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text (no nulls)."""
+    def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text (no nulls), and ``end`` after them if given."""
+        last = np.array([] if end is None else [end], dtype=self.dtype)
         if not self.by_word:
             for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
-                yield np.array(e.ids, dtype=self.dtype)
+                yield np.concatenate([np.array(e.ids, dtype=self.dtype), last])
             return
         odd = np.zeros(len(texts), dtype=bool)
         for t in self.special:
@@ -120,15 +120,16 @@ class Tokens:
             self._learn(words.filter(pa.array(new)))
         kind = np.fromiter(map(self.where.__getitem__, names), dtype=np.int64, count=len(names))
         at = kind[coded.indices.to_numpy()] if len(names) else np.empty(0, dtype=np.int64)
-        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        size = self.size[at]
+        stop = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.r_[0, np.r_[0, stop][ends]]
         for k in range(len(texts)):
             if odd[k]:
-                yield np.array(self._ids(texts[k].as_py()), dtype=self.dtype)
-                continue
-            mine = at[ends[k]:ends[k + 1]]
-            size = self.size[mine]
-            stop = np.cumsum(size)
-            yield self.flat[np.repeat(self.start[mine] - stop + size, size) + np.arange(stop[-1])] if len(mine) else self.flat[:0]
+                yield np.concatenate([np.array(self._ids(texts[k].as_py()), dtype=self.dtype), last])
+            else:
+                yield np.concatenate([flat[cut[k]:cut[k + 1]], last])
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -148,19 +149,17 @@ FREQUENCIES = -1  # the ``_n`` of a row whose ids are a task's document frequenc
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, words: int) -> Iterator[pa.RecordBatch]:
     tok = Tokens.at(path)
     tok.most_words = words
-    end = np.array([end_id], dtype=tok.dtype)
     vocab = max(tok.size_of_vocab, end_id + 1)
     ranks = np.stack([np.random.default_rng(k).permutation(vocab).astype(np.int32) for k in range(LIKENESS)])
     df, names = np.zeros(vocab, dtype="<u8"), ["_id", "_h", "_n", *[f"_m{k + 1}" for k in range(LIKENESS)], "_ids"]
     types = [pa.int64()] * 3 + [pa.int32()] * LIKENESS + [pa.binary()]
     for b in batches:
         for at, texts in _slices(b.column("_text")):
-            ids = [np.concatenate([x, end]) for x in tok.encode(texts)]
-            least = np.empty((len(ids), LIKENESS), dtype=np.int32)
-            for k, x in enumerate(ids):
-                kinds = np.unique(x)
-                df[kinds] += 1
-                least[k] = ranks[:, kinds].min(axis=1)
+            ids = list(tok.encode(texts, end_id))
+            for x in ids:
+                df[np.unique(x)] += 1
+            flat, first = np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids[:-1]]])
+            least = np.stack([np.minimum.reduceat(r[flat], first) for r in ranks], axis=1)
             yield pa.RecordBatch.from_arrays([
                 b.column("_id").slice(at, len(ids)), b.column("_h").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()),
                 *[pa.array(least[:, k]) for k in range(LIKENESS)], pa.array([x.tobytes() for x in ids], pa.binary())], names=names)
@@ -305,7 +304,8 @@ def _cells(docs: DataFrame, most: int) -> DataFrame:
     least = [F.col(f"_m{k}") for k in range(1, LIKENESS + 1)]
     paths = [F.xxhash64(F.lit(k), *least[:k]) for k in range(1, LIKENESS + 1)] + [F.xxhash64(F.lit(0), *least, F.col("_h"))]
     size = docs.select(F.col("_n"), F.explode(F.array(*paths)).alias("_p")).groupBy("_p").agg(F.sum("_n").alias("_w"))
-    heavy = size.where(F.col("_w") > most)  # at most LIKENESS + 1 times tokens / most rows
+    # at most LIKENESS + 1 times tokens / most rows; as a table its size is known, and Spark broadcasts it while it is small
+    heavy = saved(size.where(F.col("_w") > most), "heavy")
     out, cell = docs, None
     for k, path in reversed(list(enumerate(paths, 1))):
         out = out.join(heavy.select(F.col("_p").alias(f"_p{k}"), F.ceil(F.col("_w") / most).alias(f"_w{k}")), path == F.col(f"_p{k}"), "left")
