@@ -8,6 +8,7 @@ The expensive part (one pass over the rows) is a map-side combined
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -83,3 +84,43 @@ def value_counts(df: DataFrame, cols: Sequence[str], value: str = "value") -> Da
     and missing cells are not counted."""
     long = df.unpivot([], list(cols), "column", value).where(F.col(value).isNotNull())
     return long.groupBy(value).pivot("column", list(cols)).agg(F.count(F.lit(1)))
+
+
+# -- intervals ---------------------------------------------------------------
+
+# Poisson(1) weights by inversion: u of 16 bits weighs as many as it reaches of these steps (65,536 x the distribution function).
+POISSON_STEPS = [math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+
+
+def bootstrap_weights(df: DataFrame, key: str, reps: int, seed=56) -> DataFrame:
+    """One row per row of ``df`` and replicate in which it counts: ``rep`` and
+    its Poisson(1) weight ``w``, from md5('boot:seed:block:key'), eight
+    replicates a digest. Row by row, so a lost executor draws the same again."""
+    blocks = -(-reps // 8)
+    d = df.withColumn("_tz_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = d.withColumn("_tz_h", F.md5(F.concat_ws(":", F.lit("boot"), F.lit(str(seed)), F.col("_tz_block"), F.col(key))))
+    draws = []
+    for k in range(8):
+        u = F.conv(F.substring("_tz_h", 4 * k + 1, 4), 16, 10).cast("int")
+        draws.append(F.struct((F.col("_tz_block") * 8 + k).alias("rep"), sum((u >= s).cast("int") for s in POISSON_STEPS).alias("w")))
+    return d.select(*df.columns, F.inline(F.array(*draws))).where((F.col("w") > 0) & (F.col("rep") < reps))
+
+
+def kappa_replicates(df: DataFrame, codes: Sequence[str], s1: str, s2: str, key: str, reps: int = 200, seed=56) -> DataFrame:
+    """(rep, tag, n, kappa): kappa of each bootstrap replicate, all in one pass:
+    the weights of a cell are added up as its count. A missing value is an error."""
+    cells = bootstrap_weights(df.select(key, *[F.col(f"{c}_{s}") for c in codes for s in (s1, s2)]), key, reps, seed)
+    bad = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("missing value")).cast("int")).otherwise(F.col("w"))
+    cells = rater_pairs(cells, codes, s1, s2, by=["rep", "w"]).withColumn("w", bad)
+    return kappa_from_cells(cells.groupBy("rep", "tag", "a", "b").agg(F.sum("w").alias("cnt")), by=["rep"])
+
+
+def kappa_intervals(df: DataFrame, codes: Sequence[str], s1: str, s2: str, key: str, reps: int = 200, level: float = 0.95,
+                    seed=56) -> DataFrame:
+    """Kappa per tag with its bootstrap percentile interval (lo, hi), standard
+    error and the number of replicates in which it is defined."""
+    tail = (1 - level) / 2
+    r = kappa_replicates(df, codes, s1, s2, key, reps, seed).groupBy("tag").agg(
+        F.round(F.percentile("kappa", F.lit(tail)), 6).alias("lo"), F.round(F.percentile("kappa", F.lit(1 - tail)), 6).alias("hi"),
+        F.round(F.stddev_samp("kappa"), 6).alias("se"), F.count("kappa").alias("n_reps"))
+    return cohen_kappa(df, codes, s1, s2).join(F.broadcast(r), "tag", "left")  # a row for each tag

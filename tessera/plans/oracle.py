@@ -43,6 +43,21 @@ ORACLE["cohen_kappa"] = ofx.with_fixtures(
     f"SELECT * FROM (WITH c AS ({COERCED_ANNOT}), long AS ({_long_pairs('c')})" + _kappa_sql("long", []) + ")",
     fx_annot=ofx.fx_annot())
 
+_U = "('0x' || substr(md5(concat('boot:56:', CAST(rep // 8 AS VARCHAR), ':', CAST(doc_id AS VARCHAR))), 4 * (rep % 8) + 1, 4))::INTEGER"
+# Poisson(1) by inversion of 16 bits: 65,536 times the distribution function at 0 to 7
+_POISSON = [24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535]
+_KI = dict(fx_annot=ofx.fx_annot(), c=COERCED_ANNOT, wt="SELECT doc_id, rep, " + " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in _POISSON)
+           + f" AS w FROM (SELECT doc_id, rep, {_U} AS u FROM c, range(100) r(rep))",
+           long=f"SELECT w.rep, p.tag, p.a, p.b, w.w FROM wt w JOIN ({_long_pairs('c', 'doc_id, ')}) p USING (doc_id) WHERE w.w > 0",
+           ma="SELECT rep, tag, a AS k, sum(w) AS na FROM long GROUP BY rep, tag, a", mb="SELECT rep, tag, b AS k, sum(w) AS nb FROM long GROUP BY rep, tag, b",
+           pe="SELECT rep, tag, sum(na * nb) AS pe FROM ma JOIN mb USING (rep, tag, k) GROUP BY rep, tag",
+           kr="SELECT rep, tag, CASE WHEN n * n - coalesce(pe, 0) <> 0 THEN round(CAST(n * o - coalesce(pe, 0) AS DOUBLE) / "
+              "CAST(n * n - coalesce(pe, 0) AS DOUBLE), 6) END AS kappa FROM (SELECT rep, tag, sum(w) AS n, coalesce(sum(w) FILTER "
+              "(WHERE a = b), 0) AS o FROM long GROUP BY rep, tag) LEFT JOIN pe USING (rep, tag)")
+ORACLE["kappa_intervals"] = ofx.with_fixtures(
+    "SELECT k.*, lo, hi, se, n_reps FROM (" + ORACLE["cohen_kappa"] + ") k LEFT JOIN (SELECT tag, round(quantile_cont(kappa, 0.025), 6) AS lo, "
+    "round(quantile_cont(kappa, 0.975), 6) AS hi, round(stddev_samp(kappa), 6) AS se, count(kappa) AS n_reps FROM kr GROUP BY tag) USING (tag)", **_KI)
+
 ORACLE["kappa_multiclass"] = """
 WITH long AS (SELECT 'event_type' AS tag, event_type AS a,
     CASE WHEN substr(md5(concat('kmc:', CAST(event_id AS VARCHAR))),1,1) < 'c' THEN event_type ELSE 'view' END AS b
@@ -176,6 +191,40 @@ ORACLE["triangulate"] = (f"SELECT doc_id, "
                          + ", ".join(f"{c}, {c}_gpt, {c}_triangulate" for c in fv.LLM_CODES)
                          + f" FROM ({_TRI})")
 
+# rater errors: expectation maximisation on the counts of answer combinations, one CTE an iteration
+_ANS = "CASE WHEN {c} = 1 THEN '1' WHEN {c} = 0 THEN '0' ELSE '-' END"
+
+
+def _em_views(iterations: int) -> dict[str, str]:
+    pat = " UNION ALL ".join(
+        f"SELECT a.doc_id, '{c}' AS code, " + " || ".join(_ANS.format(c=x) for x in (f"a.{c}_r1", f"a.{c}_r2", f"t.{c}_gpt"))
+        + " AS pattern FROM ca a JOIN tri t USING (doc_id)" for c in fv.LLM_CODES)
+    v = {"ca": COERCED_ANNOT.replace("fx_annot", f"({ofx.fx_annot()})"), "tri": _TRI, "pats": pat,
+         "pc": "SELECT code, pattern, CAST(count(*) AS DOUBLE) AS n FROM pats GROUP BY code, pattern",
+         "ans": "SELECT code, pattern, n, k, substr(pattern, k, 1) AS a FROM pc, (VALUES (1), (2), (3)) r(k)",
+         "p0": "SELECT code, pattern, n, CASE WHEN count(*) FILTER (WHERE a <> '-') > 0 THEN count(*) FILTER (WHERE a = '1') / "
+               "CAST(count(*) FILTER (WHERE a <> '-') AS DOUBLE) ELSE 0.5 END AS ch FROM ans GROUP BY code, pattern, n"}
+    for t in range(iterations):
+        v[f"v{t}"] = f"SELECT code, (sum(n * ch) + 1) / (sum(n) + 2) AS prev FROM p{t} GROUP BY code"
+        v[f"r{t}"] = ("SELECT code, k, (sum(n * ch) FILTER (WHERE a = '1') + 1) / (sum(n * ch) FILTER (WHERE a <> '-') + 2) AS se, "
+                      "(sum(n * (1 - ch)) FILTER (WHERE a = '0') + 1) / (sum(n * (1 - ch)) FILTER (WHERE a <> '-') + 2) AS sp "
+                      f"FROM ans JOIN p{t} USING (code, pattern, n) GROUP BY code, k")
+        v[f"p{t + 1}"] = (
+            "SELECT code, pattern, n, x / (x + y) AS ch FROM (SELECT code, pattern, n, any_value(prev) * product(CASE a WHEN '1' THEN se "
+            "WHEN '0' THEN 1 - se ELSE 1.0 END) AS x, (1 - any_value(prev)) * product(CASE a WHEN '0' THEN sp WHEN '1' THEN 1 - sp ELSE 1.0 END) "
+            f"AS y FROM ans JOIN r{t} USING (code, k) JOIN v{t} USING (code) GROUP BY code, pattern, n)")
+    return v
+
+
+_EM = "WITH " + ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in _em_views(20).items())
+ORACLE["rater_errors"] = _EM + """
+SELECT code, CASE k WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' ELSE 'gpt' END AS rater, round(prev, 6) AS prevalence, round(se, 6) AS sensitivity,
+       round(sp, 6) AS specificity, CAST((SELECT sum(n) FROM ans a WHERE a.code = r19.code AND a.k = r19.k AND a.a <> '-') AS BIGINT) AS n
+FROM r19 JOIN v19 USING (code)"""
+ORACLE["triangulate_by_error"] = _EM + " SELECT doc_id, " + ", ".join(
+    f"max(p) FILTER (WHERE code = '{c}') AS {c}_p, max(CAST(p > 0.5 AS INTEGER)) FILTER (WHERE code = '{c}') AS {c}_triangulate"
+    for c in fv.LLM_CODES) + " FROM (SELECT doc_id, code, round(ch, 6) AS p FROM pats JOIN p20 USING (code, pattern)) GROUP BY doc_id"
+
 _REST = [t for t in TAGS if t not in fv.LLM_CODES]
 ORACLE["finalize_triangulated"] = (f"SELECT doc_id, {', '.join(_REST)}, "
                                    + ", ".join(f"{c}_triangulate AS {c}" for c in fv.LLM_CODES)

@@ -192,6 +192,31 @@ def q_triangulate(spark, base):
         "doc_id", *[x for c in fv.LLM_CODES for x in (c, f"{c}_gpt", f"{c}_triangulate")])
 
 
+def _three_raters(spark, base):
+    """Two people and the model, on the codes that the model was asked for."""
+    a = coerced_annot(spark, base).select("doc_id", *[f"{c}_{s}" for c in fv.LLM_CODES for s in ("r1", "r2")])
+    m = triangulated(spark, base).select("doc_id", *[F.col(f"{c}_gpt").cast("int").alias(f"{c}_gpt") for c in fv.LLM_CODES])
+    return a.join(m, "doc_id")
+
+
+@q("rater_errors")
+def q_rater_errors(spark, base):
+    from ..operators import rater_error
+    return rater_error.rater_errors(_three_raters(spark, base), fv.LLM_CODES, ["r1", "r2", "gpt"], iterations=20)[0]
+
+
+@q("triangulate_by_error")
+def q_triangulate_by_error(spark, base):
+    from ..operators import rater_error
+    d = rater_error.triangulate_by_error(_three_raters(spark, base), fv.LLM_CODES, ["r1", "r2", "gpt"], iterations=20)
+    return d.select("doc_id", *[x for c in fv.LLM_CODES for x in (f"{c}_p", f"{c}_triangulate")])
+
+
+@q("kappa_intervals")
+def q_kappa_intervals(spark, base):
+    return agr.kappa_intervals(coerced_annot(spark, base), fv.ALL_TAGS, "r1", "r2", "doc_id", reps=100)
+
+
 @q("finalize_triangulated")
 def q_finalize_triangulated(spark, base):
     return cols.finalize_triangulated(triangulated(spark, base)).drop("text", "rtnl")
