@@ -80,7 +80,7 @@ def rater_errors(df: DataFrame, codes: Sequence[str], raters: Sequence[str], ite
 
 def triangulate_by_error(df: DataFrame, codes: Sequence[str], raters: Sequence[str], threshold: float = 0.5,
                          out_suffix: str = "_triangulate", iterations: int = ITERATIONS) -> DataFrame:
-    """P12 by posterior: ``{code}_p`` and ``{code}_triangulate`` (1 where the
+    """P12 by posterior: ``{code}_p_yes`` and ``{code}_triangulate`` (1 where the
     chance of a yes given all answers is above ``threshold``). Each row looks
     its combination up in a literal of at most 3^raters entries."""
     _, post = rater_errors(df, codes, raters, iterations)
@@ -90,9 +90,9 @@ def triangulate_by_error(df: DataFrame, codes: Sequence[str], raters: Sequence[s
     out = df
     for c in codes:
         if not known[c]:
-            out = out.withColumn(f"{c}_p", F.lit(None).cast("double"))
+            out = out.withColumn(f"{c}_p_yes", F.lit(None).cast("double"))
         else:
             look = F.create_map(*itertools.chain(*[(F.lit(p), F.lit(x)) for p, x in known[c].items()]))
-            out = out.withColumn(f"{c}_p", F.element_at(look, _pattern(c, raters)))
-        out = out.withColumn(f"{c}{out_suffix}", (F.col(f"{c}_p") > threshold).cast("int"))
+            out = out.withColumn(f"{c}_p_yes", F.element_at(look, _pattern(c, raters)))
+        out = out.withColumn(f"{c}{out_suffix}", (F.col(f"{c}_p_yes") > threshold).cast("int"))
     return out

@@ -58,6 +58,8 @@ ORACLE["kappa_intervals"] = ofx.with_fixtures(
     "SELECT k.*, lo, hi, se, n_reps FROM (" + ORACLE["cohen_kappa"] + ") k LEFT JOIN (SELECT tag, round(quantile_cont(kappa, 0.025), 6) AS lo, "
     "round(quantile_cont(kappa, 0.975), 6) AS hi, round(stddev_samp(kappa), 6) AS se, count(kappa) AS n_reps FROM kr GROUP BY tag) USING (tag)", **_KI)
 
+ORACLE["kappa_corrections"] = ORACLE["cohen_kappa"]
+
 ORACLE["kappa_multiclass"] = """
 WITH long AS (SELECT 'event_type' AS tag, event_type AS a,
     CASE WHEN substr(md5(concat('kmc:', CAST(event_id AS VARCHAR))),1,1) < 'c' THEN event_type ELSE 'view' END AS b
@@ -222,7 +224,7 @@ SELECT code, CASE k WHEN 1 THEN 'r1' WHEN 2 THEN 'r2' ELSE 'gpt' END AS rater, r
        round(sp, 6) AS specificity, CAST((SELECT sum(n) FROM ans a WHERE a.code = r19.code AND a.k = r19.k AND a.a <> '-') AS BIGINT) AS n
 FROM r19 JOIN v19 USING (code)"""
 ORACLE["triangulate_by_error"] = _EM + " SELECT doc_id, " + ", ".join(
-    f"max(p) FILTER (WHERE code = '{c}') AS {c}_p, max(CAST(p > 0.5 AS INTEGER)) FILTER (WHERE code = '{c}') AS {c}_triangulate"
+    f"max(p) FILTER (WHERE code = '{c}') AS {c}_p_yes, max(CAST(p > 0.5 AS INTEGER)) FILTER (WHERE code = '{c}') AS {c}_triangulate"
     for c in fv.LLM_CODES) + " FROM (SELECT doc_id, code, round(ch, 6) AS p FROM pats JOIN p20 USING (code, pattern)) GROUP BY doc_id"
 
 _REST = [t for t in TAGS if t not in fv.LLM_CODES]

@@ -79,6 +79,25 @@ def q_kappa_multiclass(spark, base):
     return agr.cohen_kappa(d, ["event_type"], "a", "b")
 
 
+@q("kappa_corrections")
+def q_kappa_corrections(spark, base):
+    """Tags as a stream: first answers, a quarter of the second rater's wrong, then corrections, then old events again."""
+    from ..streaming import corrected_kappa, kappa_corrections
+    path, sink = scratch_path(spark, "events"), scratch_path(spark, "kappa")
+    wide = coerced_annot(spark, base)
+    answers = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(who).alias("rater"), F.col(f"{t}_{s}").cast("int").alias("value"))
+                        for t in fv.ALL_TAGS for s, who in (("r1", "a"), ("r2", "b"))])
+    right = wide.select(F.col("doc_id").alias("key"), F.inline(answers))
+    wrong = (F.col("rater") == "b") & (F.substring(F.md5(F.concat("tag", F.col("key").cast("string"))), 1, 1) < "4")
+    first = right.withColumn("value", F.when(wrong, 1 - F.col("value")).otherwise(F.col("value"))).withColumn("seq", F.lit(1).cast("long"))
+    for part in (first, right.where(wrong).withColumn("seq", F.lit(2).cast("long")), first.where(wrong)):
+        part.repartition(4).write.mode("append").parquet(path)
+    events = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    query = kappa_corrections(events, sink, scratch_path(spark, "state"))
+    query.awaitTermination()
+    return corrected_kappa(spark, sink)
+
+
 @q("pair_annotators")
 def q_pair_annotators(spark, base):
     return agr.pair_annotators(rater_sheet(spark, base, "r1"), rater_sheet(spark, base, "r2"), "doc_id", "r1", "r2")
@@ -209,7 +228,7 @@ def q_rater_errors(spark, base):
 def q_triangulate_by_error(spark, base):
     from ..operators import rater_error
     d = rater_error.triangulate_by_error(_three_raters(spark, base), fv.LLM_CODES, ["r1", "r2", "gpt"], iterations=20)
-    return d.select("doc_id", *[x for c in fv.LLM_CODES for x in (f"{c}_p", f"{c}_triangulate")])
+    return d.select("doc_id", *[x for c in fv.LLM_CODES for x in (f"{c}_p_yes", f"{c}_triangulate")])
 
 
 @q("kappa_intervals")
