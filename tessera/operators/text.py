@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.text import col_of, replace_terms_fold, replace_terms_guarded
 
-# Above this many terms a nested replace() tree gets too deep for codegen;
-# fold over an array literal instead (same result).
+# Above this many terms a nested replace() tree gets too deep for codegen: an
+# expression folds over an array literal instead, and redact_terms goes through
+# the automaton of termlist.py (same result).
 NESTED_LIMIT = 400
 
 
@@ -50,6 +51,9 @@ def redact_terms(df: DataFrame, cols: Sequence[str] = ("text", "rtnl"), terms: S
     """T3 on each of ``cols`` (the default also redacts the rationale, which
     later becomes training text)."""
     terms = default_terms() if terms is None else list(terms)
+    if len(terms) > NESTED_LIMIT and not word_boundary:
+        from .termlist import redact_term_list
+        return redact_term_list(df, cols, order_terms(terms, longest_first), token)
     return df.withColumns({c: redact_terms_expr(c, terms, token, longest_first, word_boundary)
                            for c in cols if c in df.columns})
 

@@ -227,6 +227,11 @@ ORACLE["triangulate_by_error"] = _EM + " SELECT doc_id, " + ", ".join(
     f"max(p) FILTER (WHERE code = '{c}') AS {c}_p_yes, max(CAST(p > 0.5 AS INTEGER)) FILTER (WHERE code = '{c}') AS {c}_triangulate"
     for c in fv.LLM_CODES) + " FROM (SELECT doc_id, code, round(ch, 6) AS p FROM pats JOIN p20 USING (code, pattern)) GROUP BY doc_id"
 
+ORACLE["redact_terms_large"] = (
+    "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS t FROM benchmark), "
+    "l AS (SELECT list(t ORDER BY md5(t), t) AS ts FROM w) SELECT doc_id, CASE WHEN len(ts) > 0 THEN list_reduce(ts, lambda acc, x: "
+    "replace(acc, x, '_'), text) ELSE text END AS text FROM documents, l")
+
 _REST = [t for t in TAGS if t not in fv.LLM_CODES]
 ORACLE["finalize_triangulated"] = (f"SELECT doc_id, {', '.join(_REST)}, "
                                    + ", ".join(f"{c}_triangulate AS {c}" for c in fv.LLM_CODES)

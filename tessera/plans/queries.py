@@ -260,6 +260,14 @@ def q_redact_terms(spark, base):
     return txt.redact_terms(text_and_rationale(spark, base), ["text", "rtnl"])
 
 
+@q("redact_terms_large")
+def q_redact_terms_large(spark, base):
+    """A list taken from the data: the words of eight letters and more in ``benchmark``, in an order that lets them overlap."""
+    w = load(spark, base, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("t")).distinct()
+    terms = [r.t for r in w.orderBy(F.md5("t"), "t").collect()]  # a term list lives on the driver (S2)
+    return txt.redact_terms(load(spark, base, "documents").select("doc_id", "text"), ["text"], terms, token="_")
+
+
 @q("strip_numerals")
 def q_strip_numerals(spark, base):
     return txt.strip_numerals(load(spark, base, "documents").select("doc_id", "text"), "text")

@@ -252,3 +252,43 @@ def test_subwords(spark):
         assert len(cut) == len(rows) and all("chunk" not in r for r in cut)
     with pytest.raises(ValueError):
         encode_subwords(df, "id", "none", max_len=2, first=1, last=2)
+
+
+# -- large term lists --------------------------------------------------------
+
+def test_term_list_as_sequential():
+    from tessera.operators.termlist import TermList
+
+    rng = random.Random(6)
+    for trial in range(3000):
+        chars = rng.choice(["ab", "ab _", "abc_"])
+        terms = ["".join(rng.choice(chars) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 9))]
+        token = rng.choice(["_", " ", "", "a", "ba", "_a"])
+        text = "".join(rng.choice(chars) for _ in range(rng.randrange(0, 40)))
+        want = text
+        for t in terms:
+            want = want.replace(t, token) if t else want
+        assert TermList(terms, token).replace(text) == want, (terms, token, text)
+
+
+def test_redact_term_list(spark):
+    from tessera.operators import termlist
+    from tessera.operators import text as txt
+
+    rng = random.Random(1)
+    terms = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(600)] + ["a\U0001f600", "b c"]
+    rows = [(k, "".join(rng.choice("abcdé \U0001f600") for _ in range(rng.randrange(200)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "abcdé" * 40_000)]
+    df = spark.createDataFrame([(*r, r[1], "x") for r in rows], "id long, text string, rtnl string, terms string")
+    want = {}
+    for k, t in rows:
+        for x in terms:
+            t = t.replace(x, " ") if t is not None else t
+        want[k] = t
+    for out in (txt.redact_terms(df, terms=terms), termlist.redact_term_list(df, ["text", "rtnl"], terms, most=500)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert {r.id: r.text for r in got} == want and all(r.text == r.rtnl for r in got)
+    assert [len(b) for b in termlist.blocks(["aa", "b", "cccc", "d"], 3)] == [2, 1, 1] and termlist.blocks([]) == []
+    fold = df.where("id < 60").select("id", txt.redact_terms_expr("text", terms).alias("t")).collect()
+    assert {r.id: r.t for r in fold} == {k: want[k] for k in range(60)}
