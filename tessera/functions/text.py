@@ -81,8 +81,11 @@ def slices(text: Column, ranges: Column, few: int = 16) -> Column:
     """The parts ``[start, stop)`` (code points) of a text, for an array of
     structs. Many parts are taken from an array of the text's characters, so
     that the work stays in proportion to the text's length."""
+    def size(r: Column) -> Column:
+        return F.greatest(r["stop"] - r["start"], F.lit(0))
+
     def from_chars(chars: Column) -> Column:
-        return F.transform(ranges, lambda r: F.array_join(F.slice(chars, r["start"] + 1, r["stop"] - r["start"]), ""))
+        return F.transform(ranges, lambda r: F.array_join(F.slice(chars, r["start"] + 1, size(r)), ""))
 
-    direct = F.transform(ranges, lambda r: F.substring(text, r["start"] + 1, r["stop"] - r["start"]))
+    direct = F.transform(ranges, lambda r: F.substring(text, r["start"] + 1, size(r)))
     return F.when(F.size(ranges) <= few, direct).otherwise(F.transform(F.array(F.split(text, "")), from_chars)[0])

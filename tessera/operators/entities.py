@@ -61,29 +61,28 @@ def candidate_guard(text, gazetteer: Mapping[str, str]) -> Column:
 def builtin_spans(text, gazetteer: Mapping[str, str] | None = None) -> Column:
     """Spans of gazetteer terms (whole words), e-mail addresses and phone
     numbers, as SQL expressions: one ``regexp_extract_all`` scan over the rows
-    that pass :func:`candidate_guard`, then each match is located after the
-    previous one: the first place where its text stands as a whole word."""
+    that pass :func:`candidate_guard` finds the matches, one ``split`` the text
+    between them, whose lengths place them."""
     gaz = dict(default_gazetteer() if gazetteer is None else gazetteer)
     t = col_of(text)
     padded = F.concat(F.lit(" "), t)
-    wholes = F.regexp_extract_all(padded, F.lit(recogniser_pattern(gaz)), 0)
+    pattern = F.lit(recogniser_pattern(gaz))
+    found = F.regexp_extract_all(padded, pattern, 0)
+    before = F.transform(F.split(padded, pattern, -1), F.length)
+    wholes = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda w, n: F.struct(w.alias("w"), n.alias("n")))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("spans"))
     labels = F.create_map(*[x for k, v in sorted(gaz.items()) for x in (F.lit(k), F.lit(v))])
 
-    def step(acc, w):
-        # 0-based in padded; the text may occur earlier with a letter or digit behind it, which is no match
-        rest = F.substring(padded, acc["pos"] + 1, F.lit(2147483647))
-        whole = F.concat(F.lit("\\Q"), w, F.lit("\\E(?!" + ALNUM + ")"))
-        at = acc["pos"] + F.length(F.element_at(F.split(rest, whole, 2), 1))
-        ent = F.substring(w, 2, 2147483647)
-        start = at                                                     # entity start in text
+    def step(acc, m):
+        start = acc["pos"] + m["n"]                                    # of the entity in text: the character before it is in padded alone
+        ent = F.substring(m["w"], 2, 2147483647)
         end = start + F.length(ent)
         label = (F.when(ent.rlike("^" + EMAIL + "$"), F.lit("EMAIL"))
                  .when(ent.rlike("^" + PHONE + "$"), F.lit("PHONE"))
                  .otherwise(F.element_at(labels, ent)))
         span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
                         label.alias("label"), ent.alias("text"))
-        return F.struct((at + F.length(w)).alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.struct((start + F.length(m["w"])).alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     spans = F.aggregate(wholes, init, step)["spans"]
     return F.when(candidate_guard(t, gaz), spans).otherwise(F.array().cast(SPAN_TYPE))

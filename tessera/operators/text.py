@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import col_of, replace_terms_fold, replace_terms_guarded
+from ..functions.text import col_of, replace_terms_fold, replace_terms_guarded, slices
 
 # Above this many terms a nested replace() tree gets too deep for codegen: an
 # expression folds over an array literal instead, and redact_terms goes through
@@ -98,14 +98,19 @@ def merge_spans(spans) -> Column:
 
 def redact_spans_expr(text, spans, labels: Sequence[str] = tuple(fv.REDACT_LABELS), token: str = " ",
                       null_text: str = "keep") -> Column:
-    """T4: each kept span [start, end) (0-based code points) -> one ``token``,
-    applied right to left so earlier offsets stay valid. Overlapping spans
-    are merged into one first."""
+    """T4: each kept span [start, end) (0-based code points) -> one ``token``.
+    Overlapping spans are merged into one first; the text between them is cut
+    out once and joined."""
     t = text_for_nlp(text, null_text)
-    desc = F.reverse(merge_spans(_kept(spans, labels)))
-    folded = F.aggregate(desc, t, lambda acc, s: F.concat(
-        F.substring(acc, F.lit(1), s["start"]), F.lit(token), F.substring(acc, s["end"] + 1, F.lit(2147483647))))
-    return F.when(t.isNull(), t).otherwise(folded)
+
+    def rest(merged: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
+        stops = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(t)))
+        gaps = F.zip_with(starts, stops, lambda a, z: F.struct(a.alias("start"), z.alias("stop")))
+        return F.array_join(slices(t, gaps), token)
+
+    merged = merge_spans(_kept(spans, labels))
+    return F.when(t.isNull(), t).when(F.size(merged) > 0, F.transform(F.array(merged), rest)[0]).otherwise(t)
 
 
 def redact_spans(df: DataFrame, text: str = "text", spans: str = "spans",
