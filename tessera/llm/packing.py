@@ -27,7 +27,7 @@ from .common import saved
 WINDOW = 4096
 SHARD_TOKENS = 1_500_000
 CACHE_WORDS = 1_000_000
-SLICE_BYTES = 16 << 20  # text tokenised at once
+SLICE_BYTES = 4 << 20  # text tokenised at once
 LIKENESS = 4  # permutations
 LOWER = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 
@@ -163,6 +163,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, words:
             yield pa.RecordBatch.from_arrays([
                 b.column("_id").slice(at, len(ids)), b.column("_h").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()),
                 *[pa.array(least[:, k]) for k in range(LIKENESS)], pa.array([x.tobytes() for x in ids], pa.binary())], names=names)
+    pa.default_memory_pool().release_unused()  # the worker lives on beside those of other stages
     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, 0, FREQUENCIES, *[0] * LIKENESS, df.tobytes()], types)], names=names)
 
 
