@@ -50,18 +50,14 @@ def water_fill(sizes: list[int], weights: list[float], share: float, most: float
 
 
 def shard_counts(totals: list[int], shard_slots: int, seed: int) -> Iterator[np.ndarray]:
-    """Per output shard, how many slots each source gets. A shard's draw is
-    multinomial over the sources' open totals without replacement, so every
-    source ends at its total."""
+    """Per output shard, how many slots each source gets: a multinomial draw
+    over the sources' open totals, held to what a source has left, at any
+    number of slots. What a draw loses so stays open for the next shards, so
+    every source ends at its total."""
     rng = np.random.Generator(np.random.PCG64(seed))
     left = np.array(totals, dtype=np.int64)
     while (n := int(left.sum())) > 0:
-        take = min(n, shard_slots)
-        # numpy's draw takes totals below 10^9; larger ones are drawn as a plain multinomial, held to what is left
-        if n < 1_000_000_000:
-            got = rng.multivariate_hypergeometric(left, take, method="marginals")
-        else:
-            got = np.minimum(rng.multinomial(take, left / n), left)
+        got = np.minimum(rng.multinomial(min(n, shard_slots), left / n), left)
         left -= got
         yield got
 

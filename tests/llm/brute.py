@@ -148,3 +148,15 @@ def contamination(docs, items, size=10):
                     start = None
         out.append((i, len(w), int(hit.sum()), spans, sorted(found)))
     return out
+
+
+def targets(sizes, weights, share, most):
+    """The level at which the capped shares add up, by halving."""
+    low, high = 0.0, 4 * most * max(sizes, default=0) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(most * s, mid * w) for s, w in zip(sizes, weights)) < share * sum(sizes):
+            low = mid
+        else:
+            high = mid
+    return [min(most * s, high * w) for s, w in zip(sizes, weights)]

@@ -253,6 +253,23 @@ def test_water_fill():
     assert sum(got) == pytest.approx(1.5 * 1111) and got[:3] == [2, 20, 200]
 
 
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, rng.randrange(10**3), rng.randrange(10**9)]) for _ in range(rng.randrange(1, 12))]
+        weights = [(3, 1, 2)[k % 3] for k in range(len(sizes))]
+        assert mixing.water_fill(sizes, weights, 1.5, 2) == pytest.approx(brute.targets(sizes, weights, 1.5, 2), rel=1e-6, abs=1e-3)
+
+
+def test_shard_counts_at_any_size():
+    for totals, shard in (([5000, 0, 1, 70_000], 4096), ([3 * 10**9, 10**9, 7], 4 * 10**6), ([10**12, 10**10], 10**9), ([], 5), ([0], 5)):
+        got = list(mixing.shard_counts(totals, shard, 3))
+        assert sum(got, np.zeros(len(totals), dtype=np.int64)).tolist() == totals
+        assert all(0 < g.sum() <= shard and (g >= 0).all() for g in got)
+        if sum(totals) > 10 * shard:  # the first shards follow the totals
+            share = sum(got[:8])[0] / sum(g.sum() for g in got[:8])
+            assert share == pytest.approx(totals[0] / sum(totals), abs=0.05)
+
+
 def test_permutation():
     for n in (1, 2, 3, 63, 64, 65, 1000):
         k = np.arange(n)
