@@ -130,19 +130,22 @@ def evaluate_long(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     over targets per score)."""
     by = list(by)
     keys = [*by, "target"]
-    conf = confusion(long, by)
+    cells = ("tp", "fp", "fn", "tn")
+    # each table gets its pooled rows and goes through once
+    conf = _with_pooled(confusion(long, by), by, [], cells)
     per = conf.select(*keys, F.inline(F.array(
         F.struct(F.lit("f1_macro").alias("metric"), F.round(_f1_macro_expr(), 6).alias("value")),
         F.struct(F.lit("mcc").alias("metric"), F.round(_mcc_expr(), 6).alias("value")))))
-    pooled_conf = conf.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    pooled_f1 = pooled_conf.select(*by, F.lit(AGGREGATE).alias("target"), F.lit("f1_macro").alias("metric"),
-                                   F.round(_f1_macro_expr(), 6).alias("value"))
-    counts = score_counts(long, by)
-    per_ap = ap_from_counts(counts, keys)
-    pooled_counts = counts.groupBy(*by, "y_prob").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("cnt")) \
-        .withColumn("target", F.lit(AGGREGATE))
-    pooled_ap = ap_from_counts(pooled_counts, keys).where(F.col("value").isNotNull())
-    return per.unionByName(pooled_f1).unionByName(per_ap).unionByName(pooled_ap)
+    per = per.where((F.col("target") != AGGREGATE) | (F.col("metric") != "mcc"))
+    ap = ap_from_counts(_with_pooled(score_counts(long, by), by, ["y_prob"], ("pos", "cnt")), keys)
+    return per.unionByName(ap.where((F.col("target") != AGGREGATE) | F.col("value").isNotNull()))
+
+
+def _with_pooled(table: DataFrame, by: Sequence[str], more: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``table`` and its sums over targets, under the target ``aggregate``: each
+    row counts for its own target and for all of them, in one shuffle."""
+    names = F.explode(F.array(F.col("target"), F.lit(AGGREGATE)))
+    return table.withColumn("target", names).groupBy(*by, "target", *more).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def pooled_metrics(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
