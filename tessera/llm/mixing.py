@@ -122,7 +122,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     code-point order (the null source last).
 
     Null text has no words. Rows that repeat others are stretches of words of
-    their own. An empty table, or one without a word, has an empty mix. The
+    their own. A text of any length is cut into blocks; other columns are not
+    read here, and :func:`mixed_documents` carries them under any names. An empty table, or one without a word, has an empty mix. The
     table of sources (a few numbers for each) goes through the driver;
     documents and blocks do not.
     """

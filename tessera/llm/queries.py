@@ -74,7 +74,7 @@ def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).select(
-        F.col("_d").alias("doc_id"), (F.crc32(F.col("_d").cast("string")) % 4 == 2).alias("held_out"), "score",
+        F.col("_d").alias("doc_id"), (F.crc32(F.coalesce(F.col("_d").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 

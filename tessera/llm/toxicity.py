@@ -285,7 +285,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """Per row of ``docs``: _d (the id), score, passages (lower-cased text and
     normalised score of every significant one, in order). Null and empty texts
     have no passage and the score of a document without evidence; rows that
-    repeat score alike. Nothing but the text is an input."""
+    repeat score alike; a null id stays null. A text of any length is scanned
+    whole, in linear time. An empty table gives an empty table. Nothing but the
+    text is an input: other columns may have any names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"))
     return rows.mapInArrow(lambda b: _scores(b, shared),

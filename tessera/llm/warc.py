@@ -91,7 +91,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     are in no manifest. Of records with equal payloads of at least ``least``
     bytes, that with the largest id is the response and the others revisit it.
     Null html is an empty payload; a record without an id is written as such
-    and never refers to or is referred to unless another row has an id."""
+    and never refers to or is referred to unless another row has an id. Rows
+    that repeat an id are records of their own, none of which revisits another
+    of that id. A payload of any length is one record. An empty table gives an
+    empty manifest; other columns are not read."""
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     raw = F.encode("_html", "UTF-8")

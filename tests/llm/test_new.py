@@ -208,3 +208,32 @@ def test_treap(seed):
         score = w @ grid[pick]
         want = sorted(((-int(s), d) for d, s in enumerate(score) if s))[:best.k]
         assert [(-s, d) for s, d in want] == list(zip(best.score.tolist(), best.doc.tolist()))
+
+
+# -- odd inputs of earlier operators ------------------------------------------
+
+def test_licences_odd_rows(spark):
+    """Clashing column names, ids that repeat, null and very long texts."""
+    from tessera.llm import licences
+
+    notice = next(line for line in licences.TEMPLATES["MIT"] if len(licences.terms(line)) >= 5)
+    rows = [(1, "a/x", notice), (1, "a/x", notice), (1, "b/y", "nothing"), (None, None, None), (2, "c/z", ""),
+            (3, "c/long", "word " * 150_000 + "\n" + notice + "\n" + "more " * 50_000), (4, "d/LICENSE", notice), (5, "d/e/f", None)]
+    df = spark.createDataFrame([(*r, "own", 0.5, "dir") for r in rows], "doc_id long, path string, text string, own string, cosine double, _path string")
+    got = licences.scan_licences(df, "doc_id", "path", "text")
+    assert got.columns == ["doc_id", "path", "own", "cosine", "licence_file", "licence", "licence_from"]
+    found = sorted((str(r.doc_id), str(r.path), str(r.own), str(r.licence), str(r.licence_from)) for r in got.collect())
+    assert found == sorted([("1", "a/x", "MIT", "MIT", "None")] * 2 + [
+        ("1", "b/y", "None", "None", "None"), ("None",) * 5, ("2", "c/z", "None", "None", "None"), ("3", "c/long", "MIT", "MIT", "None"),
+        ("4", "d/LICENSE", "MIT", "MIT", "None"), ("5", "d/e/f", "None", "MIT", "d")])
+    assert licences.scan_licences(df.limit(0), "doc_id", "path", "text").isEmpty()
+
+
+def test_embeddings_of_repeated_ids(spark):
+    from tessera.llm import multiindex
+
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (4, [-1.0, 0.2]), (4, [-1.0, 0.2]), (5, None), (5, None)]
+    df = spark.createDataFrame([(*r, True) for r in data], "vec_id long, embedding array<double>, kept boolean")
+    got = {r.vec_id: (r.component_id, r.kept) for r in multiindex.embedding_groups(df).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True)}
+    assert multiindex.embedding_groups(df).count() == len(data)
