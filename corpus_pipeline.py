@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage calls one operator of ``tessera.llm`` on all that the stage before
-kept; what a stage returns is written as Parquet and read again.
+kept; what a stage returns is written as Parquet and read again. Null and empty
+texts, null and repeated ids, rows that repeat in whole, texts of any length and
+further columns go through every stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.3. Learned from the labels of
-    documents that are still here; without labels of both classes all stay."""
+    documents that are still here; without labels of both classes all stay, and
+    so do null and empty texts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean_documents(docs, toxicity.fit(docs, labels))
 
@@ -49,15 +52,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: a row per document and pass over
-    its source, with the words taken."""
+    its source, with the words taken. Documents without words are not taken."""
     out = mixing.mixed_documents(docs, mixing.mix(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens; ids are little-endian
-    unsigned 32-bit. The workers' word tables are kept small: the workers live
-    on beside those of other stages."""
+    unsigned 32-bit. A null or empty text is one id, its end. The workers' word
+    tables are kept small: the workers live on beside those of other stages."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), cache_words=200_000)
 
 
