@@ -177,6 +177,54 @@ def stratified_folds(df: DataFrame, k: int = 5, by: str = "trgt", seed=56, key:
         "_tz_rank", "_tz_class_off")
 
 
+MOST_LABELS = 16
+
+
+def deal_label_sets(counts: Mapping[str, int], k: int) -> dict[str, tuple[int, list[int]]]:
+    """For each label set (a string of 0 and 1) of ``counts``: how many rows
+    every fold gets, and the folds that get one more. Sets are dealt by their
+    rarest label, rarest first; a row left over goes to the fold that lacks
+    most of that label, then of all its labels, then of rows, then to the first."""
+    size = len(next(iter(counts), ""))
+    total = [sum(n for s, n in counts.items() if s[i] == "1") for i in range(size)] + [sum(counts.values())]
+    has = {s: [i for i in range(size) if s[i] == "1"] for s in counts}
+    rarest = {s: min(has[s], key=lambda i: (total[i], i), default=size) for s in counts}
+    # k times what a fold lacks of each label, and of rows: whole numbers
+    lack = [[t - k * sum(n // k for s, n in counts.items() if i == size or s[i] == "1") for i, t in enumerate(total)] for _ in range(k)]
+    out = {}
+    for s in sorted(counts, key=lambda s: (not has[s], total[rarest[s]], s)):
+        more: list[int] = []
+        for _ in range(counts[s] % k):
+            free = [f for f in range(k) if f not in more]
+            f = max(free, key=lambda f: (lack[f][rarest[s]], sum(lack[f][i] for i in has[s]), lack[f][size], -f))
+            more.append(f)
+            for i in [*has[s], size]:
+                lack[f][i] -= k
+        out[s] = (counts[s] // k, more)
+    return out
+
+
+def multilabel_folds(df: DataFrame, labels: Sequence[str], k: int = 5, seed=56, key: str = "row_id", out: str = "fold") -> DataFrame:
+    """O6 for several labels at once: folds that are balanced in every label and
+    in size, by iterative stratification on the label sets. A job counts the
+    sets (at most 2^labels rows come to the driver); rows are then dealt within
+    their set in the order of the seeded hash. A label other than 0 or 1 is an error."""
+    if not 0 < len(labels) <= MOST_LABELS:
+        raise ValueError(f"from 1 to {MOST_LABELS} labels")
+    bad = F.raise_error(F.lit("a label is neither 0 nor 1"))
+    sets = F.concat(*[F.when(F.col(c) == 1, "1").when(F.col(c) == 0, "0").otherwise(bad) for c in labels])
+    rows = df.withColumn("_tz_set", sets)
+    dealt = deal_label_sets({r["_tz_set"]: r["n"] for r in rows.groupBy("_tz_set").agg(F.count(F.lit(1)).alias("n")).collect()}, k)
+    if not dealt:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    each = F.create_map(*[x for s, (n, _) in dealt.items() for x in (F.lit(s), F.lit(n * k).cast("long"))])
+    more = F.create_map(*[x for s, (_, fs) in dealt.items() for x in (F.lit(s), F.array(*map(F.lit, fs)).cast("array<int>"))])
+    at = F.col("_tz_rank") - 1 - F.element_at(each, F.col("_tz_set"))  # from 0 on: of the rows left over
+    fold = F.when(at < 0, F.pmod(F.col("_tz_rank") - 1, F.lit(k))).otherwise(F.get(F.element_at(more, F.col("_tz_set")), at.cast("int")))
+    ranked = seeded_rank(rows, key, seed, by=["_tz_set"], out="_tz_rank")
+    return ranked.withColumn(out, fold.cast("int")).drop("_tz_rank", "_tz_set")
+
+
 def by_family(assign, df: DataFrame, family: str, is_original, *args, **kw) -> DataFrame:
     """Run a row assignment (split/fold/holdout) on original rows only and give
     every copy its parent's value: ``family`` is the original's key on every

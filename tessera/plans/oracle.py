@@ -794,3 +794,35 @@ ORACLE["flow_agreement"] = ofx.with_fixtures(
     "SELECT doc_id, " + ", ".join(f"CASE WHEN {t}_r1 <> {t}_r2 THEN 1 ELSE 0 END AS {t}_dis" for t in TAGS)
     + f", {_fill('rtnl')} AS rtnl_r1, {_fill('rtnl')} AS rtnl_r2 FROM ({COERCED_ANNOT})", fx_annot=ofx.fx_annot())
 ORACLE["flow_triangulation"] = "SELECT doc_id, " + ", ".join(f"{c}_triangulate AS {c}" for c in fv.LLM_CODES) + f" FROM ({_TRI})"
+
+
+# folds balanced in several labels: the leftover rows of each label set are dealt one by one in a recursion
+_ML = fv.TARGETS
+_HAS = ", ".join(f"CAST(substr(s, {i + 1}, 1) AS INTEGER)" for i in range(len(_ML)))
+ORACLE["multilabel_folds"] = f"""
+WITH RECURSIVE fx_annot AS ({ofx.fx_annot()}),
+fx_train AS ({ofx.fx_train()}),
+t AS (SELECT doc_id, {', '.join(_ML)}, concat({', '.join(_ML)}) AS s FROM fx_train),
+c AS (SELECT s, count(*) AS n, [{_HAS}, 1] AS has FROM t GROUP BY s),
+tot AS (SELECT [{', '.join(f"CAST(sum(n * has[{i + 1}]) AS BIGINT)" for i in range(len(_ML) + 1))}] AS tt,
+               [{', '.join(f"CAST(sum(n // 5 * has[{i + 1}]) AS BIGINT)" for i in range(len(_ML) + 1))}] AS bb FROM c),
+o AS (SELECT s, n, has, coalesce(list_sort([{{'a': tt[i], 'i': i}} FOR i IN range(1, {len(_ML) + 1}) IF has[i] = 1])[1],
+             {{'a': CAST(NULL AS BIGINT), 'i': {len(_ML) + 1}}}) AS r FROM c, tot),
+u AS (SELECT s, has, r.i AS rare, j, row_number() OVER (ORDER BY r.a IS NULL, r.a, s, j) AS step
+      FROM (SELECT *, unnest(range(n % 5)) AS j FROM o)),
+deal AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST('' AS VARCHAR) AS s, CAST([] AS BIGINT[]) AS used, CAST(-1 AS BIGINT) AS f,
+         [[tt[i] - 5 * bb[i] FOR i IN range(1, {len(_ML) + 2})] FOR q IN range(5)] AS lack FROM tot
+  UNION ALL
+  SELECT step, s, list_append(used, f), f, [[CASE WHEN q = f THEN lack[q + 1][i] - 5 * has[i] ELSE lack[q + 1][i] END
+         FOR i IN range(1, {len(_ML) + 2})] FOR q IN range(5)] FROM (
+    SELECT u.step, u.s, u.has, d.lack, CASE WHEN u.j = 0 THEN [] ELSE d.used END AS used,
+           list_sort([{{'a': -d.lack[q + 1][u.rare], 'b': -list_sum([d.lack[q + 1][i] * u.has[i] FOR i IN range(1, {len(_ML) + 1})]),
+                       'c': -d.lack[q + 1][{len(_ML) + 1}], 'q': q}} FOR q IN range(5)
+                      IF NOT list_contains(CASE WHEN u.j = 0 THEN [] ELSE d.used END, q)])[1].q AS f
+    FROM deal d JOIN u ON u.step = d.step + 1)),
+more AS (SELECT u.s, u.j, deal.f FROM u JOIN deal USING (step))
+SELECT doc_id, {', '.join(_ML)}, CAST(CASE WHEN p < n // 5 * 5 THEN p % 5 ELSE f END AS INTEGER) AS fold
+FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY {_h(56, 'doc_id')}, doc_id) - 1 AS p FROM t) t
+JOIN c USING (s) LEFT JOIN more ON more.s = t.s AND more.j = t.p - c.n // 5 * 5
+"""

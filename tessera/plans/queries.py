@@ -758,6 +758,11 @@ def q_split_sizes(spark, base):
     return d.groupBy("trgt", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@q("multilabel_folds")
+def q_multilabel_folds(spark, base):
+    return smp.multilabel_folds(fx.fx_train(spark, base).select("doc_id", *fv.TARGETS), fv.TARGETS, 5, 56, "doc_id")
+
+
 @q("cv_plan")
 def q_cv_plan(spark, base):
     # what each fit of the grid search gets: fold sizes and class weights, per configuration and target

@@ -292,3 +292,35 @@ def test_redact_term_list(spark):
     assert [len(b) for b in termlist.blocks(["aa", "b", "cccc", "d"], 3)] == [2, 1, 1] and termlist.blocks([]) == []
     fold = df.where("id < 60").select("id", txt.redact_terms_expr("text", terms).alias("t")).collect()
     assert {r.id: r.t for r in fold} == {k: want[k] for k in range(60)}
+
+
+# -- folds balanced in several labels ----------------------------------------
+
+def test_multilabel_folds(spark):
+    from tessera.operators.sampling import deal_label_sets, multilabel_folds
+
+    rng = random.Random(3)
+    rows = [(k, int(rng.random() < 0.05), int(rng.random() < 0.4), int(rng.random() < 0.2)) for k in range(401)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "row_id long, a int, b int, c int, fold2 string")
+    got = {r.row_id: r.fold for r in multilabel_folds(df, ["a", "b", "c"], 5).collect()}
+    assert got == {r.row_id: r.fold for r in multilabel_folds(df.repartition(7), ["a", "b", "c"], 5).collect()}
+    assert set(got) == set(range(401)) and set(got.values()) == set(range(5))
+    for pick in ([r for r in rows if r[1]], [r for r in rows if r[2]], [r for r in rows if r[3]], rows):
+        per = [sum(got[r[0]] == f for r in pick) for f in range(5)]
+        assert max(per) - min(per) <= 2
+    assert multilabel_folds(df.limit(0), ["a"], 5).isEmpty()
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        multilabel_folds(df.withColumn("a", F.lit(None).cast("int")), ["a", "b"]).collect()
+    with pytest.raises(ValueError):
+        multilabel_folds(df, [])
+    for _ in range(300):
+        k, sets = rng.choice([2, 3, 5]), {}
+        for _ in range(rng.randrange(1, 200)):
+            s = "".join(rng.choice("001") for _ in range(3))
+            sets[s] = sets.get(s, 0) + 1
+        dealt = deal_label_sets(sets, k)
+        assert {s: b * k + len(m) for s, (b, m) in dealt.items()} == sets
+        assert all(len(set(m)) == len(m) < k and set(m) <= set(range(k)) for _, m in dealt.values())
+        for i in range(4):
+            per = [sum(b + (f in m) for s, (b, m) in dealt.items() if i == 3 or s[i] == "1") for f in range(k)]
+            assert max(per) - min(per) <= 3
