@@ -6,8 +6,8 @@ of its own training part, rows of unit length) under positive-weighted binary
 cross-entropy, stepped by AdamW with linear warm-up and decay. A row counts for
 the fits whose fold it is not in and whose minibatch is its own, so a pass
 costs one job however many fits there are: a task sums the gradients of its
-rows, blocks of them are added up on the executors, and the driver holds only
-the weights (features x fits).
+rows, blocks of them are added up on the executors (unless all are a few
+megabytes), and the driver holds only the weights (features x fits).
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ _SPACES = re.compile("[\t\n\x0b\f\r ]+")
 CHUNK = 512  # rows made dense at once
 BLOCK = 64  # rows of the gradient table that travel together
 ALL = -1  # the fold of a fit on all rows
+DIRECT_BYTES = 64 << 20  # partial sums of all tasks up to this go to the driver as they are, else they are added up on the executors
 
 
 def _hashed(texts: pd.Series, dim: int) -> pd.DataFrame:
@@ -192,13 +193,17 @@ def fit_joint(feats: DataFrame, key: str, targets: Sequence[str], configs: Seque
     weight = np.array([(count[f] - positive[f][t]) / positive[f][t] if positive[f][t] else 1.0 for _, f, t in each])
     fits = Fits(configs, targets, config, home, target, weight, idf, np.zeros((dim + 1, len(each))))
     first, second = np.zeros_like(fits.weights), np.zeros_like(fits.weights)
+    direct = rows.rdd.getNumPartitions() * fits.weights.nbytes <= DIRECT_BYTES
     for step in range(max(map(steps_of, configs))):
         live = np.array([step < steps_of(configs[c]) for c in config])
         batch_of = np.where(live, [step % int(configs[c]["batches"]) for c in config], -1)
         held = spark.sparkContext.broadcast((fits, batch_of))
         parts = rows.mapInArrow(lambda b, h=held: _partial(b, *h.value), "block int, sums binary")
-        got = {r.block: np.frombuffer(r.sums).reshape(-1, len(each))
-               for r in parts.groupBy("block").applyInArrow(_added, "block int, sums binary").collect()}  # features x fits
+        if not direct:
+            parts = parts.groupBy("block").applyInArrow(_added, "block int, sums binary")
+        got: dict[int, np.ndarray] = {}
+        for r in parts.collect():  # features x fits, times the tasks where these are few
+            got[r.block] = got.get(r.block, 0) + np.frombuffer(r.sums).reshape(-1, len(each))
         held.destroy()
         sums = np.concatenate([got[k] for k in sorted(got)])
         n = np.maximum(sums[-2], 1)

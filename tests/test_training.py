@@ -212,6 +212,15 @@ def test_joint_on_all_rows(spark):
     assert len(coefs) == dim + 1 and all(r.fold is None for r in coefs)
 
 
+def test_joint_sums_on_executors(spark, monkeypatch):
+    rows = sample(90)
+    feats = joint.hashed_features(spark.createDataFrame(rows, "id long, text string, a int, b int, fold int"), dim=100)
+    a = joint.fit_joint(feats, "id", ["a", "b"], [{"epochs": 1}], "fold", 100)
+    monkeypatch.setattr(joint, "DIRECT_BYTES", 0)
+    b = joint.fit_joint(feats, "id", ["a", "b"], [{"epochs": 1}], "fold", 100)
+    assert np.allclose(a.weights, b.weights, atol=1e-9) and np.allclose([x[2] for x in a.losses], [x[2] for x in b.losses])
+
+
 def test_joint_odd_rows(spark):
     feats = joint.hashed_features(spark.createDataFrame([(k, "x" if k % 2 else None, 0) for k in range(20)], "id long, text string, a int"))
     fits = joint.fit_joint(feats, "id", ["a"])
