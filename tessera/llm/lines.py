@@ -146,6 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = keys.join(_apart(met.select(*by, "_keep"), "_keep._id"), by).where(F.col("_keep") < place)
     links = links.groupBy("_id", "_ord", "_line").agg(F.min(F.struct("_keep", "_m", "_i")).alias("_l")).select(
         "_id", "_ord", "_line", "_l.*")
+    links = saved(links, "links")  # used twice: a small table instead of a second plan of all that leads to it
 
     # the earlier lines' words, once each, then to all that link with them: a hot line is a hot key, which Spark can split
     asked = links.groupBy(F.col("_keep._id").alias("_id"), F.col("_keep._ord").alias("_ord")).agg(
