@@ -27,7 +27,7 @@ from .common import saved
 WINDOW = 4096
 SHARD_TOKENS = 1_500_000
 CACHE_WORDS = 1_000_000
-SLICE_BYTES = 4 << 20  # text tokenised at once
+SLICE_BYTES = 8 << 20  # text tokenised at once
 LIKENESS = 4  # permutations
 LOWER = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 
@@ -35,8 +35,8 @@ LOWER = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 class Tokens:
     """Token ids of whole texts, for a tokenizer file of the ``tokenizers``
     library. If the tokenizer sees ASCII letters in lower case and never joins
-    what white space parts, words are kept in a bounded table, so that each is
-    encoded once; a text with the string of a special token, and any text for
+    what white space parts, words are kept in a bounded table (those met
+    first), so that each is encoded once; a text with the string of a special token, and any text for
     another tokenizer, is encoded whole."""
 
     _open: dict[str, Tokens] = {}
@@ -58,7 +58,10 @@ class Tokens:
         # words of lower-case letters may go to the model itself, past the steps that leave them as they are
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.to_model = all(self._word(x) == self._ids(x) for x in ("a", "the", "unheard", "straße", "él", "œuvre", "žlutý", "ñandú"))
-        self.clear()
+        self.where: dict[str, int] = {}
+        self.flat = np.empty(0, dtype=self.dtype)
+        self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._add([""], [[]])  # what stands before or after the white space at a text's edge
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -67,12 +70,6 @@ class Tokens:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def clear(self) -> None:
-        self.where: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=self.dtype)
-        self.start, self.size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self._add([""], [[]])  # what stands before or after the white space at a text's edge
-
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
@@ -111,11 +108,7 @@ class Tokens:
         words = coded.dictionary
         names = words.to_pylist()
         new = [w not in self.where for w in names]
-        n = sum(new)
-        if len(self.where) + n > self.most_words:
-            self.clear()
-            new = [w not in self.where for w in names]
-            n = sum(new)
+        n, words_before, ids_before = sum(new), len(self.where), len(self.flat)
         if n:
             self._learn(words.filter(pa.array(new)))
         kind = np.fromiter(map(self.where.__getitem__, names), dtype=np.int64, count=len(names))
@@ -123,6 +116,10 @@ class Tokens:
         size = self.size[at]
         stop = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        if len(self.where) > self.most_words:  # the table is full: what it holds stays, and new words are for this call alone
+            for _ in range(n):
+                self.where.popitem()
+            self.start, self.size, self.flat = self.start[:words_before], self.size[:words_before], self.flat[:ids_before]
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         cut = np.r_[0, np.r_[0, stop][ends]]
         for k in range(len(texts)):

@@ -151,6 +151,17 @@ def test_tokens_as_the_tokenizer():
         assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tokens_with_a_full_table(given):
+    tok, own = Tokenizer.from_file(PATH), packing.Tokens(PATH)
+    own.most_words = 300
+    for _ in range(2):
+        for at in range(0, 60, 20):
+            texts = [t for _, t in given[at:at + 20]]
+            for text, ids in zip(texts, own.encode(pa.array(texts)), strict=True):
+                assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(own.where) == len(own.start) == len(own.size) and own.size.sum() == len(own.flat)
+
+
 def test_tokens_of_a_cased_tokenizer(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not packing.Tokens.at(path).by_word and packing.Tokens.at(PATH).by_word
