@@ -76,7 +76,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int = MIN_WORDS, carry: bool = False) -> DataFrame:
+                min_words: int = MIN_WORDS, carry: bool = False, links_table: bool = False) -> DataFrame:
     """Per row of the keyed documents (_id, _ord): n_lines, n_exact, n_near
     and text without the removed lines; with ``carry`` also _row, the other
     columns of ``docs``.
@@ -89,6 +89,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line; null ids come last; different texts under one id are ordered by
     hash, and rows that repeat id and text are one document with a row each.
     An empty table gives an empty table.
+
+    ``links_table`` writes the near links to a table of their own: a plan of
+    half the size, which spares the driver, for a second shuffle of the texts.
     """
     base = with_key(docs, id_col, text_col, carry)
     split = F.split("_text", "\n", -1)
@@ -146,7 +149,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = keys.join(_apart(met.select(*by, "_keep"), "_keep._id"), by).where(F.col("_keep") < place)
     links = links.groupBy("_id", "_ord", "_line").agg(F.min(F.struct("_keep", "_m", "_i")).alias("_l")).select(
         "_id", "_ord", "_line", "_l.*")
-    links = saved(links, "links")  # used twice: a small table instead of a second plan of all that leads to it
+    if links_table:
+        links = saved(links, "links")
 
     # the earlier lines' words, once each, then to all that link with them: a hot line is a hot key, which Spark can split
     asked = links.groupBy(F.col("_keep._id").alias("_id"), F.col("_keep._ord").alias("_ord")).agg(
