@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that repeat or nearly repeat an
     earlier one; n_chars follows the text. A document may end up empty."""
-    out = lines.dedup_lines(docs, carry=True)
+    out = lines.dedup_lines(docs, carry=True, links_table=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
