@@ -29,14 +29,15 @@ from ..sources.io import write_partitions
 
 
 def annotation_packets(pool: DataFrame, n: int, cycle: int, seed, key: str = "row_id",
-                       out_dir: str | None = None, redact: bool = True) -> tuple[DataFrame, DataFrame]:
+                       out_dir: str | None = None, redact: bool = True, model=None) -> tuple[DataFrame, DataFrame]:
     """One cycle's packet for the first rater and its masked copy for the
     second; optionally written under ``out_dir`` (r1, r2) by cycle, to be read with
     ``read_partitions``: running a cycle again replaces it. Entities
     and names are redacted first (raters see no raw text), unless ``redact``
-    is off for a pool that already is."""
+    is off for a pool that already is; ``model``: also those that a trained
+    recogniser finds."""
     if redact and "text" in pool.columns:
-        pool = txt.redact_spans(ent.detect_entities(pool, "text", "_tz_spans"), "text", "_tz_spans").drop("_tz_spans")
+        pool = txt.redact_spans(ent.detect_entities(pool, "text", "_tz_spans", model=model), "text", "_tz_spans").drop("_tz_spans")
         pool = txt.redact_terms(pool, ["text"])
     packet = smp.sample_by_cycle(pool, n, cycle, seed, key)
     masked = smp.masked_copy(packet, fv.CYCLE_TAG_COLUMNS)
@@ -90,8 +91,8 @@ def theme_output(df: DataFrame, key: str = "row_id", themes: Sequence[str] = tup
 def training_set(df: DataFrame, key: str = "row_id", targets: Sequence[str] = tuple(fv.TARGETS),
                  n_calibrate: int = 200, test_size: float = 0.2, seed=56,
                  terms: Sequence[str] | None = None, materialize: bool = True,
-                 faithful: bool = False) -> DataFrame:
-    """Redact entities, then markers and names, in text and rationale,
+                 faithful: bool = False, model=None) -> DataFrame:
+    """Redact entities (with ``model``, also a trained recogniser's), then markers and names, in text and rationale,
     strip numerals, tags to numbers, drop the theme columns
     (:func:`theme_output` has them), flag targets, add rationale copies (with lineage), strip salience tokens,
     hold out ``n_calibrate`` rows by family (a copy never leaves its parent),
@@ -109,7 +110,7 @@ def training_set(df: DataFrame, key: str = "row_id", targets: Sequence[str] = tu
     The default strips the rationale too and holds out whole families."""
     d = df
     for c in ["text"] if faithful else ["text", "rtnl"]:
-        d = txt.redact_spans(ent.detect_entities(d, c, "_tz_spans"), c, "_tz_spans").drop("_tz_spans")
+        d = txt.redact_spans(ent.detect_entities(d, c, "_tz_spans", model=model), c, "_tz_spans").drop("_tz_spans")
     d = txt.redact_terms(d, ["text", "rtnl"], terms)
     d = txt.strip_numerals(d, "text")
     if not faithful:

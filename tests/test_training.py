@@ -97,6 +97,19 @@ def test_entities_with_model(spark, model):
         assert all(r.text[s.start:s.end] == s.text for s in r.spans or [])
 
 
+def test_flows_with_a_model(spark, model):
+    from tessera import fixed_values as fv
+    from tessera.plans import workflows as wf
+
+    rows = [(k, "We met Qwertz in Asdfgh last week." if k % 2 else "Nothing.", None, *[str(k % 2)] * 9) for k in range(12)]
+    d = spark.createDataFrame(rows, ", ".join(["row_id long, text string, rtnl string", *[f"{t} string" for t in fv.ALL_TAGS]]))
+    out = wf.training_set(d, n_calibrate=2, model=model).where("row_id % 2 = 1").collect()
+    texts = [r.text for r in out if r.text is not None]
+    assert any("met" in t for t in texts) and not any("Qwertz" in t or "Asdfgh" in t for t in texts)
+    packet, _ = wf.annotation_packets(d.select("row_id", "text"), 6, 1, 5, model=model)
+    assert not packet.where("text like '%Qwertz%'").count()
+
+
 def test_tagged_spans(spark):
     text = "Ab cd, ef-Gh é 12"
     rows = [(text, [(0, 2, "X", "Ab"), (7, 12, "Y", "ef-Gh")]), (text, [(7, 12, "Y", ""), (0, 5, "X", ""), (3, 8, "Z", ""), (1, 1, "Q", "")]),
