@@ -149,3 +149,23 @@ def test_answer_patterns(spark):
     df = spark.createDataFrame(rows, "c_p int, c_q int")
     got = {r.pattern: r.n for r in rater_error.answer_patterns(df, ["c"], ["p", "q"]).collect()}
     assert got == {a + b: 2 for a in "01-" for b in "01-"}
+
+
+def test_corrections_call_python_by_bucket(spark, scratch):
+    """A micro-batch calls Python for each bucket, not for each row; keys of any type, null too."""
+    from tessera.streaming import corrections
+
+    src, sink, state = (os.path.join(scratch, x) for x in ("events", "sink", "state"))
+    schema = "row timestamp, tag string, rater string, value int, seq long"
+    rows = spark.range(300).select(F.when(F.col("id") > 0, F.timestamp_micros("id")).alias("row"), F.col("id").alias("n"))
+    events = rows.select("row", F.lit("t").alias("tag"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("rater"),
+                         (F.col("n") % 2).cast("int").alias("value"))
+    events = events.select("row", "tag", "rater", "value", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(None)).cast("array<long>")).alias("seq"))
+    events.coalesce(1).write.parquet(src)
+    query = kappa_corrections(spark.readStream.schema(schema).parquet(src), sink, state, key="row", buckets=8)
+    query.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:]) <= 8
+    got = corrected_kappa(spark, sink).first()
+    assert (got.n, got.kappa) == (300, 1)
+    now = {(None, "t"): [0, 1, None, -1], ("x", "u"): [1, 2, 3, 4]}
+    assert corrections._unpacked(corrections._packed(now)) == now
