@@ -83,7 +83,7 @@ def exact_row_number(df: DataFrame, order: Sequence[Column], bucket: Column,
         BUCKET, "_tz_rn", "_tz_off")
 
 
-ROWS_PER_BUCKET = 1 << 20   # strata above this size are split into buckets
+ROWS_PER_BUCKET = 1 << 13   # strata above this size are split into buckets: whole rows, texts too, are sorted in them
 
 
 def seeded_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank",

@@ -100,3 +100,18 @@ def test_flag_and_parent_single_pass(spark, rows, buckets, monkeypatch):
             last_unflagged = k
         prev_rtnl = r
     assert got == want
+
+
+def test_hot_class_is_dealt_out(spark):
+    """No task gets a whole class with its texts."""
+    df = spark.range(40_000).select("id", F.lit("x").alias("s"), F.lit("a text").alias("text")).repartition(3)
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.seeded_rank(df, "id", 1, by=["s"]).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("r")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.n for r in got) == 40_000 and sum(r.r for r in got) == 40_000 * 40_001 // 2
+    assert max(r.n for r in got) < 30_000
