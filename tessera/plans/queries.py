@@ -90,9 +90,10 @@ def q_kappa_corrections(spark, base):
     right = wide.select(F.col("doc_id").alias("key"), F.inline(answers))
     wrong = (F.col("rater") == "b") & (F.substring(F.md5(F.concat("tag", F.col("key").cast("string"))), 1, 1) < "4")
     first = right.withColumn("value", F.when(wrong, 1 - F.col("value")).otherwise(F.col("value"))).withColumn("seq", F.lit(1).cast("long"))
+    files = max(4, spark.sparkContext.defaultParallelism)  # of each part: every core reads one
     for part in (first, right.where(wrong).withColumn("seq", F.lit(2).cast("long")), first.where(wrong)):
-        part.repartition(4).write.mode("append").parquet(path)
-    events = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    events = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", files).parquet(path)
     query = kappa_corrections(events, sink, scratch_path(spark, "state"))
     query.awaitTermination()
     return corrected_kappa(spark, sink)
