@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import list_array, text_parts
 from ..session import ensure_checkpoint_dir
 from .metrics import cv_summary, evaluate_long
 
@@ -32,26 +33,33 @@ DIM = 512
 DEFAULTS = {"learning_rate": 0.1, "epochs": 5, "batches": 2, "weight_decay": 0.01, "warmup_ratio": 0.1}
 BETAS, EPSILON = (0.9, 0.999), 1e-8
 _SPACES = re.compile("[\t\n\x0b\f\r ]+")
+KEPT_TOKENS = 100_000  # tokens whose bucket a task keeps
 CHUNK = 512  # rows made dense at once
 BLOCK = 64  # rows of the gradient table that travel together
 ALL = -1  # the fold of a fit on all rows
 DIRECT_BYTES = 64 << 20  # partial sums of all tasks up to this go to the driver as they are, else they are added up on the executors
 
 
-def _hashed(texts: pd.Series, dim: int) -> pd.DataFrame:
-    at: dict[str, int] = {}
-    idx, val = [], []
+def _hashed(texts: Sequence[str | None], dim: int, at: dict[str, int]) -> pa.StructArray:
+    """Buckets and weights of some texts; ``at`` keeps buckets of tokens met before."""
+    size, idx, count = [], [], []
     for text in texts:
         n: dict[int, int] = {}
         for t in _SPACES.split(text or ""):
             if t:
                 j = at.get(t)
                 if j is None:
+                    if len(at) >= KEPT_TOKENS:
+                        at.clear()
                     j = at[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
                 n[j] = n.get(j, 0) + 1
-        idx.append(sorted(n))
-        val.append([1 + math.log(n[j]) for j in idx[-1]])
-    return pd.DataFrame({"idx": idx, "val": val})
+        own = sorted(n)
+        size.append(len(own))
+        idx += own
+        count += [n[j] for j in own]
+    kinds, which = np.unique(np.array(count, dtype=np.int64), return_inverse=True)
+    val = np.array([1 + math.log(c) for c in kinds.tolist()])[which]
+    return pa.StructArray.from_arrays([list_array(size, pa.array(idx, pa.int32())), list_array(size, pa.array(val, pa.float64()))], ["idx", "val"])
 
 
 def hashed_features(df: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:
@@ -61,10 +69,12 @@ def hashed_features(df: DataFrame, text: str = "text", dim: int = DIM) -> DataFr
     without tokens have empty arrays. Checkpointed."""
     ensure_checkpoint_dir(df.sparkSession)
 
-    @F.pandas_udf("struct<idx:array<int>,val:array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<idx:array<int>,val:array<double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        at: dict[str, int] = {}
         for texts in batches:
-            yield _hashed(texts, dim)
+            for some in text_parts(texts):
+                yield _hashed(some, dim, at)
 
     rows = df.withColumn("_tz_x", run(F.col(text))).drop(text)
     return rows.select("*", "_tz_x.idx", "_tz_x.val").drop("_tz_x").checkpoint(eager=True)
