@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import text_parts
 from ..functions.text import slices
 from ..session import ensure_checkpoint_dir
 from .entities import SPAN_DATATYPE
@@ -29,7 +30,10 @@ BREAK = "\n"  # lines are sequences of their own: what comes before the first to
 VOCAB = 20_000
 MIN_COUNT = 5
 BACKOFF = 4  # weight, in tokens, of the transitions without their cue
-TOKENS_AT_ONCE = 200_000
+TOKENS_AT_ONCE = 500_000
+PART_BYTES = 4 << 20  # text that is tagged at once
+KEPT_TOKENS = 200_000  # distinct tokens whose codes a worker keeps
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())]))
 
 # A token's observation: digits by their number, punctuation as it is, letters by their case (ASCII).
 SHAPES = [("^[0-9]{1,2}$", "<d>"), ("^[0-9]{3,4}$", "<dd>"), ("^[0-9]+$", "<ddd>"), ("^[A-Z]$", "<X>"), ("^[A-Z]+$", "<XX>"),
@@ -113,6 +117,17 @@ def tag_counts(df: DataFrame, text: str = "text", spans: str = "spans", vocab: i
     return both.where("obs IS NOT NULL").select("tag", "obs", "n"), both.where("obs IS NULL").select("prev", "cue", "tag", "n")
 
 
+class _Kept(dict):
+    """Results of a function, kept."""
+
+    def __init__(self, of: Callable[[str], int]) -> None:
+        self.of = of
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = self.of(token)
+        return n
+
+
 class Tagger:
     """Scores made from the counts. They hold at most ``vocab`` words and the
     shapes, so their size has a bound; executors get them as a broadcast."""
@@ -143,18 +158,34 @@ class Tagger:
         """Thousandths of natural logarithms, as integers: sums have no order."""
         return np.array([math.floor(1000 * math.log(x)) for x in p.ravel().tolist()], dtype=np.int64).reshape(p.shape)
 
+    def _code(self, token: str) -> int:
+        """What a token is as a cue, as an observation where a sentence opens,
+        whether the next one opens, and whether it is a line break; in one number."""
+        kind = token if token in self.obs else _shape(token)
+        cue = self.obs.get(kind, len(self.obs))
+        return cue << 32 | self.obs.get(OPENING.get(kind, kind), len(self.obs)) << 2 | (token in ENDS) << 1 | (token == BREAK)
+
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        """:meth:`_code` of each token; those of tokens met before are kept."""
+        kept = self.__dict__.setdefault("_kept", _Kept(self._code))
+        if len(kept) > KEPT_TOKENS:
+            kept.clear()
+        return np.fromiter(map(kept.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
     def observe(self, tokens: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's observation and what it is as a cue; ``first`` marks
         the tokens that begin a line."""
-        obs, cue, before = [], [], BREAK
-        for t, opens in zip(tokens, first.tolist()):
-            kind = t if t in self.obs else _shape(t)
-            cue.append(self.obs.get(kind, len(self.obs)))
-            if kind in OPENING and (opens or before in ENDS):
-                kind = OPENING[kind]
-            obs.append(self.obs.get(kind, len(self.obs)))
-            before = t
-        return np.array(obs, dtype=np.int64), np.array(cue, dtype=np.int64)
+        return self._observe(self.codes(tokens), first)
+
+    @staticmethod
+    def _observe(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        opens = first.copy()
+        opens[1:] |= (codes[:-1] & 2).astype(bool)
+        cue = codes >> 32
+        return np.where(opens, (codes & 0xFFFFFFFF) >> 2, cue), cue
 
     def best(self, obs: np.ndarray, cue: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The best tags of lines that stand one after another in ``obs``; of
@@ -170,7 +201,8 @@ class Tagger:
         back = []
         for t in range(1, int(size[0])):
             m = active[t]
-            way = score[:m, :, None] + self.move[cue[start[:m] + t - 1]]
+            way = np.take(self.move, cue[start[:m] + t - 1], axis=0)
+            way += score[:m, :, None]
             back.append(way.argmax(axis=1).astype(np.uint8 if len(self.tags) < 256 else np.int32))
             score[:m] = way.max(axis=1) + self.emit[obs[start[:m] + t]]
         tag = score.argmax(axis=1)
@@ -184,41 +216,43 @@ class Tagger:
     def spans(self, texts: list[str | None]) -> list[list[dict]]:
         found, part, held = [], [], 0
         for text in texts:
-            part.append([(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text or "")])
-            held += len(part[-1])
+            part.append((text or "", _TOKEN.findall(text or "")))
+            held += len(part[-1][1])
             if held >= TOKENS_AT_ONCE:
                 found += self._spans(part)
                 part, held = [], 0
-        found += self._spans(part)
-        for text, some in zip(texts, found):
-            for s in some:
-                s["text"] = text[s["start"]:s["end"]]
-        return found
-
-    def _spans(self, texts: list[list[tuple[str, int, int]]]) -> list[list[dict]]:
-        sizes, flat = [], []
-        for tokens in texts:
-            sizes.append(0)
-            for token, _, _ in tokens:
-                if token == BREAK:
-                    sizes.append(0)
-                else:
-                    sizes[-1] += 1
-                    flat.append(token)
-        size = np.array(sizes, dtype=np.int64)
-        first = np.zeros(len(flat) + 1, dtype=bool)
-        first[np.cumsum(size) - size] = True
-        tags = iter(self.best(*self.observe(flat, first[:-1]), size).tolist())
-        out = []
-        for tokens in texts:
-            some = []
-            for token, a, z in tokens:
-                tag = "O" if token == BREAK else self.tags[next(tags)]
+        return found + self._spans(part)
+
+    def _spans(self, texts: list[tuple[str, list[str]]]) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in texts]
+        codes = self.codes([t for _, tokens in texts for t in tokens])
+        of_text = np.repeat(np.arange(len(texts)), [len(tokens) for _, tokens in texts])
+        breaks = (codes & 1).astype(bool)
+        line = of_text + np.cumsum(breaks)  # a text's last line and each break end one
+        at = np.flatnonzero(~breaks)
+        size = np.bincount(line[at], minlength=len(texts) + int(breaks.sum()))
+        start = np.cumsum(size) - size
+        first = np.zeros(len(at) + 1, dtype=bool)
+        first[start] = True
+        tags = self.best(*self._observe(codes[at], first[:-1]), size)
+        begins = np.concatenate([[0], np.cumsum(np.bincount(of_text[breaks], minlength=len(texts)) + 1)])  # each text's first line
+        lines: list[str] = []
+        last = -1
+        for k in np.unique(line[at][tags > 0]).tolist():
+            i = int(np.searchsorted(begins, k, side="right")) - 1
+            if i != last:
+                last, lines = i, texts[i][0].split(BREAK)
+                places = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+            own, place = lines[k - int(begins[i])], places[k - int(begins[i])]
+            for m, t in zip(_TOKEN.finditer(own), tags[start[k]:start[k] + size[k]].tolist()):
+                tag = self.tags[t]
                 if tag[0] == "B":
-                    some.append({"start": a, "end": z, "label": tag[2:]})
+                    out[i].append({"start": place + m.start(), "end": place + m.end(), "label": tag[2:]})
                 elif tag[0] == "I":
-                    some[-1]["end"] = z
-            out.append(some)
+                    out[i][-1]["end"] = place + m.end()
+        for (text, _), some in zip(texts, out):
+            for s in some:
+                s["text"] = text[s["start"]:s["end"]]
         return out
 
 
@@ -237,10 +271,11 @@ def tag_entities(df: DataFrame, model: Tagger, text: str = "text", out: str = "s
     and empty texts have no spans."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(SPAN_DATATYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPAN_DATATYPE)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(held.value.spans(texts.tolist()), index=texts.index, dtype=object)
+            for some in text_parts(texts, PART_BYTES):
+                yield pa.array(held.value.spans(some), _SPANS)
 
     return df.withColumn(out, run(F.col(text)))
 
