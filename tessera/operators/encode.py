@@ -6,13 +6,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import list_array, text_parts
+
 WS_SPLIT = r"[\t\n\x{0B}\f\r ]+"
 PAD = 0
-TEXTS_AT_ONCE = 500
 
 
 WS_EDGES = r"^[\t\n\x{0B}\f\r ]+|[\t\n\x{0B}\f\r ]+$"
@@ -84,14 +86,13 @@ def _tokenizer(path: str):
 def subword_ids(text, path: str):
     """A column with the subword ids of a whole text, by the vocabulary file at
     ``path`` (which every executor can read), without special tokens."""
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out: list[list[int]] = []
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                some = [t or "" for t in texts.iloc[at:at + TEXTS_AT_ONCE]]
-                out += [e.ids for e in _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
-            yield pd.Series(out, index=texts.index, dtype=object)
+            for some in text_parts(texts):
+                found = _tokenizer(path).encode_batch_fast([t or "" for t in some], add_special_tokens=False)
+                ids = [np.array(e.ids, dtype=np.int64) for e in found]
+                yield list_array([len(x) for x in ids], pa.array(np.concatenate(ids)))
 
     return run(F.col(text) if isinstance(text, str) else text)
 

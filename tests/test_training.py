@@ -346,3 +346,83 @@ def test_multilabel_folds(spark):
         for i in range(4):
             per = [sum(b + (f in m) for s, (b, m) in dealt.items() if i == 3 or s[i] == "1") for f in range(k)]
             assert max(per) - min(per) <= 3
+
+
+# -- what a worker holds -----------------------------------------------------
+
+def test_text_parts():
+    import pyarrow as pa
+
+    from tessera.functions.batches import text_parts
+
+    texts = ["a" * 10, None, "", "é" * 6, "b" * 100, "c", None]
+    for most in (0, 1, 12, 25, 1000):
+        for given in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.large_string()).slice(1)):
+            parts = list(text_parts(given, most))
+            assert [t for p in parts for t in p] == texts
+            assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for p in parts)
+    assert list(text_parts(pa.array([], pa.string()))) == []
+
+
+def test_large_batches_go_in_parts(spark, monkeypatch):
+    """A worker makes features and ids of a bounded part of a batch at a time."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.operators import encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not hasattr(encode, "TEXTS_AT_ONCE")
+    texts = ["word%d " % k * 20_000 for k in range(40)] + [None, ""]
+    sizes = []
+    given = pa.array(texts)
+    real = Tokenizer.from_file(path)
+
+    class Seen:
+        def encode_batch_fast(self, some, add_special_tokens):
+            sizes.append(sum(map(len, some)))
+            return real.encode_batch_fast(some, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setitem(encode._OPEN, path, Seen())
+    monkeypatch.setattr(encode.F, "arrow_udf", lambda kind: lambda f: lambda col: f)  # joint's too: one module
+    out = [x for a in encode.subword_ids("text", path)(iter([given])) for x in a.to_pylist()]
+    assert out == [real.encode(t or "", add_special_tokens=False).ids for t in texts] and len(sizes) > 3 and max(sizes) <= 1 << 20
+    seen = []
+    hashed = joint._hashed
+    monkeypatch.setattr(joint, "_hashed", lambda some, *a: seen.append(sum(len(t or "") for t in some)) or hashed(some, *a))
+    monkeypatch.setattr(joint, "ensure_checkpoint_dir", lambda s: None)
+
+    class Frame:
+        sparkSession = None
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def withColumn(self, name, run):
+            self.run = run
+            return self
+
+    held = Frame()
+    monkeypatch.setattr(joint.F, "col", lambda c: c)
+    joint.hashed_features(held)
+    got = [x for a in held.run(iter([given])) for x in a.to_pylist()]
+    want = hashed(texts, joint.DIM, {}).to_pylist()
+    assert got == want and len(seen) > 3 and max(seen) <= 1 << 20
+    assert want[0] == {"idx": want[0]["idx"], "val": [1 + math.log(20_000)]} and want[-1] == want[-2] == {"idx": [], "val": []}
+
+
+def test_tagger_codes_each_token_once(spark, model, monkeypatch):
+    """Shapes are found once for each distinct token, whatever the texts repeat."""
+    import pickle
+
+    calls = []
+    shape = tagger._shape
+    monkeypatch.setattr(tagger, "_shape", lambda t: calls.append(t) or shape(t))
+    fresh = pickle.loads(pickle.dumps(model))
+    texts = ["Zzyzx met Qwertyu. Vvv at 12345\nAsk Zzyzx", None, ""] * 50
+    assert fresh.spans(texts) == model.spans(texts) and "_kept" not in pickle.loads(pickle.dumps(fresh)).__dict__
+    fresh._kept.clear()
+    calls.clear()
+    fresh.spans(texts)
+    assert calls and len(calls) == len(set(calls))
