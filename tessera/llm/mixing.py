@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import row_parts
+
 from .common import WORD, n_parts, saved
 
 BLOCK = 64
@@ -87,6 +89,20 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _drawn(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, slots: np.ndarray, shard_slots: int,
+           seed: int) -> Iterator[pa.RecordBatch]:
+    """What each output shard takes from each source."""
+    for _ in batches:
+        pass
+    first = np.zeros(len(slots), dtype=np.int64)
+    for shard, got in enumerate(shard_counts(slots.tolist(), shard_slots, seed)):
+        i = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(blocks[i]), pa.array(np.full(len(i), shard, dtype=np.int64)), pa.array(first[i]),
+             pa.array(got[i])], names=["_s", "blocks", "shard", "first", "slots"])
+        first += got
+
+
 def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
@@ -125,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     their own. A text of any length is cut into blocks; other columns are not
     read here, and :func:`mixed_documents` carries them under any names. An empty table, or one without a word, has an empty mix. The
     table of sources (a few numbers for each) goes through the driver;
-    documents and blocks do not.
+    documents, blocks, slots and the shards' draws do not.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
@@ -144,14 +160,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         [(i, r["_source"], s, t, b, n) for i, (r, s, t, b, n) in
          enumerate(zip(found, sizes, target, blocks, slots, strict=True))],
         "_s long, _ss string, source_size long, target double, blocks long, slots long")
-    # what each output shard takes from each source
-    plan, first = [], [0] * len(slots)
-    for shard, got in enumerate(shard_counts(slots, max(shard_slots, sum(slots) // 1000), seed)):
-        for i in np.flatnonzero(got):
-            plan.append((int(i), blocks[i], shard, first[i], int(got[i])))
-            first[i] += int(got[i])
-    drawn = spark.createDataFrame(plan, "_s long, blocks long, shard long, first long, slots long")
-    drawn = drawn.repartition(max(1, min(len(plan), 10_000, n_parts(spark)))).mapInArrow(
+    # what each output shard takes from each source: a row each, made by one task, handed out and expanded to the slots
+    n, block_counts, slot_counts = sum(slots), np.array(blocks, dtype=np.int64), np.array(slots, dtype=np.int64)
+    drawn = spark.range(1, numPartitions=1).mapInArrow(
+        lambda b: _drawn(b, block_counts, slot_counts, max(shard_slots, n // 1000), seed),
+        "_s long, blocks long, shard long, first long, slots long")
+    drawn = drawn.repartition(max(1, min(n, 10_000, n_parts(spark)))).mapInArrow(
         lambda b: _slots(b, seed), "_s long, _b long, turn long, shard long, slot long")
     # word offsets of the documents in their sources
     small = F.broadcast(sources) if len(found) <= BROADCAST_SOURCES else sources
@@ -166,7 +180,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))))
     start = F.greatest(F.lit(0).cast("long"), F.col("_b") * block - F.col("_at"))
     stop = F.least(F.col("size"), (F.col("_b") + 1) * block - F.col("_at"))
-    pieces = parts.select("_id", "_h", "_s", "_b", "_at", start.alias("start"), stop.alias("stop")).join(drawn, ["_s", "_b"])
+    # Spark takes the slots to be as few as the rows they are expanded from, and would send them all to the driver
+    pieces = parts.select("_id", "_h", "_s", "_b", "_at", start.alias("start"), stop.alias("stop")).join(
+        drawn.hint("merge"), ["_s", "_b"])
     return Mix(placed, sources, pieces)
 
 
@@ -184,9 +200,9 @@ def taken(m: Mix, id_col: str = "doc_id") -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: str, out_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     word = regex.compile(WORD)
-    for b in batches:
+    for part in (p for b in batches for p in row_parts(b, text_at)):
         rows = []
-        for r in b.to_pylist():
+        for r in part.to_pylist():
             spans = [m.span() for m in word.finditer(r[text_at] or "")]
             by_turn: dict[int, list] = {}
             for p in r.pop("_tz_p"):
