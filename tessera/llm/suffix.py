@@ -20,15 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole, with_key
+from tessera.functions.batches import row_parts
+
+from .common import saved, with_key
 
 LEAST = 100
 GRAM = 32
 BLOCK = 1 << 16
 LOCAL_BYTES = 32 << 20
+CUT_BYTES = 4 << 20
+ROW_BYTES = 200  # of a string as a Python object with its key and place
+TRANSFORM_BYTES = 16 << 20
 HOT = 50_000
 FILE_ROWS = 1 << 20
 _POS = 17
@@ -187,34 +193,44 @@ def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _stretch_batch(c[out], x[out], ids[out], at[out], False)
 
 
+def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Where each row's list of structs begins (and the last ends) in the
+    fields' arrays, and those; null is an empty list."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.r_[0, np.cumsum(size, dtype=np.int64)], *(pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in names)
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches. Of a hot minimizer each string goes by
     itself, under its own hash."""
+    key, ids, at, out, size = [], [], [], [], 0
     for b in batches:
-        key, ids, at, out, size = [], [], [], [], 0
-        for i, o, t, spans in zip(b.column("_id").to_pylist(), b.column("_ord").to_pylist(), b.column("_text"),
-                                  b.column("_p").to_pylist(), strict=True):
-            raw = t.as_py().encode()
-            for s in spans:
-                n, start = s["_c"] & 0xFFFF, s["_at"] & ((1 << 40) - 1)
-                if s["_hot"]:
-                    for k in range(start, start + n):
-                        g = raw[k:k + least]
+        bound, c, begin, hot = _lists(b.column("_p"), "_c", "_at", "_hot")
+        for r, (i, o, t) in enumerate(zip(b.column("_id").to_pylist(), b.column("_ord").to_pylist(), b.column("_text"),
+                                          strict=True)):
+            raw, mine = t.as_py().encode(), slice(bound[r], bound[r + 1])
+            for k, first, single in zip(c[mine].tolist(), begin[mine].tolist(), hot[mine].tolist(), strict=True):
+                n, start = k & 0xFFFF, first & ((1 << 40) - 1)
+                if single:
+                    for j in range(start, start + n):
+                        g = raw[j:j + least]
                         key.append(hash_bytes(g))
                         ids.append(i)
-                        at.append(k + (o << 40))
+                        at.append(j + (o << 40))
                         out.append(g)
+                    size += n * (least + ROW_BYTES)
                 else:
-                    key.append(s["_c"] >> 16)
+                    key.append(k >> 16)
                     ids.append(i)
-                    at.append(s["_at"])
+                    at.append(first)
                     out.append(raw[start:start + n + least - 1])
-                size += n + least
-            if size > 8 << 20:
-                yield _pieces(key, ids, at, out)
-                key, ids, at, out, size = [], [], [], [], 0
-        if key:
-            yield _pieces(key, ids, at, out)
+                    size += n + least + ROW_BYTES
+                if size > CUT_BYTES:
+                    yield _pieces(key, ids, at, out)
+                    key, ids, at, out, size = [], [], [], [], 0
+    if key:
+        yield _pieces(key, ids, at, out)
 
 
 def hash_bytes(g: bytes) -> int:
@@ -427,22 +443,22 @@ def _may_share(keys: np.ndarray, strings: list[bytes], least: int) -> np.ndarray
     half of what the string has besides it. Loses none that share."""
     gram = min(GRAM, least)
     width, flank = least - gram + 1, (least - gram) // 2
-    size = np.array([len(x) for x in strings])
-    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    first = np.cumsum(size) - size
-    h = _gram_hash(_BYTE[data], gram)
     weight = _rng_words(gram + flank)
     out = np.zeros((2, len(strings)), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(strings), 20_000):
-            f = first[at:at + 20_000]
+        for at in range(0, len(strings), 5_000):
+            some = strings[at:at + 5_000]
+            size = np.array([len(x) for x in some])
+            data = np.frombuffer(b"".join(some), dtype=np.uint8)
+            f = np.cumsum(size) - size
+            h = _gram_hash(_BYTE[data], gram)
             m = (h[f[:, None] + np.arange(width)] >> np.uint64(_POS)).argmin(axis=1)  # the leftmost of equals
             for side, begin in enumerate((m - flank, m)):
-                fits = (begin >= 0) & (begin + gram + flank <= size[at:at + 20_000])
+                fits = (begin >= 0) & (begin + gram + flank <= size)
                 part = data[(f + begin)[fits, None] + np.arange(gram + flank)].astype(np.uint64)
                 own = np.full(len(f), -1, dtype=np.int64).view(np.uint64) - np.arange(at, at + len(f), dtype=np.uint64)
                 own[fits] = ((part + np.uint64(1)) * weight).sum(axis=1, dtype=np.uint64)
-                out[side, at:at + 20_000] = own ^ (keys[at:at + 20_000].view(np.uint64) * np.uint64(_R))
+                out[side, at:at + 5_000] = own ^ (keys[at:at + 5_000].view(np.uint64) * np.uint64(_R))
     keep = np.zeros(len(strings), dtype=bool)
     for side in out:
         _, at, n = np.unique(side, return_inverse=True, return_counts=True)
@@ -456,27 +472,79 @@ def _rng_words(n: int) -> np.ndarray:
 
 
 def _transformed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    t = whole(batches)
-    if t is None:
-        return
-    strings = [s.as_py() for s in t.column("_s")]
-    keep = np.flatnonzero(_may_share(t.column("_k").to_numpy(), strings, least))
-    ids, at = t.column("_id").to_numpy()[keep], t.column("_at").to_numpy()[keep]
-    strings = [strings[k] for k in keep.tolist()]
-    del t
-    if not strings:
-        return
+    """Rows sorted by (_k, _id, _at). Whole minimizers, a few MB of strings at a
+    time, so that a worker's memory does not follow the partition's size. A
+    string that came before under its key (as those of a hot minimizer do) is
+    marked at once; the others may share more, and are transformed."""
+    part: tuple[list, ...] = ([], [], [], [])  # key, document, place, string
+    kept: tuple[list, ...] = ([], [], [])  # document, place, string, of those that may share
+    again: tuple[list, ...] = ([], [], [])
+    last, seen, size, kept_size = None, set(), 0, 0
+
+    def flush(whole_part: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal part, kept, size, kept_size
+        if part[0]:
+            for r in np.flatnonzero(_may_share(np.array(part[0], dtype=np.int64), part[3], least)).tolist():
+                for column, values in zip(kept, part[1:], strict=True):
+                    column.append(values[r])
+                kept_size += len(part[3][r])
+            part, size = ([], [], [], []), 0
+        if kept[0] and (whole_part or kept_size >= TRANSFORM_BYTES):
+            done, kept, kept_size = kept, ([], [], []), 0
+            yield from _equal_strings(*done, least)
+
+    for b in batches:
+        for k, i, at, s in zip(*(b.column(n).to_pylist() for n in ("_k", "_id", "_at", "_s")), strict=True):
+            if k != last:
+                if size >= CUT_BYTES:
+                    yield from flush(False)
+                last, seen = k, set()
+            if s in seen:
+                for column, value in zip(again, (i, at, len(s) - least + 1), strict=True):
+                    column.append(value)
+                continue
+            seen.add(s)
+            for column, value in zip(part, (k, i, at, s), strict=True):
+                column.append(value)
+            size += len(s)
+        if len(again[0]) >= 10_000:
+            yield _runs(*(np.array(v, dtype=np.int64) for v in again))
+            again = ([], [], [])
+    yield from flush(True)
+    if again[0]:
+        yield _runs(*(np.array(v, dtype=np.int64) for v in again))
+
+
+def _runs(ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in _marks(ids, at, n)], names=["_id", "_at", "_n"])
+
+
+def _equal_strings(ids: list[int], at: list[int], strings: list[bytes], least: int) -> Iterator[pa.RecordBatch]:
+    """Marks of the strings of ``least`` bytes that occur earlier among these."""
+    ids, at, found = np.array(ids, dtype=np.int64), np.array(at, dtype=np.int64), []
+
+    def later(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        if not len(group):
+            return
+        order = np.lexsort((start, doc, group))
+        group, doc, start = group[order], doc[order], start[order]
+        old = np.r_[False, group[1:] == group[:-1]]
+        found.append((doc[old], start[old]))
+
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
         made = Transform(strings, folder)
-        got = list(made.equal(least))
-    group, who, size = (np.concatenate(v) for v in zip(*got))
-    doc, start = ids[who], at[who] + made.size[who] - size
-    order = np.lexsort((start, doc, group))
-    group, doc, start = group[order], doc[order], start[order]
-    later = np.r_[False, group[1:] == group[:-1]]
-    d, a, n = _marks(doc[later], start[later], np.ones(int(later.sum()), dtype=np.int64))
-    if len(d):
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(n)], names=["_id", "_at", "_n"])
+        none = np.zeros(0, dtype=np.int64)
+        open_ = (none, none, none)  # the last group, which may go on in the next block
+        for group, who, size in made.equal(least):
+            got = tuple(np.concatenate(v) for v in zip(open_, (group, ids[who], at[who] + made.size[who] - size), strict=True))
+            stop = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0
+            later(*(v[:stop] for v in got))
+            open_ = tuple(v[stop:] for v in got)
+        later(*open_)
+    if found:
+        d, a = (np.concatenate(v) for v in zip(*found, strict=True))
+        if len(d):
+            yield _runs(d, a, np.ones(len(d), dtype=np.int64))
 
 
 # -- documents --------------------------------------------------------------
@@ -484,16 +552,16 @@ def _transformed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
 def _removed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     names = ["_id", "_ord", "n_bytes", "n_removed", "n_spans", "kept"]
     for b in batches:
-        for s in range(0, b.num_rows, 500):
-            part, out = b.slice(s, 500), []
-            for t, marks in zip(part.column("_text"), part.column("_p").to_pylist(), strict=True):
+        for part in row_parts(b, "_text"):
+            out, (bound, at, n) = [], _lists(part.column("_p"), "_at", "_n")
+            for t, first, last in zip(part.column("_text"), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
                 raw = t.as_py().encode()
-                if not marks:
+                if first == last:
                     out.append((len(raw), 0, 0, raw))
                     continue
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                start = np.array([m["_at"] & ((1 << 40) - 1) for m in marks])
-                stop = start + np.array([m["_n"] for m in marks]) + least - 1
+                start = at[first:last] & ((1 << 40) - 1)
+                stop = start + n[first:last] + least - 1
                 np.add.at(edge, start, 1)
                 np.add.at(edge, stop, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -536,7 +604,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = several.groupBy("_id", order).agg(F.collect_list(F.struct("_c", "_at", "_hot")).alias("_p"))
     strings = once.join(spans, ["_id", "_ord"]).mapInArrow(
         lambda b: _cut_out(b, least), "_k long, _id long, _at long, _s binary")
-    strings = strings.repartition("_k").mapInArrow(lambda b: _transformed(b, least), "_id long, _at long, _n long")
+    strings = strings.repartition("_k").sortWithinPartitions("_k", "_id", "_at").mapInArrow(
+        lambda b: _transformed(b, least), "_id long, _at long, _n long")
     marks = found.where("_f").select("_id", "_at", F.col("_x").alias("_n")).unionByName(strings)
     marks = marks.groupBy("_id", order).agg(F.collect_list(F.struct("_at", "_n")).alias("_p"))
     out = base.join(marks, ["_id", "_ord"], "left").mapInArrow(
